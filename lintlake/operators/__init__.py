@@ -4,11 +4,11 @@ from .blocks import brace_blocks, code_blocks, indent_blocks
 from .context import import_module_counts, imports, line_context, lines, try_regions
 from .diff import diff_files, diff_hunks, diff_lines, diff_review_files, review_diffs
 from .review import check_error_handling, review, rules_applied, sort_findings
-from .summary import severity_groups, summarize, summary_by_file
+from .summary import severity_groups, summarize, summarize_diffs, summary_by_file
 
 __all__ = [
     "brace_blocks", "check_error_handling", "code_blocks", "diff_files", "diff_hunks",
     "diff_lines", "diff_review_files", "import_module_counts", "imports", "indent_blocks",
     "line_context", "lines", "review", "review_diffs", "rules_applied", "severity_groups",
-    "sort_findings", "summarize", "summary_by_file", "try_regions",
+    "sort_findings", "summarize", "summarize_diffs", "summary_by_file", "try_regions",
 ]

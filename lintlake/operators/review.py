@@ -44,8 +44,15 @@ _MASK_BITS = 62  # rules per bit mask
 class _Plan:
     """Column expressions for one set of rules."""
 
-    def __init__(self, rules: Sequence[Rule], min_confidence: int, info_type: str | None):
+    def __init__(
+        self,
+        rules: Sequence[Rule],
+        order: dict[str, int],
+        min_confidence: int,
+        info_type: str | None,
+    ):
         self.rules = rules
+        self.order = order  # a rule's place before categories and severities are filtered
         self.info_type = info_type  # of the line info that goes with each hit
         self.min_confidence = min_confidence
         self.codes = {}
@@ -184,7 +191,6 @@ class _Plan:
 
     def texts(self) -> Column:
         """Everything fixed about a report, indexed by the hit's code."""
-        order = {rule.id: seq for seq, rule in enumerate(self.rules)}
         rows = []
         for rule, report in self.reports:
             severity = report.severity or rule.severity
@@ -197,7 +203,7 @@ class _Plan:
                     F.lit(severity).alias("severity"),
                     F.lit(fv.SEVERITIES.index(severity)).alias("severity_rank"),
                     F.lit(report.confidence).alias("confidence"),
-                    F.lit(order[rule.id]).alias("rule_seq"),
+                    F.lit(self.order[rule.id]).alias("rule_seq"),
                     *[F.lit(v).cast("string").alias(f"m{i}") for i, v in enumerate(m)],
                     *[F.lit(v).cast("string").alias(f"s{i}") for i, v in enumerate(s)],
                     F.lit("{1}" in report.message).alias("m_arg1"),
@@ -289,7 +295,9 @@ def review(
     ``line_info`` names an array of structs, one per line, whose fields go with it.
     """
     info_type = files.schema[line_info].dataType.elementType.simpleString() if line_info else None
-    plan = _Plan(select_rules(rules, categories, severities), min_confidence, info_type)
+    order = {rule.id: seq for seq, rule in enumerate(select_rules(rules))}
+    chosen = select_rules(rules, categories, severities)
+    plan = _Plan(chosen, order, min_confidence, info_type)
     infos = [line_info] if line_info else []
     path, language = F.col("path"), text.detect_language(F.col("path"))
 

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..rules.fixed_values import SEVERITIES
+from .diff import diff_review_files
 from .review import review, rules_applied
 
 COUNTS = ("total_findings", *SEVERITIES)
@@ -51,6 +52,11 @@ def summary_by_file(files: DataFrame, key: str = "file_seq", **options) -> DataF
     return summarize(files, by=(key, "path"), **options)
 
 
+def summarize_diffs(diffs: DataFrame, keys: Sequence[str] = ("diff_id",), **options) -> DataFrame:
+    """One summary row per diff that has a file to review."""
+    return summarize(diff_review_files(diffs, keys), by=tuple(keys), **options)
+
+
 def severity_groups(findings: DataFrame) -> DataFrame:
     """Findings with their severity's ``group_size``; order by rank to read the groups.
 
