@@ -1,9 +1,10 @@
-"""Text helpers as Spark columns: trimming, line splitting, language and file kind."""
+"""Text helpers: trimming, line splitting, language and file kind.
 
-from __future__ import annotations
+Helpers take and give Spark SQL expressions as text. A review has some thousand small
+expressions; as text, each column is parsed once instead of built call by call.
+"""
 
-from pyspark.sql import Column
-from pyspark.sql import functions as F
+from __future__ import annotations
 
 # The white space that trimming and ``\s`` cover.
 WHITESPACE = (
@@ -39,6 +40,16 @@ SPACE_CLASS = r"[\s\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000\ufeff
 ANY_CLASS = r"[^\n\r\u2028\u2029]"
 
 
+def literal(value: str | None) -> str:
+    """A SQL string literal."""
+    if value is None:
+        return "CAST(NULL AS STRING)"
+    escaped = value.replace("\\", "\\\\").replace("'", "\\'")
+    shown = "".join(c if c.isprintable() else f"\\u{ord(c):04x}" for c in escaped)
+    # A dollar and a brace together would be taken for a variable.
+    return "'" + shown.replace("${", "\\u0024{") + "'"
+
+
 def spark_regex(pattern: str) -> str:
     """Give a pattern ECMAScript meaning under ``java.util.regex``.
 
@@ -54,90 +65,108 @@ def spark_regex(pattern: str) -> str:
     )
 
 
-def matches(text: Column, pattern: str) -> Column:
-    return text.rlike(spark_regex(pattern))
+def matches(value: str, pattern: str) -> str:
+    return f"rlike({value}, {literal(spark_regex(pattern))})"
 
 
-def extract(text: Column, pattern: str, group: int = 1) -> Column:
+def extract(value: str, pattern: str, group: int = 1) -> str:
     """First match's group; the empty string where nothing matches."""
-    return F.regexp_extract(text, spark_regex(pattern), group)
+    return f"regexp_extract({value}, {literal(spark_regex(pattern))}, {group})"
+
+
+def any_of(tests) -> str:
+    return "(" + " OR ".join(tests) + ")"
+
+
+def all_of(tests) -> str:
+    return "(" + " AND ".join(tests) + ")"
+
+
+def contains(value: str, needle: str) -> str:
+    return f"contains({value}, {literal(needle)})"
 
 
-def contains_any(text: Column, needles) -> Column:
-    test = F.lit(False)
-    for needle in needles:
-        test = test | text.contains(needle)
-    return test
+def contains_any(value: str, needles) -> str:
+    return any_of(contains(value, needle) for needle in needles)
 
 
-def trim(text: Column) -> Column:
-    return F.trim(text, F.lit(WHITESPACE))
+def starts_with(value: str, *prefixes: str) -> str:
+    return any_of(f"startswith({value}, {literal(prefix)})" for prefix in prefixes)
 
 
-def trim_start(text: Column) -> Column:
-    return F.ltrim(text, F.lit(WHITESPACE))
+def ends_with(value: str, *suffixes: str) -> str:
+    return any_of(f"endswith({value}, {literal(suffix)})" for suffix in suffixes)
 
 
-def split_lines(content: Column) -> Column:
+def one_of(value: str, choices) -> str:
+    return f"{value} IN ({', '.join(literal(choice) for choice in choices)})"
+
+
+def trim(value: str) -> str:
+    return f"trim(BOTH {literal(WHITESPACE)} FROM {value})"
+
+
+def trim_start(value: str) -> str:
+    return f"trim(LEADING {literal(WHITESPACE)} FROM {value})"
+
+
+def split_lines(content: str) -> str:
     """Lines of a text. Empty text is one empty line; a final newline adds one."""
-    return F.split(content, "\n")
+    return f"split({content}, '\\n')"
 
 
-def line_join(lines: Column) -> Column:
-    return F.array_join(lines, "\n")
+def join_lines(lines: str) -> str:
+    return f"array_join({lines}, '\\n')"
 
 
-def brace_delta(text: Column) -> Column:
+def brace_delta(value: str) -> str:
     """Opening minus closing braces."""
-    return F.length(F.replace(text, F.lit("}"), F.lit(""))) - F.length(
-        F.replace(text, F.lit("{"), F.lit(""))
-    )
+    return f"(length(replace({value}, '}}', '')) - length(replace({value}, '{{', '')))"
 
 
-def odd_backticks(text: Column) -> Column:
+def odd_backticks(value: str) -> str:
     """Odd number of backticks that no backslash precedes."""
-    return F.when(
-        text.contains("`"), F.regexp_count(text, F.lit(r"(?<!\\)`")) % 2 == 1
-    ).otherwise(False)
+    count = f"regexp_count({value}, {literal(r'(?<!\\)`')})"
+    return f"(contains({value}, '`') AND {count} % 2 = 1)"
 
 
-def _by_extension(path: Column, languages: dict[str, str]) -> Column:
-    table = F.create_map(*[F.lit(v) for pair in languages.items() for v in pair])
-    extension = F.concat(F.lit("."), F.substring_index(path, ".", -1))
-    return F.when(
-        path.contains("."), F.coalesce(F.try_element_at(table, extension), F.lit(UNKNOWN))
-    ).otherwise(UNKNOWN)
+def _by_extension(path: str, languages: dict[str, str]) -> str:
+    table = "map(" + ", ".join(literal(v) for pair in languages.items() for v in pair) + ")"
+    known = f"try_element_at({table}, concat('.', substring_index({path}, '.', -1)))"
+    return (
+        f"CASE WHEN contains({path}, '.') THEN coalesce({known}, '{UNKNOWN}') "
+        f"ELSE '{UNKNOWN}' END"
+    )
 
 
-def detect_language(path: Column) -> Column:
+def detect_language(path: str) -> str:
     """Language for review, by the case-sensitive extension after the last dot."""
     return _by_extension(path, REVIEW_LANGUAGES)
 
 
-def detect_language_full(path: Column) -> Column:
+def detect_language_full(path: str) -> str:
     """Language for block extraction: the review languages and a few more."""
     return _by_extension(path, PARSER_LANGUAGES)
 
 
-def detect_file_type(path: Column) -> Column:
+def detect_file_type(path: str) -> str:
     """test, config, migration, generated or source; the first that fits wins."""
-    lower = F.lower(path)
-    config = contains_any(lower, [*CONFIG_PATH_PARTS, ".env"])
-    for ending in (".rc", "rc.ts", "rc.js"):
-        config = config | lower.endswith(ending)
+    lower = f"lower({path})"
+    config = [contains_any(lower, (*CONFIG_PATH_PARTS, ".env"))]
+    config.append(ends_with(lower, ".rc", "rc.ts", "rc.js"))
     return (
-        F.when(contains_any(lower, TEST_PATH_PARTS), "test")
-        .when(config, "config")
-        .when(contains_any(lower, ["migration", "migrate"]), "migration")
-        .when(contains_any(lower, [".generated.", ".gen."]), "generated")
-        .otherwise("source")
+        f"CASE WHEN {contains_any(lower, TEST_PATH_PARTS)} THEN 'test' "
+        f"WHEN {any_of(config)} THEN 'config' "
+        f"WHEN {contains_any(lower, ('migration', 'migrate'))} THEN 'migration' "
+        f"WHEN {contains_any(lower, ('.generated.', '.gen.'))} THEN 'generated' "
+        "ELSE 'source' END"
     )
 
 
-def is_test_path(path: Column) -> Column:
+def is_test_path(path: str) -> str:
     """Case-sensitive, unlike the ``test`` file type."""
     return contains_any(path, TEST_PATH_PARTS)
 
 
-def is_config_path(path: Column) -> Column:
+def is_config_path(path: str) -> str:
     return contains_any(path, CONFIG_PATH_PARTS)

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame
 
 from ..functions import folds, text
+from .context import key_columns, keyed
 
 # Languages whose blocks are braces, and what opens a Python block.
 BRACE_LANGUAGES = (
@@ -16,123 +16,90 @@ INDENT_LANGUAGES = ("python",)
 INDENT_START = r"^(?:def |class |async def )"
 
 
-def _brace_spans(lines: Column) -> Column:
+def _brace_spans() -> str:
     """``start,end`` of every top-level brace pair; the fold runs over braces only."""
-    braces = F.flatten(
-        F.transform(
-            F.transform(lines, lambda line: F.regexp_replace(line, r"[^{}]+", "")),
-            lambda found, i: F.when(
-                found != "",
-                F.transform(
-                    F.split(found, ""),
-                    lambda brace: F.struct(
-                        (i + 1).alias("line"),
-                        F.when(brace == "{", 1).otherwise(-1).alias("delta"),
-                    ),
-                ),
-            ).otherwise(F.array().cast("array<struct<line:int,delta:int>>")),
-        )
-    )
-
-    def step(state: Column, brace: Column) -> Column:
-        opens = (state["depth"] == 0) & (brace["delta"] > 0)
-        return F.struct(
-            (state["depth"] + brace["delta"]).alias("depth"),
-            F.when(opens, brace["line"]).otherwise(state["start"]).alias("start"),
+    braces = """flatten(transform(transform(lines, l -> regexp_replace(l, '[^{}]+', '')),
+        (found, i) -> if(found = '', CAST(array() AS ARRAY<STRUCT<line:INT,delta:INT>>),
+          transform(split(found, ''), b -> named_struct('line', i + 1, 'delta', if(b = '{', 1, -1)))
+        )))"""
+
+    def step(state: str, brace: str) -> str:
+        opens = f"{state}.depth = 0 AND {brace}.delta > 0"
+        return folds.struct(
+            depth=f"{state}.depth + {brace}.delta",
+            start=f"if({opens}, {brace}.line, {state}.start)",
         )
 
-    def emit(state: Column, brace: Column) -> Column:
-        closes = (state["depth"] == 1) & (brace["delta"] < 0)
-        span = F.concat_ws(",", state["start"], brace["line"])
-        return F.when(closes, F.concat(span, F.lit(";"))).otherwise("")
+    def emit(state: str, brace: str) -> str:
+        closes = f"{state}.depth = 1 AND {brace}.delta < 0"
+        return f"if({closes}, concat({state}.start, ',', {brace}.line, ';'), '')"
 
-    start = F.struct(F.lit(0).alias("depth"), F.lit(0).alias("start"))
-    return folds.running_pieces(braces, start, step, emit)
+    return folds.running_pieces(braces, folds.struct(depth="0", start="0"), step, emit)
 
 
-def _indent_spans(lines: Column) -> Column:
+def _indent_spans() -> str:
     """``start,end`` of every function or class; a new one ends the one before."""
-    items = F.transform(
-        lines,
-        lambda line, i: folds.let(
-            text.trim_start(line),
-            lambda code: F.struct(
-                (i + 1).alias("line"),
-                (F.length(line) - F.length(code)).alias("indent"),
-                (code == "").alias("blank"),
-                text.matches(code, INDENT_START).alias("starts"),
+    items = (
+        "transform(lines, (l, i) -> "
+        + folds.let(
+            "code",
+            text.trim_start("l"),
+            folds.struct(
+                line="i + 1",
+                indent="length(l) - length(code)",
+                blank="code = ''",
+                starts=text.matches("code", INDENT_START),
             ),
-        ),
+        )
+        + ")"
     )
 
-    def leaves(state: Column, item: Column) -> Column:
-        outside = ~item["blank"] & (item["indent"] <= state["base"])
-        return (state["start"] > 0) & (item["starts"] | outside)
-
-    def step(state: Column, item: Column) -> Column:
-        return (
-            F.when(
-                item["starts"],
-                F.struct(item["line"].alias("start"), item["indent"].alias("base")),
-            )
-            .when(
-                leaves(state, item),
-                F.struct(F.lit(0).alias("start"), state["base"].alias("base")),
-            )
-            .otherwise(state)
+    def leaves(state: str, item: str) -> str:
+        outside = f"NOT {item}.blank AND {item}.indent <= {state}.base"
+        return f"({state}.start > 0 AND ({item}.starts OR ({outside})))"
+
+    def step(state: str, item: str) -> str:
+        return folds.struct(
+            start=f"CASE WHEN {item}.starts THEN {item}.line WHEN {leaves(state, item)} THEN 0 "
+            f"ELSE {state}.start END",
+            base=f"if({item}.starts, {item}.indent, {state}.base)",
         )
 
-    def emit(state: Column, item: Column) -> Column:
-        span = F.concat_ws(",", state["start"], item["line"] - 1)
-        return F.when(leaves(state, item), F.concat(span, F.lit(";"))).otherwise("")
+    def emit(state: str, item: str) -> str:
+        return f"if({leaves(state, item)}, concat({state}.start, ',', {item}.line - 1, ';'), '')"
 
-    def at_end(state: Column) -> Column:
-        span = F.concat_ws(",", state["start"], F.size(lines))
-        return F.when(state["start"] > 0, span).otherwise("")
+    def at_end(state: str) -> str:
+        return f"if({state}.start > 0, concat({state}.start, ',', size(lines)), '')"
 
-    start = F.struct(F.lit(0).alias("start"), F.lit(0).alias("base"))
-    return folds.running_pieces(items, start, step, emit, at_end)
+    return folds.running_pieces(items, folds.struct(start="0", base="0"), step, emit, at_end)
 
 
-def _blocks(files: DataFrame, languages, marker: str, spans, keys) -> DataFrame:
-    language = text.detect_language_full(F.col("path"))
-    lined = (
-        files.where(language.isin(*languages))
-        .where(F.col("content").rlike(marker))
-        .withColumn("language", language)
-        .withColumn("__lines", text.split_lines(F.col("content")))
-    )
-    spanned = lined.withColumn("__spans", spans(F.col("__lines")))
-    bounds = F.transform(F.col("__spans"), lambda s: F.split(s, ",").cast("array<int>"))
+def _blocks(files: DataFrame, languages, marker: str, spans: str, keys) -> DataFrame:
     # Content is cut out before the rows multiply, so a row carries its own block only.
-    cut = F.transform(
-        bounds,
-        lambda b: F.struct(
-            F.get(b, F.lit(0)).alias("start_line"),
-            F.get(b, F.lit(1)).alias("end_line"),
-            text.line_join(
-                F.slice(
-                    F.col("__lines"),
-                    F.get(b, F.lit(0)),
-                    F.get(b, F.lit(1)) - F.get(b, F.lit(0)) + 1,
-                )
-            ).alias("content"),
-        ),
-    )
-    return spanned.select(
-        *keys, "path", "language", F.posexplode(cut).alias("block_seq", "__block")
-    ).select(
-        *keys, "path", "language", "block_seq",
-        "__block.start_line", "__block.end_line", "__block.content",
+    cut = f"""transform(transform({spans}, s -> CAST(split(s, ',') AS ARRAY<INT>)),
+        b -> named_struct('start_line', b[0], 'end_line', b[1],
+          'content', {text.join_lines('slice(lines, b[0], b[1] - b[0] + 1)')}))"""
+    return (
+        keyed(files, keys)
+        .selectExpr("*", f"{text.detect_language_full('path')} AS language")
+        .where(f"{text.one_of('language', languages)} AND {marker}")
+        .selectExpr("key", "path", "language", f"{text.split_lines('content')} AS lines")
+        .selectExpr("key", "path", "language", f"posexplode({cut}) AS (block_seq, block)")
+        .selectExpr(
+            *key_columns(keys), "path", "language", "block_seq",
+            "block.start_line", "block.end_line", "block.content",
+        )
     )
 
 
 def brace_blocks(files: DataFrame, keys: tuple[str, ...] = ("file_seq",)) -> DataFrame:
-    return _blocks(files, BRACE_LANGUAGES, r"\{", _brace_spans, keys)
+    marker = "contains(content, '{')"
+    return _blocks(files, BRACE_LANGUAGES, marker, _brace_spans(), keys)
 
 
 def indent_blocks(files: DataFrame, keys: tuple[str, ...] = ("file_seq",)) -> DataFrame:
-    return _blocks(files, INDENT_LANGUAGES, r"def |class ", _indent_spans, keys)
+    marker = text.contains_any("content", ("def ", "class "))
+    return _blocks(files, INDENT_LANGUAGES, marker, _indent_spans(), keys)
 
 
 def code_blocks(files: DataFrame, keys: tuple[str, ...] = ("file_seq",)) -> DataFrame:

@@ -7,7 +7,7 @@ files that hold no multi-line marker at all skip the fold.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import folds, text
@@ -26,156 +26,123 @@ DOC_QUOTES = ('"""', "'''")
 LINE_COMMENTS = ("//", "#")
 
 
-def _starts_with_any(column: Column, prefixes) -> Column:
-    test = F.lit(False)
-    for prefix in prefixes:
-        test = test | column.startswith(prefix)
-    return test
-
-
-def _line_comment(line: Column) -> Column:
-    return _starts_with_any(text.trim_start(line), LINE_COMMENTS)
-
-
-def _transitions(line: Column, is_python: Column) -> Column:
-    """Next state for every state, then the line's flag for every state, in one integer."""
-    closes_block = line.contains("*/")
-    closes_doc = text.contains_any(line, DOC_QUOTES)
-    odd = text.odd_backticks(line)
-
-    def state(at: int, value) -> Column:
-        value = F.lit(value) if isinstance(value, int) else value
-        return value * (1 << (_STATE_BITS * at))
-
-    def flag(at: int, value) -> Column:
-        value = F.lit(value) if isinstance(value, int) else value
-        return value * (1 << (_FLAG_SHIFT + _FLAG_BITS * at))
-
-    def build(start: Column) -> Column:
-        opens_block = line.contains("/*") & ~closes_block
-        doc_start = is_python & _starts_with_any(start, DOC_QUOTES)
-        block_start = start.startswith("/*")
-        next_state = (
-            F.when(_starts_with_any(start, LINE_COMMENTS), NORMAL)
-            .when(
-                block_start,
-                F.when(~closes_block | text.trim(start).endswith("/*"), BLOCK).otherwise(NORMAL),
-            )
-            .when(
-                doc_start,
-                F.when(text.contains_any(F.substr(start, F.lit(4)), DOC_QUOTES), NORMAL).otherwise(
-                    DOCSTRING
-                ),
-            )
-            .when(opens_block & odd, BLOCK_IN_TEMPLATE)
-            .when(opens_block, BLOCK)
-            .when(odd, TEMPLATE)
-            .otherwise(NORMAL)
-        )
-        line_flag = (
-            F.when(
-                _starts_with_any(start, LINE_COMMENTS) | block_start | doc_start, int(COMMENT)
-            )
-            .when(odd, int(STRING))
-            .otherwise(int(PLAIN))
-        )
-        return (
-            state(NORMAL, next_state)
-            + state(BLOCK, F.when(closes_block, NORMAL).otherwise(BLOCK))
-            + state(DOCSTRING, F.when(closes_doc, NORMAL).otherwise(DOCSTRING))
-            + state(TEMPLATE, F.when(odd, NORMAL).otherwise(TEMPLATE))
-            + state(
-                BLOCK_IN_TEMPLATE, F.when(closes_block, TEMPLATE).otherwise(BLOCK_IN_TEMPLATE)
-            )
-            + flag(NORMAL, line_flag)
-            + flag(BLOCK, int(COMMENT))
-            + flag(DOCSTRING, int(COMMENT))
-            + flag(TEMPLATE, int(STRING))
-            + flag(BLOCK_IN_TEMPLATE, int(COMMENT))
-        )
-
-    return folds.let(text.trim_start(line), build)
+def _transitions(language: str) -> str:
+    """Next state for every state, then the flag for every state, of line ``l``.
+
+    ``s`` is the line without leading white space.
+    """
+    block_end = "contains(l, '*/')"
+    block_open = f"contains(l, '/*') AND NOT {block_end}"
+    doc_end = text.contains_any("l", DOC_QUOTES)
+    odd = text.odd_backticks("l")
+    comment = text.starts_with("s", *LINE_COMMENTS)
+    block_start = "startswith(s, '/*')"
+    doc_start = f"({language} = 'python' AND {text.starts_with('s', *DOC_QUOTES)})"
+    doc_closes = text.contains_any("substring(s, 4)", DOC_QUOTES)
+    block_stays = f"(NOT {block_end} OR endswith({text.trim('s')}, '/*'))"
+
+    next_states = {
+        NORMAL: f"""CASE WHEN {comment} THEN {NORMAL}
+            WHEN {block_start} THEN if({block_stays}, {BLOCK}, {NORMAL})
+            WHEN {doc_start} THEN if({doc_closes}, {NORMAL}, {DOCSTRING})
+            WHEN {block_open} THEN if({odd}, {BLOCK_IN_TEMPLATE}, {BLOCK})
+            WHEN {odd} THEN {TEMPLATE} ELSE {NORMAL} END""",
+        BLOCK: f"if({block_end}, {NORMAL}, {BLOCK})",
+        DOCSTRING: f"if({doc_end}, {NORMAL}, {DOCSTRING})",
+        TEMPLATE: f"if({odd}, {NORMAL}, {TEMPLATE})",
+        BLOCK_IN_TEMPLATE: f"if({block_end}, {TEMPLATE}, {BLOCK_IN_TEMPLATE})",
+    }
+    flags = {
+        NORMAL: f"""CASE WHEN {comment} OR {block_start} OR {doc_start} THEN {COMMENT}
+            WHEN {odd} THEN {STRING} ELSE {PLAIN} END""",
+        BLOCK: COMMENT,
+        DOCSTRING: COMMENT,
+        TEMPLATE: STRING,
+        BLOCK_IN_TEMPLATE: COMMENT,
+    }
+    parts = [f"({v}) * {1 << (_STATE_BITS * at)}" for at, v in next_states.items()]
+    parts += [f"({v}) * {1 << (_FLAG_SHIFT + _FLAG_BITS * at)}" for at, v in flags.items()]
+    # Most lines hold none of the markers: they keep every state.
+    quiet = sum(state << (_STATE_BITS * state) for state in range(5))
+    quiet += sum(
+        int(flags[at]) << (_FLAG_SHIFT + _FLAG_BITS * at) for at in flags if at != NORMAL
+    )
+    markers = text.contains_any("l", ("/*", "*/", "`", *DOC_QUOTES))
+    plain = f"{quiet} + if({comment}, {int(COMMENT) << _FLAG_SHIFT}, 0)"
+    return folds.let("s", text.trim_start("l"), f"if({markers}, {' + '.join(parts)}, {plain})")
 
 
-def line_flags(content: Column, lines: Column, language: Column) -> Column:
+def line_flags(content: str, lines: str, language: str) -> str:
     """Array of :data:`PLAIN`, :data:`COMMENT` or :data:`STRING`, one per line."""
-    is_python = language == "python"
-    has_regions = text.contains_any(content, ["/*", "`"]) | (
-        is_python & text.contains_any(content, DOC_QUOTES)
-    )
-    tables = F.transform(lines, lambda line: _transitions(line, is_python))
+    in_python = f"({language} = 'python' AND {text.contains_any(content, DOC_QUOTES)})"
+    has_regions = f"({text.contains_any(content, ('/*', '`'))} OR {in_python})"
     folded = folds.running_text(
-        tables,
-        F.lit(NORMAL),
-        lambda state, table: F.call_function("shiftright", table, state * _STATE_BITS).bitwiseAND(
-            F.lit((1 << _STATE_BITS) - 1)
+        f"transform({lines}, l -> {_transitions(language)})",
+        str(NORMAL),
+        lambda state, table: f"shiftright({table}, {state} * {_STATE_BITS}) & 7",
+        lambda state, table: (
+            f"CAST(shiftright({table}, {_FLAG_SHIFT} + {state} * {_FLAG_BITS}) & 3 AS STRING)"
         ),
-        lambda state, table: F.call_function(
-            "shiftright", table, state * _FLAG_BITS + _FLAG_SHIFT
-        )
-        .bitwiseAND(F.lit((1 << _FLAG_BITS) - 1))
-        .cast("string"),
-    )
-    alone = F.transform(
-        lines, lambda line: F.when(_line_comment(line), COMMENT).otherwise(PLAIN)
     )
-    return F.when(has_regions, F.split(folded, "")).otherwise(alone)
+    comment = text.starts_with(text.trim_start("l"), *LINE_COMMENTS)
+    alone = f"transform({lines}, l -> if({comment}, '{COMMENT}', '{PLAIN}'))"
+    return f"if({has_regions}, split({folded}, ''), {alone})"
 
 
-def no_flags(lines: Column) -> Column:
+def no_flags(lines: str) -> str:
     """Flags that suppress nothing, for rules run without context."""
-    return F.transform(lines, lambda _: F.lit(PLAIN))
+    return f"transform({lines}, l -> '{PLAIN}')"
 
 
 def with_lines(files: DataFrame, use_context: bool = True) -> DataFrame:
-    """Add ``language``, ``__lines`` and ``__flags`` to a (path, content) table."""
-    lined = files.withColumn("language", text.detect_language(F.col("path"))).withColumn(
-        "__lines", text.split_lines(F.col("content"))
+    """Add ``language``, ``lines`` and ``flags`` to a (path, content) table."""
+    lined = files.selectExpr(
+        "*",
+        f"{text.detect_language('path')} AS language",
+        f"{text.split_lines('content')} AS lines",
     )
-    lines = F.col("__lines")
-    flags = (
-        line_flags(F.col("content"), lines, F.col("language"))
-        if use_context
-        else no_flags(lines)
-    )
-    return lined.withColumn("__flags", flags)
+    flags = line_flags("content", "lines", "language") if use_context else no_flags("lines")
+    return lined.selectExpr("*", f"{flags} AS flags")
 
 
-def lines(files: DataFrame, keys: tuple[str, ...] = ("file_seq",)) -> DataFrame:
-    """One row per line, numbered from 1, without context."""
-    return files.select(
-        *keys, "path", F.posexplode(text.split_lines(F.col("content"))).alias("__pos", "text")
-    ).select(*keys, "path", (F.col("__pos") + 1).alias("line"), "text")
+def keyed(files: DataFrame, keys) -> DataFrame:
+    """``path``, ``content`` and the keys as one struct, out of the way of other names."""
+    key = F.struct(*keys) if keys else F.lit(None).cast("void")
+    return files.select(key.alias("key"), "path", "content")
 
 
-def _import_test(trimmed: Column) -> Column:
-    # How an import line starts, or what it contains.
-    starts = ("import ", "import(", "from ")
-    return _starts_with_any(trimmed, starts) | trimmed.contains("require(")
+def key_columns(keys) -> list[str]:
+    return [f"key.`{name}`" for name in keys]
+
+
+def lines(files: DataFrame, keys: tuple[str, ...] = ("file_seq",)) -> DataFrame:
+    """One row per line, numbered from 1, without context."""
+    return (
+        keyed(files, keys)
+        .selectExpr("key", "path", f"posexplode({text.split_lines('content')}) AS (pos, text)")
+        .selectExpr(*key_columns(keys), "path", "pos + 1 AS line", "text")
+    )
 
 
 def line_context(files: DataFrame, keys: tuple[str, ...] = ("file_seq",)) -> DataFrame:
     """One row per line with ``is_comment``, ``is_string``, ``is_import``, ``is_blank``."""
-    rows = with_lines(files).select(
-        *keys,
-        "path",
-        F.posexplode(
-            F.arrays_zip(F.col("__lines").alias("text"), F.col("__flags").alias("flag"))
-        ).alias("__pos", "__item"),
-    )
-    flag = F.col("__item.flag")
-    trimmed = text.trim(F.col("__item.text"))
-    is_comment = flag == COMMENT
-    is_blank = trimmed == ""
-    return rows.select(
-        *keys,
-        "path",
-        (F.col("__pos") + 1).alias("line"),
-        F.col("__item.text").alias("text"),
-        is_comment.alias("is_comment"),
-        (flag == STRING).alias("is_string"),
-        (~is_comment & ~is_blank & _import_test(trimmed)).alias("is_import"),
-        is_blank.alias("is_blank"),
+    # How an import line starts, or what it contains.
+    starts = text.starts_with("trimmed", "import ", "import(", "from ")
+    imports_something = f"({starts} OR contains(trimmed, 'require('))"
+    return (
+        with_lines(keyed(files, keys))
+        .selectExpr("key", "path", "posexplode(arrays_zip(lines, flags)) AS (pos, l)")
+        .selectExpr("*", f"{text.trim('l.lines')} AS trimmed")
+        .selectExpr(
+            *key_columns(keys),
+            "path",
+            "pos + 1 AS line",
+            "l.lines AS text",
+            f"l.flags = '{COMMENT}' AS is_comment",
+            f"l.flags = '{STRING}' AS is_string",
+            f"l.flags <> '{COMMENT}' AND trimmed <> '' AND {imports_something} AS is_import",
+            "trimmed = '' AS is_blank",
+        )
     )
 
 
@@ -187,104 +154,72 @@ def imports(files: DataFrame, keys: tuple[str, ...] = ("file_seq",)) -> DataFram
     plain_import = r"^import\s+(\w+)"
     plain_from = r"^from\s+(\w+)"
 
-    trimmed = text.trim(F.col("text"))
-    bare = ~trimmed.contains("from") & ~trimmed.contains("{")
+    def hit(pattern: str) -> str:
+        return f"nullif({text.extract('trimmed', pattern)}, '')"
 
-    def hit(pattern: str) -> Column:
-        return F.nullif(text.extract(trimmed, pattern), F.lit(""))
-
-    module = F.coalesce(
-        hit(quoted_from),
-        hit(required),
-        F.when(bare, hit(plain_import)),
-        hit(plain_from),
+    module = (
+        f"coalesce({hit(quoted_from)}, {hit(required)}, "
+        f"if(contains(trimmed, 'from') OR contains(trimmed, '{{'), NULL, {hit(plain_import)}), "
+        f"{hit(plain_from)})"
     )
     return (
         line_context(files, keys)
-        .where(F.col("is_import"))
-        .select(*keys, "path", "line", module.alias("module"))
-        .where(F.col("module").isNotNull())
+        .where("is_import")
+        .selectExpr("*", f"{text.trim('text')} AS trimmed")
+        .selectExpr(*keys, "path", "line", f"{module} AS module")
+        .where("module IS NOT NULL")
     )
 
 
 def import_module_counts(files: DataFrame) -> DataFrame:
     """How often each module is imported over the corpus."""
-    found = imports(files, keys=())
-    return found.groupBy("module").agg(F.count("*").alias("imports"))
+    return imports(files, keys=()).groupBy("module").agg(F.count("*").alias("imports"))
 
 
 def try_regions(files: DataFrame, keys: tuple[str, ...] = ("file_seq",)) -> DataFrame:
     """Start and end line of every outermost ``try`` region."""
-    files = with_lines(files.where(F.col("content").contains("try")))
-    code_lines = F.filter(
-        F.transform(
-            F.arrays_zip(F.col("__lines").alias("text"), F.col("__flags").alias("flag")),
-            lambda item, i: F.struct(
-                (i + 1).alias("line"),
-                item["text"].alias("text"),
-                text.trim(item["text"]).alias("trimmed"),
-                (item["flag"] == PLAIN).alias("plain"),
-            ),
-        ),
-        lambda item: item["trimmed"] != "",
-    )
-    files = files.withColumn("__code", code_lines)
-    code = F.col("__code")
-
+    code = f"""filter(transform(arrays_zip(lines, flags), (l, i) -> named_struct(
+        'line', i + 1, 'trimmed', {text.trim('l.lines')}, 'plain', l.flags = '{PLAIN}')),
+        l -> l.trimmed <> '')"""
     # A following line that starts with catch or finally keeps the region open,
     # whether or not that line is a comment's or a string's.
-    events = F.filter(
-        F.transform(
-            code,
-            lambda item, i: F.struct(
-                item["line"].alias("line"),
-                item["plain"].alias("plain"),
-                text.brace_delta(item["trimmed"]).alias("delta"),
-                (item["plain"] & text.matches(item["trimmed"], r"\btry\s*\{")).alias("opens"),
-                F.coalesce(
-                    text.matches(
-                        F.get(code, i + 1)["trimmed"], r"^(?:catch|finally)\b"
-                    ),
-                    F.lit(False),
-                ).alias("continues"),
-            ),
-        ),
-        lambda item: item["plain"],
-    )
-    files = files.withColumn("__events", events)
+    continues = text.matches("get(code, i + 1).trimmed", r"^(?:catch|finally)\b")
+    events = f"""filter(transform(code, (l, i) -> named_struct(
+        'line', l.line, 'plain', l.plain, 'delta', {text.brace_delta('l.trimmed')},
+        'opens', l.plain AND {text.matches('l.trimmed', r'\btry\s*\{')},
+        'continues', coalesce({continues}, false))), l -> l.plain)"""
 
-    def ends(state: Column, item: Column) -> Column:
+    def ends(state: str, item: str) -> str:
         return (
-            (state["start"] > 0)
-            & (state["depth"] + item["delta"] == 0)
-            & ~item["continues"]
+            f"({state}.start > 0 AND {state}.depth + {item}.delta = 0 AND NOT {item}.continues)"
         )
 
-    def step(state: Column, item: Column) -> Column:
-        begins = (state["start"] == 0) & item["opens"]
-        start = F.when(begins, item["line"]).when(ends(state, item), 0).otherwise(state["start"])
-        depth = F.when(begins, item["delta"]).otherwise(state["depth"] + item["delta"])
-        return F.struct(start.alias("start"), depth.alias("depth"))
-
-    def emit(state: Column, item: Column) -> Column:
-        closed = F.concat_ws(",", state["start"], item["line"])
-        return F.when(ends(state, item), F.concat(closed, F.lit(";"))).otherwise("")
-
-    def at_end(state: Column) -> Column:
-        still_open = F.concat_ws(",", state["start"], F.size("__lines"))
-        return F.when(state["start"] > 0, still_open).otherwise("")
+    def step(state: str, item: str) -> str:
+        begins = f"({state}.start = 0 AND {item}.opens)"
+        return folds.struct(
+            start=f"CASE WHEN {begins} THEN {item}.line WHEN {ends(state, item)} THEN 0 "
+            f"ELSE {state}.start END",
+            depth=f"if({begins}, {item}.delta, {state}.depth + {item}.delta)",
+        )
 
     regions = folds.running_pieces(
-        F.col("__events"),
-        F.struct(F.lit(0).alias("start"), F.lit(0).alias("depth")),
+        "events",
+        folds.struct(start="0", depth="0"),
         step,
-        emit,
-        at_end,
+        lambda state, item: (
+            f"if({ends(state, item)}, concat({state}.start, ',', {item}.line, ';'), '')"
+        ),
+        lambda state: f"if({state}.start > 0, concat({state}.start, ',', size(lines)), '')",
     )
-    span = F.split("__region", ",")
-    return files.select(*keys, "path", F.explode(regions).alias("__region")).select(
-        *keys,
-        "path",
-        F.get(span, F.lit(0)).cast("int").alias("start_line"),
-        F.get(span, F.lit(1)).cast("int").alias("end_line"),
+    return (
+        with_lines(keyed(files, keys).where("contains(content, 'try')"))
+        .selectExpr("key", "path", "lines", f"{code} AS code")
+        .selectExpr("key", "path", "lines", f"{events} AS events")
+        .selectExpr("key", "path", f"explode({regions}) AS region")
+        .selectExpr(
+            *key_columns(keys),
+            "path",
+            "CAST(split_part(region, ',', 1) AS INT) AS start_line",
+            "CAST(split_part(region, ',', 2) AS INT) AS end_line",
+        )
     )

@@ -9,10 +9,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import folds, text
+from .context import key_columns
 from .review import review
 
 # How parts of a unified diff begin.
@@ -29,189 +30,169 @@ STATUS_LINES = (
 NEW_PATH = "+++ b/"
 OLD_PATH = "--- a/"
 
-_LINE_KINDS = {"a": "add", "r": "remove", "c": "context"}
-_SKIPPED, _STOP = "s", "x"
+# What a hunk line is, by its first character: added, removed, context, skipped, end.
+_KIND = """CASE WHEN startswith(l, '+') THEN 'a' WHEN startswith(l, '-') THEN 'r'
+    WHEN startswith(l, ' ') OR l = '' THEN 'c' WHEN startswith(l, '\\\\') THEN 's' ELSE 'x' END"""
 
 
-def _last(values: Column) -> Column:
-    return F.try_element_at(values, F.lit(-1))
+def _rest(array: str) -> str:
+    """All but the first element."""
+    return f"slice({array}, 2, greatest(size({array}) - 1, 0))"
 
 
 def _file_parts(diffs: DataFrame, keys: Sequence[str]) -> DataFrame:
     """One row per file: header lines and the texts of its hunks."""
-    parts = F.filter(
-        F.split("raw", r"\n(?=diff --git)"), lambda part: part.startswith(FILE_START)
+    key = F.struct(*keys) if keys else F.lit(None).cast("void")
+    parts = (
+        f"filter(split(raw, '\\n(?={FILE_START})'), part -> startswith(part, '{FILE_START}'))"
     )
-    pieces = F.split("__part", r"\n(?=@@)")
     return (
-        diffs.select(*keys, F.posexplode(parts).alias("file_seq", "__part"))
-        .withColumn("__pieces", pieces)
-        .select(
-            *keys,
+        diffs.select(key.alias("key"), "raw")
+        .selectExpr("key", f"posexplode({parts}) AS (file_seq, part)")
+        .selectExpr("key", "file_seq", f"split(part, '\\n(?={HUNK_START})') AS pieces")
+        .selectExpr(
+            "key",
             "file_seq",
-            text.split_lines(F.get("__pieces", F.lit(0))).alias("__header"),
-            F.slice("__pieces", 2, F.greatest(F.size("__pieces") - 1, F.lit(0))).alias("__hunks"),
+            f"{text.split_lines('pieces[0]')} AS header",
+            f"{_rest('pieces')} AS hunks",
         )
     )
 
 
 def _with_names(parts: DataFrame) -> DataFrame:
     """Add ``path``, ``old_path`` and ``status``; later header lines win."""
-    head = F.get("__header", F.lit(0))
-    rest = F.slice("__header", 2, F.greatest(F.size("__header") - 1, F.lit(0)))
-    old, new = text.extract(head, FILE_HEADER, 1), text.extract(head, FILE_HEADER, 2)
-
-    def status_of(line: Column) -> Column:
-        value = F.lit(None).cast("string")
-        for start, status in reversed(STATUS_LINES):
-            value = F.when(line.startswith(start), status).otherwise(value)
-        return value
-
-    statuses = F.filter(F.transform(rest, status_of), lambda s: s.isNotNull())
-    status = F.coalesce(
-        _last(statuses), F.when(old != new, "renamed").otherwise("modified")
-    )
-    new_paths = F.filter(rest, lambda line: line.startswith(NEW_PATH))
-    # Lines that set the old path, and lines that take it away.
-    old_paths = F.filter(
-        rest, lambda line: line.startswith(OLD_PATH) | (status_of(line) == "added")
-    )
-    last_old = _last(old_paths)
-    old_path = (
-        F.when(status == "added", None)
-        .when(last_old.isNull(), F.nullif(old, F.lit("")))
-        .when(last_old.startswith(OLD_PATH), F.substr(last_old, F.lit(len(OLD_PATH) + 1)))
-    )
-    return parts.select(
-        "*",
-        F.coalesce(F.substr(_last(new_paths), F.lit(len(NEW_PATH) + 1)), new).alias("path"),
-        old_path.alias("old_path"),
-        status.alias("status"),
+    old = text.extract("header[0]", FILE_HEADER, 1)
+    new = text.extract("header[0]", FILE_HEADER, 2)
+    rest = _rest("header")
+    status_of = " ".join(
+        f"WHEN startswith(l, '{start}') THEN '{status}'" for start, status in STATUS_LINES
+    )
+    statuses = f"filter(transform({rest}, l -> CASE {status_of} END), s -> s IS NOT NULL)"
+    takes_old = " OR ".join(
+        f"startswith(l, '{start}')"
+        for start in (OLD_PATH, *(s for s, status in STATUS_LINES if status == "added"))
+    )
+    after = len(OLD_PATH) + 1
+    return (
+        parts.selectExpr(
+            "*",
+            f"{old} AS head_old",
+            f"{new} AS head_new",
+            f"try_element_at({statuses}, -1) AS set_status",
+            f"try_element_at(filter({rest}, l -> startswith(l, '{NEW_PATH}')), -1) AS set_new",
+            # Lines that set the old path, and lines that take it away.
+            f"try_element_at(filter({rest}, l -> {takes_old}), -1) AS set_old",
+        )
+        .selectExpr(
+            "*",
+            f"coalesce(substring(set_new, {len(NEW_PATH) + 1}), head_new) AS path",
+            "coalesce(set_status, if(head_old <> head_new, 'renamed', 'modified')) AS status",
+        )
+        .selectExpr(
+            "*",
+            f"""CASE WHEN status = 'added' THEN NULL
+                WHEN set_old IS NULL THEN nullif(head_old, '')
+                WHEN startswith(set_old, '{OLD_PATH}') THEN substring(set_old, {after})
+                END AS old_path""",
+        )
     )
 
 
 def diff_files(diffs: DataFrame, keys: Sequence[str] = ("diff_id",)) -> DataFrame:
     """Files of (keys, raw) diffs: path, old path and status."""
-    return _with_names(_file_parts(diffs, keys)).select(
-        *keys, "file_seq", "path", "old_path", "status"
+    return _with_names(_file_parts(diffs, keys)).selectExpr(
+        *key_columns(keys), "file_seq", "path", "old_path", "status"
     )
 
 
-def _number(head: Column, group: int, missing: int) -> Column:
+def _number(head: str, group: int, missing: int) -> str:
     digits = text.extract(head, HUNK_HEADER, group)
-    known = text.matches(head, HUNK_HEADER)
     return (
-        F.when(~known, 0)
-        .when(digits == "", missing)
-        .otherwise(digits.try_cast("bigint"))
-        .cast("bigint")
+        f"CASE WHEN NOT {text.matches(head, HUNK_HEADER)} THEN 0L "
+        f"WHEN {digits} = '' THEN {missing}L ELSE try_cast({digits} AS BIGINT) END"
     )
 
 
 def _hunk_rows(diffs: DataFrame, keys: Sequence[str]) -> DataFrame:
     return (
         _file_parts(diffs, keys)
-        .select(*keys, "file_seq", F.posexplode("__hunks").alias("hunk_seq", "__hunk"))
-        .withColumn("__lines", text.split_lines(F.col("__hunk")))
+        .selectExpr("key", "file_seq", "posexplode(hunks) AS (hunk_seq, hunk)")
+        .selectExpr("key", "file_seq", "hunk_seq", f"{text.split_lines('hunk')} AS lines")
     )
 
 
 def diff_hunks(diffs: DataFrame, keys: Sequence[str] = ("diff_id",)) -> DataFrame:
     """Hunks with their ranges; an unreadable header gives zeros."""
-    head = F.get("__lines", F.lit(0))
-    return _hunk_rows(diffs, keys).select(
-        *keys, "file_seq", "hunk_seq",
-        _number(head, 1, 0).alias("old_start"), _number(head, 2, 1).alias("old_count"),
-        _number(head, 3, 0).alias("new_start"), _number(head, 4, 1).alias("new_count"),
-    )
-
-
-def _kind(line: Column) -> Column:
-    return (
-        F.when(line.startswith("+"), "a")
-        .when(line.startswith("-"), "r")
-        .when(line.startswith(" ") | (line == ""), "c")
-        .when(line.startswith("\\"), _SKIPPED)
-        .otherwise(_STOP)
+    return _hunk_rows(diffs, keys).selectExpr(
+        *key_columns(keys), "file_seq", "hunk_seq",
+        f"{_number('lines[0]', 1, 0)} AS old_start", f"{_number('lines[0]', 2, 1)} AS old_count",
+        f"{_number('lines[0]', 3, 0)} AS new_start", f"{_number('lines[0]', 4, 1)} AS new_count",
     )
 
 
-def _body(lines: Column) -> Column:
+def _body(lines: str) -> str:
     """Lines of a hunk after its header, up to the first that is no hunk line."""
-    rest = F.slice(lines, 2, F.greatest(F.size(lines) - 1, F.lit(0)))
-
-    def cut(body: Column) -> Column:
-        stop = F.array_position(F.transform(body, _kind), _STOP).cast("int")
-        return F.when(stop > 0, F.slice(body, 1, stop - 1)).otherwise(body)
-
-    return folds.let(rest, cut)
+    stop = f"CAST(array_position(transform(body, l -> {_KIND}), 'x') AS INT)"
+    cut = folds.let("stop", stop, "if(stop > 0, slice(body, 1, stop - 1), body)")
+    return folds.let("body", _rest(lines), cut)
 
 
 def diff_lines(diffs: DataFrame, keys: Sequence[str] = ("diff_id",)) -> DataFrame:
     """Typed hunk lines with their line numbers on the old and the new side."""
-    head = F.get("__lines", F.lit(0))
-    hunks = (
-        _hunk_rows(diffs, keys)
-        .withColumn("__old", _number(head, 1, 0))
-        .withColumn("__new", _number(head, 3, 0))
-        .withColumn("__body", _body(F.col("__lines")))
-        .withColumn("__kinds", F.transform("__body", _kind))
-    )
-
-    def step(state: Column, kind: Column) -> Column:
-        return F.struct(
-            (state["old"] + kind.isin("r", "c").cast("bigint")).alias("old"),
-            (state["new"] + kind.isin("a", "c").cast("bigint")).alias("new"),
-            (state["seq"] + (kind != _SKIPPED).cast("int")).alias("seq"),
-        )
-
     numbers = folds.running_pieces(
-        F.col("__kinds"),
-        F.struct(F.col("__old").alias("old"), F.col("__new").alias("new"), F.lit(0).alias("seq")),
-        step,
-        lambda state, kind: F.concat(
-            F.concat_ws(",", state["old"], state["new"], state["seq"]), F.lit(";")
+        "kinds",
+        folds.struct(old="old_start", new="new_start", seq="0"),
+        lambda state, kind: folds.struct(
+            old=f"{state}.old + if({kind} IN ('r', 'c'), 1, 0)",
+            new=f"{state}.new + if({kind} IN ('a', 'c'), 1, 0)",
+            seq=f"{state}.seq + if({kind} = 's', 0, 1)",
         ),
+        lambda state, kind: f"concat_ws(',', {state}.old, {state}.new, {state}.seq) || ';'",
     )
-    items = F.arrays_zip(
-        F.col("__body").alias("line"), F.col("__kinds").alias("kind"), numbers.alias("numbers")
-    )
-    number = F.split("__item.numbers", ",").cast("array<bigint>")
-    kind, line = F.col("__item.kind"), F.col("__item.line")
-    type_name = F.when(kind == "a", "add").when(kind == "r", "remove").otherwise("context")
     return (
-        hunks.select(*keys, "file_seq", "hunk_seq", F.explode(items).alias("__item"))
-        .where(kind != _SKIPPED)
-        .select(
-            *keys, "file_seq", "hunk_seq",
-            F.get(number, F.lit(2)).cast("int").alias("line_seq"),
-            type_name.alias("type"),
-            F.substr(line, F.lit(2)).alias("content"),
-            F.when(kind != "a", F.get(number, F.lit(0))).alias("old_line"),
-            F.when(kind != "r", F.get(number, F.lit(1))).alias("new_line"),
+        _hunk_rows(diffs, keys)
+        .selectExpr(
+            "key", "file_seq", "hunk_seq",
+            f"{_number('lines[0]', 1, 0)} AS old_start",
+            f"{_number('lines[0]', 3, 0)} AS new_start",
+            f"{_body('lines')} AS body",
+        )
+        .selectExpr("*", f"transform(body, l -> {_KIND}) AS kinds")
+        .selectExpr("*", f"{numbers} AS numbers")
+        .selectExpr(
+            "key", "file_seq", "hunk_seq", "explode(arrays_zip(body, kinds, numbers)) AS item"
+        )
+        .where("item.kinds <> 's'")
+        .selectExpr(
+            "*",
+            "item.body AS line",
+            "item.kinds AS kind",
+            "CAST(split(item.numbers, ',') AS ARRAY<BIGINT>) AS number",
+        )
+        .selectExpr(
+            *key_columns(keys), "file_seq", "hunk_seq",
+            "CAST(number[2] AS INT) AS line_seq",
+            "CASE kind WHEN 'a' THEN 'add' WHEN 'r' THEN 'remove' ELSE 'context' END AS type",
+            "substring(line, 2) AS content",
+            "if(kind = 'a', NULL, number[0]) AS old_line",
+            "if(kind = 'r', NULL, number[1]) AS new_line",
         )
     )
 
 
-def _kept_lines(hunk: Column) -> Column:
-    """Added and context lines of a hunk, with their numbers in the new file.
+def _kept_lines() -> str:
+    """Added and context lines of ``hunk``, with their numbers in the new file.
 
     These are the lines that advance the new side, so the place among them is enough.
     """
-
-    def numbered(lines: Column) -> Column:
-        first = _number(F.get(lines, F.lit(0)), 3, 0)
-        kept = F.filter(_body(lines), lambda line: _kind(line).isin("a", "c"))
-        return F.transform(
-            kept,
-            lambda line, i: F.struct(
-                F.substr(line, F.lit(2)).alias("content"),
-                (first + i).alias("new_line"),
-                line.startswith("+").alias("is_added"),
-            ),
-        )
-
-    return folds.let(text.split_lines(hunk), numbered)
+    kept = f"filter({_body('hunk_lines')}, l -> {_KIND} IN ('a', 'c'))"
+    numbered = folds.struct(
+        content="substring(l, 2)", new_line="first + i", is_added="startswith(l, '+')"
+    )
+    lines = folds.let(
+        "first", _number("hunk_lines[0]", 3, 0), f"transform({kept}, (l, i) -> {numbered})"
+    )
+    return folds.let("hunk_lines", text.split_lines("hunk"), lines)
 
 
 def diff_review_files(
@@ -222,22 +203,19 @@ def diff_review_files(
     With ``with_line_info``, ``line_info`` holds each content line's ``new_line`` and
     ``is_added``.
     """
-    kept = F.flatten(F.transform("__hunks", _kept_lines))
-    files = (
+    info = "transform(kept, k -> named_struct('new_line', k.new_line, 'is_added', k.is_added))"
+    return (
         _with_names(_file_parts(diffs, keys))
-        .where(F.col("status") != "deleted")
-        .withColumn("__kept", kept)
-    )
-    columns = [
-        *keys, "file_seq", "path",
-        text.line_join(F.col("__kept.content")).alias("content"),
-    ]
-    if with_line_info:
-        info = F.arrays_zip(
-            F.col("__kept.new_line").alias("new_line"), F.col("__kept.is_added").alias("is_added")
+        .where("status <> 'deleted'")
+        .selectExpr(
+            "key", "file_seq", "path", f"flatten(transform(hunks, hunk -> {_kept_lines()})) AS kept"
         )
-        columns.append(info.alias("line_info"))
-    return files.select(*columns)
+        .selectExpr(
+            *key_columns(keys), "file_seq", "path",
+            f"{text.join_lines('kept.content')} AS content",
+            *([f"{info} AS line_info"] if with_line_info else []),
+        )
+    )
 
 
 def review_diffs(

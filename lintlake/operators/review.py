@@ -1,10 +1,10 @@
 """Review of a whole corpus: every rule over every file in one narrow pass.
 
-Scan -> lines and flags per file -> file rules on arrays -> explode lines -> drop lines no
-rule cares about -> line rules -> explode hits -> attach texts. No step needs a key, so
-there is no shuffle before a caller sorts or summarises, and no path, repository or source
-can be a hot key. Whatever is decided by catalog, language or path is decided before a
-file's content is touched.
+Scan -> lines and flags per file -> hits per file -> explode hits -> attach texts. Lines
+that no rule cares about are dropped while they are still array items, and only findings
+become rows. No step needs a key, so there is no shuffle before a caller sorts or
+summarises, and no path, repository or source can be a hot key. Whatever is decided by
+catalog, language or path is decided before a file's content is touched.
 """
 
 from __future__ import annotations
@@ -12,37 +12,34 @@ from __future__ import annotations
 import re
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text
-from ..rules import select_rules
+from ..functions.folds import let, struct
 from ..rules import fixed_values as fv
+from ..rules import select_rules
 from ..rules.model import (
+    FLAGS,
     HIT_TYPE,
+    LINES,
+    NUMBER,
     SKIP_CONTEXT,
     SKIP_NOTHING,
     SKIP_TEST_AND_CONFIG_PATHS,
     SKIP_TEST_PATHS,
-    File,
     FileRule,
-    Line,
     LineRule,
     Rule,
     hit,
 )
 from . import context
 
-FINDING_COLUMNS = (
-    "file", "line", "end_line", "rule", "category", "severity", "confidence",
-    "message", "snippet", "suggestion", "severity_rank", "rule_seq", "emit_seq",
-)
-
 _MASK_BITS = 62  # rules per bit mask
 
 
 class _Plan:
-    """Column expressions for one set of rules."""
+    """SQL expressions for one set of rules."""
 
     def __init__(
         self,
@@ -53,19 +50,17 @@ class _Plan:
     ):
         self.rules = rules
         self.order = order  # a rule's place before categories and severities are filtered
-        self.info_type = info_type  # of the line info that goes with each hit
         self.min_confidence = min_confidence
-        self.codes = {}
-        self.reports = []
-        for rule in rules:
-            for number, report in enumerate(rule.reports):
-                self.codes[rule.id, number] = len(self.reports)
-                self.reports.append((rule, report))
+        self.info_type = info_type  # of the line info that goes with each hit
+        self.reports = [(rule, report) for rule in rules for report in rule.reports]
+        self.first_code = {}
+        for code, (rule, _) in enumerate(self.reports):
+            self.first_code.setdefault(rule.id, code)
 
     # Which rules apply to a file, as bits.
 
-    def masks(self, path: Column, language: Column) -> list[Column]:
-        """Bits of the rules that can report something for a file."""
+    def masks(self) -> list[str]:
+        """Bits of the rules that can report something for a file, from its path alone."""
         masks = []
         for first in range(0, len(self.rules), _MASK_BITS):
             chunk = self.rules[first : first + _MASK_BITS]
@@ -74,20 +69,19 @@ class _Plan:
                 return sum(1 << i for i, rule in enumerate(chunk) if test(rule))
 
             mask = _per_language(
-                language, lambda name: bits(lambda rule: _speaks(rule, name) and self.wanted(rule))
+                "language",
+                lambda name: bits(lambda rule: _speaks(rule, name) and self.wanted(rule)),
             )
             tests = bits(
                 lambda rule: rule.skip_paths in (SKIP_TEST_PATHS, SKIP_TEST_AND_CONFIG_PATHS)
             )
             configs = bits(lambda rule: rule.skip_paths == SKIP_TEST_AND_CONFIG_PATHS)
-            if tests:
-                mask = F.when(
-                    text.is_test_path(path), mask.bitwiseAND(F.lit(~tests))
-                ).otherwise(mask)
-            if configs:
-                mask = F.when(
-                    text.is_config_path(path), mask.bitwiseAND(F.lit(~configs))
-                ).otherwise(mask)
+            for skipped, where in (
+                (tests, text.is_test_path("path")),
+                (configs, text.is_config_path("path")),
+            ):
+                if skipped:
+                    mask += f" & if({where}, {~skipped}L, -1L)"
             masks.append(mask)
         return masks
 
@@ -95,185 +89,155 @@ class _Plan:
         """False where every report of a rule is below the wanted confidence."""
         return any(report.confidence >= self.min_confidence for report in rule.reports)
 
-    def applies(self, rule: Rule) -> Column:
+    def applies(self, rule: Rule) -> str:
         chunk, bit = divmod(self.rules.index(rule), _MASK_BITS)
-        return F.col(f"__mask{chunk}").bitwiseAND(F.lit(1 << bit)) != 0
+        return f"mask{chunk} & {1 << bit}L <> 0"
 
-    # Hits of one line.
+    # Hits of lines.
 
     def line_rules(self) -> list[LineRule]:
         return [r for r in self.rules if isinstance(r, LineRule) and self.wanted(r)]
 
-    def gate(self, rule: LineRule, flag: Column) -> Column:
+    def gate(self, rule: LineRule) -> str:
         test = self.applies(rule)
         if rule.skip_lines == SKIP_CONTEXT:
-            test = test & (flag == context.PLAIN)
-        elif rule.skip_lines != SKIP_NOTHING:
-            test = test & (flag != context.STRING)
-        return test
-
-    def is_candidate(self, line: Line, flag: Column) -> Column:
-        test = F.lit(False)
-        for rule in self.line_rules():
-            test = test | (self.gate(rule, flag) & rule.candidate(line))
-        return test
-
-    def line_hits(self, line: Line, flag: Column, number: Column, info: Column) -> list[Column]:
-        """Nullable hit structs, one for each thing a line can be hit by."""
-        columns = []
+            return f"({test} AND l.flag = '{context.PLAIN}')"
+        if rule.skip_lines != SKIP_NOTHING:
+            return f"({test} AND l.flag <> '{context.STRING}')"
+        return f"({test})"
+
+    def candidate(self) -> str:
+        """Lines some rule may report, rules with the same mark tested together."""
+        groups: dict[str, list[LineRule]] = {}
         for rule in self.line_rules():
-            gate = self.gate(rule, flag) & rule.candidate(line)
-            first = None
-            for seq, test in enumerate(rule.tests(line)):
-                code = self.codes[rule.id, test.report]
-                seq = 0 if rule.first_only else seq
-                value = self.packed(
-                    hit(code, number, seq, arg1=test.arg1, arg2=test.arg2),
-                    rule.snippet(line),
-                    info,
-                )
-                if not rule.first_only:
-                    columns.append(F.when(gate & test.when, value))
-                elif first is None:
-                    first = F.when(test.when, value)
-                else:
-                    first = first.when(test.when, value)
-            if first is not None:
-                columns.append(F.when(gate, first))
-        return columns
-
-    # Hits of one file.
-
-    def file_rules(self) -> list[FileRule]:
-        return [r for r in self.rules if isinstance(r, FileRule) and self.wanted(r)]
+            groups.setdefault(rule.mark, []).append(rule)
+        return text.any_of(
+            f"({text.any_of(self.applies(rule) for rule in rules)} AND {mark} AND "
+            + text.any_of(f"({self.gate(rule)} AND ({rule.candidate}))" for rule in rules)
+            + ")"
+            for mark, rules in groups.items()
+        )
 
-    def file_hits(self, file: File, info: Column | None) -> Column:
-        """All file rules' hits of a file, codes made global and snippets attached."""
-        parts = [
-            F.when(
-                self.applies(rule) & rule.needs(file),
-                F.transform(rule.hits(file), self._globalize(rule, file, info)),
-            ).otherwise(self.nothing())
-            for rule in self.file_rules()
+    def tests(self, rule: LineRule) -> list[str]:
+        """Nullable hits of one rule on line ``l``."""
+        values = [
+            (
+                test.when,
+                self.packed(
+                    hit(
+                        self.first_code[rule.id] + test.report,
+                        NUMBER,
+                        "0" if rule.first_only else str(seq),
+                        arg1=test.arg1,
+                        arg2=test.arg2,
+                    ),
+                    rule.snippet,
+                    "l.info",
+                ),
+            )
+            for seq, test in enumerate(rule.tests)
         ]
-        return F.concat(*parts) if parts else self.nothing()
+        gate = f"{self.gate(rule)} AND ({rule.candidate})"
+        if rule.first_only:
+            cases = " ".join(f"WHEN {when} THEN {value}" for when, value in values)
+            return [f"CASE WHEN {gate} THEN CASE {cases} END END"]
+        return [f"CASE WHEN {gate} AND ({when}) THEN {value} END" for when, value in values]
+
+    def line_hits(self, line_info: str | None) -> str:
+        """Hits of all line rules over a file's lines."""
+        columns = [LINES, FLAGS, text.split_lines("lower(content)")]
+        fields = dict(text="z.lines", flag="z.flags", lower="z.`2`")
+        if line_info:
+            columns.append(line_info)
+            fields["info"] = f"z.{line_info}"
+        items = f"arrays_zip({', '.join(columns)})"
+        numbered = struct(number="i + 1", **fields)
+        found = f"filter(transform({items}, (z, i) -> {numbered}), l -> {self.candidate()})"
+        trimmed = struct(
+            trimmed=text.trim("l.text"), number=NUMBER, **{name: f"l.{name}" for name in fields}
+        )
+        tests = [test for rule in self.line_rules() for test in self.tests(rule)]
+        hits = let("l", trimmed, f"filter(array({', '.join(tests)}), h -> h IS NOT NULL)")
+        return f"flatten(transform({found}, l -> {hits}))"
 
-    def _globalize(self, rule: FileRule, file: File, info: Column | None):
-        base = self.codes[rule.id, 0]
+    # Hits of files.
 
-        def globalize(h):
-            moved = hit(
-                h["code"] + base, h["line"], h["seq"], h["end_line"], h["arg1"], h["arg2"]
-            )
-            snippet = (
-                F.get(file.lines, h["line"] - 1)
-                if rule.has_snippet
-                else F.lit(None).cast("string")
-            )
-            here = None if info is None else F.get(info, h["line"] - 1)
-            return self.packed(moved, snippet, here)
+    def file_rules(self) -> list[FileRule]:
+        return [r for r in self.rules if isinstance(r, FileRule) and self.wanted(r)]
 
-        return globalize
+    def file_hits(self, rule: FileRule, line_info: str | None) -> str:
+        """One file rule's hits, codes made global and snippets attached."""
+        moved = struct(
+            code=f"h.code + {self.first_code[rule.id]}",
+            **{f: f"h.{f}" for f in ("line", "end_line", "seq", "arg1", "arg2")},
+        )
+        snippet = f"get({LINES}, h.line - 1)" if rule.has_snippet else "CAST(NULL AS STRING)"
+        info = f"get({line_info}, h.line - 1)"
+        return (
+            f"if({self.applies(rule)} AND {rule.needs}, "
+            f"transform({rule.hits}, h -> {self.packed(moved, snippet, info)}), {self.nothing()})"
+        )
 
     # A hit with what its line adds to it.
 
-    def packed(self, value: Column, snippet: Column, info: Column | None) -> Column:
-        fields = [value.alias("hit"), snippet.alias("snippet")]
+    def packed(self, value: str, snippet: str, info: str) -> str:
+        fields = {"hit": value, "snippet": snippet}
         if self.info_type:
-            fields.append(info.alias("info"))
-        return F.struct(*fields)
+            fields["info"] = info
+        return struct(**fields)
 
-    def nothing(self) -> Column:
+    def nothing(self) -> str:
         info = f",info:{self.info_type}" if self.info_type else ""
-        return F.array().cast(f"array<struct<hit:{HIT_TYPE},snippet:string{info}>>")
+        return f"CAST(array() AS ARRAY<STRUCT<hit:{HIT_TYPE},snippet:string{info}>>)"
 
     # Findings from hits.
 
-    def texts(self) -> Column:
+    def texts(self) -> str:
         """Everything fixed about a report, indexed by the hit's code."""
         rows = []
         for rule, report in self.reports:
             severity = report.severity or rule.severity
-            m = _pieces(report.message)
-            s = _pieces(report.suggestion)
+            messages, suggestions = _pieces(report.message), _pieces(report.suggestion)
             rows.append(
-                F.struct(
-                    F.lit(rule.id).alias("rule"),
-                    F.lit(rule.category).alias("category"),
-                    F.lit(severity).alias("severity"),
-                    F.lit(fv.SEVERITIES.index(severity)).alias("severity_rank"),
-                    F.lit(report.confidence).alias("confidence"),
-                    F.lit(self.order[rule.id]).alias("rule_seq"),
-                    *[F.lit(v).cast("string").alias(f"m{i}") for i, v in enumerate(m)],
-                    *[F.lit(v).cast("string").alias(f"s{i}") for i, v in enumerate(s)],
-                    F.lit("{1}" in report.message).alias("m_arg1"),
-                    F.lit("{2}" in report.message).alias("m_arg2"),
-                    F.lit("{1}" in (report.suggestion or "")).alias("s_arg1"),
+                struct(
+                    rule=text.literal(rule.id),
+                    category=text.literal(rule.category),
+                    severity=text.literal(severity),
+                    severity_rank=str(fv.SEVERITIES.index(severity)),
+                    confidence=str(report.confidence),
+                    rule_seq=str(self.order[rule.id]),
+                    **{f"m{i}": text.literal(piece) for i, piece in enumerate(messages)},
+                    **{f"s{i}": text.literal(piece) for i, piece in enumerate(suggestions)},
                 )
             )
-        return F.array(*rows)
+        return f"array({', '.join(rows)})"
 
 
 def _pieces(template: str | None) -> list[str | None]:
-    """A text cut at ``{1}`` and ``{2}``, which come in this order."""
+    """A text cut at ``{1}`` and ``{2}``; a piece is NULL where nothing is inserted before it."""
     if template is None:
         return [None, None, None]
     pieces = re.split(r"\{[12]\}", template)
-    return pieces + [""] * (3 - len(pieces))
+    return pieces + [None] * (3 - len(pieces))
+
+
+def _filled(prefix: str) -> str:
+    """The pieces of a text with the hit's arguments between them."""
+    return (
+        f"concat({prefix}0, coalesce(concat(coalesce(h.hit.arg1, ''), {prefix}1), ''), "
+        f"coalesce(concat(coalesce(h.hit.arg2, ''), {prefix}2), ''))"
+    )
 
 
 def _speaks(rule: Rule, language: str) -> bool:
     return not rule.languages or language in rule.languages
 
 
-def _per_language(language: Column, value) -> Column:
+def _per_language(language: str, value) -> str:
     """``value(name)`` as a bigint for the file's language."""
     names = sorted(set(text.REVIEW_LANGUAGES.values()))
-    table = F.create_map(*[F.lit(v) for n in names for v in (n, value(n))]).cast(
-        "map<string,bigint>"
-    )
-    return F.coalesce(
-        F.try_element_at(table, language), F.lit(value(text.UNKNOWN)).cast("bigint")
-    )
-
-
-def _to_findings(hits: DataFrame, plan: _Plan, keys: Sequence[str]) -> DataFrame:
-    """Findings from ``path`` and ``__hit`` columns."""
-    report = F.element_at(plan.texts(), F.col("__hit.hit.code") + 1)
-    hits = hits.withColumn("__report", report)
-
-    def column(name: str) -> Column:
-        return F.col("__report." + name)
-
-    def arg(name: str, used: str) -> Column:
-        return F.when(column(used), F.coalesce(F.col("__hit.hit." + name), F.lit(""))).otherwise(
-            ""
-        )
-
-    message = F.concat(
-        column("m0"), arg("arg1", "m_arg1"), column("m1"), arg("arg2", "m_arg2"), column("m2")
-    )
-    suggestion = F.concat(column("s0"), arg("arg1", "s_arg1"), column("s1"), column("s2"))
-    found = hits.select(
-        *keys,
-        F.col("path").alias("file"),
-        F.col("__hit.hit.line").alias("line"),
-        F.col("__hit.hit.end_line").alias("end_line"),
-        column("rule").alias("rule"),
-        column("category").alias("category"),
-        column("severity").alias("severity"),
-        column("confidence").alias("confidence"),
-        message.alias("message"),
-        F.col("__hit.snippet").alias("snippet"),
-        suggestion.alias("suggestion"),
-        column("severity_rank").alias("severity_rank"),
-        column("rule_seq").alias("rule_seq"),
-        F.col("__hit.hit.seq").alias("emit_seq"),
-        *(["__hit.info.*"] if plan.info_type else []),
-    )
-    if plan.min_confidence > 0:
-        found = found.where(F.col("confidence") >= plan.min_confidence)
-    return found
+    table = ", ".join(f"'{name}', {value(name)}L" for name in names)
+    return f"coalesce(try_element_at(map({table}), {language}), {value(text.UNKNOWN)}L)"
 
 
 def review(
@@ -298,83 +262,57 @@ def review(
     order = {rule.id: seq for seq, rule in enumerate(select_rules(rules))}
     chosen = select_rules(rules, categories, severities)
     plan = _Plan(chosen, order, min_confidence, info_type)
-    infos = [line_info] if line_info else []
-    path, language = F.col("path"), text.detect_language(F.col("path"))
-
-    # Decided from the path alone, before content is read by any expression.
-    masks = plan.masks(path, language)
-    known = files.select(
-        *keys, *infos, "path", "content", *[m.alias(f"__mask{i}") for i, m in enumerate(masks)]
+    infos = [F.col(line_info).alias("info")] if line_info else []
+    info = "info" if line_info else None
+
+    # Decided from the path alone: files that no rule speaks to are dropped here.
+    key = F.struct(*keys) if keys else F.lit(None).cast("void")
+    masks = [f"{mask} AS mask{i}" for i, mask in enumerate(plan.masks())]
+    known = (
+        files.select(key.alias("key"), *infos, "path", "content")
+        .selectExpr("*", f"{text.detect_language('path')} AS language")
+        .selectExpr("*", *masks)
+        .where(" OR ".join(f"mask{i} <> 0" for i in range(len(masks))) or "false")
+        .drop("language")
     )
-    some_rule = F.lit(False)
-    for i in range(len(masks)):
-        some_rule = some_rule | (F.col(f"__mask{i}") != 0)
-    known = known.where(some_rule)
 
     lined = context.with_lines(known, use_context)
-    file = File(
-        content=F.col("content"),
-        lines=F.col("__lines"),
-        trimmed=F.col("__trimmed"),
-        flags=F.col("__flags"),
-        path=path,
-        language=F.col("language"),
-        shared={},
-    )
     file_rules = plan.file_rules()
     if file_rules:
-        needed = F.lit(False)
-        for rule in file_rules:
-            needed = needed | (plan.applies(rule) & rule.needs(file))
-        lined = lined.withColumn(
-            "__trimmed", F.when(needed, F.transform("__lines", text.trim))
+        needed = text.any_of(f"({plan.applies(r)} AND {r.needs})" for r in file_rules)
+        trimmed = f"transform({LINES}, l -> {text.trim('l')})"
+        lined = lined.selectExpr("*", f"if({needed}, {trimmed}, NULL) AS trimmed")
+    for name, value in {n: v for r in file_rules for n, v in r.shared}.items():
+        readers = [r for r in file_rules if name in dict(r.shared)]
+        needed = text.any_of(f"({plan.applies(r)} AND {r.needs})" for r in readers)
+        lined = lined.selectExpr("*", f"if({needed}, {value}, NULL) AS {name}")
+
+    parts = [plan.file_hits(rule, info) for rule in file_rules]
+    if plan.line_rules():
+        parts.append(plan.line_hits(info))
+    hits = f"concat({', '.join(parts)})" if parts else plan.nothing()
+    return (
+        lined.selectExpr("key", "path", f"explode({hits}) AS h")
+        .selectExpr("*", f"{plan.texts() if plan.reports else 'array()'}[h.hit.code] AS r")
+        .selectExpr(
+            *[f"key.`{name}`" for name in keys],
+            "path AS file",
+            "h.hit.line AS line",
+            "h.hit.end_line AS end_line",
+            "r.rule AS rule",
+            "r.category AS category",
+            "r.severity AS severity",
+            "r.confidence AS confidence",
+            f"{_filled('r.m')} AS message",
+            "h.snippet AS snippet",
+            f"{_filled('r.s')} AS suggestion",
+            "r.severity_rank AS severity_rank",
+            "r.rule_seq AS rule_seq",
+            "h.hit.seq AS emit_seq",
+            *(["h.info.*"] if info else []),
         )
-        for rule in file_rules:
-            for name, build in rule.shared:
-                if name not in file.shared:
-                    lined = lined.withColumn(f"__shared_{name}", build(file))
-                    file.shared[name] = F.col(f"__shared_{name}")
-    info = F.col(line_info) if line_info else None
-    lined = lined.withColumn("__file_hits", plan.file_hits(file, info))
-
-    # One row per line; a file's own hits travel with its first line.
-    rows = lined.select(
-        *keys,
-        "path",
-        "language",
-        "__file_hits",
-        *[f"__mask{i}" for i in range(len(masks))],
-        F.posexplode(
-            F.arrays_zip(
-                F.col("__lines").alias("text"),
-                F.col("__flags").alias("flag"),
-                text.split_lines(F.lower("content")).alias("lower"),
-                *[F.col(name).alias("info") for name in infos],
-            )
-        ).alias("__pos", "__item"),
-    )
-    raw = F.col("__item.text")
-    line = Line(
-        text=raw,
-        trimmed=F.col("__trimmed"),
-        lower=F.col("__item.lower"),
-        path=path,
-        language=F.col("language"),
-    )
-    flag = F.col("__item.flag")
-    carries_file_hits = (F.col("__pos") == 0) & (F.size("__file_hits") > 0)
-    rows = rows.where(carries_file_hits | plan.is_candidate(line, flag)).withColumn(
-        "__trimmed", text.trim(raw)
-    )
-    of_line = plan.line_hits(
-        line, flag, F.col("__pos") + 1, F.col("__item.info") if line_info else None
-    )
-    of_file = F.when(F.col("__pos") == 0, F.col("__file_hits")).otherwise(plan.nothing())
-    found = F.concat(F.array(*of_line), of_file) if of_line else of_file
-    hits = rows.select(*keys, "path", F.explode(found).alias("__hit")).where(
-        F.col("__hit").isNotNull()
+        .where(f"confidence >= {min_confidence}" if min_confidence > 0 else "true")
     )
-    return _to_findings(hits, plan, keys)
 
 
 def check_error_handling(files: DataFrame, **options) -> DataFrame:
@@ -386,10 +324,9 @@ def rules_applied(files: DataFrame, rules=None, categories=None, severities=None
     """Add ``rules_applied``: how many of the chosen rules speak the file's language."""
     chosen = select_rules(rules, categories, severities)
     count = _per_language(
-        text.detect_language(F.col("path")),
-        lambda name: sum(_speaks(rule, name) for rule in chosen),
+        text.detect_language("path"), lambda name: sum(_speaks(rule, name) for rule in chosen)
     )
-    return files.withColumn("rules_applied", count)
+    return files.selectExpr("*", f"{count} AS rules_applied")
 
 
 def sort_findings(findings: DataFrame, keys: Sequence[str] = ("file_seq",)) -> DataFrame:

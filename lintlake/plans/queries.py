@@ -37,19 +37,18 @@ def _scratch(spark: SparkSession, name: str) -> str:
 
 
 def language_counts(spark, sf_dir):
-    language = text.detect_language(F.col("path"))
-    files = corpus.files(spark, sf_dir).select(language.alias("language"))
+    files = corpus.files(spark, sf_dir).selectExpr(f"{text.detect_language('path')} AS language")
     return files.groupBy("language").agg(F.count("*").alias("files"))
 
 
 def language_full(spark, sf_dir):
-    language = text.detect_language_full(F.col("path"))
-    return corpus.files(spark, sf_dir).select("file_seq", "path", language.alias("language"))
+    language = text.detect_language_full("path")
+    return corpus.files(spark, sf_dir).selectExpr("file_seq", "path", f"{language} AS language")
 
 
 def file_types(spark, sf_dir):
-    file_type = text.detect_file_type(F.col("path"))
-    return corpus.files(spark, sf_dir).select("file_seq", "path", file_type.alias("file_type"))
+    file_type = text.detect_file_type("path")
+    return corpus.files(spark, sf_dir).selectExpr("file_seq", "path", f"{file_type} AS file_type")
 
 
 def findings_sorted(spark, sf_dir):
@@ -92,7 +91,7 @@ CUSTOM_RULES = (
         severity="low",
         languages=(),
         reports=(Report(50, "Line of {1} characters"),),
-        tests=lambda line: [Test(0, F.length(line.text) > 1000, F.length(line.text))],
+        tests=(Test(0, "length(l.text) > 1000", "length(l.text)"),),
     ),
     FileRule(
         id="DOC002",
@@ -101,10 +100,8 @@ CUSTOM_RULES = (
         severity="high",
         languages=(),
         reports=(Report(70, "File of {1} lines", "Split the file"),),
-        needs=lambda file: F.size(file.lines) > 40,
-        hits=lambda file: F.array(
-            hit(0, 1, end_line=F.size(file.lines), arg1=F.size(file.lines))
-        ),
+        needs="size(lines) > 40",
+        hits=f"array({hit(0, '1', end_line='size(lines)', arg1='size(lines)')})",
     ),
 )
 

@@ -5,7 +5,6 @@ from __future__ import annotations
 from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from . import fixed_values as fv
 from .file_rules import FILE_RULES
@@ -71,9 +70,8 @@ def rule_table(spark: SparkSession, rules=None) -> DataFrame:
 
 def list_rules(spark: SparkSession, rules=None) -> DataFrame:
     """The catalog for display: languages shortened to three and ``...``."""
-    languages = F.array_join(F.slice("languages", 1, 3), ", ")
-    more = F.when(F.size("languages") > 3, "...").otherwise("")
-    return rule_table(spark, rules).select(
+    shown = "array_join(slice(languages, 1, 3), ', ')"
+    return rule_table(spark, rules).selectExpr(
         "rule_seq", "id", "name", "category", "severity",
-        F.concat(languages, more).alias("languages"),
+        f"concat({shown}, if(size(languages) > 3, '...', '')) AS languages",
     )

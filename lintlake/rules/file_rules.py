@@ -6,424 +6,284 @@ with the number of lines, not with the distance between a construct's start and
 
 from __future__ import annotations
 
-from pyspark.sql import Column
-from pyspark.sql import functions as F
-
-from ..functions.folds import let
-from ..functions.text import brace_delta, extract, line_join, matches, spark_regex, trim
+from ..functions.folds import let, struct
+from ..functions.text import (
+    brace_delta,
+    contains,
+    extract,
+    join_lines,
+    literal,
+    matches,
+    spark_regex,
+    trim,
+)
 from . import fixed_values as fv
-from .model import File, hit, no_hits
+from .model import CONTENT, FLAGS, LINES, TRIMMED_LINES, hit, no_hits
 
-PLAIN_FLAG = "0"
+# One line inside the expressions below: ``l.lines``, ``l.trimmed``, ``l.flags``.
+ALL_LINES = f"arrays_zip({LINES}, {TRIMMED_LINES}, {FLAGS})"
+PLAIN = "l.flags = '0'"
 
 
-def _plain(flag: Column) -> Column:
-    return flag == PLAIN_FLAG
+def _each_line(**fields: str) -> str:
+    """An array of structs with ``line`` and the given fields for every line ``l``."""
+    return f"transform({ALL_LINES}, (l, i) -> {struct(line='i + 1', **fields)})"
 
 
-def _flagged(file: File, of_line) -> Column:
-    """``of_line(raw, trimmed, plain, number)`` for every line."""
-    items = F.arrays_zip(
-        file.lines.alias("text"), file.trimmed.alias("trimmed"), file.flags.alias("flag")
-    )
-    return F.transform(
-        items,
-        lambda item, i: of_line(item["text"], item["trimmed"], _plain(item["flag"]), i + 1),
-    )
+def _append_if(test: str, value: str, hits: str = "acc.hits") -> str:
+    return f"if({test}, array_append({hits}, {value}), {hits})"
 
 
-def _append_if(hits: Column, test: Column, value: Column) -> Column:
-    return F.when(test, F.array_append(hits, value)).otherwise(hits)
-
-
-def _catch_lines(file: File) -> Column:
-    """Per line: what it does inside a catch body, and which catch heads it is."""
-
-    def of_line(raw, trimmed, plain, number):
-        head = plain & trimmed.contains("catch")
-        closes = trimmed.startswith("}")
-        logs = matches(trimmed, fv.LOG_CALL)
-        idle = (trimmed == "") | trimmed.startswith("//")
-        return F.struct(
-            number.alias("line"),
-            closes.alias("closes"),
-            logs.alias("logs"),
-            (~closes & ~logs & ~idle).alias("works"),
-            (trimmed.startswith("throw") & matches(trimmed, fv.BARE_THROW)).alias("throws"),
-            ((trimmed == "}") | trimmed.startswith("} catch")).alias("ends_catch"),
-            (head & matches(trimmed, fv.CATCH_EMPTY)).alias("empty"),
-            (head & matches(trimmed, fv.CATCH_AT_END)).alias("at_end"),
-            (head & matches(trimmed, fv.CATCH_OPENS)).alias("opens"),
-            (head & matches(trimmed, fv.CATCH_GENERIC)).alias("generic"),
+# What each line does inside a catch body, and which catch heads it is.
+CATCH_LINES = _each_line(
+    closes="startswith(l.trimmed, '}')",
+    logs=matches("l.trimmed", fv.LOG_CALL),
+    idle="l.trimmed = '' OR startswith(l.trimmed, '//')",
+    throws=f"startswith(l.trimmed, 'throw') AND {matches('l.trimmed', fv.BARE_THROW)}",
+    ends_catch="l.trimmed = '}' OR startswith(l.trimmed, '} catch')",
+    **{
+        name: f"{PLAIN} AND contains(l.trimmed, 'catch') AND {matches('l.trimmed', pattern)}"
+        for name, pattern in (
+            ("empty", fv.CATCH_EMPTY),
+            ("at_end", fv.CATCH_AT_END),
+            ("opens", fv.CATCH_OPENS),
+            ("generic", fv.CATCH_GENERIC),
         )
+    },
+)
 
-    return _flagged(file, of_line)
 
+def _catch_rule(state: dict[str, str], hits: str) -> dict:
+    """Walk a file from its last line to its first.
 
-def _fold_back(file: File, initial: dict[str, Column], step, find) -> Column:
-    """Walk lines from last to first; ``find`` adds hits from what lies below a line."""
-    start = F.struct(*[v.alias(k) for k, v in initial.items()], no_hits().alias("hits"))
-    return F.aggregate(
-        F.reverse(file.shared["catch_lines"]),
-        start,
-        lambda acc, item: F.struct(
-            *[v.alias(k) for k, v in step(acc, item).items()],
-            find(acc, item).alias("hits"),
-        ),
-        lambda acc: acc["hits"],
-    )
-
-
-def empty_catch(file: File) -> Column:
-    false = F.lit(False)
-
-    def find(below, item):
-        hits = _append_if(below["hits"], item["empty"], hit(0, item["line"]))
-        return F.when(item["empty"], hits).otherwise(
-            _append_if(below["hits"], item["at_end"] & below["next_ends"], hit(1, item["line"]))
-        )
-
-    return _fold_back(
-        file,
-        {"next_ends": false},
-        lambda below, item: {"next_ends": item["ends_catch"]},
-        find,
+    ``state`` says what is known about the lines below a line, up to where its block
+    closes; ``hits`` uses it at a catch head. All state starts false.
+    """
+    start = struct(**dict.fromkeys(state, "false"), hits=no_hits())
+    step = struct(**state, hits=hits)
+    return dict(
+        needs=contains(CONTENT, "catch"),
+        shared=(("catch_lines", CATCH_LINES),),
+        hits=f"aggregate(reverse(catch_lines), {start}, (acc, l) -> {step}, acc -> acc.hits)",
     )
 
 
-def catch_only_logs(file: File) -> Column:
-    false = F.lit(False)
-
-    def step(below, item):
-        return {
-            "logs": ~item["closes"] & (below["logs"] | item["logs"]),
-            "works": ~item["closes"] & (below["works"] | item["works"]),
-        }
-
-    def find(below, item):
-        only_logs = item["opens"] & below["logs"] & ~below["works"]
-        return _append_if(below["hits"], only_logs, hit(0, item["line"]))
-
-    return _fold_back(file, {"logs": false, "works": false}, step, find)
-
-
-def catch_rethrow(file: File) -> Column:
-    false = F.lit(False)
-
-    def step(below, item):
-        return {"throws": ~item["closes"] & (below["throws"] | item["throws"])}
-
-    def find(below, item):
-        return _append_if(
-            below["hits"], item["generic"] & below["throws"], hit(0, item["line"])
-        )
-
-    return _fold_back(file, {"throws": false}, step, find)
-
-
-def has_catch(file: File) -> Column:
-    return file.content.contains("catch")
-
-
-def _when_catch(file: File) -> Column:
-    return F.when(has_catch(file), _catch_lines(file))
-
-
-CATCH = dict(needs=has_catch, shared=(("catch_lines", _when_catch),))
-
-
-def async_unhandled(file: File) -> Column:
+EMPTY_CATCH = _catch_rule(
+    {"next_ends": "l.ends_catch"},
+    f"""CASE WHEN l.empty THEN array_append(acc.hits, {hit(0, 'l.line')})
+        WHEN l.at_end AND acc.next_ends THEN array_append(acc.hits, {hit(1, 'l.line')})
+        ELSE acc.hits END""",
+)
+CATCH_ONLY_LOGS = _catch_rule(
+    {
+        "logs": "NOT l.closes AND (acc.logs OR l.logs)",
+        "works": "NOT l.closes AND (acc.works OR NOT (l.logs OR l.idle))",
+    },
+    _append_if("l.opens AND acc.logs AND NOT acc.works", hit(0, "l.line")),
+)
+CATCH_RETHROW = _catch_rule(
+    {"throws": "NOT l.closes AND (acc.throws OR l.throws)"},
+    _append_if("l.generic AND acc.throws", hit(0, "l.line")),
+)
+
+
+def _async_rule() -> dict:
     """Async functions whose body awaits and never tries.
 
     Heads wait in ``pending`` until the brace depth is back where they began; whether a
     body awaits or tries is then read from the last line that did.
     """
-    pending_type = "array<struct<line:int,base:int,opened:int>>"
-
-    def of_line(raw, trimmed, plain, number):
-        return F.struct(
-            number.alias("line"),
-            brace_delta(raw).alias("delta"),
-            raw.contains("{").alias("opens"),
-            (raw.contains("await") & matches(raw, fv.AWAIT)).alias("awaits"),
-            (raw.contains("try") & matches(raw, fv.TRY)).alias("tries"),
-            (plain & trimmed.contains("async") & matches(trimmed, fv.ASYNC_FUNCTION)).alias(
-                "head"
-            ),
-        )
+    lines = _each_line(
+        delta=brace_delta("l.lines"),
+        opens="contains(l.lines, '{')",
+        awaits=f"contains(l.lines, 'await') AND {matches('l.lines', fv.AWAIT)}",
+        tries=f"contains(l.lines, 'try') AND {matches('l.lines', fv.TRY)}",
+        head=f"{PLAIN} AND contains(l.trimmed, 'async') "
+        f"AND {matches('l.trimmed', fv.ASYNC_FUNCTION)}",
+    )
 
-    def unhandled(heads, last_await, last_try):
-        bad = F.filter(
-            heads,
-            lambda h: (h["opened"] > 0)
-            & (last_await >= h["opened"])
-            & (last_try < h["opened"]),
+    def unhandled(heads: str, state: str) -> str:
+        bad = (
+            f"h.opened > 0 AND {state}.last_await >= h.opened AND {state}.last_try < h.opened"
         )
-        return F.transform(bad, lambda h: hit(0, h["line"]))
+        return f"transform(filter({heads}, h -> {bad}), h -> {hit(0, 'h.line')})"
 
-    def advance(acc, item):
-        head = F.struct(
-            item["line"].alias("line"), acc["depth"].alias("base"), F.lit(0).alias("opened")
-        )
-        pending = F.when(item["head"], F.array_append(acc["pending"], head)).otherwise(
-            acc["pending"]
-        )
-        opened = F.when(
-            item["opens"],
-            F.transform(
-                pending,
-                lambda h: F.struct(
-                    h["line"].alias("line"),
-                    h["base"].alias("base"),
-                    F.when(h["opened"] > 0, h["opened"])
-                    .otherwise(item["line"])
-                    .alias("opened"),
-                ),
-            ),
-        ).otherwise(pending)
-        depth = acc["depth"] + item["delta"]
-        last_await = F.when(item["awaits"], item["line"]).otherwise(acc["last_await"])
-        last_try = F.when(item["tries"], item["line"]).otherwise(acc["last_try"])
-
-        def settle(heads):
-            def closed(h):
-                return (h["opened"] > 0) & (h["base"] == depth)
-
-            return F.struct(
-                depth.alias("depth"),
-                last_await.alias("last_await"),
-                last_try.alias("last_try"),
-                F.filter(heads, lambda h: ~closed(h)).alias("pending"),
-                F.concat(
-                    acc["hits"], unhandled(F.filter(heads, closed), last_await, last_try)
-                ).alias("hits"),
-            )
-
-        quiet = F.struct(
-            depth.alias("depth"),
-            last_await.alias("last_await"),
-            last_try.alias("last_try"),
-            acc["pending"].alias("pending"),
-            acc["hits"].alias("hits"),
-        )
-        waiting = item["head"] | (F.size(acc["pending"]) > 0)
-        return F.when(waiting, let(opened, settle)).otherwise(quiet)
-
-    return F.aggregate(
-        _flagged(file, of_line),
-        F.struct(
-            F.lit(0).alias("depth"),
-            F.lit(0).alias("last_await"),
-            F.lit(0).alias("last_try"),
-            F.array().cast(pending_type).alias("pending"),
-            no_hits().alias("hits"),
-        ),
-        advance,
-        lambda acc: F.concat(
-            acc["hits"], unhandled(acc["pending"], acc["last_await"], acc["last_try"])
-        ),
+    counts = dict(
+        depth="acc.depth + l.delta",
+        last_await="if(l.awaits, l.line, acc.last_await)",
+        last_try="if(l.tries, l.line, acc.last_try)",
     )
-
-
-def has_async(file: File) -> Column:
-    return (
-        file.content.contains("async")
-        & file.content.contains("await")
-        & file.content.contains("{")
+    new_head = struct(line="l.line", base="acc.depth", opened="0")
+    waiting = f"if(l.head, array_append(acc.pending, {new_head}), acc.pending)"
+    first_open = struct(line="h.line", base="h.base", opened="if(h.opened > 0, h.opened, l.line)")
+    opened = f"if(l.opens, transform({waiting}, h -> {first_open}), {waiting})"
+    closed = "h.opened > 0 AND h.base = now.depth"
+    settled = struct(
+        depth="now.depth",
+        last_await="now.last_await",
+        last_try="now.last_try",
+        pending=f"filter(now.pending, h -> NOT ({closed}))",
+        hits=f"concat(acc.hits, {unhandled(f'filter(now.pending, h -> {closed})', 'now')})",
+    )
+    quiet = struct(**counts, pending="acc.pending", hits="acc.hits")
+    step = (
+        f"if(l.head OR size(acc.pending) > 0, "
+        f"{let('now', struct(**counts, pending=opened), settled)}, {quiet})"
+    )
+    start = struct(
+        depth="0",
+        last_await="0",
+        last_try="0",
+        pending="CAST(array() AS ARRAY<STRUCT<line:INT,base:INT,opened:INT>>)",
+        hits=no_hits(),
+    )
+    finish = f"concat(acc.hits, {unhandled('acc.pending', 'acc')})"
+    return dict(
+        needs=f"contains({CONTENT}, 'async') AND contains({CONTENT}, 'await') "
+        f"AND contains({CONTENT}, '{{')",
+        hits=f"aggregate({lines}, {start}, (acc, l) -> {step}, acc -> {finish})",
     )
 
 
-def starts_function(trimmed: Column) -> Column:
+def starts_function(trimmed: str) -> str:
     """A line that begins a function, by keyword, by assignment or as a method.
 
     The method form is checked in two steps, the head and then the words before the
     method's name, so that no pattern repeats a group over long runs of words.
     """
-
-    def method(head):
-        before_name = F.regexp_replace(head, spark_regex(r"(?<!\w)\w++\s*+\z"), "")
-        rest = F.regexp_replace(before_name, spark_regex(fv.METHOD_MODIFIER), "")
-        return matches(head, r"\w") & (
-            (rest == "") | ((rest == "async") & matches(before_name, r"async\s+\z"))
-        )
-
+    last_word = literal(spark_regex(r"(?<!\w)\w++\s*+\z"))
+    modifiers = literal(spark_regex(fv.METHOD_MODIFIER))
+    method = let(
+        "head",
+        extract(trimmed, fv.METHOD_HEAD),
+        f"{matches('head', r'\w')} AND "
+        + let(
+            "before",
+            f"regexp_replace(head, {last_word}, '')",
+            let(
+                "rest",
+                f"regexp_replace(before, {modifiers}, '')",
+                f"rest = '' OR (rest = 'async' AND {matches('before', r'async\s+\z')})",
+            ),
+        ),
+    )
     return (
-        matches(trimmed, fv.FUNCTION_KEYWORD)
-        | matches(trimmed, fv.FUNCTION_VARIABLE)
-        | matches(trimmed, fv.PY_FUNCTION)
-        | (trimmed.contains("(") & let(extract(trimmed, fv.METHOD_HEAD), method))
+        f"({matches(trimmed, fv.FUNCTION_KEYWORD)} OR {matches(trimmed, fv.FUNCTION_VARIABLE)} "
+        f"OR {matches(trimmed, fv.PY_FUNCTION)} OR (contains({trimmed}, '(') AND {method}))"
     )
 
 
-def function_name(trimmed: Column) -> Column:
-    def found(pattern):
-        return F.nullif(extract(trimmed, pattern), F.lit(""))
+def function_name(trimmed: str) -> str:
+    def found(pattern: str) -> str:
+        return f"nullif({extract(trimmed, pattern)}, '')"
 
-    return F.coalesce(found(fv.NAMED_FUNCTION), found(fv.NAME_BEFORE), F.lit(fv.ANONYMOUS))
+    return f"coalesce({found(fv.NAMED_FUNCTION)}, {found(fv.NAME_BEFORE)}, '{fv.ANONYMOUS}')"
 
 
-def long_function(file: File) -> Column:
-    def of_line(raw, trimmed, plain, number):
-        return F.struct(
-            number.alias("line"), trimmed.alias("trimmed"), brace_delta(raw).alias("delta")
-        )
-
-    def advance(acc, item):
-        outside = acc["start"] == 0
-        start = (
-            F.when(~outside, acc["start"])
-            .when(starts_function(item["trimmed"]), item["line"])
-            .otherwise(0)
-        )
-        depth = F.when(outside, item["delta"]).otherwise(acc["depth"] + item["delta"])
-
-        def settle(start):
-            length = item["line"] - start + 1
-            ends = (start > 0) & (item["line"] > start) & (depth <= 0)
-            found = hit(
-                0,
-                start,
-                end_line=item["line"],
-                arg1=function_name(F.get(file.trimmed, start - 1)),
-                arg2=length,
-            )
-            return F.struct(
-                F.when(ends, 0).otherwise(start).alias("start"),
-                depth.alias("depth"),
-                _append_if(acc["hits"], ends & (length > fv.MAX_FUNCTION_LINES), found).alias(
-                    "hits"
-                ),
-            )
-
-        return let(start, settle)
-
-    return F.aggregate(
-        _flagged(file, of_line),
-        F.struct(F.lit(0).alias("start"), F.lit(0).alias("depth"), no_hits().alias("hits")),
-        advance,
-        lambda acc: acc["hits"],
+def _long_function_rule() -> dict:
+    lines = _each_line(trimmed="l.trimmed", delta=brace_delta("l.lines"))
+    start = (
+        f"CASE WHEN acc.start > 0 THEN acc.start "
+        f"WHEN {starts_function('l.trimmed')} THEN l.line ELSE 0 END"
     )
-
-
-def has_long_function(file: File) -> Column:
-    return F.size(file.lines) > fv.MAX_FUNCTION_LINES
-
-
-def unused_imports(file: File) -> Column:
-    def of_line(raw, trimmed, plain, number):
-        return F.struct(
-            number.alias("line"), trimmed.alias("trimmed"), plain.alias("plain")
-        )
-
-    def is_named_import(item):
-        t = item["trimmed"]
-        skipped = (
-            matches(t, fv.TYPE_IMPORT) | matches(t, fv.STAR_IMPORT) | matches(t, fv.BARE_IMPORT)
-        )
-        return (
-            item["plain"] & t.startswith("import") & matches(t, fv.NAMED_IMPORT) & ~skipped
-        )
-
-    def local_name(part):
-        pieces = F.split(trim(part), spark_regex(fv.IMPORT_ALIAS))
-        return trim(F.coalesce(F.get(pieces, F.lit(1)), F.get(pieces, F.lit(0))))
-
-    def names_of(item):
-        names = F.filter(
-            F.transform(F.split(extract(item["trimmed"], fv.NAMED_IMPORT), ","), local_name),
-            lambda name: name != "",
-        )
-        return F.transform(
-            names,
-            lambda name, i: F.struct(
-                item["line"].alias("line"), i.alias("seq"), name.alias("name")
-            ),
-        )
-
-    def is_used(code, name):
-        """For names that are not plain words; a boundary needs a word on one side only."""
-        quoted = F.concat(
-            F.lit("\\Q"), F.replace(name, F.lit("\\E"), F.lit("\\E\\\\E\\Q")), F.lit("\\E")
-        )
-        before = F.when(name.rlike(r"^\w"), r"(?<!\w)").otherwise(r"(?<=\w)")
-        after = F.when(name.rlike(r"\w\z"), r"(?!\w)").otherwise(r"(?=\w)")
-        return F.rlike(code, F.concat(before, quoted, after))
-
-    def find(names, code):
-        unused_words = F.array_except(
-            F.transform(names, lambda n: n["name"]), F.regexp_extract_all(code, F.lit(r"(\w+)"))
-        )
-        unused = F.filter(
-            names,
-            lambda n: F.when(
-                n["name"].rlike(r"^\w+\z"), F.array_contains(unused_words, n["name"])
-            ).otherwise(~is_used(code, n["name"])),
-        )
-        return F.transform(unused, lambda n: hit(0, n["line"], n["seq"], arg1=n["name"]))
-
-    names = F.flatten(
-        F.transform(F.filter(_flagged(file, of_line), is_named_import), names_of)
+    depth = "if(acc.start > 0, acc.depth + l.delta, l.delta)"
+    ends = "(now.start > 0 AND l.line > now.start AND now.depth <= 0)"
+    length = "(l.line - now.start + 1)"
+    found = hit(
+        0,
+        "now.start",
+        end_line="l.line",
+        arg1=function_name(f"{TRIMMED_LINES}[now.start - 1]"),
+        arg2=length,
     )
-    code = line_join(F.filter(file.trimmed, lambda t: ~t.startswith("import ")))
-    return let(
-        names,
-        lambda found: F.when(
-            F.size(found) > 0, let(code, lambda text: find(found, text))
-        ).otherwise(no_hits()),
+    settled = struct(
+        start=f"if({ends}, 0, now.start)",
+        depth="now.depth",
+        hits=_append_if(f"{ends} AND {length} > {fv.MAX_FUNCTION_LINES}", found),
+    )
+    step = let("now", struct(start=start, depth=depth), settled)
+    initial = struct(start="0", depth="0", hits=no_hits())
+    return dict(
+        needs=f"size({LINES}) > {fv.MAX_FUNCTION_LINES}",
+        has_snippet=False,
+        hits=f"aggregate({lines}, {initial}, (acc, l) -> {step}, acc -> acc.hits)",
     )
 
 
-def has_named_import(file: File) -> Column:
-    return file.content.rlike(r"import[^\n]*\{")
-
+def _unused_import_rule() -> dict:
+    skipped = " OR ".join(
+        matches("l.trimmed", p) for p in (fv.TYPE_IMPORT, fv.STAR_IMPORT, fv.BARE_IMPORT)
+    )
+    named = (
+        f"l.plain AND startswith(l.trimmed, 'import') "
+        f"AND {matches('l.trimmed', fv.NAMED_IMPORT)} AND NOT ({skipped})"
+    )
+    # The name after ``as`` where there is one.
+    pieces = f"split({trim('part')}, {literal(spark_regex(fv.IMPORT_ALIAS))})"
+    local = trim(f"coalesce(get({pieces}, 1), get({pieces}, 0))")
+    listed = f"split({extract('l.trimmed', fv.NAMED_IMPORT)}, ',')"
+    names = (
+        f"flatten(transform(filter({_each_line(trimmed='l.trimmed', plain=PLAIN)}, "
+        f"l -> {named}), l -> transform(filter(transform({listed}, part -> {local}), "
+        f"name -> name <> ''), (name, i) -> {struct(line='l.line', seq='i', name='name')})))"
+    )
+    rest = join_lines(f"filter({TRIMMED_LINES}, l -> NOT startswith(l, 'import '))")
+
+    # Plain words are looked up among the words of the code. For other names a word
+    # boundary needs a word on exactly one side of the name's first and last character.
+    quoted = r"concat('\\Q', replace(n.name, '\\E', '\\E\\\\E\\Q'), '\\E')"
+    before = r"if(rlike(n.name, '^\\w'), '(?<!\\w)', '(?<=\\w)')"
+    after = r"if(rlike(n.name, '\\w\\z'), '(?!\\w)', '(?=\\w)')"
+    is_unused = (
+        r"if(rlike(n.name, '^\\w+\\z'), array_contains(words, n.name), "
+        f"NOT rlike(code, concat({before}, {quoted}, {after})))"
+    )
+    unused_words = (
+        r"array_except(transform(names, n -> n.name), regexp_extract_all(code, '(\\w+)'))"
+    )
+    unused = let("words", unused_words, f"filter(names, n -> {is_unused})")
+    found = f"transform({unused}, n -> {hit(0, 'n.line', 'n.seq', arg1='n.name')})"
+    return dict(
+        needs=f"rlike({CONTENT}, 'import[^\\n]*\\\\{{')",
+        hits=let(
+            "names", names, f"if(size(names) > 0, {let('code', rest, found)}, {no_hits()})"
+        ),
+    )
 
-def duplicate_conditions(file: File) -> Column:
-    def of_line(raw, trimmed, plain, number):
-        may_test = plain & (trimmed.startswith("if") | trimmed.contains("else"))
-        is_if = may_test & matches(trimmed, fv.IF_LINE)
-        is_else_if = may_test & ~is_if & matches(trimmed, fv.ELSE_IF_LINE)
-        return F.struct(
-            number.alias("line"),
-            F.when(is_if, trim(extract(trimmed, fv.IF_LINE))).alias("if_condition"),
-            F.when(is_else_if, trim(extract(trimmed, fv.ELSE_IF_LINE))).alias("else_condition"),
-        )
 
-    def advance(acc, item):
-        is_if = item["if_condition"].isNotNull()
-        same = F.coalesce(item["else_condition"] == acc["condition"], F.lit(False))
-        found = hit(0, item["line"], arg1=acc["condition"], arg2=acc["line"])
-        return F.struct(
-            F.coalesce(item["if_condition"], acc["condition"]).alias("condition"),
-            F.when(is_if, item["line"]).otherwise(acc["line"]).alias("line"),
-            _append_if(acc["hits"], same, found).alias("hits"),
-        )
+def _duplicate_condition_rule() -> dict:
+    def condition(pattern: str) -> str:
+        matched = f"{PLAIN} AND {matches('l.trimmed', pattern)}"
+        return f"if({matched}, {trim(extract('l.trimmed', pattern))}, NULL)"
 
-    return F.aggregate(
-        F.filter(
-            _flagged(file, of_line),
-            lambda item: item["if_condition"].isNotNull() | item["else_condition"].isNotNull(),
-        ),
-        F.struct(
-            F.lit(None).cast("string").alias("condition"),
-            F.lit(0).alias("line"),
-            no_hits().alias("hits"),
+    lines = _each_line(
+        if_condition=f"if(startswith(l.trimmed, 'if'), {condition(fv.IF_LINE)}, NULL)",
+        else_condition=f"if(contains(l.trimmed, 'else'), {condition(fv.ELSE_IF_LINE)}, NULL)",
+    )
+    step = struct(
+        condition="coalesce(l.if_condition, acc.condition)",
+        line="if(l.if_condition IS NULL, acc.line, l.line)",
+        hits=_append_if(
+            "l.if_condition IS NULL AND coalesce(l.else_condition = acc.condition, false)",
+            hit(0, "l.line", arg1="acc.condition", arg2="acc.line"),
         ),
-        advance,
-        lambda acc: acc["hits"],
     )
-
-
-def has_else_if(file: File) -> Column:
-    return file.content.contains("else") & file.content.contains("if")
+    start = struct(condition="CAST(NULL AS STRING)", line="0", hits=no_hits())
+    with_condition = "l.if_condition IS NOT NULL OR l.else_condition IS NOT NULL"
+    return dict(
+        needs=f"contains({CONTENT}, 'else') AND contains({CONTENT}, 'if')",
+        hits=f"aggregate(filter({lines}, l -> {with_condition}), {start}, "
+        f"(acc, l) -> {step}, acc -> acc.hits)",
+    )
 
 
 # rule -> how it is run; metadata and texts come from the fixed values.
 FILE_RULES = {
-    "ERR001": dict(hits=empty_catch, **CATCH),
-    "ERR002": dict(hits=catch_only_logs, **CATCH),
-    "ERR004": dict(hits=catch_rethrow, **CATCH),
-    "ERR005": dict(hits=async_unhandled, needs=has_async),
-    "QA005": dict(hits=long_function, needs=has_long_function, has_snippet=False),
-    "QA006": dict(hits=unused_imports, needs=has_named_import),
-    "QA007": dict(hits=duplicate_conditions, needs=has_else_if),
+    "ERR001": EMPTY_CATCH,
+    "ERR002": CATCH_ONLY_LOGS,
+    "ERR004": CATCH_RETHROW,
+    "ERR005": _async_rule(),
+    "QA005": _long_function_rule(),
+    "QA006": _unused_import_rule(),
+    "QA007": _duplicate_condition_rule(),
 }

@@ -2,245 +2,221 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
-
-from ..functions.text import contains_any, extract, matches, trim
+from ..functions.text import (
+    contains,
+    contains_any,
+    extract,
+    matches,
+    one_of,
+    starts_with,
+    trim,
+)
 from . import fixed_values as fv
 from .model import (
+    LOWER,
     SKIP_STRINGS,
     SKIP_TEST_AND_CONFIG_PATHS,
     SKIP_TEST_PATHS,
-    Line,
+    TEXT,
+    TRIMMED,
     Test,
 )
 
+# Marks that many candidates share.
+CALLS = contains(TEXT, "(")
+QUOTES = contains_any(TEXT, ("'", '"', "`"))
 
-def _has(*needles):
-    """Candidate: the line contains one of the texts."""
-    return lambda line: contains_any(line.text, needles)
-
-
-def _has_lower(*needles):
-    """Candidate: the line contains one of the texts, in any case."""
-    return lambda line: contains_any(line.lower, needles)
-
-
-def promise_no_catch(line: Line):
-    t = line.trimmed
-    return [
-        Test(
-            0,
-            t.contains(".then(")
-            & ~t.contains(".catch(")
-            & ~t.startswith("await ")
-            & ~t.startswith("return ")
-            & matches(t, fv.CALL_AT_END),
-        )
-    ]
-
-
-def optional_chain(line: Line):
-    return [Test(0, line.trimmed.contains("?.") & matches(line.trimmed, fv.AUTH_WORD))]
-
-
-def eval_usage(line: Line):
-    t = line.trimmed
-    return [
-        Test(0, t.contains("eval") & matches(t, fv.EVAL_CALL)),
-        Test(1, t.contains("Function") & matches(t, fv.NEW_FUNCTION)),
-    ]
-
-
-def inner_html(line: Line):
-    t = line.trimmed
-    return [
-        Test(0, t.contains(".innerHTML") & matches(t, fv.INNER_HTML)),
-        Test(1, t.contains("dangerouslySetInnerHTML")),
-    ]
 
+def _text_has(*needles: str) -> str:
+    return contains_any(TEXT, needles)
 
-def hardcoded_secrets(line: Line):
-    return [
-        Test(0, matches(line.trimmed, pattern), F.lit(name)) for name, pattern in fv.SECRETS
-    ]
 
+def _lower_has(*needles: str) -> str:
+    return contains_any(LOWER, needles)
 
-def short_snippet(line: Line):
-    return F.when(
-        F.length(line.text) > 80, F.concat(F.substring(line.text, 1, 80), F.lit("..."))
-    ).otherwise(line.text)
 
-
-def sql_injection(line: Line):
-    t = line.trimmed
-    return [
-        Test(0, t.contains("${") & matches(t, fv.SQL_TEMPLATE)),
-        Test(1, t.contains("+") & matches(t, fv.SQL_CONCAT)),
-        Test(2, t.contains("{") & matches(t, fv.SQL_FSTRING)),
-    ]
-
-
-def command_injection(line: Line):
-    t = line.trimmed
-    return [
-        Test(0, t.contains("`") & matches(t, fv.SHELL_EXEC)),
-        Test(1, matches(t, fv.PY_SYSTEM) | matches(t, fv.PY_SUBPROCESS)),
-    ]
-
-
-def unsafe_deserialization(line: Line):
-    t = line.trimmed
-    return [
-        Test(0, matches(t, fv.YAML_LOAD) & ~matches(t, fv.YAML_SAFE_LOAD)),
-        Test(1, matches(t, fv.PICKLE_LOAD)),
-    ]
-
-
-def console_left(line: Line):
-    t = line.trimmed
-    return [Test(0, matches(t, fv.CONSOLE_CALL) & ~t.contains("eslint-disable"))]
+def _secrets() -> tuple[Test, ...]:
+    return tuple(
+        Test(0, matches(TRIMMED, pattern), f"'{name}'") for name, pattern in fv.SECRETS
+    )
 
 
-def tag_comment(line: Line):
+def _tag_tests() -> tuple[Test, ...]:
     # Report 0 carries the rule's own severity, report 1 the raised one.
-    tag = F.upper(extract(line.text, fv.TAG, 1))
-    found = F.substring(trim(extract(line.text, fv.TAG, 2)), 1, 80)
-    said = F.when(found != "", F.concat(F.lit(": "), found)).otherwise("")
-    return [
-        Test(1, tag.isin(*fv.MEDIUM_TAGS), tag, said),
-        Test(0, tag != "", tag, said),
-    ]
-
-
-def magic_numbers(line: Line):
-    number = extract(line.trimmed, fv.MAGIC_NUMBER)
-    declared = matches(line.text, fv.DECLARATION) | matches(line.text, fv.RETURN)
-    return [Test(0, ~declared & (number != ""), number)]
-
-
-def deep_nesting(line: Line):
-    indent = extract(line.text, fv.INDENT)
-    tabs = F.length(indent) - F.length(F.replace(indent, F.lit("\t"), F.lit("")))
-    depth = F.when(indent.contains("\t"), tabs).otherwise(
-        F.floor(F.length(indent) / 2).cast("int")
+    tag = f"upper({extract(TEXT, fv.TAG, 1)})"
+    found = f"substring({trim(extract(TEXT, fv.TAG, 2))}, 1, 80)"
+    said = f"if({found} <> '', concat(': ', {found}), '')"
+    return (
+        Test(1, one_of(tag, fv.MEDIUM_TAGS), tag, said),
+        Test(0, f"{tag} <> ''", tag, said),
     )
-    return [
-        Test(
-            0,
-            (depth > fv.MAX_DEPTH) & matches(line.trimmed, fv.CONTROL_FLOW),
-            depth.cast("string"),
-        )
-    ]
-
-
-def indented(line: Line):
-    # More than four tabs or ten blanks, so at least five characters of white space.
-    return matches(F.substring(line.text, 1, 5), r"^\s{5}")
-
-
-def fail_open_env(line: Line):
-    def fallback(report, pattern):
-        variable = extract(line.text, pattern)
-        return Test(report, matches(variable, fv.SECRET_NAME), variable)
 
-    return [
-        fallback(0, fv.JS_ENV_FALLBACK),
-        fallback(1, fv.PY_ENVIRON_GET),
-        fallback(1, fv.PY_GETENV_OR),
-    ]
 
+def _depth() -> str:
+    indent = extract(TEXT, fv.INDENT)
+    tabs = f"length({indent}) - length(replace({indent}, '\\t', ''))"
+    return f"if(contains({indent}, '\\t'), {tabs}, length({indent}) DIV 2)"
 
-def debug_flag(line: Line):
-    return [
-        Test(0, matches(line.text, fv.DEBUG_ASSIGN)),
-        Test(1, matches(line.text, fv.DEBUG_OPTION)),
-        Test(2, matches(line.text, fv.NODE_ENV_DEV)),
-    ]
 
-
-def permissive_cors(line: Line):
-    return [
-        Test(
-            0,
-            matches(line.text, fv.CORS_HEADER)
-            | matches(line.text, fv.CORS_OPTION)
-            | matches(line.text, fv.CORS_ORIGINS),
-        )
-    ]
-
-
-def weak_crypto(line: Line):
-    return [
-        Test(0, matches(line.text, fv.JS_WEAK_HASH) | matches(line.text, fv.PY_WEAK_HASH)),
-        Test(1, matches(line.text, fv.ECB_MODE)),
-        Test(2, matches(line.text, fv.WEAK_CIPHER)),
-    ]
+def _fallbacks() -> tuple[Test, ...]:
+    patterns = ((0, fv.JS_ENV_FALLBACK), (1, fv.PY_ENVIRON_GET), (1, fv.PY_GETENV_OR))
+    return tuple(
+        Test(report, matches(extract(TEXT, pattern), fv.SECRET_NAME), extract(TEXT, pattern))
+        for report, pattern in patterns
+    )
 
 
 # rule -> how it is run; metadata and texts come from the fixed values.
 LINE_RULES = {
-    "ERR003": dict(tests=promise_no_catch, candidate=_has(".then(")),
-    "ERR006": dict(tests=optional_chain, candidate=_has("?.")),
-    "SEC001": dict(tests=eval_usage, candidate=_has("eval", "Function"), first_only=False),
+    "ERR003": dict(
+        mark=CALLS,
+        candidate=_text_has(".then("),
+        tests=(
+            Test(
+                0,
+                f"contains({TRIMMED}, '.then(') AND NOT contains({TRIMMED}, '.catch(') "
+                f"AND NOT {starts_with(TRIMMED, 'await ', 'return ')} "
+                f"AND {matches(TRIMMED, fv.CALL_AT_END)}",
+            ),
+        ),
+    ),
+    "ERR006": dict(
+        candidate=_text_has("?."),
+        tests=(Test(0, matches(TRIMMED, fv.AUTH_WORD)),),
+    ),
+    "SEC001": dict(
+        mark=CALLS,
+        candidate=_text_has("eval", "Function"),
+        tests=(Test(0, matches(TRIMMED, fv.EVAL_CALL)), Test(1, matches(TRIMMED, fv.NEW_FUNCTION))),
+        first_only=False,
+    ),
     "SEC002": dict(
-        tests=inner_html, candidate=_has(".innerHTML", "InnerHTML"), first_only=False
+        candidate=_text_has(".innerHTML", "dangerouslySetInnerHTML"),
+        tests=(
+            Test(0, matches(TRIMMED, fv.INNER_HTML)),
+            Test(1, contains(TRIMMED, "dangerouslySetInnerHTML")),
+        ),
+        first_only=False,
     ),
     "SEC003": dict(
-        tests=hardcoded_secrets,
-        candidate=_has_lower("key", "secret", "passw", "pwd", "token"),
+        candidate=f"({QUOTES} AND {_lower_has('key', 'secret', 'passw', 'pwd', 'token')}) "
+        f"OR {_text_has('PRIVATE KEY')}",
+        tests=_secrets(),
         skip_paths=SKIP_TEST_PATHS,
-        snippet=short_snippet,
+        snippet=f"if(length({TEXT}) > 80, concat(substring({TEXT}, 1, 80), '...'), {TEXT})",
     ),
     "SEC004": dict(
-        tests=sql_injection,
-        candidate=_has("SELECT", "INSERT", "UPDATE", "DELETE", "DROP"),
+        mark=contains_any(TEXT, ("{", "+")),
+        candidate=_text_has("SELECT", "INSERT", "UPDATE", "DELETE", "DROP"),
+        tests=(
+            Test(0, f"{contains(TEXT, '${')} AND {matches(TRIMMED, fv.SQL_TEMPLATE)}"),
+            Test(1, f"contains({TEXT}, '+') AND {matches(TRIMMED, fv.SQL_CONCAT)}"),
+            Test(2, f"contains({TEXT}, '{{') AND {matches(TRIMMED, fv.SQL_FSTRING)}"),
+        ),
         first_only=False,
     ),
     "SEC005": dict(
-        tests=command_injection,
-        candidate=_has("exec", "os.system", "subprocess.call"),
+        mark=CALLS,
+        candidate=_text_has("exec", "os.system", "subprocess.call"),
+        tests=(
+            Test(0, matches(TRIMMED, fv.SHELL_EXEC)),
+            Test(
+                1,
+                f"{matches(TRIMMED, fv.PY_SYSTEM)} OR {matches(TRIMMED, fv.PY_SUBPROCESS)}",
+            ),
+        ),
         first_only=False,
     ),
     "SEC010": dict(
-        tests=unsafe_deserialization,
-        candidate=_has("yaml.load", "pickle.load"),
+        mark=CALLS,
+        candidate=_text_has("yaml.load", "pickle.load"),
+        tests=(
+            Test(
+                0,
+                f"{matches(TRIMMED, fv.YAML_LOAD)} AND NOT {matches(TRIMMED, fv.YAML_SAFE_LOAD)}",
+            ),
+            Test(1, matches(TRIMMED, fv.PICKLE_LOAD)),
+        ),
         first_only=False,
         skip_paths=SKIP_TEST_PATHS,
     ),
-    "QA001": dict(tests=console_left, candidate=_has("console."), skip_paths=SKIP_TEST_PATHS),
+    "QA001": dict(
+        mark=CALLS,
+        candidate=_text_has("console."),
+        tests=(
+            Test(
+                0,
+                f"{matches(TRIMMED, fv.CONSOLE_CALL)} "
+                f"AND NOT contains({TRIMMED}, 'eslint-disable')",
+            ),
+        ),
+        skip_paths=SKIP_TEST_PATHS,
+    ),
     "QA002": dict(
-        tests=tag_comment,
-        candidate=_has_lower("todo", "fixme", "hack", "xxx", "workaround"),
+        candidate=_lower_has("todo", "fixme", "hack", "xxx", "workaround"),
+        tests=_tag_tests(),
         skip_lines=SKIP_STRINGS,
     ),
     "QA003": dict(
-        tests=magic_numbers,
-        candidate=lambda line: matches(line.text, r"\d\d"),
+        candidate=matches(TEXT, r"\d\d"),
+        tests=(
+            Test(
+                0,
+                f"NOT {matches(TEXT, fv.DECLARATION)} AND NOT {matches(TEXT, fv.RETURN)} "
+                f"AND {extract(TRIMMED, fv.MAGIC_NUMBER)} <> ''",
+                extract(TRIMMED, fv.MAGIC_NUMBER),
+            ),
+        ),
         skip_paths=SKIP_TEST_AND_CONFIG_PATHS,
     ),
-    "QA004": dict(tests=deep_nesting, candidate=indented),
+    "QA004": dict(
+        # More than four tabs or ten blanks, so at least five characters of white space.
+        candidate=matches(f"substring({TEXT}, 1, 5)", r"^\s{5}"),
+        tests=(
+            Test(
+                0,
+                f"{matches(TRIMMED, fv.CONTROL_FLOW)} AND {_depth()} > {fv.MAX_DEPTH}",
+                _depth(),
+            ),
+        ),
+    ),
     "SEC006": dict(
-        tests=fail_open_env, candidate=_has("process.env.", "os.environ.get(", "os.getenv(")
+        mark=QUOTES,
+        candidate=_text_has("process.env.", "os.environ.get(", "os.getenv("),
+        tests=_fallbacks(),
     ),
     "SEC007": dict(
-        tests=debug_flag,
-        candidate=_has("DEBUG", "debug", "NODE_ENV"),
+        mark=contains_any(TEXT, ("=", ":", "'", '"')),
+        candidate=_text_has("DEBUG", "debug", "NODE_ENV"),
+        tests=(
+            Test(0, matches(TEXT, fv.DEBUG_ASSIGN)),
+            Test(1, matches(TEXT, fv.DEBUG_OPTION)),
+            Test(2, matches(TEXT, fv.NODE_ENV_DEV)),
+        ),
         skip_paths=SKIP_TEST_PATHS,
     ),
     "SEC008": dict(
-        tests=permissive_cors,
-        candidate=_has(
-            "Access-Control-Allow-Origin",
-            "cors",
-            "ALLOWED_ORIGINS",
-            "allowed_origins",
-            "allowedOrigins",
+        mark=QUOTES,
+        candidate=_text_has(
+            "Access-Control-Allow-Origin", "cors",
+            "ALLOWED_ORIGINS", "allowed_origins", "allowedOrigins",
+        ),
+        tests=(
+            Test(
+                0,
+                " OR ".join(
+                    matches(TEXT, p) for p in (fv.CORS_HEADER, fv.CORS_OPTION, fv.CORS_ORIGINS)
+                ),
+            ),
         ),
     ),
     "SEC009": dict(
-        tests=weak_crypto,
-        candidate=lambda line: contains_any(line.text, ["DES", "RC4", "RC2"])
-        | contains_any(line.lower, ["createhash", "hashlib.", "ecb"]),
+        candidate=f"{_text_has('DES', 'RC4', 'RC2')} OR {_lower_has('createhash', 'hashlib.', 'ecb')}",
+        tests=(
+            Test(0, f"{matches(TEXT, fv.JS_WEAK_HASH)} OR {matches(TEXT, fv.PY_WEAK_HASH)}"),
+            Test(1, matches(TEXT, fv.ECB_MODE)),
+            Test(2, matches(TEXT, fv.WEAK_CIPHER)),
+        ),
         skip_paths=SKIP_TEST_PATHS,
     ),
 }

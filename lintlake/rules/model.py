@@ -1,18 +1,15 @@
-"""Rules as Column builders.
+"""Rules as Spark SQL expressions.
 
-A rule reports *hits*. A :class:`LineRule` looks at one line at a time and runs on exploded
-lines inside generated code; a :class:`FileRule` looks at the arrays of a whole file.
-Both only build Columns, so any set of rules becomes part of one plan over one scan.
+A rule reports *hits*. A :class:`LineRule` looks at one line at a time, a :class:`FileRule`
+at the arrays of a whole file. Both only hold expressions, so any set of rules becomes part
+of one plan over one scan. A registered function, for example an Arrow one, is used by its
+name like any other function.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import Column
-from pyspark.sql import functions as F
-
 HIT_TYPE = "struct<code:int,line:int,end_line:int,seq:int,arg1:string,arg2:string>"
 
 SKIP_CONTEXT = "context"  # skip comments and string content
@@ -22,6 +19,13 @@ SKIP_NOTHING = "nothing"
 SKIP_TEST_PATHS = "tests"
 SKIP_TEST_AND_CONFIG_PATHS = "tests and config"
 
+# What a line rule's expressions can use, besides ``path`` and ``language``.
+TEXT, TRIMMED, LOWER, NUMBER = "l.text", "l.trimmed", "l.lower", "l.number"
+
+# What a file rule's expressions can use, besides ``path`` and ``language``; the last
+# three are arrays with an entry per line.
+CONTENT, LINES, TRIMMED_LINES, FLAGS = "content", "lines", "trimmed", "flags"
+
 
 @dataclass(frozen=True)
 class Report:
@@ -33,25 +37,14 @@ class Report:
     severity: str | None = None  # the rule's severity unless given
 
 
-@dataclass(frozen=True)
-class Line:
-    """Columns of one line, for line rules."""
-
-    text: Column
-    trimmed: Column
-    lower: Column
-    path: Column
-    language: Column
-
-
 @dataclass(frozen=True)
 class Test:
     """When a line rule's report applies, and the values it puts in its texts."""
 
     report: int
-    when: Column
-    arg1: Column | None = None
-    arg2: Column | None = None
+    when: str
+    arg1: str = "NULL"
+    arg2: str = "NULL"
 
 
 @dataclass(frozen=True)
@@ -66,64 +59,46 @@ class Rule:
 
 @dataclass(frozen=True)
 class LineRule(Rule):
-    """``tests`` gives the reports to try on a line.
+    """``tests`` are the reports to try on a line.
 
-    ``candidate`` is a cheap test that is true on every line where a test could be true;
-    lines that are no rule's candidate are dropped before any pattern runs.
+    ``candidate`` is a cheap test on :data:`TEXT` and :data:`LOWER` that is true on every
+    line where a test could be true. ``mark``, if given, is one more such test, which rules
+    share, so that a line without it is out for all of them at once. Lines that are no
+    rule's candidate are dropped before any pattern runs.
     """
 
-    tests: Callable[[Line], list[Test]] = None
-    candidate: Callable[[Line], Column] = lambda line: F.lit(True)
+    tests: tuple[Test, ...] = ()
+    candidate: str = "true"
+    mark: str = "true"
     first_only: bool = True
     skip_lines: str = SKIP_CONTEXT
     skip_paths: str | None = None
-    snippet: Callable[[Line], Column] = lambda line: line.text
-
-
-@dataclass(frozen=True)
-class File:
-    """Columns of one file, for file rules; arrays hold one entry per line."""
-
-    content: Column
-    lines: Column
-    trimmed: Column
-    flags: Column
-    path: Column
-    language: Column
-    shared: dict[str, Column]  # what the rules' ``shared`` builders gave
+    snippet: str = TEXT
 
 
 @dataclass(frozen=True)
 class FileRule(Rule):
-    """``hits`` gives an array of :data:`HIT_TYPE` whose ``code`` is the report's number.
+    """``hits`` is an array of :func:`hit` values.
 
     ``needs`` is a cheap test on the file; where it is false, ``hits`` is not evaluated.
     ``shared`` names columns that several rules read and that are computed once per file.
     """
 
-    hits: Callable[[File], Column] = None
-    needs: Callable[[File], Column] = lambda file: F.lit(True)
-    shared: tuple[tuple[str, Callable[[File], Column]], ...] = ()
+    hits: str = ""
+    needs: str = "true"
+    shared: tuple[tuple[str, str], ...] = ()
     skip_paths: str | None = None
     has_snippet: bool = True
 
 
-def hit(report, line, seq=0, end_line=None, arg1=None, arg2=None) -> Column:
-    """One :data:`HIT_TYPE` value."""
-
-    def of_type(value, type_name):
-        value = value if isinstance(value, Column) else F.lit(value)
-        return value.cast(type_name)
-
-    return F.struct(
-        of_type(report, "int").alias("code"),
-        of_type(line, "int").alias("line"),
-        of_type(end_line, "int").alias("end_line"),
-        of_type(seq, "int").alias("seq"),
-        of_type(arg1, "string").alias("arg1"),
-        of_type(arg2, "string").alias("arg2"),
+def hit(report: int | str, line: str, seq="0", end_line="NULL", arg1="NULL", arg2="NULL") -> str:
+    """One :data:`HIT_TYPE` value; ``report`` is the number of one of the rule's reports."""
+    return (
+        f"named_struct('code', {report}, 'line', CAST({line} AS INT), "
+        f"'end_line', CAST({end_line} AS INT), 'seq', CAST({seq} AS INT), "
+        f"'arg1', CAST({arg1} AS STRING), 'arg2', CAST({arg2} AS STRING))"
     )
 
 
-def no_hits() -> Column:
-    return F.array().cast(f"array<{HIT_TYPE}>")
+def no_hits() -> str:
+    return f"CAST(array() AS ARRAY<{HIT_TYPE}>)"
