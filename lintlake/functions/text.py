@@ -36,7 +36,9 @@ CONFIG_PATH_PARTS = (".config.", "config/")
 
 UNKNOWN = "unknown"
 
-SPACE_CLASS = r"[\s\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000\ufeff]"
+RARE_SPACE = r"\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000\ufeff"
+RARE_SPACE_CLASS = f"[{RARE_SPACE}]"
+SPACE_CLASS = rf"[\s{RARE_SPACE}]"
 ANY_CLASS = r"[^\n\r\u2028\u2029]"
 
 

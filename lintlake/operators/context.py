@@ -94,15 +94,18 @@ def no_flags(lines: str) -> str:
     return f"transform({lines}, l -> '{PLAIN}')"
 
 
-def with_lines(files: DataFrame, use_context: bool = True) -> DataFrame:
-    """Add ``language``, ``lines`` and ``flags`` to a (path, content) table."""
+def with_lines(files: DataFrame, use_context: bool = True, only: str = "true") -> DataFrame:
+    """Add ``language``, ``lines`` and ``flags`` to a (path, content) table.
+
+    Lines and flags are NULL where ``only`` is false.
+    """
     lined = files.selectExpr(
         "*",
         f"{text.detect_language('path')} AS language",
-        f"{text.split_lines('content')} AS lines",
+        f"if({only}, {text.split_lines('content')}, NULL) AS lines",
     )
     flags = line_flags("content", "lines", "language") if use_context else no_flags("lines")
-    return lined.selectExpr("*", f"{flags} AS flags")
+    return lined.selectExpr("*", f"if({only}, {flags}, NULL) AS flags")
 
 
 def keyed(files: DataFrame, keys) -> DataFrame:

@@ -23,6 +23,7 @@ from ..rules.model import (
     FLAGS,
     HIT_TYPE,
     LINES,
+    LOWERED,
     NUMBER,
     SKIP_CONTEXT,
     SKIP_NOTHING,
@@ -93,6 +94,25 @@ class _Plan:
         chunk, bit = divmod(self.rules.index(rule), _MASK_BITS)
         return f"mask{chunk} & {1 << bit}L <> 0"
 
+    def active_masks(self) -> list[str]:
+        """The masks without the rules that a file's content rules out."""
+        masks = []
+        for first in range(0, len(self.rules), _MASK_BITS):
+            chunk = [r for r in self.rules[first : first + _MASK_BITS] if self.wanted(r)]
+            bits = [
+                f"if({self.applies(r)} AND ({r.needs}), {1 << self.rules.index(r) - first}L, 0L)"
+                for r in chunk
+            ]
+            masks.append(let(LOWERED, self.lowered(), " | ".join(bits) or "0L"))
+        return masks
+
+    def lowered(self) -> str:
+        """Lower-case content where an applicable rule asks for it."""
+        readers = [r for r in self.rules if self.wanted(r) and LOWERED in r.needs]
+        if not readers:
+            return "CAST(NULL AS STRING)"
+        return f"if({text.any_of(self.applies(r) for r in readers)}, lower(content), NULL)"
+
     # Hits of lines.
 
     def line_rules(self) -> list[LineRule]:
@@ -145,8 +165,8 @@ class _Plan:
 
     def line_hits(self, line_info: str | None) -> str:
         """Hits of all line rules over a file's lines."""
-        columns = [LINES, FLAGS, text.split_lines("lower(content)")]
-        fields = dict(text="z.lines", flag="z.flags", lower="z.`2`")
+        columns = [LINES, FLAGS]
+        fields = dict(text="z.lines", flag="z.flags")
         if line_info:
             columns.append(line_info)
             fields["info"] = f"z.{line_info}"
@@ -158,7 +178,8 @@ class _Plan:
         )
         tests = [test for rule in self.line_rules() for test in self.tests(rule)]
         hits = let("l", trimmed, f"filter(array({', '.join(tests)}), h -> h IS NOT NULL)")
-        return f"flatten(transform({found}, l -> {hits}))"
+        some_rule = text.any_of(self.applies(rule) for rule in self.line_rules())
+        return f"if({some_rule}, flatten(transform({found}, l -> {hits})), {self.nothing()})"
 
     # Hits of files.
 
@@ -174,7 +195,7 @@ class _Plan:
         snippet = f"get({LINES}, h.line - 1)" if rule.has_snippet else "CAST(NULL AS STRING)"
         info = f"get({line_info}, h.line - 1)"
         return (
-            f"if({self.applies(rule)} AND {rule.needs}, "
+            f"if({self.applies(rule)}, "
             f"transform({rule.hits}, h -> {self.packed(moved, snippet, info)}), {self.nothing()})"
         )
 
@@ -240,6 +261,10 @@ def _per_language(language: str, value) -> str:
     return f"coalesce(try_element_at(map({table}), {language}), {value(text.UNKNOWN)}L)"
 
 
+def _any_applies(plan: _Plan, rules: Sequence[Rule]) -> str:
+    return text.any_of(plan.applies(rule) for rule in rules)
+
+
 def review(
     files: DataFrame,
     *,
@@ -265,27 +290,29 @@ def review(
     infos = [F.col(line_info).alias("info")] if line_info else []
     info = "info" if line_info else None
 
-    # Decided from the path alone: files that no rule speaks to are dropped here.
+    # Decided from the path alone, then from what the content holds at all. A file that no
+    # rule is left for is not split into lines. Only the first of the two is a filter: the
+    # second would be evaluated again below it when the optimizer pushes it down.
     key = F.struct(*keys) if keys else F.lit(None).cast("void")
     masks = [f"{mask} AS mask{i}" for i, mask in enumerate(plan.masks())]
+    active = [f"{mask} AS mask{i}" for i, mask in enumerate(plan.active_masks())]
+    some_rule = " OR ".join(f"mask{i} <> 0" for i in range(len(masks))) or "false"
     known = (
         files.select(key.alias("key"), *infos, "path", "content")
         .selectExpr("*", f"{text.detect_language('path')} AS language")
         .selectExpr("*", *masks)
-        .where(" OR ".join(f"mask{i} <> 0" for i in range(len(masks))) or "false")
-        .drop("language")
+        .where(some_rule)
+        .selectExpr("key", *([info] if info else []), "path", "content", *active)
     )
 
-    lined = context.with_lines(known, use_context)
+    lined = context.with_lines(known, use_context, only=some_rule)
     file_rules = plan.file_rules()
     if file_rules:
-        needed = text.any_of(f"({plan.applies(r)} AND {r.needs})" for r in file_rules)
         trimmed = f"transform({LINES}, l -> {text.trim('l')})"
-        lined = lined.selectExpr("*", f"if({needed}, {trimmed}, NULL) AS trimmed")
+        lined = lined.selectExpr("*", f"if({_any_applies(plan, file_rules)}, {trimmed}, NULL) AS trimmed")
     for name, value in {n: v for r in file_rules for n, v in r.shared}.items():
         readers = [r for r in file_rules if name in dict(r.shared)]
-        needed = text.any_of(f"({plan.applies(r)} AND {r.needs})" for r in readers)
-        lined = lined.selectExpr("*", f"if({needed}, {value}, NULL) AS {name}")
+        lined = lined.selectExpr("*", f"if({_any_applies(plan, readers)}, {value}, NULL) AS {name}")
 
     parts = [plan.file_hits(rule, info) for rule in file_rules]
     if plan.line_rules():

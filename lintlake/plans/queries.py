@@ -100,8 +100,10 @@ CUSTOM_RULES = (
         severity="high",
         languages=(),
         reports=(Report(70, "File of {1} lines", "Split the file"),),
-        needs="size(lines) > 40",
-        hits=f"array({hit(0, '1', end_line='size(lines)', arg1='size(lines)')})",
+        needs="contains(content, '\\n')",
+        hits="filter(array("
+        + hit(0, "1", end_line="size(lines)", arg1="size(lines)")
+        + "), h -> size(lines) > 40)",
     ),
 )
 

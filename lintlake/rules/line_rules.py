@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+from ..functions.folds import let
 from ..functions.text import (
+    RARE_SPACE_CLASS,
+    any_of,
     contains,
     contains_any,
     extract,
@@ -13,7 +16,8 @@ from ..functions.text import (
 )
 from . import fixed_values as fv
 from .model import (
-    LOWER,
+    CONTENT,
+    LOWERED,
     SKIP_STRINGS,
     SKIP_TEST_AND_CONFIG_PATHS,
     SKIP_TEST_PATHS,
@@ -27,12 +31,29 @@ CALLS = contains(TEXT, "(")
 QUOTES = contains_any(TEXT, ("'", '"', "`"))
 
 
-def _text_has(*needles: str) -> str:
-    return contains_any(TEXT, needles)
+def _has(*needles: str) -> dict:
+    """Files and lines that contain one of the texts."""
+    return dict(needs=contains_any(CONTENT, needles), candidate=contains_any(TEXT, needles))
 
 
 def _lower_has(*needles: str) -> str:
-    return contains_any(LOWER, needles)
+    """Lines that contain one of the texts in any case."""
+    return let("low", f"lower({TEXT})", contains_any("low", needles))
+
+
+SECRET_WORDS = ("key", "secret", "passw", "pwd", "token")
+TAG_WORDS = ("todo", "fixme", "hack", "xxx", "workaround")
+CRYPTO_WORDS = ("DES", "RC4", "RC2")
+CRYPTO_CALLS = ("createhash", "hashlib.", "ecb")
+
+# Deep indents hold a tab or ten blanks, unless some rarer white space is among them.
+DEEP_INDENT = any_of(
+    (
+        contains_any(CONTENT, ("\t", " " * 10, "\r", "\f", "\x0b")),
+        f"(octet_length({CONTENT}) <> length({CONTENT}) "
+        f"AND {matches(CONTENT, RARE_SPACE_CLASS)})",
+    )
+)
 
 
 def _secrets() -> tuple[Test, ...]:
@@ -70,7 +91,7 @@ def _fallbacks() -> tuple[Test, ...]:
 LINE_RULES = {
     "ERR003": dict(
         mark=CALLS,
-        candidate=_text_has(".then("),
+        **_has(".then("),
         tests=(
             Test(
                 0,
@@ -81,17 +102,17 @@ LINE_RULES = {
         ),
     ),
     "ERR006": dict(
-        candidate=_text_has("?."),
+        **_has("?."),
         tests=(Test(0, matches(TRIMMED, fv.AUTH_WORD)),),
     ),
     "SEC001": dict(
         mark=CALLS,
-        candidate=_text_has("eval", "Function"),
+        **_has("eval", "Function"),
         tests=(Test(0, matches(TRIMMED, fv.EVAL_CALL)), Test(1, matches(TRIMMED, fv.NEW_FUNCTION))),
         first_only=False,
     ),
     "SEC002": dict(
-        candidate=_text_has(".innerHTML", "dangerouslySetInnerHTML"),
+        **_has(".innerHTML", "dangerouslySetInnerHTML"),
         tests=(
             Test(0, matches(TRIMMED, fv.INNER_HTML)),
             Test(1, contains(TRIMMED, "dangerouslySetInnerHTML")),
@@ -99,15 +120,15 @@ LINE_RULES = {
         first_only=False,
     ),
     "SEC003": dict(
-        candidate=f"({QUOTES} AND {_lower_has('key', 'secret', 'passw', 'pwd', 'token')}) "
-        f"OR {_text_has('PRIVATE KEY')}",
+        needs=f"{contains_any(LOWERED, SECRET_WORDS)} OR {contains(CONTENT, 'PRIVATE KEY')}",
+        candidate=f"({QUOTES} AND {_lower_has(*SECRET_WORDS)}) OR {contains(TEXT, 'PRIVATE KEY')}",
         tests=_secrets(),
         skip_paths=SKIP_TEST_PATHS,
         snippet=f"if(length({TEXT}) > 80, concat(substring({TEXT}, 1, 80), '...'), {TEXT})",
     ),
     "SEC004": dict(
         mark=contains_any(TEXT, ("{", "+")),
-        candidate=_text_has("SELECT", "INSERT", "UPDATE", "DELETE", "DROP"),
+        **_has("SELECT", "INSERT", "UPDATE", "DELETE", "DROP"),
         tests=(
             Test(0, f"{contains(TEXT, '${')} AND {matches(TRIMMED, fv.SQL_TEMPLATE)}"),
             Test(1, f"contains({TEXT}, '+') AND {matches(TRIMMED, fv.SQL_CONCAT)}"),
@@ -117,7 +138,7 @@ LINE_RULES = {
     ),
     "SEC005": dict(
         mark=CALLS,
-        candidate=_text_has("exec", "os.system", "subprocess.call"),
+        **_has("exec", "os.system", "subprocess.call"),
         tests=(
             Test(0, matches(TRIMMED, fv.SHELL_EXEC)),
             Test(
@@ -129,7 +150,7 @@ LINE_RULES = {
     ),
     "SEC010": dict(
         mark=CALLS,
-        candidate=_text_has("yaml.load", "pickle.load"),
+        **_has("yaml.load", "pickle.load"),
         tests=(
             Test(
                 0,
@@ -142,7 +163,7 @@ LINE_RULES = {
     ),
     "QA001": dict(
         mark=CALLS,
-        candidate=_text_has("console."),
+        **_has("console."),
         tests=(
             Test(
                 0,
@@ -153,11 +174,13 @@ LINE_RULES = {
         skip_paths=SKIP_TEST_PATHS,
     ),
     "QA002": dict(
-        candidate=_lower_has("todo", "fixme", "hack", "xxx", "workaround"),
+        needs=contains_any(LOWERED, TAG_WORDS),
+        candidate=_lower_has(*TAG_WORDS),
         tests=_tag_tests(),
         skip_lines=SKIP_STRINGS,
     ),
     "QA003": dict(
+        needs=matches(CONTENT, r"\d\d"),
         candidate=matches(TEXT, r"\d\d"),
         tests=(
             Test(
@@ -170,6 +193,7 @@ LINE_RULES = {
         skip_paths=SKIP_TEST_AND_CONFIG_PATHS,
     ),
     "QA004": dict(
+        needs=DEEP_INDENT,
         # More than four tabs or ten blanks, so at least five characters of white space.
         candidate=matches(f"substring({TEXT}, 1, 5)", r"^\s{5}"),
         tests=(
@@ -182,12 +206,12 @@ LINE_RULES = {
     ),
     "SEC006": dict(
         mark=QUOTES,
-        candidate=_text_has("process.env.", "os.environ.get(", "os.getenv("),
+        **_has("process.env.", "os.environ.get(", "os.getenv("),
         tests=_fallbacks(),
     ),
     "SEC007": dict(
         mark=contains_any(TEXT, ("=", ":", "'", '"')),
-        candidate=_text_has("DEBUG", "debug", "NODE_ENV"),
+        **_has("DEBUG", "debug", "NODE_ENV"),
         tests=(
             Test(0, matches(TEXT, fv.DEBUG_ASSIGN)),
             Test(1, matches(TEXT, fv.DEBUG_OPTION)),
@@ -197,7 +221,7 @@ LINE_RULES = {
     ),
     "SEC008": dict(
         mark=QUOTES,
-        candidate=_text_has(
+        **_has(
             "Access-Control-Allow-Origin", "cors",
             "ALLOWED_ORIGINS", "allowed_origins", "allowedOrigins",
         ),
@@ -211,7 +235,8 @@ LINE_RULES = {
         ),
     ),
     "SEC009": dict(
-        candidate=f"{_text_has('DES', 'RC4', 'RC2')} OR {_lower_has('createhash', 'hashlib.', 'ecb')}",
+        needs=f"{contains_any(CONTENT, CRYPTO_WORDS)} OR {contains_any(LOWERED, CRYPTO_CALLS)}",
+        candidate=f"{contains_any(TEXT, CRYPTO_WORDS)} OR {_lower_has(*CRYPTO_CALLS)}",
         tests=(
             Test(0, f"{matches(TEXT, fv.JS_WEAK_HASH)} OR {matches(TEXT, fv.PY_WEAK_HASH)}"),
             Test(1, matches(TEXT, fv.ECB_MODE)),

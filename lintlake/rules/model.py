@@ -19,12 +19,14 @@ SKIP_NOTHING = "nothing"
 SKIP_TEST_PATHS = "tests"
 SKIP_TEST_AND_CONFIG_PATHS = "tests and config"
 
-# What a line rule's expressions can use, besides ``path`` and ``language``.
-TEXT, TRIMMED, LOWER, NUMBER = "l.text", "l.trimmed", "l.lower", "l.number"
+# What expressions about a line can use, besides ``path`` and ``language``.
+TEXT, TRIMMED, NUMBER = "l.text", "l.trimmed", "l.number"
 
-# What a file rule's expressions can use, besides ``path`` and ``language``; the last
-# three are arrays with an entry per line.
-CONTENT, LINES, TRIMMED_LINES, FLAGS = "content", "lines", "trimmed", "flags"
+# What expressions about a file's need for a rule can use.
+CONTENT, LOWERED = "content", "lowered"
+
+# What a file rule's hits can use, besides ``content``: arrays with an entry per line.
+LINES, TRIMMED_LINES, FLAGS = "lines", "trimmed", "flags"
 
 
 @dataclass(frozen=True)
@@ -55,16 +57,18 @@ class Rule:
     severity: str
     languages: tuple[str, ...]  # empty: every language
     reports: tuple[Report, ...]
+    needs: str = "true"
+    skip_paths: str | None = None
 
 
 @dataclass(frozen=True)
 class LineRule(Rule):
     """``tests`` are the reports to try on a line.
 
-    ``candidate`` is a cheap test on :data:`TEXT` and :data:`LOWER` that is true on every
-    line where a test could be true. ``mark``, if given, is one more such test, which rules
-    share, so that a line without it is out for all of them at once. Lines that are no
-    rule's candidate are dropped before any pattern runs.
+    ``needs`` is a cheap test on :data:`CONTENT` or :data:`LOWERED`, its lower-case form,
+    that is true for every file with a hit; files that no rule needs are not even split.
+    ``candidate`` is such a test on :data:`TEXT`, and ``mark`` one more that rules share:
+    lines that are no rule's candidate are dropped before any pattern runs.
     """
 
     tests: tuple[Test, ...] = ()
@@ -72,7 +76,6 @@ class LineRule(Rule):
     mark: str = "true"
     first_only: bool = True
     skip_lines: str = SKIP_CONTEXT
-    skip_paths: str | None = None
     snippet: str = TEXT
 
 
@@ -80,14 +83,12 @@ class LineRule(Rule):
 class FileRule(Rule):
     """``hits`` is an array of :func:`hit` values.
 
-    ``needs`` is a cheap test on the file; where it is false, ``hits`` is not evaluated.
+    ``needs`` is as for line rules; where it is false, ``hits`` is not evaluated.
     ``shared`` names columns that several rules read and that are computed once per file.
     """
 
     hits: str = ""
-    needs: str = "true"
     shared: tuple[tuple[str, str], ...] = ()
-    skip_paths: str | None = None
     has_snippet: bool = True
 
 

@@ -46,6 +46,21 @@ def files_from_table(df: DataFrame, path: str = "path", content: str = "content"
     return df.withColumnsRenamed({path: "path", content: "content"})
 
 
+def spread_small(df: DataFrame, key: str) -> DataFrame:
+    """Spread an input over all cores where it is too small to fill them.
+
+    A small table often is one row group and would be reviewed by one core. From one
+    scan split per core on, the scan's own partitions are kept and nothing is shuffled.
+    """
+    spark = df.sparkSession
+    cores = spark.sparkContext.defaultParallelism
+    split = int(spark.conf.get("spark.sql.files.maxPartitionBytes").removesuffix("b"))
+    size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
+    if int(size) >= cores * split:
+        return df
+    return df.repartition(cores, key)
+
+
 def diffs_from_directory(spark: SparkSession, root: str, glob: str = "*.diff") -> DataFrame:
     """One row per diff file; the path below ``root`` is its ``diff_id``."""
     return files_from_directory(spark, root, glob).select(
