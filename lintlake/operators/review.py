@@ -31,6 +31,7 @@ from ..rules.model import (
     SKIP_TEST_PATHS,
     FileRule,
     LineRule,
+    Report,
     Rule,
     hit,
 )
@@ -216,7 +217,8 @@ class _Plan:
     def texts(self) -> str:
         """Everything fixed about a report, indexed by the hit's code."""
         rows = []
-        for rule, report in self.reports:
+        nothing = (Rule("", "", "", fv.SEVERITIES[0], (), ()), Report(0, ""))
+        for rule, report in self.reports or [nothing]:
             severity = report.severity or rule.severity
             messages, suggestions = _pieces(report.message), _pieces(report.suggestion)
             rows.append(
@@ -226,7 +228,7 @@ class _Plan:
                     severity=text.literal(severity),
                     severity_rank=str(fv.SEVERITIES.index(severity)),
                     confidence=str(report.confidence),
-                    rule_seq=str(self.order[rule.id]),
+                    rule_seq=str(self.order.get(rule.id, 0)),
                     **{f"m{i}": text.literal(piece) for i, piece in enumerate(messages)},
                     **{f"s{i}": text.literal(piece) for i, piece in enumerate(suggestions)},
                 )
@@ -320,7 +322,7 @@ def review(
     hits = f"concat({', '.join(parts)})" if parts else plan.nothing()
     return (
         lined.selectExpr("key", "path", f"explode({hits}) AS h")
-        .selectExpr("*", f"{plan.texts() if plan.reports else 'array()'}[h.hit.code] AS r")
+        .selectExpr("*", f"{plan.texts()}[h.hit.code] AS r")
         .selectExpr(
             *[f"key.`{name}`" for name in keys],
             "path AS file",

@@ -821,7 +821,7 @@ def oracle_sql() -> dict[str, str]:
     )
     sql["diff_summary"] = _review(
         f"SELECT a.diff_id, {_counts('d.')}, a.files_reviewed, a.rules_applied FROM (SELECT "
-        f"file_seq // 1000 AS diff_id, count(*) AS files_reviewed, max({_applied()}) AS rules_applied "
+        f"(file_seq // 1000)::BIGINT AS diff_id, count(*) AS files_reviewed, max({_applied()}) AS rules_applied "
         "FROM f GROUP BY 1) a LEFT JOIN findings d ON d.file_seq // 1000 = a.diff_id "
         "GROUP BY a.diff_id, a.files_reviewed, a.rules_applied",
         files=DIFFS,

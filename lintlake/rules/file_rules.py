@@ -1,12 +1,14 @@
 """Built-in rules that look ahead, look back or keep state down a file.
 
 Each is one pass over the file's own arrays, so nothing is shuffled and the cost grows
-with the number of lines, not with the distance between a construct's start and end.
+with the number of lines, not with the distance between a construct's start and end. A
+fold's state is copied at every line, so folds keep a small state and write what they find
+as text, ``report,line;`` or ``line,line;``, from which the hits are made afterwards.
 """
 
 from __future__ import annotations
 
-from ..functions.folds import let, struct
+from ..functions.folds import let, running_pieces, struct
 from ..functions.text import (
     brace_delta,
     contains,
@@ -30,8 +32,13 @@ def _each_line(**fields: str) -> str:
     return f"transform({ALL_LINES}, (l, i) -> {struct(line='i + 1', **fields)})"
 
 
-def _append_if(test: str, value: str, hits: str = "acc.hits") -> str:
-    return f"if({test}, array_append({hits}, {value}), {hits})"
+def _number(place: int) -> str:
+    """A number of a piece ``p`` that a fold wrote."""
+    return f"CAST(split_part(p, ',', {place}) AS INT)"
+
+
+def _hits(pieces: str, hit_of_piece: str) -> str:
+    return f"transform({pieces}, p -> {hit_of_piece})"
 
 
 # What each line does inside a catch body, and which catch heads it is.
@@ -53,37 +60,45 @@ CATCH_LINES = _each_line(
 )
 
 
-def _catch_rule(state: dict[str, str], hits: str) -> dict:
+def _catch_rule(state: dict[str, str], found: dict[int, str]) -> dict:
     """Walk a file from its last line to its first.
 
     ``state`` says what is known about the lines below a line, up to where its block
-    closes; ``hits`` uses it at a catch head. All state starts false.
+    closes; ``found`` uses it at a catch head, report by report, and the first one counts.
+    ``acc`` is the state, false at first, and ``l`` the line.
     """
-    start = struct(**dict.fromkeys(state, "false"), hits=no_hits())
-    step = struct(**state, hits=hits)
+
+    def named(expression: str, state_name: str, line_name: str) -> str:
+        return expression.replace("acc.", f"{state_name}.").replace("l.", f"{line_name}.")
+
+    cases = " ".join(
+        f"WHEN {when} THEN concat('{report},', l.line, ';')" for report, when in found.items()
+    )
+    pieces = running_pieces(
+        "reverse(catch_lines)",
+        struct(**dict.fromkeys(state, "false")),
+        lambda acc, line: struct(**{k: named(v, acc, line) for k, v in state.items()}),
+        lambda acc, line: named(f"CASE {cases} ELSE '' END", acc, line),
+    )
     return dict(
         needs=contains(CONTENT, "catch"),
         shared=(("catch_lines", CATCH_LINES),),
-        hits=f"aggregate(reverse(catch_lines), {start}, (acc, l) -> {step}, acc -> acc.hits)",
+        hits=_hits(pieces, hit(_number(1), _number(2))),
     )
 
 
 EMPTY_CATCH = _catch_rule(
-    {"next_ends": "l.ends_catch"},
-    f"""CASE WHEN l.empty THEN array_append(acc.hits, {hit(0, 'l.line')})
-        WHEN l.at_end AND acc.next_ends THEN array_append(acc.hits, {hit(1, 'l.line')})
-        ELSE acc.hits END""",
+    {"next_ends": "l.ends_catch"}, {0: "l.empty", 1: "l.at_end AND acc.next_ends"}
 )
 CATCH_ONLY_LOGS = _catch_rule(
     {
         "logs": "NOT l.closes AND (acc.logs OR l.logs)",
         "works": "NOT l.closes AND (acc.works OR NOT (l.logs OR l.idle))",
     },
-    _append_if("l.opens AND acc.logs AND NOT acc.works", hit(0, "l.line")),
+    {0: "l.opens AND acc.logs AND NOT acc.works"},
 )
 CATCH_RETHROW = _catch_rule(
-    {"throws": "NOT l.closes AND (acc.throws OR l.throws)"},
-    _append_if("l.generic AND acc.throws", hit(0, "l.line")),
+    {"throws": "NOT l.closes AND (acc.throws OR l.throws)"}, {0: "l.generic AND acc.throws"}
 )
 
 
@@ -106,42 +121,55 @@ def _async_rule() -> dict:
         bad = (
             f"h.opened > 0 AND {state}.last_await >= h.opened AND {state}.last_try < h.opened"
         )
-        return f"transform(filter({heads}, h -> {bad}), h -> {hit(0, 'h.line')})"
+        return (
+            f"array_join(transform(filter({heads}, h -> {bad}), h -> concat(h.line, ';')), '')"
+        )
+
+    def step(acc: str, line: str) -> str:
+        counts = dict(
+            depth=f"{acc}.depth + {line}.delta",
+            last_await=f"if({line}.awaits, {line}.line, {acc}.last_await)",
+            last_try=f"if({line}.tries, {line}.line, {acc}.last_try)",
+        )
+        new_head = struct(line=f"{line}.line", base=f"{acc}.depth", opened="0")
+        waiting = f"if({line}.head, array_append({acc}.pending, {new_head}), {acc}.pending)"
+        first_open = struct(
+            line="h.line", base="h.base", opened=f"if(h.opened > 0, h.opened, {line}.line)"
+        )
+        opened = f"if({line}.opens, transform({waiting}, h -> {first_open}), {waiting})"
+        closed = "h.opened > 0 AND h.base = now.depth"
+        settled = struct(
+            depth="now.depth",
+            last_await="now.last_await",
+            last_try="now.last_try",
+            pending=f"filter(now.pending, h -> NOT ({closed}))",
+            done=unhandled(f"filter(now.pending, h -> {closed})", "now"),
+        )
+        quiet = struct(**counts, pending=f"{acc}.pending", done="''")
+        return (
+            f"if({line}.head OR size({acc}.pending) > 0, "
+            f"{let('now', struct(**counts, pending=opened), settled)}, {quiet})"
+        )
 
-    counts = dict(
-        depth="acc.depth + l.delta",
-        last_await="if(l.awaits, l.line, acc.last_await)",
-        last_try="if(l.tries, l.line, acc.last_try)",
-    )
-    new_head = struct(line="l.line", base="acc.depth", opened="0")
-    waiting = f"if(l.head, array_append(acc.pending, {new_head}), acc.pending)"
-    first_open = struct(line="h.line", base="h.base", opened="if(h.opened > 0, h.opened, l.line)")
-    opened = f"if(l.opens, transform({waiting}, h -> {first_open}), {waiting})"
-    closed = "h.opened > 0 AND h.base = now.depth"
-    settled = struct(
-        depth="now.depth",
-        last_await="now.last_await",
-        last_try="now.last_try",
-        pending=f"filter(now.pending, h -> NOT ({closed}))",
-        hits=f"concat(acc.hits, {unhandled(f'filter(now.pending, h -> {closed})', 'now')})",
-    )
-    quiet = struct(**counts, pending="acc.pending", hits="acc.hits")
-    step = (
-        f"if(l.head OR size(acc.pending) > 0, "
-        f"{let('now', struct(**counts, pending=opened), settled)}, {quiet})"
-    )
     start = struct(
         depth="0",
         last_await="0",
         last_try="0",
         pending="CAST(array() AS ARRAY<STRUCT<line:INT,base:INT,opened:INT>>)",
-        hits=no_hits(),
+        done="''",
+    )
+    # A step leaves in ``done`` what it found; the next step or the end writes it.
+    pieces = running_pieces(
+        lines,
+        start,
+        step,
+        lambda acc, line: f"{acc}.done",
+        lambda acc: f"concat({acc}.done, {unhandled(f'{acc}.pending', acc)})",
     )
-    finish = f"concat(acc.hits, {unhandled('acc.pending', 'acc')})"
     return dict(
         needs=f"contains({CONTENT}, 'async') AND contains({CONTENT}, 'await') "
         f"AND contains({CONTENT}, '{{')",
-        hits=f"aggregate({lines}, {start}, (acc, l) -> {step}, acc -> {finish})",
+        hits=_hits(pieces, hit(0, _number(1))),
     )
 
 
@@ -182,33 +210,42 @@ def function_name(trimmed: str) -> str:
 
 def _long_function_rule() -> dict:
     lines = _each_line(trimmed="l.trimmed", delta=brace_delta("l.lines"))
-    start = (
-        f"CASE WHEN acc.start > 0 THEN acc.start "
-        f"WHEN {starts_function('l.trimmed')} THEN l.line ELSE 0 END"
+
+    def step(acc: str, line: str) -> str:
+        start = (
+            f"CASE WHEN {acc}.start > 0 THEN {acc}.start "
+            f"WHEN {starts_function(f'{line}.trimmed')} THEN {line}.line ELSE 0 END"
+        )
+        depth = f"if({acc}.start > 0, {acc}.depth + {line}.delta, {line}.delta)"
+        ends = f"(now.start > 0 AND {line}.line > now.start AND now.depth <= 0)"
+        is_long = f"{line}.line - now.start + 1 > {fv.MAX_FUNCTION_LINES}"
+        settled = struct(
+            start=f"if({ends}, 0, now.start)",
+            depth="now.depth",
+            done=f"if({ends} AND {is_long}, concat(now.start, ',', {line}.line, ';'), '')",
+        )
+        return let("now", struct(start=start, depth=depth), settled)
+
+    pieces = running_pieces(
+        lines,
+        struct(start="0", depth="0", done="''"),
+        step,
+        lambda acc, line: f"{acc}.done",
+        lambda acc: f"{acc}.done",
     )
-    depth = "if(acc.start > 0, acc.depth + l.delta, l.delta)"
-    ends = "(now.start > 0 AND l.line > now.start AND now.depth <= 0)"
-    length = "(l.line - now.start + 1)"
     found = hit(
         0,
-        "now.start",
-        end_line="l.line",
-        arg1=function_name(f"{TRIMMED_LINES}[now.start - 1]"),
-        arg2=length,
-    )
-    settled = struct(
-        start=f"if({ends}, 0, now.start)",
-        depth="now.depth",
-        hits=_append_if(f"{ends} AND {length} > {fv.MAX_FUNCTION_LINES}", found),
+        _number(1),
+        end_line=_number(2),
+        arg1=function_name(f"{TRIMMED_LINES}[{_number(1)} - 1]"),
+        arg2=f"{_number(2)} - {_number(1)} + 1",
     )
-    step = let("now", struct(start=start, depth=depth), settled)
-    initial = struct(start="0", depth="0", hits=no_hits())
     return dict(
         # As many line ends as lines a short function may have, or more.
         needs=f"octet_length(substring_index({CONTENT}, '\\n', {fv.MAX_FUNCTION_LINES})) "
         f"< octet_length({CONTENT})",
         has_snippet=False,
-        hits=f"aggregate({lines}, {initial}, (acc, l) -> {step}, acc -> acc.hits)",
+        hits=_hits(pieces, found),
     )
 
 
@@ -262,20 +299,25 @@ def _duplicate_condition_rule() -> dict:
         if_condition=f"if(startswith(l.trimmed, 'if'), {condition(fv.IF_LINE)}, NULL)",
         else_condition=f"if(contains(l.trimmed, 'else'), {condition(fv.ELSE_IF_LINE)}, NULL)",
     )
-    step = struct(
-        condition="coalesce(l.if_condition, acc.condition)",
-        line="if(l.if_condition IS NULL, acc.line, l.line)",
-        hits=_append_if(
-            "l.if_condition IS NULL AND coalesce(l.else_condition = acc.condition, false)",
-            hit(0, "l.line", arg1="acc.condition", arg2="acc.line"),
+
+    def emit(acc: str, line: str) -> str:
+        same = f"coalesce({line}.else_condition = {acc}.condition, false)"
+        return f"if({same}, concat({line}.line, ',', {acc}.line, ';'), '')"
+
+    with_condition = "l.if_condition IS NOT NULL OR l.else_condition IS NOT NULL"
+    pieces = running_pieces(
+        f"filter({lines}, l -> {with_condition})",
+        struct(condition="CAST(NULL AS STRING)", line="0"),
+        lambda acc, line: struct(
+            condition=f"coalesce({line}.if_condition, {acc}.condition)",
+            line=f"if({line}.if_condition IS NULL, {acc}.line, {line}.line)",
         ),
+        emit,
     )
-    start = struct(condition="CAST(NULL AS STRING)", line="0", hits=no_hits())
-    with_condition = "l.if_condition IS NOT NULL OR l.else_condition IS NOT NULL"
+    condition_text = trim(extract(f"{TRIMMED_LINES}[{_number(1)} - 1]", fv.ELSE_IF_LINE))
     return dict(
         needs=f"contains({CONTENT}, 'else') AND contains({CONTENT}, 'if')",
-        hits=f"aggregate(filter({lines}, l -> {with_condition}), {start}, "
-        f"(acc, l) -> {step}, acc -> acc.hits)",
+        hits=_hits(pieces, hit(0, _number(1), arg1=condition_text, arg2=_number(2))),
     )
 
 

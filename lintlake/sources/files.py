@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 FILES_SCHEMA = "file_seq bigint, path string, content string"
 DIFFS_SCHEMA = "diff_id bigint, raw string"
@@ -18,29 +17,22 @@ def files_from_rows(spark: SparkSession, rows) -> DataFrame:
 def files_from_directory(spark: SparkSession, root: str, glob: str | None = None) -> DataFrame:
     """One row per file below ``root``: ``path`` relative to it, and ``content``.
 
+    Bytes that are no UTF-8 become replacement characters. Spark's file sources do not list
+    files of zero length; where those must count as reviewed, bring the files as a table.
     Small files are packed into splits of ``spark.sql.files.maxPartitionBytes``. Store a
     corpus that is read often as a table instead and use :func:`files_from_table`.
     """
-    reader = spark.read.option("wholetext", True).option("recursiveFileLookup", True)
+    reader = spark.read.format("binaryFile").option("recursiveFileLookup", True)
     if glob:
         reader = reader.option("pathGlobFilter", glob)
-    return reader.text(root).select(
-        _relative_path(spark, root).alias("path"), F.col("value").alias("content")
+    base = spark._jvm.org.apache.hadoop.fs.Path(root)
+    base = base.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(base).toString()
+    return reader.load(root).selectExpr(
+        f"substring(path, {len(base.rstrip('/')) + 2}) AS path",
+        "make_valid_utf8(CAST(content AS STRING)) AS content",
     )
 
 
-def _relative_path(spark: SparkSession, root: str):
-    """File path below ``root``, decoded from the URL form that file metadata carries."""
-    path_class = spark._jvm.org.apache.hadoop.fs.Path
-    base = path_class(root)
-    base = base.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(base)
-    prefix = base.toUri().getPath().rstrip("/") + "/"
-    url_path = F.regexp_replace(F.col("_metadata.file_path"), r"^[a-zA-Z0-9+.-]+:(//[^/]*)?", "")
-    # A plus sign stands for itself in a file URL.
-    decoded = F.url_decode(F.replace(url_path, F.lit("+"), F.lit("%2B")))
-    return F.substr(decoded, F.lit(len(prefix) + 1))
-
-
 def files_from_table(df: DataFrame, path: str = "path", content: str = "content") -> DataFrame:
     """Name a table's path and content columns; the other columns stay and can be keys."""
     return df.withColumnsRenamed({path: "path", content: "content"})
@@ -63,6 +55,6 @@ def spread_small(df: DataFrame, key: str) -> DataFrame:
 
 def diffs_from_directory(spark: SparkSession, root: str, glob: str = "*.diff") -> DataFrame:
     """One row per diff file; the path below ``root`` is its ``diff_id``."""
-    return files_from_directory(spark, root, glob).select(
-        F.col("path").alias("diff_id"), F.col("content").alias("raw")
+    return files_from_directory(spark, root, glob).withColumnsRenamed(
+        {"path": "diff_id", "content": "raw"}
     )
