@@ -61,7 +61,8 @@ def severity_groups(findings: DataFrame) -> DataFrame:
     """Findings with their severity's ``group_size``; order by rank to read the groups.
 
     A group may hold a large part of all findings, so it is never collected: the sizes are
-    one row per severity, four at most, and are broadcast to the findings.
+    one row per severity, four at most, and are broadcast to the findings. Findings are read
+    twice; pass a written table, see ``write_findings``, rather than a review to be run.
     """
     sizes = findings.groupBy("severity").agg(F.count("*").alias("group_size"))
     return findings.join(F.broadcast(sizes), "severity")

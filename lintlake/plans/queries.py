@@ -64,7 +64,8 @@ def summary_by_source(spark, sf_dir):
 
 
 def severity_groups(spark, sf_dir):
-    return op.severity_groups(op.review(corpus.files(spark, sf_dir)))
+    """Groups over the written findings, so that the corpus is reviewed once."""
+    return op.severity_groups(_written_findings(spark, sf_dir))
 
 
 def rule_coverage(spark, sf_dir):
@@ -124,15 +125,16 @@ def streaming_review(spark, sf_dir):
     return spark.read.parquet(output)
 
 
-def findings_sink(spark, sf_dir):
-    """Findings written by severity and counted from the written table."""
+def _written_findings(spark, sf_dir):
     output = _scratch(spark, "findings")
     write_findings(op.review(corpus.files(spark, sf_dir)), output)
-    return (
-        spark.read.parquet(output)
-        .groupBy("severity", "rule")
-        .agg(F.count("*").alias("findings"))
-    )
+    return spark.read.parquet(output)
+
+
+def findings_sink(spark, sf_dir):
+    """Findings written by severity and counted from the written table."""
+    written = _written_findings(spark, sf_dir)
+    return written.groupBy("severity", "rule").agg(F.count("*").alias("findings"))
 
 
 def queries() -> dict[str, Query]:

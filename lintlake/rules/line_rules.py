@@ -103,7 +103,7 @@ LINE_RULES = {
     ),
     "ERR006": dict(
         **_has("?."),
-        tests=(Test(0, matches(TRIMMED, fv.AUTH_WORD)),),
+        tests=(Test(0, f"contains({TRIMMED}, '?.') AND {matches(TRIMMED, fv.AUTH_WORD)}"),),
     ),
     "SEC001": dict(
         mark=CALLS,

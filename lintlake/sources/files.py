@@ -46,7 +46,9 @@ def spread_small(df: DataFrame, key: str) -> DataFrame:
     """
     spark = df.sparkSession
     cores = spark.sparkContext.defaultParallelism
-    split = int(spark.conf.get("spark.sql.files.maxPartitionBytes").removesuffix("b"))
+    split = spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(
+        spark.conf.get("spark.sql.files.maxPartitionBytes")
+    )
     size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
     if int(size) >= cores * split:
         return df

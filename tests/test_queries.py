@@ -6,6 +6,9 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry_point
+from lintlake.operators import review
+from lintlake.plans import oracle
+from random_files import random_files
 
 DATA = Path("/root/testdata/sf0.001")
 TABLES = ("documents", "pages")
@@ -42,3 +45,22 @@ def test_query(spark, duck, name):
 
 def test_entry(spark):
     assert entry_point.entry(spark).count() > 0
+
+
+@pytest.mark.parametrize("use_context", [True, False])
+def test_random_files(make_files, use_context):
+    """All rules on random lines, against the SQL of the review."""
+    rows = random_files(seed=11)
+    con = duckdb.connect()
+    con.sql("CREATE TABLE soup (file_seq BIGINT, path VARCHAR, content VARCHAR)")
+    con.executemany("INSERT INTO soup VALUES (?, ?, ?)", [(i, *r) for i, r in enumerate(rows)])
+    sql = oracle._review(
+        f"SELECT {oracle.FINDING} FROM findings",
+        files="files AS (SELECT * FROM soup)",
+        lines=oracle.LINES if use_context else oracle.NO_CONTEXT,
+    )
+    df = review(make_files(rows), use_context=use_context)
+    expected = con.sql(sql)
+    assert expected.columns == df.columns
+    got, wanted = {tuple(r) for r in df.collect()}, set(expected.fetchall())
+    assert sorted(got - wanted, key=str)[:5] == sorted(wanted - got, key=str)[:5] == []

@@ -1,5 +1,7 @@
 """Filters, order, summaries, custom rules, and properties of a review."""
 
+from dataclasses import replace
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -7,6 +9,8 @@ import lintlake
 from lintlake import FileRule, LineRule, Report, hit
 from lintlake import Test as LineTest
 from lintlake.operators import review, severity_groups, sort_findings, summarize, summary_by_file
+from lintlake.rules import BUILT_IN_RULES
+from random_files import random_files
 
 MIXED = "\n".join([
     "try { riskyOp(); } catch (e) { }", 'const password = "mysecretpassword123";',
@@ -167,3 +171,17 @@ def test_long_file(make_files):
 def test_review_needs_no_shuffle(make_files):
     plan = review(make_files(FILES))._jdf.queryExecution().executedPlan().toString()
     assert "Exchange" not in plan
+
+
+def test_cheap_tests_lose_nothing(make_files):
+    """With every ``needs``, ``candidate`` and ``mark`` open, the findings are the same."""
+    files = make_files(random_files())
+    opened = [
+        replace(rule, needs="true", **({"candidate": "true", "mark": "true"} if hasattr(rule, "mark") else {}))
+        for rule in BUILT_IN_RULES
+    ]
+    found = ids(review(files))
+    assert len(found) > 300
+    other = ids(review(files, rules=opened))
+    assert set(other) ^ set(found) == set()
+    assert found == other
