@@ -80,10 +80,6 @@ def any_of(tests) -> str:
     return "(" + " OR ".join(tests) + ")"
 
 
-def all_of(tests) -> str:
-    return "(" + " AND ".join(tests) + ")"
-
-
 def contains(value: str, needle: str) -> str:
     return f"contains({value}, {literal(needle)})"
 

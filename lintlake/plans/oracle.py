@@ -311,9 +311,7 @@ def _rule_hits() -> dict[str, list[str]]:
     ]
     tag = r"(?i)\b(TODO|FIXME|HACK|XXX|WORKAROUND)\b:?~*(@*)"
     said = f"left(trim({got('text', tag, 2)}, {WS}), 80)"
-    value = (
-        f"upper({got('text', tag, 1)})"
-    )
+    value = f"upper({got('text', tag, 1)})"
     hits["QA002"] = [
         f"SELECT file_seq, line, NULL::BIGINT, 'QA002', "
         f"CASE WHEN {value} IN ('FIXME', 'HACK') THEN 1 ELSE 0 END, 0, {value}, "

@@ -1,11 +1,13 @@
 """Registered queries give what their SQL gives."""
 
+import random
 from pathlib import Path
 
 import duckdb
 import pytest
 
 import __spark_entry__ as entry_point
+from lintlake import operators as op
 from lintlake.operators import review
 from lintlake.plans import oracle
 from random_files import random_files
@@ -64,3 +66,43 @@ def test_random_files(make_files, use_context):
     assert expected.columns == df.columns
     got, wanted = {tuple(r) for r in df.collect()}, set(expected.fetchall())
     assert sorted(got - wanted, key=str)[:5] == sorted(wanted - got, key=str)[:5] == []
+
+
+def _same(df, expected):
+    columns = sorted(df.columns)
+    order = [expected.columns.index(c) for c in columns]
+    got = {tuple(r[c] for c in columns) for r in df.collect()}
+    wanted = {tuple(r[i] for i in order) for r in expected.fetchall()}
+    assert sorted(got - wanted, key=str)[:5] == sorted(wanted - got, key=str)[:5] == []
+    assert got
+
+
+@pytest.mark.parametrize(
+    "name", ["line_context", "imports", "try_regions", "brace_blocks", "indent_blocks"]
+)
+def test_random_files_by_operator(make_files, name):
+    rows = random_files(seed=12)
+    con = duckdb.connect()
+    con.sql("CREATE TABLE soup (file_seq BIGINT, path VARCHAR, content VARCHAR)")
+    con.executemany("INSERT INTO soup VALUES (?, ?, ?)", [(i, *r) for i, r in enumerate(rows)])
+    sql = SQL[name].replace(oracle.FILES, "files AS (SELECT * FROM soup)")
+    _same(getattr(op, name)(make_files(rows)), con.sql(sql))
+
+
+@pytest.mark.parametrize("name", ["diff_files", "diff_hunks", "diff_lines", "diff_review_text"])
+def test_random_diffs(spark, name):
+    rng = random.Random(5)
+    lines = [
+        "diff --git a/x.ts b/x.ts", "diff --git a/x.ts b/y b/z.ts", "diff --git odd",
+        "diff --git a/x b/x\r", "new file mode", "deleted file mode", "--- /dev/null",
+        "+++ /dev/null", "--- a/old", "+++ b/new", "rename to q", "@@ -1,2 +3,4 @@ f()",
+        "@@ -7 +8 @@", "@@ odd @@", "+added", "-gone", " same", "", "\\ No newline", "stray", "+", "\r",
+    ]
+    rows = [(i, "\n".join(rng.choices(lines, k=rng.randint(0, 40)))) for i in range(400)]
+    con = duckdb.connect()
+    con.sql("CREATE TABLE soup (diff_id BIGINT, raw VARCHAR)")
+    con.executemany("INSERT INTO soup VALUES (?, ?)", rows)
+    rest = oracle.DIFFS[oracle.DIFFS.index("dl AS MATERIALIZED"):]
+    sql = SQL[name].replace(oracle.DIFFS, "diffs AS (SELECT * FROM soup),\n" + rest)
+    operator = op.diff_review_files if name == "diff_review_text" else getattr(op, name)
+    _same(operator(spark.createDataFrame(rows, "diff_id bigint, raw string")), con.sql(sql))
