@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator, Sequence
@@ -43,6 +44,18 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def known_to_workers(spark: SparkSession) -> None:
+    """Let Python workers on this machine import the library from where the driver has it.
+
+    On a cluster it is installed on the executors or sent with ``--py-files``.
+    """
+    root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+    env = spark.sparkContext.environment
+    paths = [p for p in env.get("PYTHONPATH", "").split(os.pathsep) if p]
+    if root not in paths:
+        env["PYTHONPATH"] = os.pathsep.join([*paths, root])
+
+
 def with_batch_columns(
     df: DataFrame,
     inputs: Sequence[str],
@@ -54,6 +67,7 @@ def with_batch_columns(
     ``compute`` gets a list of Python values for each input. Columns of df with the name of
     an output, whatever their case, are replaced.
     """
+    known_to_workers(df.sparkSession)
     new = {name.lower() for name in outputs}
     kept = [f.name for f in df.schema.fields if f.name.lower() not in new]
     fields = [*(df.schema[name] for name in kept), *(StructField(k, t) for k, t in outputs.items())]

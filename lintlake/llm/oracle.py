@@ -2,6 +2,64 @@
 
 from __future__ import annotations
 
+from . import host_rules
+
+
+def _host_rules() -> str:
+    rules = host_rules._failures()
+    word = r"[^\x20\x09-\x0D]+"
+    sums = ", ".join(f"sum(CASE WHEN {rule} THEN 1 ELSE 0 END) AS f_{name}" for name, rule in rules.items())
+    means = ", ".join(f"sum(f_{r}) / sum(n) AS m_{r}" for r in rules)
+    between = ", ".join(
+        f"(SELECT sum(n * (f_{r} / n - m_{r}) ** 2) FROM hosts) / total - m_{r} * (1 - m_{r}) * n_hosts / total AS v_{r}" for r in rules
+    )
+    weights = ", ".join(
+        f"CASE WHEN v_{r} <= 0 THEN {host_rules.MOST_WEIGHT} ELSE least(greatest(m_{r} * (1 - m_{r}) / v_{r} - 1, "
+        f"{host_rules.LEAST_WEIGHT}), {host_rules.MOST_WEIGHT}) END AS w_{r}"
+        for r in rules
+    )
+    rates = ", ".join(f"(f_{r} + m_{r} * w_{r}) / (n + w_{r}) AS r_{r}" for r in rules)
+    base = " OR ".join(f"({host_rules.RULES[r]})" for r in host_rules.BASE)
+    usual = " OR ".join(f"(r_{r} > 0.5 AND ({rule}))" for r, rule in host_rules.RULES.items())
+    return f"""
+    WITH docs AS (SELECT row_number() OVER () AS row_id, doc_id, source, coalesce(text, '') AS text FROM documents),
+    words AS (
+        SELECT row_id, unnest(w) AS word, generate_subscripts(w, 1) AS pos
+        FROM (SELECT row_id, regexp_extract_all(text, '{word}') AS w FROM docs)
+    ),
+    windows AS (
+        SELECT row_id, pos, word || ' ' || lead(word) OVER o || ' ' || lead(word, 2) OVER o AS gram
+        FROM words WINDOW o AS (PARTITION BY row_id ORDER BY pos)
+    ),
+    twice AS (
+        SELECT row_id, pos FROM windows WHERE gram IS NOT NULL
+        QUALIFY count(*) OVER (PARTITION BY row_id, gram) > 1
+    ),
+    repeats AS (
+        SELECT row_id, count(DISTINCT pos + k) AS n_repeat_words FROM twice, unnest([0, 1, 2]) AS t(k) GROUP BY row_id
+    ),
+    counts AS (SELECT row_id, count(*) AS n_words, sum(length(word)) AS word_chars FROM words GROUP BY row_id),
+    lines AS (
+        SELECT row_id, count(*) - count(DISTINCT line) AS n_dup_lines
+        FROM (SELECT row_id, unnest(string_split(text, chr(10))) AS line FROM docs)
+        WHERE regexp_matches(line, '{word}') GROUP BY row_id
+    ),
+    counted AS (
+        SELECT doc_id, source, coalesce(n_words, 0) AS n_words, coalesce(word_chars, 0)::BIGINT AS word_chars,
+            length(regexp_replace(text, '[^#*$%&|<>]', '', 'g')) AS n_symbols, coalesce(n_dup_lines, 0) AS n_dup_lines,
+            coalesce(n_repeat_words, 0) AS n_repeat_words
+        FROM docs LEFT JOIN counts USING (row_id) LEFT JOIN lines USING (row_id) LEFT JOIN repeats USING (row_id)
+    ),
+    hosts AS (SELECT source, count(*) AS n, {sums} FROM counted GROUP BY source),
+    means AS (SELECT sum(n) AS total, count(*) AS n_hosts, {means} FROM hosts),
+    between_hosts AS (SELECT *, {between} FROM means),
+    weights AS (SELECT *, {weights} FROM between_hosts),
+    rates AS (SELECT source, {rates} FROM hosts, weights)
+    SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, {base} AS base_failed,
+        NOT ({base}) AND NOT ({usual}) AND r_any <= 0.8 AS kept
+    FROM counted JOIN rates ON counted.source IS NOT DISTINCT FROM rates.source
+    """
+
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op9_host_rules": _host_rules()}

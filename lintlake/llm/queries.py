@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .common import table
-from . import sentencepiece_bpe, token_counts
+from . import host_rules, sentencepiece_bpe, token_counts
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -28,7 +28,10 @@ def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentencepiece_bpe.digests(sentencepiece_bpe.encode_and_decode(docs, piece_model_path()))
 
 
-def queries() -> dict[str, Query]:
-    return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
+def op9_host_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
+    return host_rules.judge(docs).select("doc_id", *host_rules.COUNTS, "base_failed", "kept")
 
 
+def queries() -> dict[str, Query]:
+    return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
