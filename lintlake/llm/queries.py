@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import table
-from . import host_rules, mixing, sentencepiece_bpe, sharding, simhash, syncmers, token_counts
+from . import host_rules, mixing, sentencepiece_bpe, sharding, simhash, syncmers, token_counts, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -43,6 +43,12 @@ def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    scored = toxicity.score_documents(docs, table(spark, sf_dir, "labels"))
+    return scored.select("doc_id", "held_out", "score", "predicted")
+
+
 def op7_syncmers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return syncmers.compare_with_next(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
