@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import table
-from . import host_rules, mixing, sentencepiece_bpe, sharding, simhash, syncmers, token_counts, toxicity
+from . import host_rules, mixing, quality_model, sentencepiece_bpe, sharding, simhash, syncmers, token_counts, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -53,6 +53,12 @@ def op7_syncmers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return syncmers.compare_with_next(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    scored = quality_model.score_documents(docs, table(spark, sf_dir, "labels"))
+    return scored.select("doc_id", "held_out", "score", "predicted")
+
+
 def op9_host_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
     return host_rules.judge(docs).select("doc_id", *host_rules.COUNTS, "base_failed", "kept")
