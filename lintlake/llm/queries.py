@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import table
-from . import host_rules, mixing, quality_model, sentencepiece_bpe, sharding, simhash, syncmers, token_counts, toxicity
+from . import host_rules, html_extraction, mixing, quality_model, sentencepiece_bpe, sharding, simhash, syncmers, token_counts, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -64,5 +64,10 @@ def op9_host_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return host_rules.judge(docs).select("doc_id", *host_rules.COUNTS, "base_failed", "kept")
 
 
+def op10_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    extracted = html_extraction.extract_pages(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+    return extracted.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
 def queries() -> dict[str, Query]:
     return {name: f for name, f in globals().items() if name.startswith("op") and name[2].isdigit() and callable(f)}
