@@ -24,7 +24,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 
@@ -137,15 +137,32 @@ def components(pairs: DataFrame) -> DataFrame:
     return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(roots)
 
 
-def near_duplicates(docs: DataFrame, text: str = "text", crowded: int = CROWDED) -> DataFrame:
-    """doc_id, fingerprint (16 hex digits) and component_id of every document."""
-    prints = written(with_fingerprints(docs.select("doc_id", text), text).select("doc_id", "fingerprint"), "fingerprints")
+def near_duplicates(docs: DataFrame, text: str = "text", crowded: int = CROWDED, carry: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, fingerprint (16 hex digits), component_id and the columns in ``carry`` of every row."""
+    columns = ["doc_id", *carry]
+    prints = written(with_fingerprints(docs.select(*columns, text), text, "fingerprint").select(*columns, "fingerprint"), "fingerprints")
     nodes = written(prints.groupBy("fingerprint").agg(F.min("doc_id").alias("least_id")), "nodes")
     roots = components(links(nodes.select("fingerprint"), crowded))
     placed = nodes.join(roots, F.col("fingerprint") == F.col("node"), "left").select(
         "fingerprint", "least_id", F.coalesce("root", "fingerprint").alias("root")
     )
     ids = placed.groupBy("root").agg(F.min("least_id").alias("component_id"))
-    of_print = placed.select(F.col("fingerprint").alias("p"), "root").join(ids, "root").select("p", "component_id")
+    of_print = placed.join(ids, "root").select(F.col("fingerprint").alias("p"), F.col("root").alias("component"), "component_id")
     joined = prints.join(of_print, F.col("fingerprint") == F.col("p"))
-    return joined.select("doc_id", F.lpad(F.lower(F.hex("fingerprint")), 16, "0").alias("fingerprint"), "component_id")
+    hexed = F.lpad(F.lower(F.hex("fingerprint")), 16, "0").alias("fingerprint")
+    return joined.select("doc_id", hexed, "component_id", "component", *carry)
+
+
+def representatives(docs: DataFrame, text: str = "text", crowded: int = CROWDED) -> DataFrame:
+    """One row of docs for each component: of its smallest doc_id, and there of the least text hash.
+
+    Texts are shuffled once, to meet the rows' verdicts.
+    """
+    keyed = docs.withColumn("_text_hash", F.xxhash64(text))
+    key = F.concat_ws("/", F.coalesce(F.col("doc_id").cast("string"), F.lit("-")), F.col("_text_hash").cast("string"))
+    grouped = near_duplicates(keyed, text, crowded, ("_text_hash",))
+    least = grouped.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "_text_hash")).alias("least"))
+    chosen = least.select("least.doc_id", "least._text_hash").select(key.alias("_chosen"))
+    found = keyed.withColumn("_key", key).join(chosen, F.col("_key") == F.col("_chosen"))
+    one = Window.partitionBy("_key").orderBy("_chosen")
+    return found.withColumn("_turn", F.row_number().over(one)).where("_turn = 1").select(docs.columns)
