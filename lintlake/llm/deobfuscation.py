@@ -36,11 +36,11 @@ _signs = re.escape("".join(c for c in LOOKALIKES))
 _letter = r"[^\W\d_]"
 #: A word with a look-alike beside a letter, separators between single letters, or a long run.
 SUSPICIOUS = re.compile(
-    rf"{_letter}[{_signs}]|[{_signs}]{_letter}|(?<![^\W_]){_letter}(?:[{re.escape(SEPARATORS[1:])}]+[^\W_]){{2,}}(?![^\W_])|{_letter}[*]+{_letter}|({_letter})\1\1"
+    rf"{_letter}[{_signs}]|[{_signs}]{_letter}|(?<![^\W_]){_letter}(?:[{re.escape(SEPARATORS[1:])}]+[^\W_]){{2}}|{_letter}[*]+{_letter}|({_letter})\1\1"
 )
+TRIPLED = re.compile(rf"({_letter})\1\1")
 SPACED = re.compile(rf"(?<!\S)[\w@$!|+](?: {{1,2}}[\w@$!|+]){{2,}}(?!\S)")
-_TAIL = re.compile(rf"[^\w@$!|+]+$|([^\w])\1{{1,}}[^\w]*$")
-_HEAD = re.compile(r"^[^\w@$]+")
+_HEAD = re.compile(r"[^\w@$]*")
 
 
 def trigram_counts(texts: list[str]) -> np.ndarray:
@@ -55,6 +55,16 @@ def trigram_counts(texts: list[str]) -> np.ndarray:
     return np.bincount(((s[:-2] * SYMBOLS + s[1:-1]) * SYMBOLS + s[2:])[keep], minlength=SYMBOLS**3)
 
 
+def core_of(word: str) -> str:
+    """A word without the marks around it; look-alikes stay unless they are repeated at the end."""
+    end = len(word)
+    while end and not (word[end - 1].isalnum() or word[end - 1] in LOOKALIKES):
+        end -= 1
+    while end > 1 and not word[end - 1].isalnum() and word[end - 2] == word[end - 1]:
+        end -= 2 if end > 2 and word[end - 3] != word[end - 1] else 1
+    return word[_HEAD.match(word, 0, end).end() : end]
+
+
 class LanguageModel:
     """Costs of a symbol after two others, from counts of three in a row."""
 
@@ -79,6 +89,8 @@ class LanguageModel:
             elif c in LOOKALIKES:
                 options += [(x, _SIGN) for x in LOOKALIKES[c]]
                 options.append((c, _KEEP))
+            if c == "*":
+                options += [(x, _SIGN) for x in "aeiou"]
             if c in SEPARATORS:
                 options += [("", _DROP), (" ", _DROP)]
             elif c == before:
@@ -109,7 +121,7 @@ class LanguageModel:
 
     def restore_word(self, word: str) -> str:
         """A word in lower case as it was before the channel, if it looks disguised."""
-        core = _HEAD.sub("", _TAIL.sub("", word))
+        core = core_of(word)
         return self.decode(core) if SUSPICIOUS.search(core) else word
 
 

@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, LongType
 
 from .common import known_to_workers, with_batch_columns
-from .deobfuscation import SPACED, LanguageModel, language_model
+from .deobfuscation import SPACED, TRIPLED, LanguageModel, language_model
 from .labelled import SAMPLE_ROWS, fit_logistic, fold, labelled_sample
 
 LEAST_SHARE = 0.01
@@ -41,6 +41,7 @@ LEAST_LOG_ODDS = 1.2
 STRONG = 3.5
 LEAST_RATIO_TEST = 20.0
 EVIDENCE = ("strong", "strong_all", "strong_share", "weak", "weak_all", "weak_share")
+_EDGE = ".,;:!?\"'()[]{}*#%&$-_"
 _RUN = re.compile(r"[^\W\d_]+")
 
 
@@ -112,23 +113,40 @@ def _counts(sample: DataFrame, model: LanguageModel, label: int, only: frozenset
 class ToxicityModel:
     def __init__(self, language: LanguageModel, weights: dict[str, float], logistic: np.ndarray, base: float):
         self.language, self.weights, self.logistic, self.base = language, weights, logistic, base
+        self.stems = {b[:3] for b in weights}
+
+    def weight(self, word: str, restorer: Restorer) -> float:
+        """Largest weight of the beginnings of the word after restoring; 0 for most words."""
+        core = word.strip(_EDGE)
+        if not (core.isalpha() and not TRIPLED.search(core)):
+            core = restorer.restored(word)
+        elif core[:3] not in self.stems:
+            return 0.0
+        return max((self.weights.get(b, 0.0) for b in beginnings(core)), default=0.0)
 
     def evidence(self, texts: list[str]) -> np.ndarray:
         """A row per text: for strong and for weak words distinct ones, all, and their share."""
-        restorer, weight_of, out = Restorer(self.language), {}, np.zeros((len(texts), len(EVIDENCE)))
+        restorer, out = Restorer(self.language), np.zeros((len(texts), len(EVIDENCE)))
+        seen: set[str] = set()
+        tiers: tuple[set[str], set[str]] = (set(), set())
         for k, text in enumerate(texts):
             words = restorer.words(text)
             found = set(words)
-            for w in found - weight_of.keys():
-                weight_of[w] = max((self.weights.get(b, 0.0) for b in beginnings(restorer.restored(w))), default=0.0)
-            for tier, hits in enumerate((
-                {w for w in found if weight_of[w] >= STRONG}, {w for w in found if 0 < weight_of[w] < STRONG},
-            )):
+            new = found - seen
+            seen |= new
+            for w in new:
+                weight = self.weight(w, restorer)
+                if weight > 0:
+                    tiers[weight < STRONG].add(w)
+            for tier, weighted in enumerate(tiers):
+                hits = found & weighted
                 if hits:
                     total = sum(w in hits for w in words)
                     out[k, 3 * tier : 3 * tier + 3] = math.log1p(len(hits)), math.log1p(total), min(1.0, 20 * total / len(words))
-            if len(weight_of) > Restorer.KEPT:
-                weight_of.clear()
+            if len(seen) > Restorer.KEPT:
+                seen.clear()
+                tiers[0].clear()
+                tiers[1].clear()
         return out
 
     def scores(self, texts: list[str]) -> np.ndarray:
