@@ -35,6 +35,8 @@ from .page_samples import sample_pages
 
 LAYOUTS = 300
 BOUND = 100
+#: Characters of the longest page that the trees are fitted on.
+LONGEST = 200_000
 #: Price of a mixed node, and the say of a node without text of its own.
 MIXED, EMPTY_WEIGHT = 1.5, 0.2
 #: Characters of source that are worked on at once; a longer page is taken alone.
@@ -117,8 +119,10 @@ def _fitted(sources: tuple[str, ...], layouts: int) -> BoostedTrees:
 
 def extract_pages(pages: DataFrame, html: str = "html", name: str = "text", layouts: int = LAYOUTS, bound: int = BOUND) -> DataFrame:
     """pages with the main text of each."""
-    chosen = pages.select(html).where(F.col(html).isNotNull() & (F.length(html) < 200_000)).orderBy(F.xxhash64(html), html).limit(bound)
-    trees = _fitted(tuple(r[0] for r in chosen.collect()), layouts)  # at most ``bound`` pages
+    hashed = pages.select(F.xxhash64(html).alias("key"), html).where(F.col(html).isNotNull() & (F.length(html) < LONGEST))
+    keys = [r[0] for r in hashed.select("key").distinct().orderBy("key").limit(bound).collect()]
+    chosen = hashed.where(F.col("key").isin(keys)).groupBy("key").agg(F.min(html).alias("page")).orderBy("key")
+    trees = _fitted(tuple(r["page"] for r in chosen.collect()), layouts)  # at most ``bound`` pages
 
     def compute(sources):
         return {name: pa.array(extract(trees, [s or "" for s in sources]), pa.string())}
