@@ -2,8 +2,8 @@
 
 Documents with a common text are linked, through a node for the text rather than in pairs, so
 a group of any size costs a row per document. Every document starts in a shard that its hash
-gives. In a round each group of links asks for the shard where most of its documents are (ties
-are broken by hash), and the documents elsewhere want to move there. Moves into a shard are
+gives. In a round each group of links asks for the shard where most of its documents are (of
+those with room, if any; ties are broken by hash), and the documents elsewhere want to move there. Moves into a shard are
 granted, large groups first, while its linked documents stay within the quota of rows a shard
 may have. Groups larger than half a quota are first split by hash into parts that fit, each
 with links of its own. Rounds end when no move is wanted or none is granted. At last shards
@@ -44,13 +44,21 @@ def measured(docs: DataFrame, text: str = "text") -> DataFrame:
     )
 
 
-def _requests(linked: DataFrame) -> DataFrame:
-    """Every link's wanted shard, and how many of its documents are elsewhere, by shard."""
-    here = linked.groupBy("link", "shard").agg(F.count(F.lit(1)).alias("n"))
-    most = here.groupBy("link").agg(
-        F.max(F.struct("n", F.xxhash64("link", "shard").alias("tie"), "shard")).alias("top"), F.sum("n").alias("all")
+def _requests(linked: DataFrame, loads: DataFrame, quota: int) -> DataFrame:
+    """Every link's wanted shard, and how many of its documents are elsewhere.
+
+    Shards with room for those come first, then the one with most of the documents. A link
+    has at most a row per shard here, and ``loads`` (broadcast) is a row per shard.
+    """
+    here = linked.groupBy("link", "shard").agg(F.count(F.lit(1)).alias("n")).join(F.broadcast(loads), "shard")
+    found = here.groupBy("link").agg(
+        F.sum("n").alias("all"),
+        F.collect_list(F.struct("n", F.xxhash64("link", "shard").alias("tie"), "shard", (F.lit(quota) - F.col("linked")).alias("room"))).alias("places"),
+    )
+    ordered = F.transform("places", lambda x: F.struct((x["room"] >= F.col("all") - x["n"]).alias("fits"), x["n"].alias("n"), x["tie"], x["shard"].alias("shard")))
+    return found.select("link", "all", F.array_max(ordered).alias("top")).select(
+        "link", F.col("top.shard").alias("wanted"), (F.col("all") - F.col("top.n")).alias("moving")
     )
-    return most.select("link", F.col("top.shard").alias("wanted"), (F.col("all") - F.col("top.n")).alias("moving"))
 
 
 def _granted(requests: DataFrame, loads: DataFrame, quota: int) -> DataFrame:
@@ -73,7 +81,7 @@ def propagate(linked: DataFrame, quota: int, rounds: int = 8) -> DataFrame:
     """linked (with link and shard), moved towards neighbours under the quota."""
     for _ in range(rounds):
         loads = linked.groupBy("shard").agg(F.count(F.lit(1)).alias("linked"))
-        grants = written(_granted(_requests(linked), loads, quota), "shard-moves")
+        grants = written(_granted(_requests(linked, loads, quota), loads, quota), "shard-moves")
         if grants.isEmpty():
             break
         joined = linked.join(grants, "link", "left")
