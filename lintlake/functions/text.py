@@ -76,6 +76,18 @@ def extract(value: str, pattern: str, group: int = 1) -> str:
     return f"regexp_extract({value}, {literal(spark_regex(pattern))}, {group})"
 
 
+def chained(operator: str, parts) -> str:
+    """Many operands of one associative operator as a balanced tree, so that it is not deep.
+
+    Plans are sent to tasks by a serializer that goes down a tree with its stack.
+    """
+    parts = list(parts)
+    if len(parts) < 3:
+        return "(" + f" {operator} ".join(parts) + ")"
+    half = len(parts) // 2
+    return f"({chained(operator, parts[:half])} {operator} {chained(operator, parts[half:])})"
+
+
 def any_of(tests) -> str:
     return "(" + " OR ".join(tests) + ")"
 

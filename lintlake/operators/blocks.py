@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 
 from ..functions import folds, text
-from .context import key_columns, keyed
+from .context import key_columns, keyed, known_keys
 
 # Languages whose blocks are braces, and what opens a Python block.
 BRACE_LANGUAGES = (
@@ -74,15 +74,26 @@ def _indent_spans() -> str:
     return folds.running_pieces(items, folds.struct(start="0", base="0"), step, emit, at_end)
 
 
-def _blocks(files: DataFrame, languages, marker: str, spans: str, keys) -> DataFrame:
+_KINDS = {
+    "brace": (BRACE_LANGUAGES, "contains(content, '{')", _brace_spans),
+    "indent": (INDENT_LANGUAGES, text.contains_any("content", ("def ", "class ")), _indent_spans),
+}
+
+
+def _blocks(files: DataFrame, kinds: tuple[str, ...], keys) -> DataFrame:
+    """Blocks of the kinds, in one pass: a file's language says how its spans are found."""
+    keys = known_keys(files, keys)
+    chosen = [_KINDS[kind] for kind in kinds]
+    wanted = text.any_of(f"({text.one_of('language', names)} AND {marker})" for names, marker, _ in chosen)
+    cases = " ".join(f"WHEN {text.one_of('language', names)} THEN {spans()}" for names, _, spans in chosen)
     # Content is cut out before the rows multiply, so a row carries its own block only.
-    cut = f"""transform(transform({spans}, s -> CAST(split(s, ',') AS ARRAY<INT>)),
+    cut = f"""transform(transform(CASE {cases} END, s -> CAST(split(s, ',') AS ARRAY<INT>)),
         b -> named_struct('start_line', b[0], 'end_line', b[1],
           'content', {text.join_lines('slice(lines, b[0], b[1] - b[0] + 1)')}))"""
     return (
         keyed(files, keys)
         .selectExpr("*", f"{text.detect_language_full('path')} AS language")
-        .where(f"{text.one_of('language', languages)} AND {marker}")
+        .where(wanted)
         .selectExpr("key", "path", "language", f"{text.split_lines('content')} AS lines")
         .selectExpr("key", "path", "language", f"posexplode({cut}) AS (block_seq, block)")
         .selectExpr(
@@ -92,16 +103,14 @@ def _blocks(files: DataFrame, languages, marker: str, spans: str, keys) -> DataF
     )
 
 
-def brace_blocks(files: DataFrame, keys: tuple[str, ...] = ("file_seq",)) -> DataFrame:
-    marker = "contains(content, '{')"
-    return _blocks(files, BRACE_LANGUAGES, marker, _brace_spans(), keys)
+def brace_blocks(files: DataFrame, keys: tuple[str, ...] | None = None) -> DataFrame:
+    return _blocks(files, ("brace",), keys)
 
 
-def indent_blocks(files: DataFrame, keys: tuple[str, ...] = ("file_seq",)) -> DataFrame:
-    marker = text.contains_any("content", ("def ", "class "))
-    return _blocks(files, INDENT_LANGUAGES, marker, _indent_spans(), keys)
+def indent_blocks(files: DataFrame, keys: tuple[str, ...] | None = None) -> DataFrame:
+    return _blocks(files, ("indent",), keys)
 
 
-def code_blocks(files: DataFrame, keys: tuple[str, ...] = ("file_seq",)) -> DataFrame:
+def code_blocks(files: DataFrame, keys: tuple[str, ...] | None = None) -> DataFrame:
     """Blocks of every language that has them."""
-    return brace_blocks(files, keys).unionByName(indent_blocks(files, keys))
+    return _blocks(files, ("brace", "indent"), keys)

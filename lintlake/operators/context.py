@@ -69,7 +69,7 @@ def _transitions(language: str) -> str:
     )
     markers = text.contains_any("l", ("/*", "*/", "`", *DOC_QUOTES))
     plain = f"{quiet} + if({comment}, {int(COMMENT) << _FLAG_SHIFT}, 0)"
-    return folds.let("s", text.trim_start("l"), f"if({markers}, {' + '.join(parts)}, {plain})")
+    return folds.let("s", text.trim_start("l"), f"if({markers}, {text.chained('+', parts)}, {plain})")
 
 
 def line_flags(content: str, lines: str, language: str) -> str:
@@ -118,8 +118,16 @@ def key_columns(keys) -> list[str]:
     return [f"key.`{name}`" for name in keys]
 
 
-def lines(files: DataFrame, keys: tuple[str, ...] = ("file_seq",)) -> DataFrame:
+def known_keys(files: DataFrame, keys) -> tuple[str, ...]:
+    """The keys asked for; by default ``file_seq`` where the table has it."""
+    if keys is not None:
+        return tuple(keys)
+    return ("file_seq",) if "file_seq" in files.columns else ()
+
+
+def lines(files: DataFrame, keys: tuple[str, ...] | None = None) -> DataFrame:
     """One row per line, numbered from 1, without context."""
+    keys = known_keys(files, keys)
     return (
         keyed(files, keys)
         .selectExpr("key", "path", f"posexplode({text.split_lines('content')}) AS (pos, text)")
@@ -127,11 +135,15 @@ def lines(files: DataFrame, keys: tuple[str, ...] = ("file_seq",)) -> DataFrame:
     )
 
 
-def line_context(files: DataFrame, keys: tuple[str, ...] = ("file_seq",)) -> DataFrame:
-    """One row per line with ``is_comment``, ``is_string``, ``is_import``, ``is_blank``."""
+def _is_import(flag: str, trimmed: str) -> str:
     # How an import line starts, or what it contains.
-    starts = text.starts_with("trimmed", "import ", "import(", "from ")
-    imports_something = f"({starts} OR contains(trimmed, 'require('))"
+    starts = text.starts_with(trimmed, "import ", "import(", "from ")
+    return f"({flag} <> '{COMMENT}' AND {trimmed} <> '' AND ({starts} OR contains({trimmed}, 'require(')))"
+
+
+def line_context(files: DataFrame, keys: tuple[str, ...] | None = None) -> DataFrame:
+    """One row per line with ``is_comment``, ``is_string``, ``is_import``, ``is_blank``."""
+    keys = known_keys(files, keys)
     return (
         with_lines(keyed(files, keys))
         .selectExpr("key", "path", "posexplode(arrays_zip(lines, flags)) AS (pos, l)")
@@ -143,14 +155,18 @@ def line_context(files: DataFrame, keys: tuple[str, ...] = ("file_seq",)) -> Dat
             "l.lines AS text",
             f"l.flags = '{COMMENT}' AS is_comment",
             f"l.flags = '{STRING}' AS is_string",
-            f"l.flags <> '{COMMENT}' AND trimmed <> '' AND {imports_something} AS is_import",
+            f"{_is_import('l.flags', 'trimmed')} AS is_import",
             "trimmed = '' AS is_blank",
         )
     )
 
 
-def imports(files: DataFrame, keys: tuple[str, ...] = ("file_seq",)) -> DataFrame:
-    """Modules named on import lines, in line order, duplicates kept."""
+def imports(files: DataFrame, keys: tuple[str, ...] | None = None) -> DataFrame:
+    """Modules named on import lines, in line order, duplicates kept.
+
+    Files without a sign of an import are not split, and only modules become rows.
+    """
+    keys = known_keys(files, keys)
     # Where a module's name stands, first hit wins.
     quoted_from = r"""from\s+['"]([^'"]+)['"]"""
     required = r"""require\(\s*['"]([^'"]+)['"]\s*\)"""
@@ -158,19 +174,21 @@ def imports(files: DataFrame, keys: tuple[str, ...] = ("file_seq",)) -> DataFram
     plain_from = r"^from\s+(\w+)"
 
     def hit(pattern: str) -> str:
-        return f"nullif({text.extract('trimmed', pattern)}, '')"
+        return f"nullif({text.extract('l.trimmed', pattern)}, '')"
 
     module = (
         f"coalesce({hit(quoted_from)}, {hit(required)}, "
-        f"if(contains(trimmed, 'from') OR contains(trimmed, '{{'), NULL, {hit(plain_import)}), "
+        f"if(contains(l.trimmed, 'from') OR contains(l.trimmed, '{{'), NULL, {hit(plain_import)}), "
         f"{hit(plain_from)})"
     )
+    numbered = f"named_struct('line', i + 1, 'flag', l.flags, 'trimmed', {text.trim('l.lines')})"
+    found = f"filter(transform(arrays_zip(lines, flags), (l, i) -> {numbered}), l -> {_is_import('l.flag', 'l.trimmed')})"
+    named = f"transform({found}, l -> named_struct('line', l.line, 'module', {module}))"
+    marks = text.contains_any("content", ("import", "from ", "require("))
     return (
-        line_context(files, keys)
-        .where("is_import")
-        .selectExpr("*", f"{text.trim('text')} AS trimmed")
-        .selectExpr(*keys, "path", "line", f"{module} AS module")
-        .where("module IS NOT NULL")
+        with_lines(keyed(files, keys).where(marks))
+        .selectExpr("key", "path", f"explode(filter({named}, m -> m.module IS NOT NULL)) AS m")
+        .selectExpr(*key_columns(keys), "path", "m.line AS line", "m.module AS module")
     )
 
 
@@ -179,8 +197,9 @@ def import_module_counts(files: DataFrame) -> DataFrame:
     return imports(files, keys=()).groupBy("module").agg(F.count("*").alias("imports"))
 
 
-def try_regions(files: DataFrame, keys: tuple[str, ...] = ("file_seq",)) -> DataFrame:
+def try_regions(files: DataFrame, keys: tuple[str, ...] | None = None) -> DataFrame:
     """Start and end line of every outermost ``try`` region."""
+    keys = known_keys(files, keys)
     code = f"""filter(transform(arrays_zip(lines, flags), (l, i) -> named_struct(
         'line', i + 1, 'trimmed', {text.trim('l.lines')}, 'plain', l.flags = '{PLAIN}')),
         l -> l.trimmed <> '')"""

@@ -1,8 +1,10 @@
 """Unified diffs as tables of files, hunks and lines, and as reviewable files.
 
-A diff is cut into files and a file into hunks with ``split`` before rows multiply, so a
-large diff spreads over rows without a shuffle or a window on its id. Lines are numbered
-by a running fold inside the hunk.
+A diff is cut into files and a file into hunks with ``split`` before rows multiply, without a
+shuffle or a window on its id; the rows of a diff stay in the task that read it. Lines are
+numbered by a running fold inside the hunk. What is exploded is an expression rather than a
+column, and files are dropped as array items: filters on columns would be pushed below the
+cuts and cut again.
 """
 
 from __future__ import annotations
@@ -116,8 +118,11 @@ def _number(head: str, group: int, missing: int) -> str:
 def _hunk_rows(diffs: DataFrame, keys: Sequence[str]) -> DataFrame:
     return (
         _file_parts(diffs, keys)
-        .selectExpr("key", "file_seq", "posexplode(hunks) AS (hunk_seq, hunk)")
-        .selectExpr("key", "file_seq", "hunk_seq", f"{text.split_lines('hunk')} AS lines")
+        .selectExpr(
+            "key",
+            "file_seq",
+            f"posexplode(transform(hunks, hunk -> {text.split_lines('hunk')})) AS (hunk_seq, lines)",
+        )
     )
 
 
@@ -160,9 +165,9 @@ def diff_lines(diffs: DataFrame, keys: Sequence[str] = ("diff_id",)) -> DataFram
         .selectExpr("*", f"transform(body, l -> {_KIND}) AS kinds")
         .selectExpr("*", f"{numbers} AS numbers")
         .selectExpr(
-            "key", "file_seq", "hunk_seq", "explode(arrays_zip(body, kinds, numbers)) AS item"
+            "key", "file_seq", "hunk_seq",
+            "explode(filter(arrays_zip(body, kinds, numbers), l -> l.kinds <> 's')) AS item",
         )
-        .where("item.kinds <> 's'")
         .selectExpr(
             "*",
             "item.body AS line",
@@ -206,9 +211,17 @@ def diff_review_files(
     info = "transform(kept, k -> named_struct('new_line', k.new_line, 'is_added', k.is_added))"
     return (
         _with_names(_file_parts(diffs, keys))
-        .where("status <> 'deleted'")
         .selectExpr(
-            "key", "file_seq", "path", f"flatten(transform(hunks, hunk -> {_kept_lines()})) AS kept"
+            "key",
+            "file_seq",
+            "explode(filter(array(named_struct('path', path, 'status', status, 'hunks', hunks)), "
+            "f -> f.status <> 'deleted')) AS f",
+        )
+        .selectExpr(
+            "key",
+            "file_seq",
+            "f.path AS path",
+            f"flatten(transform(f.hunks, hunk -> {_kept_lines()})) AS kept",
         )
         .selectExpr(
             *key_columns(keys), "file_seq", "path",

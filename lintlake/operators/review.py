@@ -104,7 +104,7 @@ class _Plan:
                 f"if({self.applies(r)} AND ({r.needs}), {1 << self.rules.index(r) - first}L, 0L)"
                 for r in chunk
             ]
-            masks.append(let(LOWERED, self.lowered(), " | ".join(bits) or "0L"))
+            masks.append(let(LOWERED, self.lowered(), text.chained("|", bits) if bits else "0L"))
         return masks
 
     def lowered(self) -> str:
@@ -275,27 +275,64 @@ def review(
     severities: Sequence[str] | None = None,
     min_confidence: int = 0,
     use_context: bool = True,
-    keys: Sequence[str] = ("file_seq",),
+    keys: Sequence[str] | None = None,
     line_info: str | None = None,
 ) -> DataFrame:
     """Findings of a (path, content) table, batch or streaming, in no particular order.
 
     ``rules`` holds ids and custom rules; ``categories`` and ``severities`` filter on the
     rule, ``min_confidence`` on the finding. ``use_context=False`` also looks into comments
-    and strings. ``keys`` are columns of ``files`` to keep with each finding, and
+    and strings. ``keys`` are columns of ``files`` to keep with each finding (by default
+    ``file_seq`` where there is one), and
     ``line_info`` names an array of structs, one per line, whose fields go with it.
     """
+    keys = context.known_keys(files, keys)
     info_type = files.schema[line_info].dataType.elementType.simpleString() if line_info else None
+    plan = _plan(rules, categories, severities, min_confidence, info_type)
+    key = F.struct(*keys) if keys else F.lit(None).cast("void")
+    lined, hits = _with_hits(files, plan, key, use_context, line_info)
+    return (
+        lined.selectExpr("key", "path", f"explode({hits}) AS h")
+        .selectExpr("*", f"{plan.texts()}[h.hit.code] AS r")
+        .selectExpr(
+            *[f"key.`{name}`" for name in keys],
+            "path AS file",
+            "h.hit.line AS line",
+            "h.hit.end_line AS end_line",
+            "r.rule AS rule",
+            "r.category AS category",
+            "r.severity AS severity",
+            "r.confidence AS confidence",
+            f"{_filled('r.m')} AS message",
+            "h.snippet AS snippet",
+            f"{_filled('r.s')} AS suggestion",
+            "r.severity_rank AS severity_rank",
+            "r.rule_seq AS rule_seq",
+            "h.hit.seq AS emit_seq",
+            *(["h.info.*"] if line_info else []),
+        )
+        .where(f"confidence >= {min_confidence}" if min_confidence > 0 else "true")
+    )
+
+
+def _plan(rules, categories, severities, min_confidence: int, info_type: str | None = None) -> _Plan:
     order = {rule.id: seq for seq, rule in enumerate(select_rules(rules))}
-    chosen = select_rules(rules, categories, severities)
-    plan = _Plan(chosen, order, min_confidence, info_type)
+    return _Plan(select_rules(rules, categories, severities), order, min_confidence, info_type)
+
+
+def _with_hits(
+    files: DataFrame, plan: _Plan, key, use_context: bool, line_info: str | None = None, all_files: bool = False
+) -> tuple[DataFrame, str]:
+    """A frame with ``key`` and ``path``, and the expression for a file's hits.
+
+    Files that no rule can report on are left out, unless ``all_files``.
+    """
     infos = [F.col(line_info).alias("info")] if line_info else []
     info = "info" if line_info else None
 
     # Decided from the path alone, then from what the content holds at all. A file that no
     # rule is left for is not split into lines. Only the first of the two is a filter: the
     # second would be evaluated again below it when the optimizer pushes it down.
-    key = F.struct(*keys) if keys else F.lit(None).cast("void")
     masks = [f"{mask} AS mask{i}" for i, mask in enumerate(plan.masks())]
     active = [f"{mask} AS mask{i}" for i, mask in enumerate(plan.active_masks())]
     some_rule = " OR ".join(f"mask{i} <> 0" for i in range(len(masks))) or "false"
@@ -303,7 +340,7 @@ def review(
         files.select(key.alias("key"), *infos, "path", "content")
         .selectExpr("*", f"{text.detect_language('path')} AS language")
         .selectExpr("*", *masks)
-        .where(some_rule)
+        .where("true" if all_files else some_rule)
         .selectExpr("key", *([info] if info else []), "path", "content", *active)
     )
 
@@ -319,28 +356,48 @@ def review(
     parts = [plan.file_hits(rule, info) for rule in file_rules]
     if plan.line_rules():
         parts.append(plan.line_hits(info))
-    hits = f"concat({', '.join(parts)})" if parts else plan.nothing()
-    return (
-        lined.selectExpr("key", "path", f"explode({hits}) AS h")
-        .selectExpr("*", f"{plan.texts()}[h.hit.code] AS r")
-        .selectExpr(
-            *[f"key.`{name}`" for name in keys],
-            "path AS file",
-            "h.hit.line AS line",
-            "h.hit.end_line AS end_line",
-            "r.rule AS rule",
-            "r.category AS category",
-            "r.severity AS severity",
-            "r.confidence AS confidence",
-            f"{_filled('r.m')} AS message",
-            "h.snippet AS snippet",
-            f"{_filled('r.s')} AS suggestion",
-            "r.severity_rank AS severity_rank",
-            "r.rule_seq AS rule_seq",
-            "h.hit.seq AS emit_seq",
-            *(["h.info.*"] if info else []),
-        )
-        .where(f"confidence >= {min_confidence}" if min_confidence > 0 else "true")
+    return lined, f"concat({', '.join(parts)})" if parts else plan.nothing()
+
+
+def count_findings(
+    files: DataFrame,
+    by: Sequence[str] = (),
+    *,
+    rules=None,
+    categories: Sequence[str] | None = None,
+    severities: Sequence[str] | None = None,
+    min_confidence: int = 0,
+    use_context: bool = True,
+) -> DataFrame:
+    """A row per file: ``by``, its number of findings of each severity, and ``rules_applied``.
+
+    Findings are counted inside the file's row and never become rows.
+    """
+    plan = _plan(rules, categories, severities, min_confidence)
+    kept = [name for name in by if name != "path"]
+    key = F.struct(*kept) if kept else F.lit(None).cast("void")
+    lined, hits = _with_hits(files, plan, key, use_context, all_files=True)
+    codes: dict[str, list[str]] = {name: [] for name in fv.SEVERITIES}
+    for code, (rule, report) in enumerate(plan.reports):
+        if report.confidence >= min_confidence:
+            codes[report.severity or rule.severity].append(str(code))
+    counts = {
+        name: f"size(filter(codes, c -> c IN ({', '.join(own)})))" if own else "0"
+        for name, own in codes.items()
+    }
+    # Exploding the one struct keeps a filter on the counts from being pushed below them,
+    # where it would repeat the whole review for every count.
+    counted = f"transform(array(transform({hits}, h -> h.hit.code)), codes -> {struct(**counts)})"
+    return lined.selectExpr("key", "path", f"explode({counted}) AS c").selectExpr(
+        *("path" if name == "path" else f"key.`{name}`" for name in by),
+        *(f"c.{name} AS {name}" for name in fv.SEVERITIES),
+        f"{_rules_of_language(plan.rules)} AS rules_applied",
+    )
+
+
+def _rules_of_language(chosen: Sequence[Rule]) -> str:
+    return _per_language(
+        text.detect_language("path"), lambda name: sum(_speaks(rule, name) for rule in chosen)
     )
 
 
@@ -352,19 +409,17 @@ def check_error_handling(files: DataFrame, **options) -> DataFrame:
 def rules_applied(files: DataFrame, rules=None, categories=None, severities=None) -> DataFrame:
     """Add ``rules_applied``: how many of the chosen rules speak the file's language."""
     chosen = select_rules(rules, categories, severities)
-    count = _per_language(
-        text.detect_language("path"), lambda name: sum(_speaks(rule, name) for rule in chosen)
-    )
-    return files.selectExpr("*", f"{count} AS rules_applied")
+    return files.selectExpr("*", f"{_rules_of_language(chosen)} AS rules_applied")
 
 
-def sort_findings(findings: DataFrame, keys: Sequence[str] = ("file_seq",)) -> DataFrame:
+def sort_findings(findings: DataFrame, keys: Sequence[str] | None = None) -> DataFrame:
     """Severity, then confidence; ties in file, rule, line and report order.
 
     A range sort reads its input twice, first for a sample. Findings are therefore put into
     a shuffle of their own, by file and line, so that the sample comes from there and the
     corpus is not reviewed a second time.
     """
+    keys = context.known_keys(findings, keys) or ("file",)
     return findings.repartition(*keys, "line", "rule_seq").orderBy(
         "severity_rank", F.desc("confidence"), *keys, "rule_seq", "line", "emit_seq"
     )

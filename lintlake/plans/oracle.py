@@ -793,6 +793,9 @@ def oracle_sql() -> dict[str, str]:
         )
         SELECT {block_columns.replace('{more}', '')} FROM spans s JOIN f USING (file_seq)"""
     )
+    sql["code_blocks"] = (
+        f"SELECT * FROM ({sql['brace_blocks']}) UNION ALL SELECT * FROM ({sql['indent_blocks']})"
+    )
     sql["diff_files"] = (
         f"WITH {DIFFS} SELECT diff_id, fs::INT AS file_seq, path, old_path, status FROM dstatus"
     )
@@ -882,10 +885,8 @@ def oracle_sql() -> dict[str, str]:
         FROM (SELECT 0 AS k, * FROM x WHERE len(text) > 1000 AND flag = 'plain'
               UNION ALL SELECT 1, * FROM x WHERE n_lines > 40 AND line = 1)"""
     )
-    doc_files = FILES.replace(
-        FILES[FILES.index("  UNION ALL"):], ")"
-    )
-    sql["streaming_review"] = _review(all_rows, files=doc_files)
+    sql["streaming_review"] = sql["findings_all"]
+    sql["streaming_diff_review"] = sql["diff_findings"]
     sql["findings_sink"] = _review(
         "SELECT severity, rule, count(*) AS findings FROM findings GROUP BY severity, rule"
     )

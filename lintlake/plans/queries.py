@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Callable
@@ -13,7 +14,7 @@ from .. import operators as op
 from ..functions import text
 from ..rules import BUILT_IN_RULES, FileRule, LineRule, Report, Test, hit, list_rules, rule_table
 from ..sources import write_findings
-from ..streaming import start_review
+from ..streaming import start_diff_review, start_review
 from . import corpus
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -27,12 +28,17 @@ def _on_diffs(operator: Callable[..., DataFrame], **options) -> Query:
     return lambda spark, sf_dir: operator(corpus.diffs(spark, sf_dir), **options)
 
 
-def _scratch(spark: SparkSession, name: str) -> str:
-    """A new folder below the cluster's shared one; a local one only where none is set."""
-    shared = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get(
-        "spark.checkpoint.dir", None
-    )
-    base = shared or tempfile.mkdtemp(prefix="run-", dir="/tmp")
+def _shared(spark: SparkSession, name: str) -> str:
+    """A new folder below spark.checkpoint.dir, which all executors and the driver share.
+
+    Where it is unset, tests on a local master get a local folder; any other master is
+    refused, for its executors would write to disks of their own.
+    """
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not re.fullmatch(r"local(\[.*\])?", spark.conf.get("spark.master", "")):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        base = tempfile.mkdtemp(prefix="run-", dir="/tmp")
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
@@ -64,8 +70,9 @@ def summary_by_source(spark, sf_dir):
 
 
 def severity_groups(spark, sf_dir):
-    """Groups over the written findings, so that the corpus is reviewed once."""
-    return op.severity_groups(_written_findings(spark, sf_dir))
+    """Groups over the findings, with sizes counted in the files' rows."""
+    files = corpus.files(spark, sf_dir)
+    return op.severity_groups(op.review(files), op.severity_sizes(files))
 
 
 def rule_coverage(spark, sf_dir):
@@ -109,24 +116,34 @@ CUSTOM_RULES = (
 )
 
 
-def streaming_review(spark, sf_dir):
-    """The documents table as a stream, reviewed to a Parquet sink that is read back."""
-    schema = corpus.documents(spark, sf_dir).schema
-    stream = (
-        spark.readStream.schema(schema)
-        .option("pathGlobFilter", "documents.parquet")
-        .parquet(sf_dir)
-    )
-    output, checkpoint = _scratch(spark, "findings"), _scratch(spark, "progress")
-    query = start_review(
-        corpus.document_files(stream), output, checkpoint, available_now=True
-    )
-    query.awaitTermination()
+def _table_stream(spark, sf_dir, name, schema):
+    # A pattern, since a stream takes a single file by a pattern only; a folder works as well.
+    return spark.readStream.schema(schema).parquet(f"{sf_dir}/{name}.parque[t]")
+
+
+def _streamed(spark, start, stream):
+    """What a stream writes until it has seen all there is, read back."""
+    output = _shared(spark, "findings")
+    start(stream, output, _shared(spark, "progress"), available_now=True).awaitTermination()
     return spark.read.parquet(output)
 
 
+def streaming_review(spark, sf_dir):
+    """Documents and pages as streams, reviewed to a Parquet sink that is read back."""
+    documents = _table_stream(spark, sf_dir, "documents", corpus.documents(spark, sf_dir).schema)
+    pages = _table_stream(spark, sf_dir, "pages", corpus.pages(spark, sf_dir).schema)
+    files = corpus.document_files(documents).unionByName(corpus.page_files(pages))
+    return _streamed(spark, start_review, files)
+
+
+def streaming_diff_review(spark, sf_dir):
+    """The documents' diffs as a stream, reviewed to a Parquet sink that is read back."""
+    documents = _table_stream(spark, sf_dir, "documents", corpus.documents(spark, sf_dir).schema)
+    return _streamed(spark, start_diff_review, corpus.document_diffs(documents))
+
+
 def _written_findings(spark, sf_dir):
-    output = _scratch(spark, "findings")
+    output = _shared(spark, "findings")
     write_findings(op.review(corpus.files(spark, sf_dir)), output)
     return spark.read.parquet(output)
 
@@ -150,6 +167,7 @@ def queries() -> dict[str, Query]:
         "try_regions": _on_files(op.try_regions),
         "brace_blocks": _on_files(op.brace_blocks),
         "indent_blocks": _on_files(op.indent_blocks),
+        "code_blocks": _on_files(op.code_blocks),
         "diff_files": _on_diffs(op.diff_files),
         "diff_hunks": _on_diffs(op.diff_hunks),
         "diff_lines": _on_diffs(op.diff_lines),
@@ -171,6 +189,7 @@ def queries() -> dict[str, Query]:
         "rule_coverage": rule_coverage,
         "custom_rules": _on_files(op.review, rules=CUSTOM_RULES),
         "streaming_review": streaming_review,
+        "streaming_diff_review": streaming_diff_review,
         "findings_sink": findings_sink,
     }
     for rule in BUILT_IN_RULES:

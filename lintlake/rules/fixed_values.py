@@ -182,14 +182,36 @@ TEXTS = {
     ),
 }
 
-# Patterns.
-CATCH_EMPTY = r"catch\s*+(?:\([^)]*+\))?+\s*+\{\s*+\}"
-CATCH_AT_END = r"catch\s*+(?:\([^)]*+\))?+\s*+\{?+\s*+\z"
-CATCH_OPENS = r"catch\s*+(?:\([^)]*+\))?+\s*+\{"
+# Patterns. A keyword and what follows anywhere after it would be tried from every keyword
+# to the end of the line. Only the first keyword of a stretch without line ends (or without
+# closing brackets) can matter, so a stretch is entered once, at its start.
+_IN_LINE = r"[^\n\r\u2028\u2029]"
+_LINE_START = r"(?:^|[\n\r\u2028\u2029])"
+
+
+def _then(keyword: str, tail: str) -> str:
+    """``keyword.*tail``, in time that grows with the line only."""
+    return rf"{_LINE_START}(?>{_IN_LINE}*?{keyword}){_IN_LINE}*?{tail}"
+
+
+def _spaced_then(keyword: str, tail: str) -> str:
+    r"""``keyword\s+.*tail``; the space may hold line ends, and the tail starts with none."""
+    over = rf"{keyword}(?:(?![\n\r\u2028\u2029])\s)*+[\n\r\u2028\u2029]\s*+{_IN_LINE}*?{tail}"
+    return _then(rf"{keyword}(?=\s)", tail) + "|" + over
+
+
+def _catch(tail: str) -> str:
+    """``catch``, with or without a bracket that ends, and what follows."""
+    return rf"(?:^|\))(?>[^)]*?catch\s*+\()[^)]*+\){tail}|catch{tail}"
+
+
+CATCH_EMPTY = _catch(r"\s*+\{\s*+\}")
+CATCH_AT_END = _catch(r"\s*+\{?+\s*+\z")
+CATCH_OPENS = _catch(r"\s*+\{")
 CATCH_GENERIC = r"catch\s*+\(\s*+(?:e|err|error|ex|exception)\s*+\)\s*+\{"
 LOG_CALL = r"^console\.(?:log|warn|error|info|debug)\("
 BARE_THROW = r"^throw\s+(?:e|err|error|ex|exception)\s*+;?+\s*+\z"
-CALL_AT_END = r"\w\([^)]*+\)\s*+;?+\s*+\z"
+CALL_AT_END = r"(?:^|\))(?>[^)]*?\w\()[^)]*+\)\s*+;?+\s*+\z"
 ASYNC_FUNCTION = r"async\s+function\s+\w|async\s*+\(|async\s*+\w++\s*+=>"
 AWAIT = r"\bawait\b"
 TRY = r"\btry\b"
@@ -206,9 +228,10 @@ SECRETS = (
     ("AWS access key", r"""(?i)(?:aws_access_key_id)\s*[:=]\s*['"]AKIA[A-Z0-9]{16}['"]"""),
     ("private key", r"-----BEGIN (?:RSA |EC )?PRIVATE KEY-----"),
 )
-SQL_TEMPLATE = r"(?:SELECT|INSERT|UPDATE|DELETE|DROP)\s+.*\$\{"
-SQL_CONCAT = r"""(?:SELECT|INSERT|UPDATE|DELETE|DROP)\s+.*['"]\s*\+"""
-SQL_FSTRING = r"""f['"](?:SELECT|INSERT|UPDATE|DELETE|DROP)\s+.*\{"""
+SQL_WORD = r"(?:SELECT|INSERT|UPDATE|DELETE|DROP)"
+SQL_TEMPLATE = _spaced_then(SQL_WORD, r"\$\{")
+SQL_CONCAT = _spaced_then(SQL_WORD, r"""['"]\s*+\+""")
+SQL_FSTRING = _spaced_then(rf"""f['"]{SQL_WORD}""", r"\{")
 SHELL_EXEC = r"exec\s*\(\s*`"
 PY_SYSTEM = r"os\.system\s*\("
 PY_SUBPROCESS = r"""subprocess\.call\s*\(\s*['"`f]"""
@@ -222,10 +245,10 @@ PY_ENVIRON_GET = r"""os\.environ\.get\(\s*['"](\w+)['"]\s*,\s*['"`]"""
 PY_GETENV_OR = r"""os\.getenv\(\s*['"](\w+)['"]\s*\)\s+or\s+['"`]"""
 DEBUG_ASSIGN = r"\bDEBUG\s*=\s*(?:True|true)\b"
 DEBUG_OPTION = r"\bdebug\s*:\s*true\b"
-NODE_ENV_DEV = r"""NODE_ENV.*(?:\|\||\?\?)\s*['"]development['"]"""
+NODE_ENV_DEV = _then("NODE_ENV", r"""(?:\|\||\?\?)\s*+['"]development['"]""")
 CORS_HEADER = r"""Access-Control-Allow-Origin['"]\s*[,:]\s*['"]\s*\*"""
-CORS_OPTION = r"""cors\s*\(\s*\{[^}]*origin\s*:\s*['"]\*['"]"""
-CORS_ORIGINS = r"""(?:ALLOWED_ORIGINS|allowed_origins|allowedOrigins).*['"]\*['"]"""
+CORS_OPTION = r"""(?:^|\})(?>[^}]*?cors\s*+\(\s*+\{)[^}]*?origin\s*+:\s*+['"]\*['"]"""
+CORS_ORIGINS = _then("(?:ALLOWED_ORIGINS|allowed_origins|allowedOrigins)", r"""['"]\*['"]""")
 JS_WEAK_HASH = r"""(?i)createHash\s*\(\s*['"](?:md5|sha1)['"]\s*\)"""
 PY_WEAK_HASH = r"(?i)hashlib\.(?:md5|sha1)\s*\("
 ECB_MODE = r"""(?i)(?:AES\.MODE_ECB|AES/ECB|mode\s*[:=]\s*['"]?ECB)"""

@@ -5,11 +5,10 @@ from .files import (
     files_from_directory,
     files_from_rows,
     files_from_table,
-    spread_small,
 )
 from .sinks import write_findings
 
 __all__ = [
     "diffs_from_directory", "files_from_directory", "files_from_rows", "files_from_table",
-    "spread_small", "write_findings",
+    "write_findings",
 ]

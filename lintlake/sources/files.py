@@ -2,10 +2,17 @@
 
 from __future__ import annotations
 
+import os
+import re
+from urllib.parse import unquote
+
 from pyspark.sql import DataFrame, SparkSession
 
+from ..functions.text import literal
+
 FILES_SCHEMA = "file_seq bigint, path string, content string"
 DIFFS_SCHEMA = "diff_id bigint, raw string"
+_SCHEME = r"^[A-Za-z][A-Za-z0-9+.-]*:(?://[^/]*)?(?=/)"
 
 
 def files_from_rows(spark: SparkSession, rows) -> DataFrame:
@@ -14,45 +21,48 @@ def files_from_rows(spark: SparkSession, rows) -> DataFrame:
     return spark.createDataFrame(numbered, FILES_SCHEMA)
 
 
-def files_from_directory(spark: SparkSession, root: str, glob: str | None = None) -> DataFrame:
+def files_from_directory(
+    spark: SparkSession, root: str, glob: str | None = None, partitions: int | None = None
+) -> DataFrame:
     """One row per file below ``root``: ``path`` relative to it, and ``content``.
 
-    Bytes that are no UTF-8 become replacement characters. Spark's file sources do not list
-    files of zero length; where those must count as reviewed, bring the files as a table.
-    Small files are packed into splits of ``spark.sql.files.maxPartitionBytes``. Store a
-    corpus that is read often as a table instead and use :func:`files_from_table`.
+    Bytes that are no UTF-8 become replacement characters. Small files are packed into splits
+    of ``spark.sql.files.maxPartitionBytes``; ``partitions`` deals the rows out anew. Spark's
+    scan passes over files of zero length, so those come from its listing of the folder,
+    less the files that the scan has. Store a corpus that is read often as a table instead
+    and use :func:`files_from_table`.
     """
     reader = spark.read.format("binaryFile").option("recursiveFileLookup", True)
     if glob:
         reader = reader.option("pathGlobFilter", glob)
-    base = spark._jvm.org.apache.hadoop.fs.Path(root)
-    base = base.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(base).toString()
-    return reader.load(root).selectExpr(
-        f"substring(path, {len(base.rstrip('/')) + 2}) AS path",
-        "make_valid_utf8(CAST(content AS STRING)) AS content",
+    found = reader.load(root)
+    listed = spark.createDataFrame([(unquote(name),) for name in found.inputFiles()], "path string")
+    rows = found.selectExpr(
+        f"{_below(root)} AS path", "make_valid_utf8(CAST(content AS STRING)) AS content"
     )
+    empty = listed.selectExpr(f"{_below(root)} AS path").join(
+        found.selectExpr(f"{_below(root)} AS path"), "path", "left_anti"
+    )
+    rows = rows.unionByName(empty.selectExpr("path", "'' AS content"))
+    return rows.repartition(partitions) if partitions else rows
 
 
-def files_from_table(df: DataFrame, path: str = "path", content: str = "content") -> DataFrame:
-    """Name a table's path and content columns; the other columns stay and can be keys."""
-    return df.withColumnsRenamed({path: "path", content: "content"})
+def _below(root: str) -> str:
+    """The column ``path`` without scheme, authority and the folder ``root``."""
+    folder = re.sub(_SCHEME, "", root) if re.match(_SCHEME, root) else os.path.abspath(root)
+    start = len(folder.rstrip("/")) + 2
+    return f"substring(regexp_replace(path, {literal(_SCHEME)}, ''), {start})"
 
 
-def spread_small(df: DataFrame, key: str) -> DataFrame:
-    """Spread an input over all cores where it is too small to fill them.
+def files_from_table(
+    df: DataFrame, path: str = "path", content: str = "content", partitions: int | None = None
+) -> DataFrame:
+    """Name a table's path and content columns; the other columns stay and can be keys.
 
-    A small table often is one row group and would be reviewed by one core. From one
-    scan split per core on, the scan's own partitions are kept and nothing is shuffled.
+    Partitions of the scan are kept unless ``partitions`` asks for others.
     """
-    spark = df.sparkSession
-    cores = spark.sparkContext.defaultParallelism
-    split = spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(
-        spark.conf.get("spark.sql.files.maxPartitionBytes")
-    )
-    size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
-    if int(size) >= cores * split:
-        return df
-    return df.repartition(cores, key)
+    named = df.withColumnsRenamed({path: "path", content: "content"})
+    return named.repartition(partitions) if partitions else named
 
 
 def diffs_from_directory(spark: SparkSession, root: str, glob: str = "*.diff") -> DataFrame:

@@ -1,5 +1,15 @@
 """Review of streams."""
 
-from .continuous import diff_stream, file_stream, start_diff_review, start_review
+from .continuous import (
+    diff_directory_stream,
+    diff_stream,
+    file_directory_stream,
+    file_stream,
+    start_diff_review,
+    start_review,
+)
 
-__all__ = ["diff_stream", "file_stream", "start_diff_review", "start_review"]
+__all__ = [
+    "diff_directory_stream", "diff_stream", "file_directory_stream", "file_stream",
+    "start_diff_review", "start_review",
+]

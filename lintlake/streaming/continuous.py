@@ -13,6 +13,8 @@ from ..operators.diff import review_diffs
 from ..operators.review import review
 from ..sources.files import DIFFS_SCHEMA, FILES_SCHEMA
 
+_BINARY = "path string, modificationTime timestamp, length bigint, content binary"
+
 
 def file_stream(
     spark: SparkSession, directory: str, schema: str = FILES_SCHEMA, max_files: int | None = None
@@ -31,6 +33,28 @@ def diff_stream(
     return file_stream(spark, directory, schema, max_files)
 
 
+def file_directory_stream(
+    spark: SparkSession, root: str, glob: str | None = None, max_files: int | None = None
+) -> DataFrame:
+    """Source files that arrive in a directory, as (path, content) rows with the whole path.
+
+    Files of zero length are not seen by a stream.
+    """
+    reader = spark.readStream.format("binaryFile").schema(_BINARY).option("recursiveFileLookup", True)
+    for name, value in (("pathGlobFilter", glob), ("maxFilesPerTrigger", max_files)):
+        if value:
+            reader = reader.option(name, value)
+    return reader.load(root).selectExpr("path", "make_valid_utf8(CAST(content AS STRING)) AS content")
+
+
+def diff_directory_stream(
+    spark: SparkSession, root: str, glob: str = "*.diff", max_files: int | None = None
+) -> DataFrame:
+    """Diff files that arrive in a directory; the whole path is the ``diff_id``."""
+    files = file_directory_stream(spark, root, glob, max_files)
+    return files.withColumnsRenamed({"path": "diff_id", "content": "raw"})
+
+
 def start_review(
     stream: DataFrame, output: str, checkpoint: str, available_now: bool = False, **options
 ) -> StreamingQuery:

@@ -1,14 +1,20 @@
 """Sources, sink and streams."""
 
-from lintlake.operators import review, review_diffs
+from lintlake.operators import lines, review, review_diffs, sort_findings, summarize, summary_by_file
 from lintlake.sources import (
     diffs_from_directory,
     files_from_directory,
     files_from_table,
-    spread_small,
     write_findings,
 )
-from lintlake.streaming import diff_stream, file_stream, start_diff_review, start_review
+from lintlake.streaming import (
+    diff_directory_stream,
+    diff_stream,
+    file_directory_stream,
+    file_stream,
+    start_diff_review,
+    start_review,
+)
 
 FILES = [("a.ts", "eval(x)\n// TODO: y"), ("b.py", "pickle.load(f)"), ("c.md", "eval(z)")]
 
@@ -44,8 +50,24 @@ def test_table_with_other_names(spark):
     assert (row.repo, row.rule) == ("r", "SEC001")
 
 
-def test_small_inputs_are_spread(spark, make_files):
-    assert spread_small(make_files(FILES), "file_seq").rdd.getNumPartitions() == 4
+def test_partitions_are_kept_unless_asked_for(spark, make_files):
+    files = make_files(FILES).coalesce(2)
+    assert files_from_table(files).rdd.getNumPartitions() == 2
+    assert files_from_table(files, partitions=5).rdd.getNumPartitions() == 5
+
+
+def test_empty_files_count(spark, tmp_path):
+    (tmp_path / "full.ts").write_text("eval(x)")
+    (tmp_path / "empty 1%.ts").write_text("")
+    files = files_from_directory(spark, str(tmp_path))
+    assert {(r.path, r.content) for r in files.collect()} == {("full.ts", "eval(x)"), ("empty 1%.ts", "")}
+    assert summarize(files).first().files_reviewed == 2
+    assert lines(files).where("path = 'empty 1%.ts'").count() == 1
+    # The other operators work without keys as well.
+    assert ids(review(files)) == [("full.ts", 1, "SEC001")]
+    assert [r.path for r in summary_by_file(files).where("total_findings = 0").collect()] == ["empty 1%.ts"]
+    assert sort_findings(review(files)).count() == 1
+    assert files_from_directory(spark, "file://" + str(tmp_path)).select("path").count() == 2
 
 
 def test_sink(spark, make_files, tmp_path):
@@ -81,3 +103,16 @@ def test_diff_stream(spark, tmp_path):
         diff_stream(spark, source), output, progress, available_now=True
     ).awaitTermination()
     assert ids(spark.read.parquet(output)) == ids(review_diffs(diffs))
+
+
+def test_directory_streams(spark, tmp_path):
+    (tmp_path / "src").mkdir()
+    (tmp_path / "src" / "a.ts").write_text("eval(x)")
+    (tmp_path / "src" / "b.diff").write_text("diff --git a/x.ts b/x.ts\n@@ -1 +1 @@\n+eval(x)\n")
+    for name, start, stream in (
+        ("files", start_review, file_directory_stream(spark, str(tmp_path / "src"), "*.ts")),
+        ("diffs", start_diff_review, diff_directory_stream(spark, str(tmp_path / "src"))),
+    ):
+        output = str(tmp_path / f"{name}-out")
+        start(stream, output, str(tmp_path / f"{name}-progress"), available_now=True).awaitTermination()
+        assert [r.rule for r in spark.read.parquet(output).collect()] == ["SEC001"]

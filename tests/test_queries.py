@@ -10,6 +10,7 @@ import __spark_entry__ as entry_point
 from lintlake import operators as op
 from lintlake.operators import review
 from lintlake.plans import oracle
+from lintlake.plans import queries as registered
 from random_files import random_files
 
 DATA = Path("/root/testdata/sf0.001")
@@ -27,13 +28,16 @@ def duck():
 
 
 def test_every_query_has_sql():
-    assert set(entry_point.queries()) == set(SQL)
+    """But for those of the optional subpackage, which SQL cannot all express."""
+    assert set(registered.queries()) == set(oracle.oracle_sql())
+    assert set(SQL) <= set(entry_point.queries())
 
 
 @pytest.mark.parametrize("name", [
-    "line_context", "imports", "try_regions", "brace_blocks", "indent_blocks", "diff_lines",
-    "diff_files", "findings_all", "findings_no_context", "diff_findings_mapped", "summary_by_file",
-    "rule_coverage", "custom_rules",
+    "line_context", "imports", "try_regions", "brace_blocks", "indent_blocks", "code_blocks",
+    "diff_lines", "diff_files", "findings_all", "findings_no_context", "diff_findings_mapped",
+    "summary", "summary_by_file", "summary_by_source", "diff_summary", "severity_groups",
+    "rule_coverage", "custom_rules", "streaming_review", "streaming_diff_review", "findings_sink",
 ])
 def test_query(spark, duck, name):
     df = entry_point.queries()[name](spark, str(DATA))
@@ -45,6 +49,41 @@ def test_query(spark, duck, name):
     assert got == sorted((tuple(r[i] for i in order) for r in expected.fetchall()), key=str)
 
 
+def _plans(df):
+    execution = df._jdf.queryExecution()
+    return execution.optimizedPlan().toString(), execution.executedPlan().toString()
+
+
+def test_registered_plans(spark):
+    """No shuffle but for aggregates and sorts, one scan of each table, every cut made once."""
+    known, folder = registered.queries(), str(DATA)
+    for name in ("findings_all", "summary_by_file", "imports", "code_blocks", "diff_findings"):
+        assert "Exchange" not in _plans(known[name](spark, folder))[1], name
+    for name in ("summary", "summary_by_file", "summary_by_source", "diff_summary", "code_blocks"):
+        tables = 1 if name in ("summary_by_source", "diff_summary") else 2
+        assert _plans(known[name](spark, folder))[0].count("Relation [") == tables, name
+    for name in ("diff_hunks", "diff_lines", "diff_review_text", "diff_findings", "diff_summary"):
+        optimized = _plans(known[name](spark, folder))[0]
+        assert optimized.count("(?=diff --git)") == 1, name
+        assert optimized.count("(?=@@)") == 1, name
+
+
+def test_no_local_folder_on_a_cluster(monkeypatch):
+    class Conf:
+        values = {"spark.master": "spark://host:7077"}
+
+        def get(self, name, default=None):
+            return self.values.get(name, default)
+
+    class Session:
+        conf = Conf()
+
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        registered._shared(Session, "findings")
+    Conf.values["spark.checkpoint.dir"] = "hdfs://store/shared"
+    assert registered._shared(Session, "findings").startswith("hdfs://store/shared/findings-")
+
+
 def test_entry(spark):
     assert entry_point.entry(spark).count() > 0
 

@@ -1,5 +1,6 @@
 """Filters, order, summaries, custom rules, and properties of a review."""
 
+import time
 from dataclasses import replace
 
 import pytest
@@ -160,6 +161,24 @@ def test_hard_lines_end_soon(make_files, line):
     review(make_files([("a.ts", content), ("a.py", content)])).count()
 
 
+@pytest.mark.parametrize("line", [
+    'if(process.env.NODE_ENV!=="production")x();' * 40000, "x.allowedOrigins=y;'" * 40000,
+    "SELECT a from b;" * 40000 + "+ {", "f(" * 40000 + ".then(", "catch(" * 40000, "cors({" * 40000,
+    "SELECT\r" * 40000 + "+ {", "f'SELECT a;" * 40000 + "{", "catch(e" * 40000 + ")",
+], ids=lambda line: line[:12].strip("\r"))
+def test_repeated_keywords_take_linear_time(make_files, line):
+    """Each of these took minutes or hours when every keyword was tried to the line's end."""
+    start = time.monotonic()
+    review(make_files([("a.ts", line), ("a.py", line)])).count()
+    assert time.monotonic() - start < 30
+
+
+def test_keywords_across_carriage_returns(make_files):
+    lines = ["SELECT\rx' + y", "SELECT a\rb' + y", "x\rSELECT a' + y", "SELECT \r\u2028 `${a}", "aSELECTED SELECT q` ${a}"]
+    files = make_files([(f"{i}.ts", line) for i, line in enumerate(lines)])
+    assert [f[0] for f in ids(review(files, rules=["SEC004"]))] == ["0.ts", "2.ts", "3.ts", "4.ts"]
+
+
 def test_long_file(make_files):
     content = "\n".join(["x = `", "eval(a)", "`", "try { eval(b) } catch (e) {", "}"] * 20000)
     counts = {r["rule"]: r["count"] for r in review(
