@@ -174,7 +174,7 @@ def test_repeated_keywords_take_linear_time(make_files, line):
 
 
 def test_keywords_across_carriage_returns(make_files):
-    lines = ["SELECT\rx' + y", "SELECT a\rb' + y", "x\rSELECT a' + y", "SELECT \r\u2028 `${a}", "aSELECTED SELECT q` ${a}"]
+    lines = ["SELECT\rx' + y", "SELECT a\rb' + y", "x\rSELECT a' + y", "SELECT \r\u2028 `${a}`", "aSELECTED SELECT q` ${a}`"]
     files = make_files([(f"{i}.ts", line) for i, line in enumerate(lines)])
     assert [f[0] for f in ids(review(files, rules=["SEC004"]))] == ["0.ts", "2.ts", "3.ts", "4.ts"]
 
