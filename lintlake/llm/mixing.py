@@ -136,15 +136,14 @@ def _settle(share: np.ndarray, rows: np.ndarray, size: np.ndarray, random: np.ra
     return land(out, rows, size)
 
 
-def _flight(last: bool):
-    def run(block: pa.Table) -> pa.Table:
-        block = block.sort_by([("row_key", "ascending"), ("size", "ascending")])
-        seed = zlib.crc32(f"{block['source'][0]}/{block['block'][0]}/{block['level'][0]}".encode())
-        rows, size = block["rows"].to_numpy(), block["size"].to_numpy() * block["rows"].to_numpy()
-        share = (_settle if last else fly)(block["share"].to_numpy(), rows, size, np.random.default_rng(seed))
-        return block.set_column(block.column_names.index("share"), "share", pa.array(share))
-
-    return run
+def _flown(block: pa.Table) -> pa.Table:
+    """A block after its flight; a source's only block is settled."""
+    block = block.sort_by([("row_key", "ascending"), ("size", "ascending")])
+    seed = zlib.crc32(f"{block['source'][0]}/{block['block'][0]}/{block['level'][0]}".encode())
+    rows, size = block["rows"].to_numpy(), block["size"].to_numpy() * block["rows"].to_numpy()
+    move = _settle if block["blocks"][0].as_py() == 1 else fly
+    share = move(block["share"].to_numpy(), rows, size, np.random.default_rng(seed))
+    return block.set_column(block.column_names.index("share"), "share", pa.array(share))
 
 
 def balanced_sample(units: DataFrame, block: int = BLOCK) -> DataFrame:
@@ -162,7 +161,7 @@ def balanced_sample(units: DataFrame, block: int = BLOCK) -> DataFrame:
     most = rows.agg(F.max("blocks")).first()[0] or 0
     while most:
         dealt = rows.withColumn("block", bucket_of("row_key", buckets=F.col("blocks"), seed=level)).withColumn("level", F.lit(level))
-        flown = dealt.groupBy("source", "block").applyInArrow(_flight(most == 1), schema).select(columns)
+        flown = dealt.groupBy("source", "block").applyInArrow(_flown, schema).select(columns)
         flown = written(flown.withColumn("blocks", F.ceil(F.col("blocks") * 2 / block).cast("long")), f"mix-level-{level}")
         out = out.unionByName(flown.where(~is_open))
         rows, level = flown.where(is_open), level + 1
