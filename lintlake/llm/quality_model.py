@@ -20,6 +20,7 @@ empty tables.
 from __future__ import annotations
 
 import zlib
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -49,24 +50,48 @@ def shape(word: str) -> str:
     return "".join(out[:12])
 
 
+def core_and_shape(word: str) -> tuple[str, str]:
+    """Letters and digits of a word in lower case, and its shape; most words the short way."""
+    last = word[-1:]
+    body, mark = (word, "") if last.isalnum() else (word[:-1], last)
+    if body.isalpha():
+        if body.islower():
+            return body, "a" + mark
+        if body[1:].islower() and body[0].isupper():
+            return body.lower(), "Aa" + mark
+    return "".join(filter(str.isalnum, word)).lower(), shape(word)
+
+
 class Marks(dict):
     """Word to its two marks in one number; kept for a bounded number of words."""
 
+    def __init__(self):
+        self.forms: dict[str, int] = {}
+
     def __missing__(self, word: str) -> int:
-        core = "".join(filter(str.isalnum, word)).lower()
+        core, form = core_and_shape(word)
         bucket = 1 + zlib.crc32(core.encode("utf-8", "replace")) % (WORDS - 1)
-        form = 2 + zlib.crc32(shape(word).encode("utf-8", "replace")) % (SHAPES - 2)
+        number = self.forms.get(form)
+        if number is None:
+            number = self.forms[form] = 2 + zlib.crc32(form.encode("utf-8", "replace")) % (SHAPES - 2)
         if len(self) >= 300_000:
             self.clear()
-        found = self[word] = bucket * SHAPES + form
+            self.forms.clear()
+        found = self[word] = bucket * SHAPES + number
         return found
 
 
-def marks_of(words: list[str], known: Marks) -> tuple[np.ndarray, np.ndarray]:
-    """Word bucket and shape of every word; shape 1 for a word equal to the one before it."""
-    both = np.array([known[w] for w in words], np.int64)
+def marks_of(words: list[str], known: Marks, starts: np.ndarray | int = 0) -> tuple[np.ndarray, np.ndarray]:
+    """Word bucket and shape of every word; shape 1 for a word equal to the one before it.
+
+    ``starts`` are the places where texts begin.
+    """
+    both = np.fromiter(map(known.__getitem__, words), np.int64, len(words))
     bucket, form = both // SHAPES, both % SHAPES
-    form[1:][both[1:] == both[:-1]] = 1
+    again = np.zeros(len(both), bool)
+    again[1:] = both[1:] == both[:-1]
+    again[starts] = False
+    form[again] = 1
     return bucket, form + WORDS
 
 
@@ -95,16 +120,21 @@ def _parts(texts: list[str]):
         yield part
 
 
+def _joined(part: list[tuple[int, list[str]]]) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """All words of a part, where each text starts, and each word's place among the texts."""
+    sizes = np.array([len(words) for _, words in part])
+    return list(chain.from_iterable(words for _, words in part)), np.cumsum(sizes) - sizes, np.repeat(np.arange(len(part)), sizes)
+
+
 def _accumulate(texts: list[str], known: Marks, sums: np.ndarray, counts: np.ndarray, index) -> None:
     places, signs = index
     for part in _parts(texts):
-        pad = [_PAD] * _REACH
-        buckets, forms = [], []
-        for _, words in part:
-            b, f = marks_of(words, known)
-            buckets += [b, pad]
-            forms += [f, pad]
-        b, f = np.concatenate(buckets).astype(np.int64), np.concatenate(forms).astype(np.int64)
+        words, starts, owner = _joined(part)
+        bucket, form = marks_of(words, known, starts)
+        # Padding between texts, so that no window reaches from one into the next.
+        at = np.arange(len(words)) + _REACH * owner
+        b, f = np.full((2, len(words) + _REACH * len(part)), _PAD, np.int64)
+        b[at], f[at] = bucket, form
         counts += np.bincount(b, minlength=MARKS) + np.bincount(f, minlength=MARKS)
         pairs = [(b[:-o], b[o:]) for o in range(1, _REACH + 1)] + [(b[o:], b[:-o]) for o in range(1, _REACH + 1)]
         pairs += [(f[:-1], f[1:]), (f[1:], f[:-1]), (f, f), (b, f)]
@@ -155,18 +185,15 @@ class QualityModel:
         length = np.zeros(len(texts))
         for part in _parts(texts):
             owner = np.array([i for i, _ in part])
-            sizes = np.array([len(words) for _, words in part])
-            starts = np.cumsum(sizes) - sizes
-            found = [marks_of(words, known) for _, words in part]
-            for side in (0, 1):
-                mark = np.concatenate([x[side] for x in found])
+            words, starts, _ = _joined(part)
+            for side, mark in enumerate(marks_of(words, known, starts)):
                 w = self.weight[mark] if side == 0 else np.ones(len(mark), np.float32)
                 v = self.vectors[mark]
                 np.add.at(total, (owner, slice(side * WIDTH, (side + 1) * WIDTH)), np.add.reduceat(v * w[:, None], starts))
                 np.add.at(mass, (owner, side), np.add.reduceat(w, starts))
                 if side:
                     np.add.at(total, (owner, slice(2 * WIDTH, None)), np.add.reduceat(v * v, starts))
-            np.add.at(length, owner, sizes)
+            np.add.at(length, owner, np.diff(np.append(starts, len(words))))
         out = total / np.maximum(mass[:, [0] * WIDTH + [1] * 2 * WIDTH], 1e-9)
         out[:, 2 * WIDTH :] -= out[:, WIDTH : 2 * WIDTH] ** 2
         return np.hstack([out, np.log1p(length)[:, None]])

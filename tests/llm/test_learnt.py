@@ -155,6 +155,14 @@ def test_quality_of_odd_rows(odd_docs, make_docs, labels_of):
         assert quality_model.score_documents(make_docs([]), labels).count() == 0
 
 
+def test_shapes():
+    assert [quality_model.shape(w) for w in ("Ab,", "ABC!!", "x1y22", "|", "é***")] == ["Aa,", "A!", "a0a0", "|", "a*"]
+    rng = random.Random(5)
+    for _ in range(5000):
+        word = "".join(rng.choice("aBcÉéǅ漢1.,!*ß") for _ in range(rng.randint(1, 6)))
+        assert quality_model.core_and_shape(word) == ("".join(filter(str.isalnum, word)).lower(), quality_model.shape(word)), word
+
+
 def test_index_vectors_by_hand():
     known, index = quality_model.Marks(), quality_model.index_vectors()
     text = "one two one two three"
