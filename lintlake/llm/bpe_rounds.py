@@ -14,7 +14,7 @@ import numpy as np
 
 from .piece_model import NO_RANK, SPACE_CODE, PieceModel
 
-BATCH_CODES = 1_500_000
+BATCH_CODES = 500_000
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
