@@ -81,17 +81,17 @@ def judge(
     """
     rates = host_rates(count_rules(docs.select(host, text), text), host)
     verdicts = rates.select(
-        F.col("host").alias("_verdict_host"), F.col("any_rate").alias("_host_rate"),
-        *((F.col(f"{r}_rate") > rule_rate).alias(f"_usual_{r}") for r in RULES),
+        F.col("host").alias("__llm_verdict_host"), F.col("any_rate").alias("__llm_host_rate"),
+        *((F.col(f"{r}_rate") > rule_rate).alias(f"__llm_usual_{r}") for r in RULES),
     )
     counted = count_rules(docs, text)
-    joined = counted.join(verdicts, counted[host].eqNullSafe(verdicts["_verdict_host"]), "left")
-    usual = " OR ".join(f"(_usual_{r} AND ({rule}))" for r, rule in RULES.items())
+    joined = counted.join(verdicts, counted[host].eqNullSafe(verdicts["__llm_verdict_host"]), "left")
+    usual = " OR ".join(f"(__llm_usual_{r} AND ({rule}))" for r, rule in RULES.items())
     base = " OR ".join(f"({RULES[r]})" for r in BASE)
     return joined.withColumns(
         {
             "base_failed": F.expr(base),
-            "host_failure_rate": F.col("_host_rate"),
-            "kept": F.expr(f"NOT ({base}) AND NOT ({usual}) AND _host_rate <= {host_rate}D"),
+            "host_failure_rate": F.col("__llm_host_rate"),
+            "kept": F.expr(f"NOT ({base}) AND NOT ({usual}) AND __llm_host_rate <= {host_rate}D"),
         }
-    ).drop("_verdict_host", "_host_rate", *(f"_usual_{r}" for r in RULES))
+    ).drop("__llm_verdict_host", "__llm_host_rate", *(f"__llm_usual_{r}" for r in RULES))

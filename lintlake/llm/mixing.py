@@ -199,10 +199,13 @@ def mixed_documents(docs: DataFrame, **options) -> DataFrame:
 
     Columns are those of docs. Texts are shuffled once, to meet their decisions.
     """
-    decided = mix(docs, **options).where("copies > 0").select(*(F.col(c).alias(f"_{c}") for c in UNIT), F.col("copies").alias("_copies"))
-    hashed = docs.withColumn("_hash", F.xxhash64("text"))
+    decided = mix(docs.select("doc_id", "source", "text"), **options).where("copies > 0")
+    decided = decided.select(*(F.col(c).alias(f"__llm_{c}") for c in UNIT), F.col("copies").alias("__llm_copies"))
+    hashed = docs.withColumn("__llm_hash", F.xxhash64("text"))
     same = (
-        (F.col("_hash") == F.col("_text_hash")) & F.col("doc_id").eqNullSafe(F.col("_doc_id")) & F.col("source").eqNullSafe(F.col("_source"))
+        (F.col("__llm_hash") == F.col("__llm_text_hash"))
+        & F.col("doc_id").eqNullSafe(F.col("__llm_doc_id"))
+        & F.col("source").eqNullSafe(F.col("__llm_source"))
     )
-    taken = hashed.join(decided, same).withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies"))))
-    return taken.select(docs.columns)
+    copies = F.sequence(F.lit(1).cast("long"), F.col("__llm_copies"))
+    return hashed.join(decided, same).withColumn("__llm_copy", F.explode(copies)).select(docs.columns)

@@ -158,11 +158,11 @@ def representatives(docs: DataFrame, text: str = "text", crowded: int = CROWDED)
 
     Texts are shuffled once, to meet the rows' verdicts.
     """
-    keyed = docs.withColumn("_text_hash", F.xxhash64(text))
-    key = F.concat_ws("/", F.coalesce(F.col("doc_id").cast("string"), F.lit("-")), F.col("_text_hash").cast("string"))
-    grouped = near_duplicates(keyed, text, crowded, ("_text_hash",))
-    least = grouped.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "_text_hash")).alias("least"))
-    chosen = least.select("least.doc_id", "least._text_hash").select(key.alias("_chosen"))
-    found = keyed.withColumn("_key", key).join(chosen, F.col("_key") == F.col("_chosen"))
-    one = Window.partitionBy("_key").orderBy("_chosen")
-    return found.withColumn("_turn", F.row_number().over(one)).where("_turn = 1").select(docs.columns)
+    keyed = docs.withColumn("__llm_text_hash", F.xxhash64(text))
+    key = F.concat_ws("/", F.coalesce(F.col("doc_id").cast("string"), F.lit("-")), F.col("__llm_text_hash").cast("string"))
+    grouped = near_duplicates(keyed, text, crowded, ("__llm_text_hash",))
+    least = grouped.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "__llm_text_hash")).alias("least"))
+    chosen = least.select("least.doc_id", "least.__llm_text_hash").select(key.alias("__llm_chosen"))
+    found = keyed.withColumn("__llm_key", key).join(chosen, F.col("__llm_key") == F.col("__llm_chosen"))
+    one = Window.partitionBy("__llm_key").orderBy("__llm_chosen")
+    return found.withColumn("__llm_turn", F.row_number().over(one)).where("__llm_turn = 1").select(docs.columns)

@@ -89,6 +89,18 @@ def test_pipeline_of_odd_rows(odd_docs, spark):
             assert stage(spark, docs, labels).count() <= 3 * docs.count()
 
 
+def test_pipeline_keeps_clashing_columns(spark, make_docs):
+    text = " ".join(f"word{i}" for i in range(60))
+    extra = [f"'x' AS {c}" for c in ("kept", "Score", "n_words", "fingerprint", "size", "copies", "rows", "shard", "label", "component")]
+    docs = make_docs([(i, f"{text} {i}", f"s{i % 3}") for i in range(9)]).selectExpr("*", *extra)
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        found = stage(spark, docs, str(DATA))
+        assert found.columns == docs.columns, name
+        rows = found.collect()
+        assert all({r[c] for c in docs.columns[5:]} == {"x"} and r.lang == "en" for r in rows), name
+        assert rows or name == "mixing"
+
+
 def test_shared_folder_is_required_on_a_cluster():
     class Context:
         master = "spark://host:7077"
