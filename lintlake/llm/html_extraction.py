@@ -60,7 +60,7 @@ def _named_by_page(page: Page) -> bool:
 def fit_trees(sources: list[str], layouts: int = LAYOUTS, seed: int = 10) -> BoostedTrees:
     """Trees fitted on made pages and on those of ``sources`` that name their main text."""
     pages = [Page(s) for s in sample_pages(layouts, seed)]
-    pages += [p for p in map(Page, sources) if _named_by_page(p)]
+    pages += [p for p in (Page(s, marked=False) for s in sources) if _named_by_page(p)]
     forest = Forest(pages)
     label = np.concatenate([p.label for p in pages])
     # Nodes above both kinds take the label of most of their text.
@@ -103,7 +103,7 @@ def extract(trees: BoostedTrees, sources: list[str]) -> list[str]:
         while to < len(sources) and (to == at or size + len(sources[to]) <= GROUP_CHARS):
             size += len(sources[to])
             to += 1
-        pages = [Page(s) for s in sources[at:to]]
+        pages = [Page(s, marked=False) for s in sources[at:to]]
         forest = Forest(pages)
         kept = decode(forest, trees.logits(forest.features()))
         for page, start, n in zip(pages, forest.starts, forest.sizes):

@@ -53,7 +53,9 @@ for _k, _words in enumerate(TOKENS.values()):
         _GROUP_OF[_w] = _GROUP_OF.get(_w, 0) | 1 << _k
 
 _MARK = re.compile(r"<(?:!--|[!?]|(/?)([a-zA-Z][^\s/>]*))")
-_NAMED = re.compile(r"""\b(class|id|role|_y)\s*=\s*("[^"]*"|'[^']*'|[^\s>"']+)""", re.I)
+#: An attribute: its name and, after an equals sign, its value.
+_ATTRIBUTE = re.compile(r"""([^\s/=][^\s/=]*+)(?:\s*+=\s*+("[^"]*"|'[^']*'|\S*))?""")
+_NAMED = frozenset(("class", "id", "role"))
 _HIDDEN = re.compile(r"""display\s*:\s*none|aria-hidden\s*=\s*["']?true|\shidden(?=[\s>=/]|$)""", re.I)
 _WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|\d+")
 
@@ -64,10 +66,12 @@ class Page:
     """Nodes of one page in page order (a parent before its children), and its text pieces.
 
     ``pieces`` holds (node, raw text) in page order, and (BREAK, "") between blocks. Node 0 is
-    the page itself.
+    the page itself. ``marked`` pages (made ones) name their main text by the attribute ``_y``;
+    in any other page it is an attribute like others.
     """
 
-    def __init__(self, source: str):
+    def __init__(self, source: str, marked: bool = True):
+        self._marked = marked
         self.tag, self.parent, self.depth, self.groups, self.silent, self.label = ["#"], [-1], [0], [0], [False], [-1]
         self.pieces: list[tuple[int, str]] = []
         self._open, self._counts = [0], {}
@@ -77,11 +81,12 @@ class Page:
         above = self._open[-1]
         groups, label = 0, self.label[above]
         if attributes:
-            for key, value in _NAMED.findall(attributes):
+            for key, value in _ATTRIBUTE.findall(attributes):
                 value = value.strip("\"'")
                 if key == "_y":
-                    label = int(value)
-                else:
+                    if self._marked and value in ("0", "1"):
+                        label = int(value)
+                elif key.lower() in _NAMED:
                     for w in _WORDS.findall(value):
                         groups |= _GROUP_OF.get(w.lower(), 0)
             if _HIDDEN.search(attributes):

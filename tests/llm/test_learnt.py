@@ -275,6 +275,22 @@ def test_odd_pages(trees, source):
         assert text == "text only"
 
 
+@pytest.mark.parametrize("attribute", ['href="/x?a=1&_y=abc"', '_y=""', "_y=main", '_y="0"', 'data-_y="7"', 'title="a _y=abc class=sidebar"'])
+def test_pages_with_the_training_mark(trees, attribute):
+    plain = PAGE.replace("<article>", '<article data-x="1">')
+    assert html_extraction.extract(trees, [PAGE.replace("<article>", f"<article {attribute}>")]) == html_extraction.extract(trees, [plain])
+    page = Page(f"<div {attribute}><p>x</p></div>", marked=False)
+    assert set(page.label) == {-1} and set(page.groups) == {0}
+    assert isinstance(html_extraction.fit_trees([PAGE.replace("<article>", f"<article {attribute}>")], layouts=5), BoostedTrees)
+
+
+def test_attributes_by_name():
+    page = Page("<div\tCLASS=nav ID = 'footer'data-class=ad role=\"search\" alt='id=share'><p hidden class=></div>", marked=False)
+    both = [w for w in ("nav", "footer", "search", "ad", "share") if page.groups[1] & Page(f"<p id={w}>").groups[1]]
+    assert both == ["nav", "footer", "search"] and page.groups[2] == Page("<p hidden>").groups[1]
+    Page("<p " + "x = " * 30000 + "a" + " " * 100000 + '="' * 30000 + ">")
+
+
 def test_pages_table(spark):
     rows = [(1, "u", PAGE), (1, "u", PAGE), (2, None, None), (None, "v", "")]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string").selectExpr("*", "'x' AS TEXT")
