@@ -15,6 +15,9 @@ table in the shared folder. Nothing is collected but a few counts.
 Null and empty texts have fingerprint zero, linked like any other. Repeated rows and ids are
 rows of their own. A component's id is its smallest doc_id; null ids count only where there is
 no other. Columns other than id and text are not read. Empty tables give empty tables.
+
+Representatives can be asked for over wider groups (``similar``), in which texts are linked too
+whose five-word shingles are alike to 0.8 or more (``near_copies``).
 """
 
 from __future__ import annotations
@@ -29,6 +32,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 
 from .common import with_batch_columns, written
+from .near_copies import SET_COLUMNS, near_copies, set_columns
 
 SEED = 42
 SHINGLE = 3
@@ -58,14 +62,15 @@ def fingerprint(text: str | None) -> int:
     return int.from_bytes(np.packbits(2 * counts > shingles).tobytes(), "big")
 
 
-def with_fingerprints(docs: DataFrame, text: str = "text", name: str = "fingerprint") -> DataFrame:
-    """docs with the fingerprint of each text as a (signed) long."""
+def with_fingerprints(docs: DataFrame, text: str = "text", name: str = "fingerprint", sets: bool = False) -> DataFrame:
+    """docs with the fingerprint of each text as a (signed) long, and with ``sets`` its shingle set's columns."""
 
     def compute(texts):
         values = np.fromiter(map(fingerprint, texts), np.uint64, len(texts))
-        return {name: pa.array(values.view(np.int64))}
+        return {name: pa.array(values.view(np.int64)), **(set_columns(texts) if sets else {})}
 
-    return with_batch_columns(docs, [text], {name: LongType()}, compute)
+    # One pass for both: a second one would hold a second Python worker for each task.
+    return with_batch_columns(docs, [text], {name: LongType(), **(SET_COLUMNS if sets else {})}, compute)
 
 
 def _masks(parts: int, within: int = (1 << 64) - 1) -> list[int]:
@@ -137,12 +142,31 @@ def components(pairs: DataFrame) -> DataFrame:
     return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(roots)
 
 
-def near_duplicates(docs: DataFrame, text: str = "text", crowded: int = CROWDED, carry: tuple[str, ...] = ()) -> DataFrame:
-    """doc_id, fingerprint (16 hex digits), component_id and the columns in ``carry`` of every row."""
+def _similar_links(prints: DataFrame, docs: DataFrame, text: str) -> DataFrame:
+    """Pairs (a, b), a < b, of fingerprints of texts with alike or equal shingle sets."""
+    of_set = prints.groupBy("set_key").agg(
+        F.min("fingerprint").alias("print"), F.min("__llm_text_hash").alias("text_hash"), F.min("set_size").alias("set_size"), F.first("set_bands").alias("set_bands")
+    )
+    sets = written(of_set, "near-nodes")
+    pairs = near_copies(docs, sets, text)
+    one, other = (sets.select(F.col("set_key").alias(c), F.col("print").alias(f"{c}_print")) for c in "ab")
+    alike = pairs.join(one, "a").join(other, "b").select("a_print", "b_print")
+    equal = prints.select("set_key", "fingerprint").distinct().join(sets.select("set_key", "print"), "set_key").select("print", "fingerprint")
+    both = alike.union(equal).toDF("p", "q").where("p <> q")
+    return both.select(F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b"))
+
+
+def near_duplicates(docs: DataFrame, text: str = "text", crowded: int = CROWDED, carry: tuple[str, ...] = (), similar: bool = False) -> DataFrame:
+    """doc_id, fingerprint (16 hex digits), component_id and the columns in ``carry`` of every row.
+
+    With ``similar`` (which needs ``__llm_text_hash`` carried) near copies are linked as well.
+    """
     columns = ["doc_id", *carry]
-    prints = written(with_fingerprints(docs.select(*columns, text), text, "fingerprint").select(*columns, "fingerprint"), "fingerprints")
+    marked = with_fingerprints(docs.select(*columns, text), text, "fingerprint", similar)
+    prints = written(marked.select(*columns, "fingerprint", *(SET_COLUMNS if similar else ())), "fingerprints")
     nodes = written(prints.groupBy("fingerprint").agg(F.min("doc_id").alias("least_id")), "nodes")
-    roots = components(links(nodes.select("fingerprint"), crowded))
+    linked = links(nodes.select("fingerprint"), crowded)
+    roots = components(linked.union(_similar_links(prints, docs, text)).distinct() if similar else linked)
     placed = nodes.join(roots, F.col("fingerprint") == F.col("node"), "left").select(
         "fingerprint", "least_id", F.coalesce("root", "fingerprint").alias("root")
     )
@@ -153,14 +177,14 @@ def near_duplicates(docs: DataFrame, text: str = "text", crowded: int = CROWDED,
     return joined.select("doc_id", hexed, "component_id", "component", *carry)
 
 
-def representatives(docs: DataFrame, text: str = "text", crowded: int = CROWDED) -> DataFrame:
+def representatives(docs: DataFrame, text: str = "text", crowded: int = CROWDED, similar: bool = False) -> DataFrame:
     """One row of docs for each component: of its smallest doc_id, and there of the least text hash.
 
     Texts are shuffled once, to meet the rows' verdicts.
     """
     keyed = docs.withColumn("__llm_text_hash", F.xxhash64(text))
     key = F.concat_ws("/", F.coalesce(F.col("doc_id").cast("string"), F.lit("-")), F.col("__llm_text_hash").cast("string"))
-    grouped = near_duplicates(keyed, text, crowded, ("__llm_text_hash",))
+    grouped = near_duplicates(keyed, text, crowded, ("__llm_text_hash",), similar)
     least = grouped.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "__llm_text_hash")).alias("least"))
     chosen = least.select("least.doc_id", "least.__llm_text_hash").select(key.alias("__llm_chosen"))
     found = keyed.withColumn("__llm_key", key).join(chosen, F.col("__llm_key") == F.col("__llm_chosen"))

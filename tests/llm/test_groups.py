@@ -10,7 +10,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from lintlake.llm import mixing, sharding, simhash, syncmers
+from lintlake.llm import mixing, near_copies, sharding, simhash, syncmers
 
 
 def words(rng, n, size=300):
@@ -192,6 +192,51 @@ def test_near_duplicates_of_odd_rows(odd_docs, make_docs):
     assert simhash.near_duplicates(make_docs([])).count() == 0
 
 
+# Near copies by shingles.
+
+
+def shingles(text):
+    own = text.split()
+    return {tuple(own[i : i + 5]) for i in range(len(own) - 4)}
+
+
+def planted(rng, bases, size=300):
+    """Texts in groups: of each base some copies with one to nine words changed."""
+    rows = []
+    for _ in range(bases):
+        text = words(rng, size, 5000).split()
+        rows.append(" ".join(text))
+        for n in range(1, 10):
+            changed = list(text)
+            for k in rng.sample(range(size), n):
+                changed[k] = "new"
+            rows.append(" ".join(changed))
+    return rows
+
+
+def test_near_copies_are_found(make_docs):
+    """Recall on planted near copies: all pairs of 0.8 or more, and only those."""
+    rows = planted(random.Random(12), 30)
+    docs = make_docs(list(enumerate(rows)))
+    sets = near_copies.with_sets(docs).withColumn("text_hash", F.xxhash64("text"))
+    number = {r.set_key: r.doc_id for r in sets.select("set_key", "doc_id").collect()}
+    own = [shingles(t) for t in rows]
+    alike = {(i, j) for i in range(len(rows)) for j in range(i) if len(own[i] & own[j]) >= 0.8 * len(own[i] | own[j])}
+    prints = [plain_fingerprint(t) for t in rows]
+    assert sum(bin(prints[i] ^ prints[j]).count("1") > 3 for i, j in alike) > 300  # what op5's distance misses
+    for crowded, share in ((100, 0.999), (3, 0.99)):
+        found = {(max(number[a], number[b]), min(number[a], number[b])) for a, b in near_copies.near_copies(docs, sets, crowded=crowded).collect()}
+        assert found <= alike and len(found) >= share * len(alike)
+
+
+def test_representatives_of_near_copies(make_docs, odd_docs):
+    rows = planted(random.Random(13), 12, 500)
+    kept = simhash.representatives(make_docs(list(enumerate(rows))), similar=True).collect()
+    assert sorted(r.doc_id for r in kept) == list(range(0, 120, 10))
+    assert len(simhash.representatives(make_docs(list(enumerate(rows)))).collect()) > 24
+    assert simhash.representatives(odd_docs, similar=True).groupBy("doc_id", "text").count().where("count > 1").count() == 0
+
+
 # Syncmers.
 
 
