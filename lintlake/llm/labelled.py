@@ -23,14 +23,18 @@ def labelled_sample(
     """A written table (doc_id, text, label) of at most ``bound`` labelled rows, chosen by hash.
 
     ``learnable`` is a condition on doc_id; rows outside it are never read for their labels.
-    The chosen ids, at most ``bound``, are sent to all executors, so texts are not shuffled.
-    Of several labels for an id the largest counts; of repeated documents each is taken.
+    The chosen ids and rows, at most ``bound``, are sent to all executors; no other texts are shuffled.
+    Of several labels for an id the largest counts. Of an id's rows with equal texts one is
+    taken, and the bound holds for the rows: of too many, those with the least hashes stay.
     """
     known = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull() & learnable)
     known = known.groupBy("doc_id").agg(F.max(label).cast("int").alias("label"))
     chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(bound)
     joined = docs.select("doc_id", F.coalesce(F.col(text), F.lit("")).alias("text")).join(F.broadcast(chosen), "doc_id")
-    return written(joined.select("doc_id", "text", "label"), "labelled")
+    hashed = joined.withColumn("_hash", F.xxhash64("doc_id", "text"))
+    kept = hashed.select("doc_id", "_hash").distinct().orderBy("_hash", "doc_id").limit(bound)
+    rows = hashed.join(F.broadcast(kept), ["doc_id", "_hash"]).dropDuplicates(["doc_id", "_hash"])
+    return written(rows.select("doc_id", "text", "label"), "labelled")
 
 
 def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2, rounds: int = 50) -> np.ndarray:

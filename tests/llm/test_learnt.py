@@ -201,6 +201,17 @@ def test_labelled_sample(make_docs, labels_of):
     assert len(sample) == 30 and all(zlib.crc32(str(r.doc_id).encode()) % 4 != 2 and r.label == r.doc_id % 2 for r in sample)
 
 
+def test_labelled_sample_of_repeated_ids(make_docs, labels_of):
+    """The bound holds for rows, and equal rows of an id count once."""
+    docs = make_docs([(1, "same")] * 200 + [(2, f"t{i % 50}") for i in range(200)] + [(3, None), (3, "")])
+    labels = labels_of([(1, 1, 0), (2, 0, 0), (3, 1, 0)])
+    for bound, count in ((1000, 52), (20, 20)):
+        rows = [tuple(r) for r in labelled_sample(docs, labels, "quality", fold(4) != -1, bound=bound).collect()]
+        assert len(rows) == len(set(rows)) == count
+    again = labelled_sample(docs.repartition(3), labels, "quality", fold(4) != -1, bound=20).collect()
+    assert {tuple(r) for r in again} == set(rows)
+
+
 def test_logistic():
     rng = np.random.default_rng(1)
     x = rng.normal(size=(3000, 2))
