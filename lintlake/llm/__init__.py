@@ -1,5 +1,5 @@
 """Operators for preparing training text at corpus scale.
 
-Ten operators over tables of documents and web pages. Nothing else in the library imports
+Thirteen operators over tables of documents, web pages and embeddings. Nothing else in the library imports
 this subpackage; the modules here may import general helpers of the library.
 """
