@@ -6,11 +6,11 @@ lies between half and 95% of the positive's.
 
 Rotated one-bit codes decide what is scored (``one_bit_codes``): codes and their alignments are made
 once and stored in a table. All anchors meet all rows in cells, a block of rows by a block of anchors,
-both bounded in size. In a cell, popcounts give every row an interval its score lies in. Level by level
-those rows are dropped whose interval lies below the fifth best lower bound of the cell (positives), or
-off the band or below the third best lower bound inside it (negatives). What survives is scored as whole
-numbers, so results are exact; a cell sends its best few rows on, and the best of all cells are the result.
-Two passes: positives, whose scores make the bands, then negatives.
+both bounded in size. In a cell, popcounts give every row an interval its score lies in. The rows with the best
+estimates are scored first; their fifth best score (positives), or third best inside a band (negatives), is a
+floor. Level by level those rows are dropped whose interval lies below the floor or above the band. What
+survives is scored as whole numbers, so results are exact; a cell sends its best few rows on, and the best of
+all cells are the result. Two passes: positives, whose scores make the bands, then negatives.
 
 Equal rows (id, label and vector) are one row with a count before anything is shuffled to cells, so
 copies, however many, cost one; the count is taken into account where the best rows are counted and
@@ -33,12 +33,14 @@ from pyspark.sql import functions as F
 
 from . import vectors
 from .common import known_to_workers, written
-from .one_bit_codes import LEVELS, Codes, OneBitCoder
+from .one_bit_codes import LEVELS, Codes, OneBitCoder, Queries
 
 POSITIVES, NEGATIVES = 5, 3
 EVERY = 50
 ROWS_A_BLOCK, ANCHORS_A_BLOCK = 8192, 16384
 LOW, HIGH = 50, 95
+#: Before this level intervals are too wide to drop a row; rows scored first there; so few are scored at once.
+FIRST, SEEDS, FEW = 2, 16, 48
 _NO_ID = np.iinfo(np.int64).max
 
 
@@ -97,48 +99,63 @@ class _Block:
         return rows[repeated], scores[repeated]
 
 
-def _no_less_than(lower: np.ndarray, many: int) -> float:
-    """What the best so many reach at least, by their lower bounds."""
-    return float(np.partition(lower, -many)[-many]) if len(lower) >= many else -np.inf
-
-
-def positives_in(block: _Block, key: int, label: int, x: np.ndarray, many: int = POSITIVES) -> tuple[np.ndarray, np.ndarray]:
+def _narrowed(block: _Block, queries: Queries, n: int, rows: np.ndarray, limits) -> np.ndarray:
+    """The rows whose score with query n may lie inside ``limits(rows, estimates)``, which is asked once."""
+    estimate = error = low = high = 0.0
+    for level in range(LEVELS):
+        if len(rows) <= FEW:
+            break
+        estimate, error, with_code = block.coder.add(block.codes, queries, n, level, rows, estimate, error)
+        if level == FIRST:
+            low, high = limits(rows, estimate)
+        if level >= FIRST:
+            reach = block.coder.reach(block.codes, queries, n, level, rows, error, with_code)
+            kept = np.flatnonzero((estimate + reach >= low) & (estimate - reach <= high))
+            rows, estimate, error = rows[kept], estimate[kept], error[kept]
+    return rows
+
+
+def positives_in(
+    block: _Block, queries: Queries, n: int, key: int, label: int, x: np.ndarray, many: int = POSITIVES
+) -> tuple[np.ndarray, np.ndarray]:
     """(rows, scores) of the block's best rows of the anchor's label, itself left out once."""
     start, end = block.span(label)
-    rows = np.arange(start, end)
     copies = block.copies[start:end] - (block.keys[start:end] == key)
-    rows = rows[copies > 0]
-    query = block.coder.query(x)
-    estimate = error = 0.0
-    for level in range(LEVELS):
-        estimate, error, lower, upper = block.coder.bounds(block.codes, query, level, rows, estimate, error)
-        kept = upper >= _no_less_than(lower, many)
-        rows, estimate, error = rows[kept], estimate[kept], error[kept]
+    rows = np.arange(start, end)[copies > 0]
+
+    def limits(rows, estimate):
+        seeds = rows[np.argpartition(estimate, -SEEDS)[-SEEDS:]]
+        return np.sort(vectors.products(block.x[seeds], x))[-many], np.inf
+
+    rows = _narrowed(block, queries, n, rows, limits)
     return block.best(rows, vectors.products(block.x[rows], x), block.copies[rows] - (block.keys[rows] == key), many)
 
 
 def negatives_in(
-    block: _Block, label: int, x: np.ndarray, scores: list[int], many: int = NEGATIVES
+    block: _Block, queries: Queries, n: int, label: int, x: np.ndarray, scores: list[int], many: int = NEGATIVES
 ) -> list[tuple[int, np.ndarray, np.ndarray]]:
     """For each positive score (the score, rows, scores) of the block's best rows of other labels in its band."""
     start, end = block.span(label)
     rows = np.concatenate([np.arange(start), np.arange(end, len(block.keys))])
-    query = block.coder.query(x)
     bands = [(s, -(-LOW * s // 100), HIGH * s // 100) for s in scores]
-    alive = np.ones((len(bands), len(rows)), bool)
-    estimate = error = 0.0
-    for level in range(LEVELS):
-        estimate, error, lower, upper = block.coder.bounds(block.codes, query, level, rows, estimate, error)
-        for own, (_, low, high) in zip(alive, bands):
-            own &= (upper >= low) & (lower <= high)
-            sure = own & (lower >= low) & (upper <= high)
-            own &= (upper >= _no_less_than(lower[sure], many)) | ~(upper <= high)
-        kept = alive.any(axis=0)
-        rows, estimate, error, alive = rows[kept], estimate[kept], error[kept], alive[:, kept]
+    least = min(low for _, low, _ in bands)
+
+    def limits(rows, estimate):
+        near = np.flatnonzero(estimate >= least)
+        near = near[np.argsort(estimate[near])]
+        ends = np.searchsorted(estimate[near], [high for _, _, high in bands])
+        seeds = rows[near[sorted({k for end in ends for k in range(max(0, end - SEEDS), end)})]]
+        exact, floor = vectors.products(block.x[seeds], x), np.inf
+        for _, low, high in bands:
+            inside = exact[(exact >= low) & (exact <= high)]
+            floor = min(floor, np.sort(inside)[-many] if len(inside) >= many else low)
+        return floor, max(high for _, _, high in bands)
+
+    rows = _narrowed(block, queries, n, rows, limits)
     exact = vectors.products(block.x[rows], x)
     found = []
-    for own, (score, low, high) in zip(alive, bands):
-        inside = own & (exact >= low) & (exact <= high)
+    for score, low, high in bands:
+        inside = (exact >= low) & (exact <= high)
         found.append((score, *block.best(rows[inside], exact[inside], block.copies[rows[inside]], many)))
     return found
 
@@ -184,8 +201,9 @@ def mine(table: DataFrame, every: int = EVERY, vector: str = "embedding", blocks
         if left.num_rows and right.num_rows:
             block = _Block(left, width)
             asked = vectors.matrix(right["x"], width)
-            for key, label, x in zip(right["key"].to_numpy(), right["label"].to_numpy(), asked):
-                found, scores = positives_in(block, key, label, x)
+            queries = block.coder.queries(asked)
+            for n, (key, label, x) in enumerate(zip(right["key"].to_numpy(), right["label"].to_numpy(), asked)):
+                found, scores = positives_in(block, queries, n, key, label, x)
                 parts["key"].append(np.full(len(found), key))
                 parts["positive_id"].append(block.ids[found])
                 parts["positive_score"].append(scores)
@@ -196,8 +214,9 @@ def mine(table: DataFrame, every: int = EVERY, vector: str = "embedding", blocks
         if left.num_rows and right.num_rows:
             block = _Block(left, width)
             asked = vectors.matrix(right["x"], width)
-            for key, label, x, bands in zip(right["key"].to_numpy(), right["label"].to_numpy(), asked, right["bands"].to_pylist()):
-                for score, found, scores in negatives_in(block, label, x, bands):
+            queries, listed = block.coder.queries(asked), zip(right["key"].to_numpy(), right["label"].to_numpy(), right["bands"].to_pylist())
+            for n, (key, label, bands) in enumerate(listed):
+                for score, found, scores in negatives_in(block, queries, n, label, asked[n], bands):
                     parts["key"].append(np.full(len(found), key))
                     parts["positive_score"].append(np.full(len(found), score))
                     parts["negative_id"].append(block.ids[found])

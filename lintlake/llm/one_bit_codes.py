@@ -20,7 +20,7 @@ from dataclasses import dataclass
 import numpy as np
 
 LEVELS = 8
-BITS = 8
+BITS = 6
 #: Bounds are widened by this share of the lengths' product, and by it itself.
 SLACK = 1e-9
 
@@ -40,15 +40,15 @@ class Codes:
 
 
 @dataclass
-class Query:
-    """A query at every level: its bit planes, scale and rounding error."""
-
-    planes: list[np.ndarray]
-    low: list[float]
-    step: list[float]
-    sums: list[float]
-    errors: list[float]
-    length: float
+class Queries:
+    """Queries, level by level: bit planes (level, query, plane, word), scales and rounding errors (level, query)."""
+
+    planes: np.ndarray
+    low: np.ndarray
+    step: np.ndarray
+    sums: np.ndarray
+    errors: np.ndarray
+    lengths: np.ndarray
 
 
 class OneBitCoder:
@@ -75,40 +75,38 @@ class OneBitCoder:
             rests.append(np.linalg.norm(rest, axis=1))
         return Codes(np.array(words), np.array(gains), np.array(rests), lengths)
 
-    def query(self, vector: np.ndarray) -> Query:
-        padded = self._padded(vector[None, :])[0]
-        found = Query([], [], [], [], [], float(np.linalg.norm(padded)))
+    def queries(self, vectors: np.ndarray) -> Queries:
+        padded = self._padded(vectors)
+        parts = []
         for rotation in self.rotations:
-            turned = rotation @ padded
-            low, high = float(turned.min()), float(turned.max())
-            step = (high - low) / (2**BITS - 1) or 1.0
-            levels = np.rint((turned - low) / step).astype(np.int64)
-            planes = [np.packbits((levels >> b & 1).astype(bool), bitorder="little").view(np.uint64) for b in range(BITS)]
-            found.planes.append(np.array(planes))
-            found.low.append(low)
-            found.step.append(step)
-            found.sums.append(float(levels.sum()))
-            found.errors.append(float(np.linalg.norm(turned - low - step * levels)))
-        return found
-
-    def bounds(self, codes: Codes, query: Query, level: int, rows: np.ndarray | slice, before: np.ndarray | float, error: np.ndarray | float):
-        """(estimate, its error, lower, upper) of the rows' products, from levels up to this one.
-
-        ``before`` and ``error`` are the estimate and its error from the levels above.
-        """
+            turned = padded @ rotation.T
+            low = turned.min(axis=1)
+            step = (turned.max(axis=1) - low) / (2**BITS - 1)
+            step[step == 0] = 1.0
+            levels = np.rint((turned - low[:, None]) / step[:, None])
+            errors = np.linalg.norm(turned - low[:, None] - step[:, None] * levels, axis=1)
+            bits = levels.astype(np.int64)[:, None, :] >> np.arange(BITS)[:, None] & 1
+            planes = np.packbits(bits.astype(bool), axis=2, bitorder="little").view(np.uint64)
+            parts.append((planes, low, step, levels.sum(axis=1), errors))
+        return Queries(*(np.array(own) for own in zip(*parts)), np.linalg.norm(padded, axis=1))
+
+    def add(self, codes: Codes, queries: Queries, n: int, level: int, rows: np.ndarray, estimate, error):
+        """Estimates of the rows' products with query n and their errors, one level further, and <q, c>."""
         words = codes.words[level][rows]
-        shared, ones = np.zeros((2, len(words)), np.int32)
+        shared, ones = np.zeros((2, len(words)), np.int32 if self.padded > 512 else np.uint16)
         for w in range(words.shape[1]):
             own = words[:, w]
             ones += np.bitwise_count(own)
-            for b, plane in enumerate(query.planes[level][:, w]):
-                shared += np.bitwise_count(own & plane).astype(np.int32) << b
-        with_code = query.low[level] * (2 * ones - self.padded) + query.step[level] * (2 * shared - query.sums[level])
-        with_code /= np.sqrt(self.padded)
-        gains, off = codes.gains[level][rows], query.errors[level]
-        estimate = before + gains * with_code
-        error = error + np.abs(gains) * off
-        along = np.maximum(np.abs(with_code) - off, 0.0)
-        across = np.sqrt(np.maximum(query.length**2 - along**2, 0.0))
-        reach = error + across * codes.rests[level][rows] + SLACK * (query.length * codes.lengths[rows] + 1)
-        return estimate, error, estimate - reach, estimate + reach
+            for b, plane in enumerate(queries.planes[level, n, :, w]):
+                shared += np.left_shift(np.bitwise_count(own & plane), b, dtype=shared.dtype)
+        low, step, gains = queries.low[level, n], queries.step[level, n], codes.gains[level][rows]
+        scale = 2.0 / np.sqrt(self.padded)
+        with_code = shared * (step * scale) + ones * (low * scale)
+        with_code -= (low * self.padded + step * queries.sums[level, n]) * scale / 2
+        return estimate + gains * with_code, error + np.abs(gains) * queries.errors[level, n], with_code
+
+    def reach(self, codes: Codes, queries: Queries, n: int, level: int, rows: np.ndarray, error, with_code) -> np.ndarray:
+        """How far the rows' products can be from their estimates."""
+        along = np.maximum(np.abs(with_code) - queries.errors[level, n], 0.0)
+        across = np.sqrt(np.maximum(queries.lengths[n] ** 2 - along**2, 0.0))
+        return error + across * codes.rests[level][rows] + SLACK * (queries.lengths[n] * codes.lengths[rows] + 1)

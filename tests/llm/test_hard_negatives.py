@@ -83,15 +83,16 @@ def test_bounds_hold_and_narrow(width):
     rows = rng.integers(-300, 300, (500, width))
     coder = OneBitCoder(width)
     codes = coder.encode(rows)
-    for x in rng.integers(-300, 300, (5, width)):
-        query, exact = coder.query(x), rows @ x
-        estimate = error = 0.0
-        reach = []
+    asked = rng.integers(-300, 300, (5, width))
+    queries, every = coder.queries(asked), np.arange(500)
+    for n, x in enumerate(asked):
+        exact, estimate, error, reaches = rows @ x, 0.0, 0.0, []
         for level in range(LEVELS):
-            estimate, error, lower, upper = coder.bounds(codes, query, level, np.arange(500), estimate, error)
-            assert (lower <= exact).all() and (exact <= upper).all()
-            reach.append((upper - lower).mean())
-        assert reach[-1] < 0.5 * reach[0]
+            estimate, error, with_code = coder.add(codes, queries, n, level, every, estimate, error)
+            reach = coder.reach(codes, queries, n, level, every, error, with_code)
+            assert (np.abs(estimate - exact) <= reach).all()
+            reaches.append(reach.mean())
+        assert reaches[-1] < 0.2 * reaches[0]
 
 
 def test_codes_leave_few_rows_to_score(monkeypatch):
@@ -117,7 +118,7 @@ def test_codes_leave_few_rows_to_score(monkeypatch):
     plain = v.products
     monkeypatch.setattr(v, "products", lambda rows, other: scored.append(len(rows)) or plain(rows, other))
     for at in range(0, 2000, 100):
-        rows, scores = hard_negatives.positives_in(block, at, labels[at], x[at])
+        rows, scores = hard_negatives.positives_in(block, block.coder.queries(x[[at]]), 0, at, labels[at], x[at])
         exact = x @ x[at]
         others = sorted((-exact[j], j) for j in range(2000) if labels[j] == labels[at] and j != at)[:5]
         assert list(zip(-scores, rows)) == others
