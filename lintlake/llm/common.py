@@ -107,3 +107,28 @@ def ranked(
     numbered = df.withColumn("_own", F.row_number().over(inside) - 1)
     joined = numbered.join(starts, [within, bucket])
     return joined.withColumn(name, F.col("_start") + F.col("_own")).drop("_own", "_start")
+
+
+def row_key(doc_id: str = "doc_id", text: str = "text") -> Column:
+    """A key of a row by its id and the hash of its text; only repeated rows share it."""
+    return F.concat_ws("/", F.coalesce(F.col(doc_id).cast("string"), F.lit("-")), F.xxhash64(text).cast("string"))
+
+
+#: The share of all rows that one join key may bring to one task.
+HOT_SHARE = 1 / 1024
+
+
+def join_hot(rows: DataFrame, one: DataFrame, keys: Sequence[str], total: int, share: float = HOT_SHARE) -> DataFrame:
+    """The inner join of rows with ``one``, which has a row per key and in ``n`` the key's number of rows.
+
+    Keys with more than their share of all (``total``) rows are dealt over several join keys. There
+    are at most 1 / share such keys, so their list may be broadcast, whatever the tables' size.
+    """
+    fair = max(1, int(total * share))
+    salts = F.ceil(F.col("n") / fair).cast("int")
+    hot = one.where(F.col("n") > fair).select(*keys, salts.alias("__salts"))
+    dealt = rows.join(F.broadcast(hot), list(keys), "left")
+    dealt = dealt.withColumn("__salt", F.pmod(F.monotonically_increasing_id(), F.coalesce("__salts", F.lit(1))).cast("int")).drop("__salts")
+    last = F.when(F.col("n") > fair, salts).otherwise(1) - 1
+    each = one.withColumn("__salt", F.explode(F.sequence(F.lit(0), last))).drop("n")
+    return dealt.join(each, [*keys, "__salt"]).drop("__salt")

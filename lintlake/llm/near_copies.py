@@ -1,16 +1,28 @@
-"""Pairs of texts whose sets of five-word shingles have a Jaccard similarity of 0.8 or more.
-
-At 0.8 two 64-bit SimHashes differ in some ten bits, too many for pigeonhole blocks: candidates
-come from MinHash bands instead, and each is verified by the exact similarity of the sets. Equal
-sets are one node, so copies, however many, never form pairs.
-
-A pair of similarity 0.8 has an equal one of the 24 bands (of six values each) with a probability
-of 0.9993, a closer one with more. Where a band's key has gathered many sets, they are keyed once
-more by sub-bands of four other values (a pair of 0.8 has an equal one of 34 but for 2 in 100
-million). Many sets that agree even so are near copies of each other; each is compared with the
-``PIVOTS`` least of them, which link them all.
-
-Texts of fewer words have one shingle; null and empty texts have none and are equal.
+"""Links between texts whose sets of five-word shingles have a Jaccard similarity of 0.8 or more.
+
+At 0.8 two 64-bit SimHashes differ in some ten bits, too many for pigeonhole blocks: candidates come from
+MinHash bands instead, and each link is verified by the exact similarity of the sets. Equal sets are one
+node, so copies, however many, never form pairs. A pair of similarity 0.8 has an equal one of the 24 bands
+(of six values each) with a probability of 0.9993, a closer one with more.
+
+Sets that share a band are a group. Groups are never paired off: in rounds, each set of a group is
+compared with the group's head only, which then leaves it. The head is the set with the most company in its
+bands, for a text that others were made from has more in common with them than they have with each
+other. Sets linked so far carry a label in common; a group with one label is done, since further links
+in it would connect nothing. A comparison is first made by sketches, a byte of each of the 144 values; the exact
+one follows where they agree as those of a pair of 0.8 do, but for 1 in 4,000.
+
+Groups that still hold several labels after ``ROUNDS`` rounds are crowds of texts that have much in
+common, as forms and templates do. Their sets are keyed anew by their rarest shingles: of two sets that are alike to
+0.8, the first fifth (and one more) in any common order has a shingle in common, and with the order from rare to
+frequent what all share is not a key at all. This loses no link. Rounds in these groups go on until none is
+left, with twice as many heads from round to round, so their number is logarithmic. Only sets that share
+rare shingles and are never connected meet many heads, by sketch first. What comes out
+connects all that is alike; links that add nothing to it are not all listed.
+
+Texts of fewer words have one shingle. Null and empty texts have none, are equal, and are linked to nothing
+else. Repeated rows are one set. Only the text, ``doc_id`` and the sets' own columns are read, so other columns
+may have any name. An empty table gives no links.
 """
 
 from __future__ import annotations
@@ -18,19 +30,20 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, LongType
+from pyspark.sql.types import ArrayType, ByteType, LongType
 
-from .common import with_batch_columns, written
+from .common import join_hot, row_key, with_batch_columns, written
 
 SHINGLE = 5
 LIKENESS = 0.8
 BANDS, ROWS = 24, 6
-FINE_ROWS = 4
 VALUES = BANDS * ROWS
-#: Sets under one key from which on it is keyed once more, and those that all others are compared with then.
-CROWDED, PIVOTS = 100, 64
+#: Rounds of comparisons with the heads of band groups.
+ROUNDS = 4
+#: Bytes of the sketches that agree at least: 3.5 deviations below what is expected of a pair of 0.8.
+AGREEING = int(VALUES * (LIKENESS + (1 - LIKENESS) / 256) - 3.5 * (VALUES * LIKENESS * (1 - LIKENESS)) ** 0.5)
 _PART = 2_000
 _random = np.random.default_rng(5)
 _FACTORS = _random.integers(0, 1 << 63, VALUES, np.uint64) * np.uint64(2) + np.uint64(1)
@@ -46,33 +59,42 @@ def shingle_set(text: str | None) -> np.ndarray:
     return np.unique(np.fromiter((digest(b" ".join(words[i : i + SHINGLE])) for i in range(count)), np.uint64, count))
 
 
-def band_keys(shingles: np.ndarray) -> np.ndarray:
-    """Keys of the bands and then of the sub-bands of a set."""
+def signature(shingles: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(keys of the bands, sketch) of a set."""
     least = np.full(VALUES, 2**64 - 1, np.uint64)
     with np.errstate(over="ignore"):
         for at in range(0, len(shingles), _PART):
             least = np.minimum(least, ((shingles[at : at + _PART, None] ^ _MASKS) * _FACTORS).min(axis=0))
         mixed = (least ^ least >> np.uint64(29)) * _MIX
-        return np.concatenate([mixed.reshape(BANDS, ROWS).sum(axis=1), mixed.reshape(-1, FINE_ROWS).sum(axis=1)])
+        return mixed.reshape(BANDS, ROWS).sum(axis=1), (mixed >> np.uint64(56)).astype(np.uint8)
 
 
 def set_columns(texts: list[str | None]) -> dict[str, pa.Array]:
     """What ``with_sets`` adds, for a batch; one set at a time is held."""
     names, sizes = np.zeros(len(texts), np.uint64), np.zeros(len(texts), np.int64)
-    keys = np.zeros((len(texts), BANDS + VALUES // FINE_ROWS), np.uint64)
+    keys, sketches = np.zeros((len(texts), BANDS), np.uint64), np.zeros((len(texts), VALUES), np.uint8)
     for i, text in enumerate(texts):
         own = shingle_set(text)
-        names[i], sizes[i], keys[i] = xxhash.xxh64_intdigest(own.tobytes()), len(own), band_keys(own)
-    bounds = np.arange(len(texts) + 1, dtype=np.int32) * keys.shape[1]
-    bands = pa.ListArray.from_arrays(pa.array(bounds), pa.array(keys.reshape(-1).view(np.int64)))
-    return {"set_key": pa.array(names.view(np.int64)), "set_size": pa.array(sizes), "set_bands": bands}
+        names[i], sizes[i] = xxhash.xxh64_intdigest(own.tobytes()), len(own)
+        keys[i], sketches[i] = signature(own)
+
+    def listed(rows):
+        bounds = np.arange(len(texts) + 1, dtype=np.int32) * rows.shape[1]
+        return pa.ListArray.from_arrays(pa.array(bounds), pa.array(rows.reshape(-1)))
 
+    return {
+        "set_key": pa.array(names.view(np.int64)),
+        "set_size": pa.array(sizes),
+        "set_bands": listed(keys.view(np.int64)),
+        "set_sketch": listed(sketches.view(np.int8)),
+    }
 
-SET_COLUMNS = {"set_key": LongType(), "set_size": LongType(), "set_bands": ArrayType(LongType())}
+
+SET_COLUMNS = {"set_key": LongType(), "set_size": LongType(), "set_bands": ArrayType(LongType()), "set_sketch": ArrayType(ByteType())}
 
 
 def with_sets(docs: DataFrame, text: str = "text") -> DataFrame:
-    """docs with ``set_key``, which names the text's set, the set's size and its band keys."""
+    """docs with ``set_key``, which names the text's set, the set's size, its band keys and its sketch."""
     return with_batch_columns(docs, [text], SET_COLUMNS, set_columns)
 
 
@@ -80,41 +102,129 @@ def _alike(common: Column, left: Column, right: Column) -> Column:
     return common >= LIKENESS * (left + right - common)
 
 
-def candidates(sets: DataFrame, crowded: int = CROWDED) -> DataFrame:
-    """Pairs (a, b), a < b, of sets that share a key and are not too different in size."""
-    banded = sets.where("set_size > 0")
-    keyed = banded.select("set_key", "set_size", F.posexplode(F.slice("set_bands", 1, BANDS)).alias("k", "key"))
-    sizes = keyed.groupBy("k", "key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    marked = keyed.join(sizes.select("k", "key", (F.col("n") > crowded).alias("crowd")), ["k", "key"])
-    columns = ["set_key", "set_size", "k", "j", "key", "key2", "turn"]
-    plain = marked.where("NOT crowd").withColumns({"j": F.lit(-1), "key2": F.lit(0).cast("long"), "turn": F.lit(0)}).select(columns)
-    fine = banded.select("set_key", F.posexplode(F.slice("set_bands", BANDS + 1, VALUES // FINE_ROWS)).alias("j", "key2"))
-    apart = (F.col("j") * FINE_ROWS >= (F.col("k") + 1) * ROWS) | ((F.col("j") + 1) * FINE_ROWS <= F.col("k") * ROWS)
-    split = marked.where("crowd").join(fine, "set_key").where(apart)
-    group = Window.partitionBy("k", "j", "key", "key2")
-    split = split.withColumn("n", F.count(F.lit(1)).over(group)).where("n > 1").withColumn("turn", F.row_number().over(group.orderBy("set_key")))
-    split = split.withColumn("turn", F.when(F.col("n") > crowded, F.col("turn")).otherwise(0)).select(columns)
-    keys = written(plain.unionByName(split), "near-keys")
-    left = keys.where(F.col("turn") <= PIVOTS).select(F.col("set_key").alias("a"), F.col("set_size").alias("a_size"), "k", "j", "key", "key2")
-    right = keys.select(F.col("set_key").alias("b"), F.col("set_size").alias("b_size"), "k", "j", "key", "key2")
-    near = _alike(F.least("a_size", "b_size"), F.col("a_size"), F.col("b_size"))
-    return left.join(right, ["k", "j", "key", "key2"]).where(F.col("a") < F.col("b")).where(near).select("a", "b").distinct()
-
-
-def near_copies(docs: DataFrame, sets: DataFrame, text: str = "text", crowded: int = CROWDED) -> DataFrame:
-    """Pairs (a, b) of set keys with the least similarity or more.
-
-    ``sets`` has a row per set with ``text_hash``, the xxhash64 of one of its texts in docs.
+def _agreeing(left: Column, right: Column) -> Column:
+    same = F.zip_with(left, right, lambda a, b: F.when(a == b, 1).otherwise(0))
+    return F.aggregate(same, F.lit(0), lambda total, one: total + one) >= AGREEING
+
+
+def _grouped(keyed: DataFrame) -> DataFrame:
+    """(group, set_key, weight) of the keyed sets in groups of two or more; weight is a set's company in all its groups."""
+    keyed = written(keyed, "near-keys")
+    sizes = keyed.groupBy("group").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    shared = join_hot(keyed, sizes.withColumn("company", F.col("n")), ["group"], keyed.count())
+    weights = shared.groupBy("set_key").agg(F.sum("company").alias("weight"))
+    return shared.select("group", "set_key").join(weights, "set_key")
+
+
+def _band_groups(sets: DataFrame) -> DataFrame:
+    banded = sets.where("set_size > 0").select("set_key", F.posexplode("set_bands").alias("k", "key"))
+    return _grouped(banded.select(F.xxhash64("k", "key").alias("group"), "set_key"))
+
+
+def _rare_groups(crowd: DataFrame, found: DataFrame) -> DataFrame:
+    """Groups of the crowd's sets by the shingles that alike ones have one of in common.
+
+    The order is by the number of the crowd's sets that have a shingle, and then by the shingle. Shingles
+    of one set only are in the order too, but make no group.
+    """
+    members = written(crowd.join(found, "set_key").select("set_key", F.explode("shingles").alias("shingle")), "near-crowd")
+    counts = members.groupBy("shingle").agg(F.count(F.lit(1)).alias("n"))
+    ranked = join_hot(members, counts.withColumn("sets", F.col("n")), ["shingle"], members.count())
+    least = F.array_sort(F.collect_list(F.struct("sets", "shingle"))).alias("ordered")
+    ordered = ranked.groupBy("set_key").agg(least)
+    # Alike sets have at least 0.8 of the larger's size in common.
+    many = F.size("ordered") - F.ceil(F.size("ordered") * LIKENESS - 1e-9) + 1
+    keys = F.explode(F.filter(F.slice("ordered", F.lit(1), many.cast("int")), lambda s: s["sets"] > 1))
+    return _grouped(ordered.select("set_key", keys.alias("key")).select(F.xxhash64("key.shingle").alias("group"), "set_key"))
+
+
+def _verified(pairs: DataFrame, found: DataFrame) -> DataFrame:
+    """The pairs (a, b) whose sets are alike; a set is sent once for each head it is compared with."""
+    total = pairs.count()
+    heads = pairs.groupBy("a").agg(F.count(F.lit(1)).alias("n")).join(found.select(F.col("set_key").alias("a"), F.col("shingles").alias("a_set")), "a")
+    both = join_hot(pairs.join(found.select(F.col("set_key").alias("b"), F.col("shingles").alias("b_set")), "b"), heads, ["a"], total)
+    return both.where(_alike(F.size(F.array_intersect("a_set", "b_set")), F.size("a_set"), F.size("b_set"))).select("a", "b", "a_label", "b_label")
+
+
+HEAD = ("set_key", "set_size", "set_sketch", "label")
+
+
+def _round(active: DataFrame, found: DataFrame, many: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(pairs compared, links found, what goes on) of one round with so many heads a group; all are written."""
+    part = F.pmod(F.xxhash64("set_key"), F.lit(many)).alias("part")
+    head = F.max(F.struct("weight", *HEAD)).alias("head")
+    parts = active.groupBy("group", part).agg(head, F.count(F.lit(1)).alias("n"), F.min("label").alias("low"), F.max("label").alias("high"))
+    heads = parts.groupBy("group").agg(F.collect_list("head").alias("heads"), F.sum("n").alias("n"), F.min("low").alias("low"), F.max("high").alias("high"))
+    heads = heads.where("low < high").select("group", "heads", "n", F.col("heads.set_key").alias("head_keys"))
+    met = written(join_hot(active, heads, ["group"], active.count()), "near-met")
+    is_head = F.array_contains("head_keys", F.col("set_key"))
+    each = met.withColumn("is_head", is_head).withColumn("head", F.explode("heads")).where("label <> head.label")
+    each = each.where("CASE WHEN is_head THEN set_key < head.set_key ELSE true END")
+    near = _alike(F.least("set_size", "head.set_size"), F.col("set_size"), F.col("head.set_size"))
+    pairs = each.where(near).where(_agreeing(F.col("set_sketch"), F.col("head.set_sketch")))
+    pairs = pairs.select(F.col("head.set_key").alias("a"), F.col("set_key").alias("b"), F.col("head.label").alias("a_label"), F.col("label").alias("b_label"))
+    pairs = written(pairs.dropDuplicates(["a", "b"]), "near-pairs")
+    links = written(_verified(pairs, found), "near-links")
+    return pairs, links, written(_relabelled(met.where(~is_head).select(active.columns), links), "near-rest")
+
+
+def _relabelled(rows: DataFrame, links: DataFrame) -> DataFrame:
+    """rows with linked labels made one: the least label in two steps, so a head and all that is linked to it agree."""
+    rows = written(rows, "near-left")
+    one = links.select(F.col("a_label").alias("label"), F.col("b_label").alias("other"))
+    both = written(one.union(one.select("other", "label")).distinct(), "near-labels")
+    least = both.groupBy("label").agg(F.least("label", F.min("other")).alias("least"), F.count(F.lit(1)).alias("n"))
+    turned = both.select(F.col("other").alias("label"), F.col("label").alias("old"))
+    second = join_hot(turned, least, ["label"], both.count()).groupBy("old").agg(F.min("least").alias("new"))
+    known = rows.groupBy("label").agg(F.count(F.lit(1)).alias("n")).join(second, F.col("label") == F.col("old"), "left")
+    known = known.select("label", "n", F.least("label", "new").alias("new"))
+    return join_hot(rows, known, ["label"], rows.count()).withColumn("label", F.col("new")).select(rows.columns)
+
+
+def near_links(docs: DataFrame, sets: DataFrame, text: str = "text") -> tuple[DataFrame, DataFrame]:
+    """(links (a, b) that connect all alike sets, the pairs compared exactly).
+
+    ``sets`` has a row per set with ``row_key``, that of one of its rows in docs.
     """
-    pairs = written(candidates(sets, crowded), "near-pairs")
-    wanted = pairs.select(F.col("a").alias("set_key")).union(pairs.select("b")).distinct().join(sets, "set_key").select("set_key", "text_hash")
-    texts = docs.select(F.xxhash64(text).alias("text_hash"), text).join(wanted, "text_hash").dropDuplicates(["set_key"])
+    own = sets.select("set_key", "set_size", "set_sketch", F.col("set_key").alias("label"))
+    columns = ["group", "set_key", "weight", "set_size", "set_sketch", "label"]
+    active = written(_band_groups(sets).join(own, "set_key").select(columns), "near-active")
+    wanted = active.select("set_key").distinct().join(sets.select("set_key", "row_key"), "set_key")
+    texts = docs.select(row_key(text=text).alias("row_key"), F.col(text).alias("text")).join(wanted, "row_key").dropDuplicates(["set_key"])
 
     def compute(listed):
         return {"shingles": pa.array([shingle_set(t).view(np.int64) for t in listed], pa.list_(pa.int64()))}
 
-    found = written(with_batch_columns(texts.select("set_key", text), [text], {"shingles": ArrayType(LongType())}, compute).select("set_key", "shingles"), "near-sets")
-    both = pairs.join(found.select(F.col("set_key").alias("a"), F.col("shingles").alias("a_set")), "a")
-    both = both.join(found.select(F.col("set_key").alias("b"), F.col("shingles").alias("b_set")), "b")
-    common = F.size(F.array_intersect("a_set", "b_set"))
-    return both.where(_alike(common, F.size("a_set"), F.size("b_set"))).select("a", "b")
+    shingled = with_batch_columns(texts.select("set_key", "text"), ["text"], {"shingles": ArrayType(LongType())}, compute)
+    found = written(shingled.select("set_key", "shingles"), "near-sets")
+    compared, linked = [], []
+
+    def go_on(rows, many=1):
+        pairs, links, rest = _round(rows, found, many)
+        compared.append(pairs.select("a", "b"))
+        linked.append(links.select("a", "b"))
+        return rest
+
+    for _ in range(ROUNDS):
+        if active.isEmpty():
+            break
+        active = go_on(active)
+    still = active.groupBy("group").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count(F.lit(1)).alias("n")).where("low < high")
+    labels = join_hot(active, still, ["group"], active.count()).groupBy("set_key").agg(F.min("label").alias("label"))
+    labels = written(labels, "near-labels")
+    if not labels.isEmpty():
+        rare = _rare_groups(labels.select("set_key"), found).join(labels, "set_key").join(own.drop("label"), "set_key")
+        active = written(rare.select(columns), "near-active")
+        many = 1
+        while not active.isEmpty():
+            active, many = go_on(active, many), 2 * many
+    none = sets.where("false").select(F.col("set_key").alias("a"), F.col("set_key").alias("b"))
+    links, pairs = none, none
+    for one, other in zip(linked, compared):
+        links, pairs = links.union(one), pairs.union(other)
+    return links, pairs
+
+
+def near_copies(docs: DataFrame, sets: DataFrame, text: str = "text") -> DataFrame:
+    """Links (a, b) between set keys that connect all sets with the least similarity or more."""
+    return near_links(docs, sets, text)[0]

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 
-from .common import with_batch_columns, written
+from .common import join_hot, row_key, with_batch_columns, written
 from .near_copies import SET_COLUMNS, near_copies, set_columns
 
 SEED = 42
@@ -127,12 +127,12 @@ def components(pairs: DataFrame) -> DataFrame:
     before = state(edges)
     while True:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("w"), F.least("u", "m").alias("m"))
-        large = both.join(least, F.col("u") == F.col("w")).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        least = both.groupBy("u").agg(F.least("u", F.min("v")).alias("m"), F.count(F.lit(1)).alias("n"))
+        large = join_hot(both, least, ["u"], 2 * before[0]).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         large = written(large, "large-star")
-        least = large.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("w"), "m")
-        small = large.join(least, F.col("u") == F.col("w")).where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        small = small.unionByName(least.select(F.col("w").alias("u"), F.col("m").alias("v")))
+        least = large.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n"))
+        small = join_hot(large, least, ["u"], large.count()).where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        small = small.unionByName(least.select("u", F.col("m").alias("v")))
         edges = written(small.distinct(), "small-star")
         after = state(edges)
         if after == before:
@@ -145,10 +145,11 @@ def components(pairs: DataFrame) -> DataFrame:
 def _similar_links(prints: DataFrame, docs: DataFrame, text: str) -> DataFrame:
     """Pairs (a, b), a < b, of fingerprints of texts with alike or equal shingle sets."""
     of_set = prints.groupBy("set_key").agg(
-        F.min("fingerprint").alias("print"), F.min("__llm_text_hash").alias("text_hash"), F.min("set_size").alias("set_size"), F.first("set_bands").alias("set_bands")
-    )
+        F.min("fingerprint").alias("print"), F.min("__llm_key").alias("row_key"), F.min("set_size").alias("set_size"),
+        F.first("set_bands").alias("set_bands"), F.first("set_sketch").alias("set_sketch"),
+    )
     sets = written(of_set, "near-nodes")
-    pairs = near_copies(docs, sets, text)
+    pairs = written(near_copies(docs, sets, text), "near-copies")
     one, other = (sets.select(F.col("set_key").alias(c), F.col("print").alias(f"{c}_print")) for c in "ab")
     alike = pairs.join(one, "a").join(other, "b").select("a_print", "b_print")
     equal = prints.select("set_key", "fingerprint").distinct().join(sets.select("set_key", "print"), "set_key").select("print", "fingerprint")
@@ -159,34 +160,35 @@ def _similar_links(prints: DataFrame, docs: DataFrame, text: str) -> DataFrame:
 def near_duplicates(docs: DataFrame, text: str = "text", crowded: int = CROWDED, carry: tuple[str, ...] = (), similar: bool = False) -> DataFrame:
     """doc_id, fingerprint (16 hex digits), component_id and the columns in ``carry`` of every row.
 
-    With ``similar`` (which needs ``__llm_text_hash`` carried) near copies are linked as well.
+    With ``similar`` (which needs ``__llm_key`` carried) near copies are linked as well.
     """
     columns = ["doc_id", *carry]
     marked = with_fingerprints(docs.select(*columns, text), text, "fingerprint", similar)
     prints = written(marked.select(*columns, "fingerprint", *(SET_COLUMNS if similar else ())), "fingerprints")
-    nodes = written(prints.groupBy("fingerprint").agg(F.min("doc_id").alias("least_id")), "nodes")
+    nodes = written(prints.groupBy("fingerprint").agg(F.min("doc_id").alias("least_id"), F.count(F.lit(1)).alias("n")), "nodes")
     linked = links(nodes.select("fingerprint"), crowded)
     roots = components(linked.union(_similar_links(prints, docs, text)).distinct() if similar else linked)
     placed = nodes.join(roots, F.col("fingerprint") == F.col("node"), "left").select(
-        "fingerprint", "least_id", F.coalesce("root", "fingerprint").alias("root")
+        "fingerprint", "least_id", "n", F.coalesce("root", "fingerprint").alias("root")
     )
-    ids = placed.groupBy("root").agg(F.min("least_id").alias("component_id"))
-    of_print = placed.join(ids, "root").select(F.col("fingerprint").alias("p"), F.col("root").alias("component"), "component_id")
-    joined = prints.join(of_print, F.col("fingerprint") == F.col("p"))
+    placed = written(placed, "placed")
+    ids = placed.groupBy("root").agg(F.min("least_id").alias("component_id"), F.count(F.lit(1)).alias("n"))
+    of_print = join_hot(placed.withColumnRenamed("n", "copies"), ids, ["root"], placed.count())
+    of_print = of_print.select("fingerprint", F.col("copies").alias("n"), F.col("root").alias("component"), "component_id")
+    joined = join_hot(prints, of_print, ["fingerprint"], prints.count())
     hexed = F.lpad(F.lower(F.hex("fingerprint")), 16, "0").alias("fingerprint")
     return joined.select("doc_id", hexed, "component_id", "component", *carry)
 
 
 def representatives(docs: DataFrame, text: str = "text", crowded: int = CROWDED, similar: bool = False) -> DataFrame:
-    """One row of docs for each component: of its smallest doc_id, and there of the least text hash.
+    """One row of docs for each component: of its smallest doc_id, and there of the least key.
 
     Texts are shuffled once, to meet the rows' verdicts.
     """
-    keyed = docs.withColumn("__llm_text_hash", F.xxhash64(text))
-    key = F.concat_ws("/", F.coalesce(F.col("doc_id").cast("string"), F.lit("-")), F.col("__llm_text_hash").cast("string"))
-    grouped = near_duplicates(keyed, text, crowded, ("__llm_text_hash",), similar)
-    least = grouped.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "__llm_text_hash")).alias("least"))
-    chosen = least.select("least.doc_id", "least.__llm_text_hash").select(key.alias("__llm_chosen"))
-    found = keyed.withColumn("__llm_key", key).join(chosen, F.col("__llm_key") == F.col("__llm_chosen"))
+    keyed = docs.withColumn("__llm_key", row_key(text=text))
+    grouped = near_duplicates(keyed, text, crowded, ("__llm_key",), similar)
+    least = grouped.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "__llm_key")).alias("least"))
+    chosen = least.select(F.col("least.__llm_key").alias("__llm_chosen"))
+    found = keyed.join(chosen, F.col("__llm_key") == F.col("__llm_chosen"))
     one = Window.partitionBy("__llm_key").orderBy("__llm_chosen")
     return found.withColumn("__llm_turn", F.row_number().over(one)).where("__llm_turn = 1").select(docs.columns)

@@ -10,7 +10,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from lintlake.llm import mixing, near_copies, sharding, simhash, syncmers
+from lintlake.llm import common, mixing, near_copies, sharding, simhash, syncmers
 
 
 def words(rng, n, size=300):
@@ -214,19 +214,86 @@ def planted(rng, bases, size=300):
     return rows
 
 
-def test_near_copies_are_found(make_docs):
-    """Recall on planted near copies: all pairs of 0.8 or more, and only those."""
-    rows = planted(random.Random(12), 30)
+def components_of(pairs, n):
+    """The smallest member of each one's component."""
+    root = list(range(n))
+
+    def find(i):
+        while root[i] != i:
+            root[i] = root[root[i]]
+            i = root[i]
+        return i
+
+    for i, j in pairs:
+        low, high = sorted((find(i), find(j)))
+        root[high] = low
+    return [find(i) for i in range(n)]
+
+
+def alike_pairs(rows):
+    """All pairs of 0.8 or more, found by their common shingles."""
+    own = [shingles(t) for t in rows]
+    having = defaultdict(list)
+    for i, shingle_set in enumerate(own):
+        for shingle in shingle_set:
+            having[shingle].append(i)
+    common = Counter((i, j) for listed in having.values() for j in listed for i in listed if i < j)
+    return {(i, j) for (i, j), n in common.items() if n >= 0.8 * (len(own[i]) + len(own[j]) - n)}
+
+
+def linked(make_docs, rows):
+    """(links, pairs compared) as row numbers, and how many links are not alike."""
     docs = make_docs(list(enumerate(rows)))
-    sets = near_copies.with_sets(docs).withColumn("text_hash", F.xxhash64("text"))
+    sets = near_copies.with_sets(docs).withColumn("row_key", common.row_key())
     number = {r.set_key: r.doc_id for r in sets.select("set_key", "doc_id").collect()}
-    own = [shingles(t) for t in rows]
-    alike = {(i, j) for i in range(len(rows)) for j in range(i) if len(own[i] & own[j]) >= 0.8 * len(own[i] | own[j])}
+    found = near_copies.near_links(docs, sets)
+    return [{tuple(sorted((number[r.a], number[r.b]))) for r in df.collect()} for df in found]
+
+
+@pytest.mark.parametrize("rounds", [near_copies.ROUNDS, 0])
+def test_near_copies_are_connected(make_docs, monkeypatch, rounds):
+    """Recall on planted near copies; with no rounds in bands all goes by rare shingles, where no link is lost."""
+    monkeypatch.setattr(near_copies, "ROUNDS", rounds)
+    rows = planted(random.Random(12), 30)
+    alike = alike_pairs(rows)
     prints = [plain_fingerprint(t) for t in rows]
     assert sum(bin(prints[i] ^ prints[j]).count("1") > 3 for i, j in alike) > 300  # what op5's distance misses
-    for crowded, share in ((100, 0.999), (3, 0.99)):
-        found = {(max(number[a], number[b]), min(number[a], number[b])) for a, b in near_copies.near_copies(docs, sets, crowded=crowded).collect()}
-        assert found <= alike and len(found) >= share * len(alike)
+    links, pairs = linked(make_docs, rows)
+    assert links <= alike and links <= pairs
+    assert components_of(links, len(rows)) == components_of(alike, len(rows))
+
+
+@pytest.mark.parametrize(("changes", "size"), [(5, 400), (6, 100)])
+def test_large_groups_are_compared_with_their_heads(make_docs, changes, size):
+    """A crowd of copies of one text that are not alike among themselves: few comparisons, one component (none, if just not alike)."""
+    rng = random.Random(14)
+    base = words(rng, 240, 5000).split()
+    rows = [" ".join(base)]
+    for n in range(size):
+        changed = list(base)
+        for k in rng.sample(range(0, 240, 8), changes):
+            changed[k] = f"new{n}x{k}"
+        rows.append(" ".join(changed))
+    alike = alike_pairs(rows)
+    links, pairs = linked(make_docs, rows)
+    assert components_of(links, len(rows)) == components_of(alike, len(rows))
+    assert changes > 5 or len(links) <= len(pairs) < 10 * len(rows)
+
+
+def test_forms_are_not_paired_off(make_docs):
+    """Texts of a common form, which are not alike, with some that are planted."""
+    rng = random.Random(15)
+    form = words(rng, 160, 5000).split()
+    rows = [" ".join([*form[:80], *words(rng, 45, 50000).split(), *form[80:]]) for _ in range(1000)]
+    for n in range(50):
+        changed = rows[n].split()
+        changed[85] = "other"
+        rows.append(" ".join(changed))
+    alike = alike_pairs(rows)
+    assert len(alike) == 50
+    links, pairs = linked(make_docs, rows)
+    assert links <= alike and len(links) >= 49
+    assert len(pairs) < 30 * len(rows)
 
 
 def test_representatives_of_near_copies(make_docs, odd_docs):
