@@ -12,13 +12,15 @@ other. Sets linked so far carry a label in common; a group with one label is don
 in it would connect nothing. A comparison is first made by sketches, a byte of each of the 144 values; the exact
 one follows where they agree as those of a pair of 0.8 do, but for 1 in 4,000.
 
-Groups that still hold several labels after ``ROUNDS`` rounds are crowds of texts that have much in
-common, as forms and templates do. Their sets are keyed anew by their rarest shingles: of two sets that are alike to
+After ``ROUNDS`` rounds most groups hold one label and a few sets linked to nothing; these lead now, and rounds go
+on until each group is done. Groups of which over half is still linked to nothing are crowds of texts that have
+much in common without being alike, as forms do. Their sets are keyed anew by their rarest shingles: of two sets that are alike to
 0.8, the first fifth (and one more) in any common order has a shingle in common, and with the order from rare to
-frequent what all share is not a key at all. This loses no link. Rounds in these groups go on until none is
-left, with twice as many heads from round to round, so their number is logarithmic. Only sets that share
-rare shingles and are never connected meet many heads, by sketch first. What comes out
-connects all that is alike; links that add nothing to it are not all listed.
+frequent what all share is not a key at all. This loses no link. The rounds go on in these groups likewise.
+
+Heads double from round to round, up to 32 at once. So the work is linear in a group's size times its sets that are
+linked to nothing, all of which must be led past the others, by sketch; no way round that is known that loses
+no link. What comes out connects all that is alike; links that add nothing to it are not all listed.
 
 Texts of fewer words have one shingle. Null and empty texts have none, are equal, and are linked to nothing
 else. Repeated rows are one set. Only the text, ``doc_id`` and the sets' own columns are read, so other columns
@@ -42,6 +44,8 @@ BANDS, ROWS = 24, 6
 VALUES = BANDS * ROWS
 #: Rounds of comparisons with the heads of band groups.
 ROUNDS = 4
+#: Heads of a group in a round at most: what a row carries of them is bounded, and rounds go on.
+MOST_HEADS = 32
 #: Bytes of the sketches that agree at least: 3.5 deviations below what is expected of a pair of 0.8.
 AGREEING = int(VALUES * (LIKENESS + (1 - LIKENESS) / 256) - 3.5 * (VALUES * LIKENESS * (1 - LIKENESS)) ** 0.5)
 _PART = 2_000
@@ -149,10 +153,12 @@ def _verified(pairs: DataFrame, found: DataFrame) -> DataFrame:
 HEAD = ("set_key", "set_size", "set_sketch", "label")
 
 
-def _round(active: DataFrame, found: DataFrame, many: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+def _round(active: DataFrame, found: DataFrame, many: int, lone: bool) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(pairs compared, links found, what goes on) of one round with so many heads a group; all are written."""
     part = F.pmod(F.xxhash64("set_key"), F.lit(many)).alias("part")
-    head = F.max(F.struct("weight", *HEAD)).alias("head")
+    # Once the first heads are through, those that are linked to nothing yet lead.
+    alone = (F.col("label") == F.col("set_key")) if lone else F.lit(False)
+    head = F.max(F.struct(alone.alias("alone"), "weight", *HEAD)).alias("head")
     parts = active.groupBy("group", part).agg(head, F.count(F.lit(1)).alias("n"), F.min("label").alias("low"), F.max("label").alias("high"))
     heads = parts.groupBy("group").agg(F.collect_list("head").alias("heads"), F.sum("n").alias("n"), F.min("low").alias("low"), F.max("high").alias("high"))
     heads = heads.where("low < high").select("group", "heads", "n", F.col("heads.set_key").alias("head_keys"))
@@ -199,25 +205,30 @@ def near_links(docs: DataFrame, sets: DataFrame, text: str = "text") -> tuple[Da
     found = written(shingled.select("set_key", "shingles"), "near-sets")
     compared, linked = [], []
 
-    def go_on(rows, many=1):
-        pairs, links, rest = _round(rows, found, many)
+    def go_on(rows, many, lone):
+        pairs, links, rest = _round(rows, found, many, lone)
         compared.append(pairs.select("a", "b"))
         linked.append(links.select("a", "b"))
         return rest
 
-    for _ in range(ROUNDS):
+    def finished(rows):
+        many = 1
+        while not rows.isEmpty():
+            rows, many = go_on(rows, many, True), min(2 * many, MOST_HEADS)
+
+    for turn in range(ROUNDS):
         if active.isEmpty():
             break
-        active = go_on(active)
-    still = active.groupBy("group").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count(F.lit(1)).alias("n")).where("low < high")
-    labels = join_hot(active, still, ["group"], active.count()).groupBy("set_key").agg(F.min("label").alias("label"))
-    labels = written(labels, "near-labels")
+        active = go_on(active, 1, turn > 0)
+    alone = F.count_if(F.col("label") == F.col("set_key")).alias("alone")
+    groups = active.groupBy("group").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count(F.lit(1)).alias("n"), alone)
+    groups = groups.where("low < high").select("group", "n", (2 * F.col("alone") > F.col("n")).alias("crowd"))
+    still = written(join_hot(active, groups, ["group"], active.count()), "near-open")
+    labels = written(still.where("crowd").groupBy("set_key").agg(F.min("label").alias("label")), "near-crowd-labels")
+    finished(still.where("NOT crowd").select(columns))
     if not labels.isEmpty():
         rare = _rare_groups(labels.select("set_key"), found).join(labels, "set_key").join(own.drop("label"), "set_key")
-        active = written(rare.select(columns), "near-active")
-        many = 1
-        while not active.isEmpty():
-            active, many = go_on(active, many), 2 * many
+        finished(written(rare.select(columns), "near-active"))
     none = sets.where("false").select(F.col("set_key").alias("a"), F.col("set_key").alias("b"))
     links, pairs = none, none
     for one, other in zip(linked, compared):
