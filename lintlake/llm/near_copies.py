@@ -18,7 +18,7 @@ much in common without being alike, as forms do. Their sets are keyed anew by th
 0.8, the first fifth (and one more) in any common order has a shingle in common, and with the order from rare to
 frequent what all share is not a key at all. This loses no link. The rounds go on in these groups likewise.
 
-Heads double from round to round, up to 32 at once. So the work is linear in a group's size times its sets that are
+A round has four times the heads of the one before, up to 32. So the work is linear in a group's size times its sets that are
 linked to nothing, all of which must be led past the others, by sketch; no way round that is known that loses
 no link. What comes out connects all that is alike; links that add nothing to it are not all listed.
 
@@ -43,7 +43,7 @@ LIKENESS = 0.8
 BANDS, ROWS = 24, 6
 VALUES = BANDS * ROWS
 #: Rounds of comparisons with the heads of band groups.
-ROUNDS = 4
+ROUNDS = 2
 #: Heads of a group in a round at most: what a row carries of them is bounded, and rounds go on.
 MOST_HEADS = 32
 #: Bytes of the sketches that agree at least: 3.5 deviations below what is expected of a pair of 0.8.
@@ -212,9 +212,9 @@ def near_links(docs: DataFrame, sets: DataFrame, text: str = "text") -> tuple[Da
         return rest
 
     def finished(rows):
-        many = 1
+        many = 4
         while not rows.isEmpty():
-            rows, many = go_on(rows, many, True), min(2 * many, MOST_HEADS)
+            rows, many = go_on(rows, many, True), min(4 * many, MOST_HEADS)
 
     for turn in range(ROUNDS):
         if active.isEmpty():
