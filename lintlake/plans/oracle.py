@@ -2,6 +2,7 @@
 
 Written apart from the Spark plans on purpose: where those fold arrays inside a row, the
 SQL uses recursive steps, window functions and joins on lines, and RE2 patterns.
+Fixed values: patterns, messages and lists in it are what results must agree with.
 """
 
 from __future__ import annotations

@@ -70,9 +70,11 @@ def summary_by_source(spark, sf_dir):
 
 
 def severity_groups(spark, sf_dir):
-    """Groups over the findings, with sizes counted in the files' rows."""
-    files = corpus.files(spark, sf_dir)
-    return op.severity_groups(op.review(files), op.severity_sizes(files))
+    """Groups over findings that are reviewed and written once; their sizes are counted as they are written."""
+    findings, output = op.review(corpus.files(spark, sf_dir)), _shared(spark, "findings")
+    sizes = [(s, n) for s, n in write_findings(findings, output).items() if n]
+    written = spark.read.schema(findings.schema).parquet(output)
+    return op.severity_groups(written, spark.createDataFrame(sizes, "severity string, group_size bigint"))
 
 
 def rule_coverage(spark, sf_dir):

@@ -11,19 +11,19 @@ from lintlake.operators import (
     summarize_diffs,
 )
 
-MODIFIED = """diff --git a/src/app.ts b/src/app.ts
-index abc1234..def5678 100644
---- a/src/app.ts
-+++ b/src/app.ts
-@@ -5,3 +5,4 @@ function x() {
- line5
+MODIFIED = """diff --git a/depot/crate.ts b/depot/crate.ts
+index 4410c2e..90be71d 100755
+--- a/depot/crate.ts
++++ b/depot/crate.ts
+@@ -31,3 +44,4 @@ class Crate {
+ first
 -gone
 +eval(x)
 \\ No newline at end of file
- line7
+ last
 stray
 +dropped
-@@ -20 +21 @@
+@@ -60 +74 @@
 +eval(y)"""
 NEW = """diff --git a/n.ts b/n.ts
 new file mode 100644
@@ -40,10 +40,10 @@ deleted file mode 100644
 @@ -1,1 +0,0 @@
 -eval(z)
 """
-RENAMED = """diff --git a/src/old.ts b/src/new.ts
-similarity index 100%
-rename from src/old.ts
-rename to src/new.ts"""
+RENAMED = """diff --git a/lib/pallet.ts b/lib/stack.ts
+similarity index 97%
+rename from lib/pallet.ts
+rename to lib/stack.ts"""
 DIFFS = ["note\n" + MODIFIED + "\n" + RENAMED, NEW + DELETED, "", "diff --git odd\n@@ odd @@\n+x"]
 
 
@@ -57,8 +57,8 @@ def rows(df, *names):
 
 def test_files(spark):
     assert rows(diff_files(table(spark)), "diff_id", "file_seq", "path", "old_path", "status") == [
-        (0, 0, "src/app.ts", "src/app.ts", "modified"),
-        (0, 1, "src/new.ts", "src/old.ts", "renamed"),
+        (0, 0, "depot/crate.ts", "depot/crate.ts", "modified"),
+        (0, 1, "lib/stack.ts", "lib/pallet.ts", "renamed"),
         (1, 0, "n.ts", None, "added"),
         (1, 1, "d.ts", "d.ts", "deleted"),
         (3, 0, "", None, "modified"),
@@ -68,7 +68,7 @@ def test_files(spark):
 def test_hunks(spark):
     names = ("diff_id", "file_seq", "hunk_seq", "old_start", "old_count", "new_start", "new_count")
     assert rows(diff_hunks(table(spark)), *names) == [
-        (0, 0, 0, 5, 3, 5, 4), (0, 0, 1, 20, 1, 21, 1), (1, 0, 0, 0, 0, 1, 2),
+        (0, 0, 0, 31, 3, 44, 4), (0, 0, 1, 60, 1, 74, 1), (1, 0, 0, 0, 0, 1, 2),
         (1, 1, 0, 1, 1, 0, 0), (3, 0, 0, 0, 0, 0, 0),
     ]
 
@@ -77,16 +77,16 @@ def test_lines(spark):
     found = diff_lines(table(spark).where("diff_id = 0"))
     names = ("hunk_seq", "line_seq", "type", "content", "old_line", "new_line")
     assert rows(found, *names) == [
-        (0, 0, "context", "line5", 5, 5), (0, 1, "remove", "gone", 6, None),
-        (0, 2, "add", "eval(x)", None, 6), (0, 3, "context", "line7", 7, 7),
-        (1, 0, "add", "eval(y)", None, 21),
+        (0, 0, "context", "first", 31, 44), (0, 1, "remove", "gone", 32, None),
+        (0, 2, "add", "eval(x)", None, 45), (0, 3, "context", "last", 33, 46),
+        (1, 0, "add", "eval(y)", None, 74),
     ]
 
 
 def test_review_files_keep_added_and_context(spark):
     found = diff_review_files(table(spark))
     assert rows(found, "diff_id", "path", "content") == [
-        (0, "src/app.ts", "line5\neval(x)\nline7\neval(y)"), (0, "src/new.ts", ""),
+        (0, "depot/crate.ts", "first\neval(x)\nlast\neval(y)"), (0, "lib/stack.ts", ""),
         (1, "n.ts", "try { x } catch (e) {\n}"), (3, "", "x"),
     ]
 
@@ -94,7 +94,7 @@ def test_review_files_keep_added_and_context(spark):
 def test_findings_and_their_file_lines(spark):
     found = review_diffs(table(spark), map_lines=True)
     assert rows(found, "diff_id", "file", "line", "rule", "new_line", "is_added") == [
-        (0, "src/app.ts", 2, "SEC001", 6, True), (0, "src/app.ts", 4, "SEC001", 21, True),
+        (0, "depot/crate.ts", 2, "SEC001", 45, True), (0, "depot/crate.ts", 4, "SEC001", 74, True),
         (1, "n.ts", 1, "ERR001", 1, True),
     ]
     plain = review_diffs(table(spark))

@@ -116,3 +116,14 @@ def test_directory_streams(spark, tmp_path):
         output = str(tmp_path / f"{name}-out")
         start(stream, output, str(tmp_path / f"{name}-progress"), available_now=True).awaitTermination()
         assert [r.rule for r in spark.read.parquet(output).collect()] == ["SEC001"]
+
+
+def test_sizes_are_counted_while_findings_are_written(spark, make_files, tmp_path):
+    from lintlake import review
+    from lintlake.sources import write_findings
+
+    found = review(make_files([("a.ts", "eval(x)\neval(y)\n// TODO: z\n"), ("b.ts", "")]))
+    sizes = write_findings(found, str(tmp_path / "found"))
+    written = spark.read.parquet(str(tmp_path / "found"))
+    assert {r["severity"]: r["count"] for r in written.groupBy("severity").count().collect()} == {s: n for s, n in sizes.items() if n}
+    assert sum(write_findings(found.limit(0), str(tmp_path / "none")).values()) == 0
