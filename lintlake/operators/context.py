@@ -76,17 +76,46 @@ def line_flags(content: str, lines: str, language: str) -> str:
     """Array of :data:`PLAIN`, :data:`COMMENT` or :data:`STRING`, one per line."""
     in_python = f"({language} = 'python' AND {text.contains_any(content, DOC_QUOTES)})"
     has_regions = f"({text.contains_any(content, ('/*', '`'))} OR {in_python})"
+    folded = flags_from(str(NORMAL), lines, language)
+    comment = text.starts_with(text.trim_start("l"), *LINE_COMMENTS)
+    alone = f"transform({lines}, l -> if({comment}, '{COMMENT}', '{PLAIN}'))"
+    return f"if({has_regions}, {folded}, {alone})"
+
+
+def flags_from(state: str, lines: str, language: str) -> str:
+    """Flags of lines that are entered in a state."""
     folded = folds.running_text(
         f"transform({lines}, l -> {_transitions(language)})",
-        str(NORMAL),
-        lambda state, table: f"shiftright({table}, {state} * {_STATE_BITS}) & 7",
+        state,
+        state_behind,
         lambda state, table: (
             f"CAST(shiftright({table}, {_FLAG_SHIFT} + {state} * {_FLAG_BITS}) & 3 AS STRING)"
         ),
     )
-    comment = text.starts_with(text.trim_start("l"), *LINE_COMMENTS)
-    alone = f"transform({lines}, l -> if({comment}, '{COMMENT}', '{PLAIN}'))"
-    return f"if({has_regions}, split({folded}, ''), {alone})"
+    return f"split({folded}, '')"
+
+
+def state_behind(state: str, table: str) -> str:
+    """The state that a table of transitions leads to."""
+    return f"(shiftright({table}, {state} * {_STATE_BITS}) & 7)"
+
+
+def joined_tables(first: str, second: str) -> str:
+    """The table of transitions of two stretches of lines, one after the other."""
+    parts = (
+        f"shiftleft({state_behind(state_behind(str(state), first), second)}, {state * _STATE_BITS})"
+        for state in range(5)
+    )
+    return text.chained("+", parts)
+
+
+def table_of(lines: str, language: str) -> str:
+    """The table of transitions of all lines together."""
+    keep = sum(state << (_STATE_BITS * state) for state in range(5))
+    return (
+        f"aggregate(transform({lines}, l -> {_transitions(language)}), {keep}, "
+        f"(one, next) -> {joined_tables('one', 'next')})"
+    )
 
 
 def no_flags(lines: str) -> str:
@@ -144,20 +173,22 @@ def _is_import(flag: str, trimmed: str) -> str:
 def line_context(files: DataFrame, keys: tuple[str, ...] | None = None) -> DataFrame:
     """One row per line with ``is_comment``, ``is_string``, ``is_import``, ``is_blank``."""
     keys = known_keys(files, keys)
-    return (
-        with_lines(keyed(files, keys))
-        .selectExpr("key", "path", "posexplode(arrays_zip(lines, flags)) AS (pos, l)")
-        .selectExpr("*", f"{text.trim('l.lines')} AS trimmed")
-        .selectExpr(
-            *key_columns(keys),
-            "path",
-            "pos + 1 AS line",
-            "l.lines AS text",
-            f"l.flags = '{COMMENT}' AS is_comment",
-            f"l.flags = '{STRING}' AS is_string",
-            f"{_is_import('l.flags', 'trimmed')} AS is_import",
-            "trimmed = '' AS is_blank",
-        )
+    rows = with_lines(keyed(files, keys)).selectExpr(
+        "key", "path", "posexplode(arrays_zip(lines, flags)) AS (pos, l)"
+    )
+    return context_rows(rows, [*key_columns(keys), "path"], "pos + 1")
+
+
+def context_rows(rows: DataFrame, named: list[str], line: str) -> DataFrame:
+    """The columns of :func:`line_context` from a row per line ``l`` with its flag."""
+    return rows.selectExpr("*", f"{text.trim('l.lines')} AS trimmed").selectExpr(
+        *named,
+        f"{line} AS line",
+        "l.lines AS text",
+        f"l.flags = '{COMMENT}' AS is_comment",
+        f"l.flags = '{STRING}' AS is_string",
+        f"{_is_import('l.flags', 'trimmed')} AS is_import",
+        "trimmed = '' AS is_blank",
     )
 
 
@@ -197,46 +228,61 @@ def import_module_counts(files: DataFrame) -> DataFrame:
     return imports(files, keys=()).groupBy("module").agg(F.count("*").alias("imports"))
 
 
-def try_regions(files: DataFrame, keys: tuple[str, ...] | None = None) -> DataFrame:
-    """Start and end line of every outermost ``try`` region."""
-    keys = known_keys(files, keys)
-    code = f"""filter(transform(arrays_zip(lines, flags), (l, i) -> named_struct(
-        'line', i + 1, 'trimmed', {text.trim('l.lines')}, 'plain', l.flags = '{PLAIN}')),
+CONTINUES = r"^(?:catch|finally)\b"
+
+
+def code_lines(before: str = "0") -> str:
+    """Lines that are not blank, numbered after the ``before`` lines of earlier chunks."""
+    return f"""filter(transform(arrays_zip(lines, flags), (l, i) -> named_struct(
+        'line', {before} + i + 1, 'trimmed', {text.trim('l.lines')}, 'plain', l.flags = '{PLAIN}')),
         l -> l.trimmed <> '')"""
-    # A following line that starts with catch or finally keeps the region open,
-    # whether or not that line is a comment's or a string's.
-    continues = text.matches("get(code, i + 1).trimmed", r"^(?:catch|finally)\b")
-    events = f"""filter(transform(code, (l, i) -> named_struct(
+
+
+def try_events(behind: str = "false") -> str:
+    """What the plain lines of ``code`` do to a region; ``behind`` is about the line after the last.
+
+    A following line that starts with catch or finally keeps the region open, whether or not
+    that line is a comment's or a string's.
+    """
+    follows = text.matches("get(code, i + 1).trimmed", CONTINUES)
+    return f"""filter(transform(code, (l, i) -> named_struct(
         'line', l.line, 'plain', l.plain, 'delta', {text.brace_delta('l.trimmed')},
         'opens', l.plain AND {text.matches('l.trimmed', r'\btry\s*\{')},
-        'continues', coalesce({continues}, false))), l -> l.plain)"""
+        'continues', if(i + 1 < size(code), {follows}, {behind}))), l -> l.plain)"""
 
-    def ends(state: str, item: str) -> str:
-        return (
-            f"({state}.start > 0 AND {state}.depth + {item}.delta = 0 AND NOT {item}.continues)"
-        )
 
-    def step(state: str, item: str) -> str:
-        begins = f"({state}.start = 0 AND {item}.opens)"
-        return folds.struct(
-            start=f"CASE WHEN {begins} THEN {item}.line WHEN {ends(state, item)} THEN 0 "
-            f"ELSE {state}.start END",
-            depth=f"if({begins}, {item}.delta, {state}.depth + {item}.delta)",
-        )
+def _ends(state: str, item: str) -> str:
+    return f"({state}.start > 0 AND {state}.depth + {item}.delta = 0 AND NOT {item}.continues)"
 
+
+def after_event(state: str, item: str) -> str:
+    """The state of try regions behind an event: start line (0: outside) and depth."""
+    begins = f"({state}.start = 0 AND {item}.opens)"
+    return folds.struct(
+        start=f"CASE WHEN {begins} THEN {item}.line WHEN {_ends(state, item)} THEN 0 "
+        f"ELSE {state}.start END",
+        depth=f"if({begins}, {item}.delta, {state}.depth + {item}.delta)",
+    )
+
+
+def region_end(state: str, item: str) -> str:
+    return f"if({_ends(state, item)}, concat({state}.start, ',', {item}.line, ';'), '')"
+
+
+def try_regions(files: DataFrame, keys: tuple[str, ...] | None = None) -> DataFrame:
+    """Start and end line of every outermost ``try`` region."""
+    keys = known_keys(files, keys)
     regions = folds.running_pieces(
         "events",
         folds.struct(start="0", depth="0"),
-        step,
-        lambda state, item: (
-            f"if({ends(state, item)}, concat({state}.start, ',', {item}.line, ';'), '')"
-        ),
+        after_event,
+        region_end,
         lambda state: f"if({state}.start > 0, concat({state}.start, ',', size(lines)), '')",
     )
     return (
         with_lines(keyed(files, keys).where("contains(content, 'try')"))
-        .selectExpr("key", "path", "lines", f"{code} AS code")
-        .selectExpr("key", "path", "lines", f"{events} AS events")
+        .selectExpr("key", "path", "lines", f"{code_lines()} AS code")
+        .selectExpr("key", "path", "lines", f"{try_events()} AS events")
         .selectExpr("key", "path", f"explode({regions}) AS region")
         .selectExpr(
             *key_columns(keys),
