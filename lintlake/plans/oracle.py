@@ -886,6 +886,11 @@ def oracle_sql() -> dict[str, str]:
         FROM (SELECT 0 AS k, * FROM x WHERE len(text) > 1000 AND flag = 'plain'
               UNION ALL SELECT 1, * FROM x WHERE n_lines > 40 AND line = 1)"""
     )
+    sql["line_context_chunked"] = sql["line_context"]
+    sql["try_regions_chunked"] = sql["try_regions"]
+    sql["brace_spans_chunked"] = (
+        f"SELECT file_seq, path, block_seq, start_line, end_line FROM ({sql['brace_blocks']})"
+    )
     sql["streaming_review"] = sql["findings_all"]
     sql["streaming_diff_review"] = sql["diff_findings"]
     sql["findings_sink"] = _review(

@@ -42,6 +42,11 @@ def _shared(spark: SparkSession, name: str) -> str:
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+def _on_lines(operator: Callable[..., DataFrame]) -> Query:
+    """The operator over the table of all lines of the corpus, which it puts in chunks."""
+    return lambda spark, sf_dir: operator(op.lines(corpus.files(spark, sf_dir)), keys=("file_seq",))
+
+
 def language_counts(spark, sf_dir):
     files = corpus.files(spark, sf_dir).selectExpr(f"{text.detect_language('path')} AS language")
     return files.groupBy("language").agg(F.count("*").alias("files"))
@@ -164,6 +169,9 @@ def queries() -> dict[str, Query]:
         "language_full": language_full,
         "file_types": file_types,
         "line_context": _on_files(op.line_context),
+        "line_context_chunked": _on_lines(op.line_context_of_lines),
+        "try_regions_chunked": _on_lines(op.try_regions_of_lines),
+        "brace_spans_chunked": _on_lines(op.brace_spans_of_lines),
         "imports": _on_files(op.imports),
         "import_module_counts": _on_files(op.import_module_counts),
         "try_regions": _on_files(op.try_regions),

@@ -34,7 +34,7 @@ def test_every_query_has_sql():
 
 
 @pytest.mark.parametrize("name", [
-    "line_context", "imports", "try_regions", "brace_blocks", "indent_blocks", "code_blocks",
+    "line_context", "line_context_chunked", "try_regions_chunked", "brace_spans_chunked", "imports", "try_regions", "brace_blocks", "indent_blocks", "code_blocks",
     "diff_lines", "diff_files", "findings_all", "findings_no_context", "diff_findings_mapped",
     "summary", "summary_by_file", "summary_by_source", "diff_summary", "severity_groups",
     "rule_coverage", "custom_rules", "streaming_review", "streaming_diff_review", "findings_sink",
