@@ -2,17 +2,12 @@
 
 from __future__ import annotations
 
-import os
-import re
-from urllib.parse import unquote
-
 from pyspark.sql import DataFrame, SparkSession
 
-from ..functions.text import literal
+from . import folders
 
 FILES_SCHEMA = "file_seq bigint, path string, content string"
 DIFFS_SCHEMA = "diff_id bigint, raw string"
-_SCHEME = r"^[A-Za-z][A-Za-z0-9+.-]*:(?://[^/]*)?(?=/)"
 
 
 def files_from_rows(spark: SparkSession, rows) -> DataFrame:
@@ -21,37 +16,20 @@ def files_from_rows(spark: SparkSession, rows) -> DataFrame:
     return spark.createDataFrame(numbered, FILES_SCHEMA)
 
 
+CONTENT = "make_valid_utf8(CAST(content AS STRING)) AS content"
+
+
 def files_from_directory(
     spark: SparkSession, root: str, glob: str | None = None, partitions: int | None = None
 ) -> DataFrame:
     """One row per file below ``root``: ``path`` relative to it, and ``content``.
 
-    Bytes that are no UTF-8 become replacement characters. Small files are packed into splits
-    of ``spark.sql.files.maxPartitionBytes``; ``partitions`` deals the rows out anew. Spark's
-    scan passes over files of zero length, so those come from its listing of the folder,
-    less the files that the scan has. Store a corpus that is read often as a table instead
-    and use :func:`files_from_table`.
+    All files count, also empty ones and names that start with a dot or an underscore; ``glob``
+    is matched with the name. Bytes that are no UTF-8 become replacement characters. Tasks list
+    and read the folders, at least ``partitions`` where the folders allow it. Store a corpus
+    that is read often as a table instead and use :func:`files_from_table`.
     """
-    reader = spark.read.format("binaryFile").option("recursiveFileLookup", True)
-    if glob:
-        reader = reader.option("pathGlobFilter", glob)
-    found = reader.load(root)
-    listed = spark.createDataFrame([(unquote(name),) for name in found.inputFiles()], "path string")
-    rows = found.selectExpr(
-        f"{_below(root)} AS path", "make_valid_utf8(CAST(content AS STRING)) AS content"
-    )
-    empty = listed.selectExpr(f"{_below(root)} AS path").join(
-        found.selectExpr(f"{_below(root)} AS path"), "path", "left_anti"
-    )
-    rows = rows.unionByName(empty.selectExpr("path", "'' AS content"))
-    return rows.repartition(partitions) if partitions else rows
-
-
-def _below(root: str) -> str:
-    """The column ``path`` without scheme, authority and the folder ``root``."""
-    folder = re.sub(_SCHEME, "", root) if re.match(_SCHEME, root) else os.path.abspath(root)
-    start = len(folder.rstrip("/")) + 2
-    return f"substring(regexp_replace(path, {literal(_SCHEME)}, ''), {start})"
+    return folders.configured(spark, spark.read, root, glob, partitions).load().selectExpr("path", CONTENT)
 
 
 def files_from_table(

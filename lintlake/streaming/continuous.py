@@ -11,9 +11,8 @@ from pyspark.sql.streaming import StreamingQuery
 
 from ..operators.diff import review_diffs
 from ..operators.review import review
-from ..sources.files import DIFFS_SCHEMA, FILES_SCHEMA
-
-_BINARY = "path string, modificationTime timestamp, length bigint, content binary"
+from ..sources import folders
+from ..sources.files import CONTENT, DIFFS_SCHEMA, FILES_SCHEMA
 
 
 def file_stream(
@@ -34,24 +33,24 @@ def diff_stream(
 
 
 def file_directory_stream(
-    spark: SparkSession, root: str, glob: str | None = None, max_files: int | None = None
+    spark: SparkSession, root: str, glob: str | None = None, settle: float = 2.0,
+    partitions: int | None = None,
 ) -> DataFrame:
-    """Source files that arrive in a directory, as (path, content) rows with the whole path.
+    """Source files that arrive below a folder, empty ones too, as (path, content) rows.
 
-    Files of zero length are not seen by a stream.
+    Paths are relative to the folder, as in :func:`files_from_directory`. A file is taken up
+    ``settle`` seconds after its last change; one that is changed later is taken up again.
     """
-    reader = spark.readStream.format("binaryFile").schema(_BINARY).option("recursiveFileLookup", True)
-    for name, value in (("pathGlobFilter", glob), ("maxFilesPerTrigger", max_files)):
-        if value:
-            reader = reader.option(name, value)
-    return reader.load(root).selectExpr("path", "make_valid_utf8(CAST(content AS STRING)) AS content")
+    reader = folders.configured(spark, spark.readStream, root, glob, partitions, settle=settle)
+    return reader.load().selectExpr("path", CONTENT)
 
 
 def diff_directory_stream(
-    spark: SparkSession, root: str, glob: str = "*.diff", max_files: int | None = None
+    spark: SparkSession, root: str, glob: str = "*.diff", settle: float = 2.0,
+    partitions: int | None = None,
 ) -> DataFrame:
-    """Diff files that arrive in a directory; the whole path is the ``diff_id``."""
-    files = file_directory_stream(spark, root, glob, max_files)
+    """Diff files that arrive below a folder; the path below it is the ``diff_id``."""
+    files = file_directory_stream(spark, root, glob, settle, partitions)
     return files.withColumnsRenamed({"path": "diff_id", "content": "raw"})
 
 

@@ -1,6 +1,11 @@
 """Sources, sink and streams."""
 
+import os
+
+import pytest
+
 from lintlake.operators import lines, review, review_diffs, sort_findings, summarize, summary_by_file
+from lintlake.sources import folders
 from lintlake.sources import (
     diffs_from_directory,
     files_from_directory,
@@ -110,14 +115,60 @@ def test_directory_streams(spark, tmp_path):
     (tmp_path / "src" / "a.ts").write_text("eval(x)")
     (tmp_path / "src" / "b.diff").write_text("diff --git a/x.ts b/x.ts\n@@ -1 +1 @@\n+eval(x)\n")
     for name, start, stream in (
-        ("files", start_review, file_directory_stream(spark, str(tmp_path / "src"), "*.ts")),
-        ("diffs", start_diff_review, diff_directory_stream(spark, str(tmp_path / "src"))),
+        ("files", start_review, file_directory_stream(spark, str(tmp_path / "src"), "*.ts", 0)),
+        ("diffs", start_diff_review, diff_directory_stream(spark, str(tmp_path / "src"), settle=0)),
     ):
         output = str(tmp_path / f"{name}-out")
         start(stream, output, str(tmp_path / f"{name}-progress"), available_now=True).awaitTermination()
         assert [r.rule for r in spark.read.parquet(output).collect()] == ["SEC001"]
 
 
+def test_directory_stream_goes_on_and_sees_empty_files(spark, tmp_path):
+    """Each file in one batch, also old, moved and empty ones, over a restart."""
+    root, output, progress = tmp_path / "in", str(tmp_path / "out"), str(tmp_path / "progress")
+    (root / "__tests__").mkdir(parents=True)
+    (tmp_path / "old.ts").write_text("eval(z)")
+    os.utime(tmp_path / "old.ts", (1, 1))
+
+    def run():
+        stream = file_directory_stream(spark, str(root), settle=0)
+        writer = stream.writeStream.format("parquet").option("path", output).option("checkpointLocation", progress)
+        writer.trigger(availableNow=True).start().awaitTermination()
+        return sorted((r.path, r.content) for r in spark.read.parquet(output).collect())
+
+    (root / "a.ts").write_text("eval(x)")
+    (root / "empty.ts").write_text("")
+    first = [("a.ts", "eval(x)"), ("empty.ts", "")]
+    assert run() == first
+    assert run() == first
+    (root / "__tests__" / "none.ts").write_text("")
+    (tmp_path / "old.ts").rename(root / "old.ts")
+    found = run()
+    assert found == sorted(first + [("__tests__/none.ts", ""), ("old.ts", "eval(z)")])
+    assert found == sorted((r.path, r.content) for r in files_from_directory(spark, str(root)).collect())
+
+
+@pytest.mark.parametrize("parts", [1, 3, 40])
+def test_every_file_is_in_one_part(tmp_path, monkeypatch, parts):
+    """Narrow and wide folders, files at every depth, by a path and by an address."""
+    monkeypatch.setattr(folders, "WIDE", 9)
+    expected = set()
+    for i in range(60):
+        path = f"{i % 5}/w/{i}.ts" if i % 2 else f"{i % 3}/{i}/.{i}" if i % 3 else f"_{i}"
+        (tmp_path / path).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / path).write_text("")
+        expected.add(path)
+    (tmp_path / "none").mkdir()
+    (tmp_path / "loop").symlink_to(tmp_path)
+    for tree in (folders._Local(str(tmp_path)), folders._Remote("file://" + str(tmp_path))):
+        monkeypatch.setattr(folders, "_tree", lambda root: tree)
+        found = [f for part in folders._parts(str(tmp_path), parts) for f in folders._files(tree, part, None)]
+        if isinstance(tree, folders._Local):
+            assert sorted(found) == sorted(expected)
+        else:
+            assert expected <= set(found)
+
+
 def test_sizes_are_counted_while_findings_are_written(spark, make_files, tmp_path):
     from lintlake import review
     from lintlake.sources import write_findings
