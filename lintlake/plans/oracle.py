@@ -892,6 +892,12 @@ def oracle_sql() -> dict[str, str]:
         f"SELECT file_seq, path, block_seq, start_line, end_line FROM ({sql['brace_blocks']})"
     )
     sql["streaming_review"] = sql["findings_all"]
+    sql["directory_files"] = (
+        f"WITH {FILES} SELECT file_seq, false AS is_empty_twin, length(content)::INT AS n_chars, "
+        f"len(string_split(content, {NL}))::INT AS n_lines FROM files "
+        "UNION ALL SELECT file_seq, true, 0, 1 FROM files"
+    )
+    sql["directory_review"] = sql["streaming_directory_review"] = sql["findings_all"]
     sql["streaming_diff_review"] = sql["diff_findings"]
     sql["findings_sink"] = _review(
         "SELECT severity, rule, count(*) AS findings FROM findings GROUP BY severity, rule"

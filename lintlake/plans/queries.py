@@ -13,8 +13,8 @@ from pyspark.sql import functions as F
 from .. import operators as op
 from ..functions import text
 from ..rules import BUILT_IN_RULES, FileRule, LineRule, Report, Test, hit, list_rules, rule_table
-from ..sources import write_findings
-from ..streaming import start_diff_review, start_review
+from ..sources import files_from_directory, write_files, write_findings
+from ..streaming import file_directory_stream, start_diff_review, start_review
 from . import corpus
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -155,6 +155,49 @@ def _written_findings(spark, sf_dir):
     return spark.read.parquet(output)
 
 
+def _as_folder(spark, sf_dir):
+    """The corpus written as one file per row, below a folder that carries the number."""
+    root = _shared(spark, "folder")
+    numbered = corpus.files(spark, sf_dir).selectExpr(
+        "concat_ws('/', file_seq % 100, file_seq, path) AS path", "content"
+    )
+    write_files(numbered, root)
+    return root
+
+
+def _numbered_again(files):
+    return files.selectExpr(
+        "CAST(split_part(path, '/', 2) AS BIGINT) AS file_seq",
+        "regexp_replace(path, '^[0-9]+/[0-9]+/', '') AS path",
+        "content",
+    )
+
+
+def directory_review(spark, sf_dir):
+    """The corpus as files in folders, read back by the folder source and reviewed."""
+    return op.review(_numbered_again(files_from_directory(spark, _as_folder(spark, sf_dir))))
+
+
+def directory_files(spark, sf_dir):
+    """Lines and characters of every file in folders, empty ones included."""
+    root = _as_folder(spark, sf_dir)
+    empty = corpus.files(spark, sf_dir).selectExpr("concat('empty/', file_seq, '/none') AS path", "'' AS content")
+    write_files(empty, root)
+    return files_from_directory(spark, root).selectExpr(
+        "CAST(split_part(path, '/', 2) AS BIGINT) AS file_seq",
+        "startswith(path, 'empty/') AS is_empty_twin",
+        "length(content) AS n_chars",
+        f"size({text.split_lines('content')}) AS n_lines",
+    )
+
+
+def streaming_directory_review(spark, sf_dir):
+    """The corpus as files in folders, reviewed as a stream of the folder."""
+    root = _as_folder(spark, sf_dir)
+    files = _numbered_again(file_directory_stream(spark, root, settle=0))
+    return _streamed(spark, start_review, files)
+
+
 def findings_sink(spark, sf_dir):
     """Findings written by severity and counted from the written table."""
     written = _written_findings(spark, sf_dir)
@@ -200,6 +243,9 @@ def queries() -> dict[str, Query]:
         "custom_rules": _on_files(op.review, rules=CUSTOM_RULES),
         "streaming_review": streaming_review,
         "streaming_diff_review": streaming_diff_review,
+        "directory_files": directory_files,
+        "directory_review": directory_review,
+        "streaming_directory_review": streaming_directory_review,
         "findings_sink": findings_sink,
     }
     for rule in BUILT_IN_RULES:

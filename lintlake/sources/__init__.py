@@ -6,9 +6,10 @@ from .files import (
     files_from_rows,
     files_from_table,
 )
+from .folders import write_files
 from .sinks import write_findings
 
 __all__ = [
     "diffs_from_directory", "files_from_directory", "files_from_rows", "files_from_table",
-    "write_findings",
+    "write_files", "write_findings",
 ]

@@ -25,7 +25,8 @@ from itertools import islice
 import pyarrow as pa
 from pyarrow import fs
 from pyspark import cloudpickle
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, InputPartition
 
 # Workers get this module's classes by value, so that they need not have the library.
@@ -70,6 +71,12 @@ class _Local:
         with open(os.path.join(self.root, path), "rb") as file:
             return file.read()
 
+    def write(self, path: str, content: bytes):
+        whole = os.path.join(self.root, path)
+        os.makedirs(os.path.dirname(whole), exist_ok=True)
+        with open(whole, "wb") as file:
+            file.write(content)
+
 
 class _Remote:
     """A folder of a file system that the Arrow library knows by its address."""
@@ -94,6 +101,11 @@ class _Remote:
         with self.system.open_input_stream(self._whole(path)) as file:
             return file.read()
 
+    def write(self, path: str, content: bytes):
+        self.system.create_dir(os.path.dirname(self._whole(path)))
+        with self.system.open_output_stream(self._whole(path)) as file:
+            file.write(content)
+
 
 def _tree(root: str):
     return _Remote(root) if re.match(r"^(?!file:)[A-Za-z][A-Za-z0-9+.-]*://", root) else _Local(root)
@@ -213,3 +225,22 @@ def configured(spark: SparkSession, reader, root: str, glob: str | None, parts:
     if glob:
         options["glob"] = glob
     return reader.format(NAME).options(**options)
+
+
+def write_files(files: DataFrame, root: str) -> int:
+    """Write ``(path, content)`` rows as files below a folder all executors share; returns how many.
+
+    A task that is run again writes the same files again. Paths must differ and stay below the folder.
+    """
+
+    def written(batches):
+        tree = _tree(root)
+        for batch in batches:
+            for path, content in zip(batch["path"].to_pylist(), batch["content"].to_pylist()):
+                if os.path.isabs(path) or ".." in path.split("/"):
+                    raise ValueError(f"not below the folder: {path}")
+                tree.write(path, (content or "").encode())
+            yield pa.RecordBatch.from_pydict({"files": pa.array([batch.num_rows], pa.int64())})
+
+    done = files.select("path", "content").mapInArrow(written, "files bigint")
+    return done.agg(F.coalesce(F.sum("files"), F.lit(0)).alias("files")).first().files
