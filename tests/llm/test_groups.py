@@ -1,6 +1,7 @@
 """Sharding, mixing, near-duplicates and syncmers against brute force."""
 
 import hashlib
+import itertools
 import random
 import zlib
 from collections import Counter, defaultdict
@@ -49,6 +50,37 @@ def test_shards_keep_groups(make_docs):
     assert again == {(r.doc_id, r.shard, r.slot) for r in rows}
 
 
+def test_shards_exchange_groups(make_docs):
+    """Every row in a group of ten, so that no shard has room to begin with."""
+    rng = random.Random(4)
+    texts = [f"text {i % 800}" for i in range(8000)]
+    rng.shuffle(texts)
+    docs = make_docs(list(enumerate(texts)))
+    places = defaultdict(Counter)
+    for r in check_shards(docs, sharding.shard_documents(docs, shards=40), 40):
+        places[r.text_crc32][r.shard] += 1
+    assert sum(max(c.values()) for c in places.values()) >= 7200
+
+
+def test_labels_against_all_labellings(spark):
+    """On small tables no labelling under the quota leaves fewer links cut."""
+    rng = random.Random(6)
+    for _ in range(4):
+        sizes = [rng.randint(2, 4) for _ in range(5)]
+        rows = [(f"g{g}", rng.randrange(3)) for g, n in enumerate(sizes) for _ in range(n)]
+        quota = -(-sum(sizes) // 3) + 2
+        found = sharding.propagate(spark.createDataFrame(rows, "link string, shard int"), 3, quota).collect()
+        load = Counter()
+        for r in found:
+            load[r.label] += sizes[int(r.link[1:])]
+        assert max(load.values()) <= quota and len({r.link for r in found}) == len(found)
+        possible = [
+            labels for labels in itertools.product(range(3), repeat=5)
+            if all(sum(n for n, x in zip(sizes, labels) if x == s) <= quota for s in range(3))
+        ]
+        assert possible and len(found) == 5  # whole groups only: no link is cut
+
+
 @pytest.mark.parametrize("shards", [1, 4, 40])
 def test_shards_of_odd_rows(odd_docs, shards):
     check_shards(odd_docs, sharding.shard_documents(odd_docs, shards=shards), shards)
