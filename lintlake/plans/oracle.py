@@ -898,6 +898,11 @@ def oracle_sql() -> dict[str, str]:
         "UNION ALL SELECT file_seq, true, 0, 1 FROM files"
     )
     sql["directory_review"] = sql["streaming_directory_review"] = sql["findings_all"]
+    sql["streaming_summary_by_source"] = sql["summary_by_source"]
+    sql["streaming_severity_sizes"] = " UNION ALL ".join(
+        f"SELECT '{s}' AS severity, sum({s})::BIGINT AS group_size FROM ({sql['summary_by_source']}) HAVING sum({s}) > 0"
+        for s in fv.SEVERITIES
+    )
     sql["streaming_diff_review"] = sql["diff_findings"]
     sql["findings_sink"] = _review(
         "SELECT severity, rule, count(*) AS findings FROM findings GROUP BY severity, rule"

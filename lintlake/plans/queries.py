@@ -14,7 +14,14 @@ from .. import operators as op
 from ..functions import text
 from ..rules import BUILT_IN_RULES, FileRule, LineRule, Report, Test, hit, list_rules, rule_table
 from ..sources import files_from_directory, write_files, write_findings
-from ..streaming import file_directory_stream, start_diff_review, start_review
+from ..streaming import (
+    file_directory_stream,
+    running_summary,
+    severity_sizes_of,
+    start_diff_review,
+    start_review,
+    start_summary,
+)
 from . import corpus
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -143,6 +150,24 @@ def streaming_review(spark, sf_dir):
     return _streamed(spark, start_review, files)
 
 
+def _summed_stream(spark, sf_dir, by):
+    """The documents as a stream, summarized in the state store; the folder of the results."""
+    documents = _table_stream(spark, sf_dir, "documents", corpus.documents(spark, sf_dir).schema)
+    files, output = corpus.document_files(documents, keep=("source", "lang")), _shared(spark, "summary")
+    start_summary(files, output, _shared(spark, "progress"), by, available_now=True).awaitTermination()
+    return running_summary(spark, output, by)
+
+
+def streaming_summary_by_source(spark, sf_dir):
+    """Running summaries per document source and language, as of the stream's last batch."""
+    return _summed_stream(spark, sf_dir, ("source", "lang"))
+
+
+def streaming_severity_sizes(spark, sf_dir):
+    """Sizes of the severity groups from running summaries."""
+    return severity_sizes_of(_summed_stream(spark, sf_dir, ("source", "lang")))
+
+
 def streaming_diff_review(spark, sf_dir):
     """The documents' diffs as a stream, reviewed to a Parquet sink that is read back."""
     documents = _table_stream(spark, sf_dir, "documents", corpus.documents(spark, sf_dir).schema)
@@ -246,6 +271,8 @@ def queries() -> dict[str, Query]:
         "directory_files": directory_files,
         "directory_review": directory_review,
         "streaming_directory_review": streaming_directory_review,
+        "streaming_summary_by_source": streaming_summary_by_source,
+        "streaming_severity_sizes": streaming_severity_sizes,
         "findings_sink": findings_sink,
     }
     for rule in BUILT_IN_RULES:

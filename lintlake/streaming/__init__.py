@@ -6,10 +6,13 @@ from .continuous import (
     file_directory_stream,
     file_stream,
     start_diff_review,
+    running_summary,
+    severity_sizes_of,
     start_review,
+    start_summary,
 )
 
 __all__ = [
     "diff_directory_stream", "diff_stream", "file_directory_stream", "file_stream",
-    "start_diff_review", "start_review",
+    "start_diff_review", "running_summary", "severity_sizes_of", "start_review", "start_summary",
 ]

@@ -1,19 +1,26 @@
 """Continuous review: the batch pipeline over a stream of files or diffs.
 
-Review keeps no state between rows, so it runs in append mode without a watermark. Only
-per-batch sorting and summaries belong into ``foreachBatch``.
+Review keeps no state between rows, so it runs in append mode without a watermark. A running
+summary keeps one row of counts per key in the state store; no watermark drops late files.
 """
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..operators.diff import review_diffs
 from ..operators.review import review
+from ..operators.summary import summarize
+from ..rules.fixed_values import SEVERITIES
 from ..sources import folders
 from ..sources.files import CONTENT, DIFFS_SCHEMA, FILES_SCHEMA
 
+_NUMBER = "summary_batch"
+
 
 def file_stream(
     spark: SparkSession, directory: str, schema: str = FILES_SCHEMA, max_files: int | None = None
@@ -68,6 +75,40 @@ def start_diff_review(
     return _start(review_diffs(stream, **options), output, checkpoint, available_now)
 
 
+def start_summary(
+    stream: DataFrame, output: str, checkpoint: str, by: Sequence[str] = (),
+    available_now: bool = False, **options,
+) -> StreamingQuery:
+    """Keep :func:`summarize` of all files of a stream so far, per ``by``.
+
+    A batch writes the rows of the keys it changed into a folder of its own, which a batch that
+    is run again replaces; :func:`running_summary` reads the newest row of every key. Counts
+    go on from the checkpoint after a restart.
+    """
+
+    def save(changed: DataFrame, number: int) -> None:
+        changed.write.mode("overwrite").parquet(f"{output.rstrip('/')}/{_NUMBER}={number}")
+
+    summary = summarize(stream, by=by, **options)
+    writer = summary.writeStream.outputMode("update").option("checkpointLocation", checkpoint).foreachBatch(save)
+    return (writer.trigger(availableNow=True) if available_now else writer).start()
+
+
+def running_summary(spark: SparkSession, output: str, by: Sequence[str] = ()) -> DataFrame:
+    """The summary as of the last batch that :func:`start_summary` wrote; keys may be null."""
+    rows = spark.read.parquet(output)
+    values = [c for c in rows.columns if c not in (*by, _NUMBER)]
+    newest = rows.groupBy(*by).agg(F.max_by(F.struct(*values), _NUMBER).alias(_NUMBER))
+    return newest.select(*by, f"{_NUMBER}.*")
+
+
+def severity_sizes_of(summary: DataFrame) -> DataFrame:
+    """``severity`` and ``group_size`` over all rows of a summary, four rows at most."""
+    totals = summary.agg(*(F.sum(s).alias(s) for s in SEVERITIES))
+    pairs = ", ".join(f"'{s}', {s}" for s in SEVERITIES)
+    return totals.selectExpr(f"stack({len(SEVERITIES)}, {pairs}) AS (severity, group_size)").where("group_size > 0")
+
+
 def _start(findings: DataFrame, output: str, checkpoint: str, available_now: bool):
     writer = (
         findings.writeStream.outputMode("append")

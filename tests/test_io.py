@@ -17,8 +17,11 @@ from lintlake.streaming import (
     diff_stream,
     file_directory_stream,
     file_stream,
+    running_summary,
+    severity_sizes_of,
     start_diff_review,
     start_review,
+    start_summary,
 )
 
 FILES = [("a.ts", "eval(x)\n// TODO: y"), ("b.py", "pickle.load(f)"), ("c.md", "eval(z)")]
@@ -169,6 +172,26 @@ def test_every_file_is_in_one_part(tmp_path, monkeypatch, parts):
             assert expected <= set(found)
 
 
+def test_running_summary_goes_on_after_a_restart(spark, make_files, tmp_path):
+    """State after every start equals the summary of all files so far, null keys included."""
+    source, output, progress = (str(tmp_path / n) for n in ("in", "out", "progress"))
+    files = make_files([(f"{i}.ts", "eval(x)\n" * (i % 3)) for i in range(9)]).selectExpr(
+        "*", "if(file_seq % 4 = 3, NULL, CAST(file_seq % 4 AS STRING)) AS repo"
+    )
+    schema = "file_seq bigint, path string, content string, repo string"
+    for upto in (3, 3, 9):
+        have = spark.read.schema(schema).parquet(source).select("file_seq") if os.path.isdir(source) else files.limit(0).select("file_seq")
+        files.where(f"file_seq < {upto}").join(have, "file_seq", "left_anti").select("file_seq", "path", "content", "repo").write.mode("append").parquet(source)
+        start_summary(
+            file_stream(spark, source, schema, max_files=1), output, progress, ("repo",), available_now=True
+        ).awaitTermination()
+        expected = summarize(files.where(f"file_seq < {upto}"), by=("repo",))
+        found = running_summary(spark, output, ("repo",)).select(expected.columns)
+        assert sorted(map(str, found.collect())) == sorted(map(str, expected.collect()))
+    sizes = {r.severity: r.group_size for r in severity_sizes_of(found).collect()}
+    assert sizes == {"critical": 9}
+
+
 def test_sizes_are_counted_while_findings_are_written(spark, make_files, tmp_path):
     from lintlake import review
     from lintlake.sources import write_findings

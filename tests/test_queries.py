@@ -38,7 +38,7 @@ def test_every_query_has_sql():
     "diff_lines", "diff_files", "findings_all", "findings_no_context", "diff_findings_mapped",
     "summary", "summary_by_file", "summary_by_source", "diff_summary", "severity_groups",
     "rule_coverage", "custom_rules", "streaming_review", "streaming_diff_review", "findings_sink",
-    "directory_files", "directory_review", "streaming_directory_review",
+    "streaming_summary_by_source", "streaming_severity_sizes", "directory_files", "directory_review", "streaming_directory_review",
 ])
 def test_query(spark, duck, name):
     df = entry_point.queries()[name](spark, str(DATA))
