@@ -30,7 +30,15 @@ def chunks(lines: DataFrame, keys: tuple[str, ...] = (), size: int = CHUNK_LINES
         F.struct("line", F.coalesce("text", F.lit("")).alias("text")).alias("item"),
     )
     held = spot.groupBy("file", "chunk").agg(F.sort_array(F.collect_list("item")).alias("items"))
-    return held.selectExpr("file", "chunk", "items[0].line - 1 AS before", "items.text AS lines")
+    return _kept(held.selectExpr("file", "chunk", "items[0].line - 1 AS before", "items.text AS lines"))
+
+
+def _kept(df: DataFrame) -> DataFrame:
+    """df, made once and kept with its partitioning if the session has a folder for checkpoints.
+
+    Scans read chunks several times; without a folder each of them shuffles the lines anew.
+    """
+    return df.checkpoint() if df.sparkSession.sparkContext.getCheckpointDir() else df
 
 
 def _with_flags(chunked: DataFrame) -> DataFrame:
@@ -126,6 +134,7 @@ def try_regions_of_lines(
         )
         .selectExpr("file", "chunk", "behind.last", "n_lines", f"{context.try_events('behind.follows')} AS events")
     )
+    events = _kept(events)
     summaries = events.selectExpr("file", "chunk", f"{_region_summary('events')} AS summary")
     states = scans.states_before(
         summaries, _NO_REGION, _joined_regions, lambda state, summary: _behind(summary, state)
