@@ -2,9 +2,11 @@
 
 The channel turns letters into look-alikes (``1d10t``), puts separators between them
 (``i.d.i.o.t``, ``i d i o t``) and repeats them (``iiidiot``). Read backwards, every character
-of a suspicious passage stands for a few letters, or for nothing, or for the end of a word;
+of a passage stands for a few letters, or for nothing, or for the end of a word;
 the passage is a lattice, and the path with the least cost under the channel and the language
-model (three characters in a row) is the restored text. Passages without such signs are left as they are.
+model (three characters in a row) is the restored text. Which words are decoded is not a guess at what is disguised:
+all are in which the channel can have left a trace, that is a sign, a mark between letters or a letter
+twice in a row; the model decides whether anything is changed. Other words are their own only path.
 """
 
 from __future__ import annotations
@@ -32,15 +34,15 @@ LOOKALIKES = {
 SEPARATORS = " .-_*'~,·/"
 _SIGN, _DROP, _REPEAT, _KEEP = 1.0, 0.7, 0.3, 4.0
 
-_signs = re.escape("".join(c for c in LOOKALIKES))
+_signs = re.escape("".join(LOOKALIKES))
 _letter = r"[^\W\d_]"
-#: A word with a look-alike beside a letter, separators between single letters, or a long run.
-SUSPICIOUS = re.compile(
-    rf"{_letter}[{_signs}]|[{_signs}]{_letter}|(?<![^\W_]){_letter}(?:[{re.escape(SEPARATORS[1:])}]+[^\W_]){{2}}|{_letter}[*]+{_letter}|({_letter})\1\1"
-)
-TRIPLED = re.compile(rf"({_letter})\1\1")
-SPACED = re.compile(rf"(?<!\S)[\w@$!|+](?: {{1,2}}[\w@$!|+]){{2,}}(?!\S)")
-_HEAD = re.compile(r"[^\w@$]*")
+_between = re.escape(SEPARATORS[1:])
+#: What the channel can leave in a word: a look-alike, a mark between letters or signs, a letter twice in a row.
+TRACE = re.compile(rf"[{_signs}]|[^\W_][{_between}]+(?=[^\W_])|({_letter})\1")
+#: Single letters or signs with blanks between them, as many as one likes.
+SPACED = re.compile(rf"(?<!\S)(?:\w|[{_signs}])(?:\s+(?:\w|[{_signs}])(?!\S)){{2,}}")
+#: Marks before a word; signs other than the bracket may belong to it.
+_HEAD = re.compile(r"[^\w@$!|+€£¡]*")
 
 
 def trigram_counts(texts: list[str]) -> np.ndarray:
@@ -79,6 +81,10 @@ class LanguageModel:
 
     def decode(self, passage: str) -> str:
         """The likeliest letters behind a passage (in lower case)."""
+        return self.best_path(passage)[0]
+
+    def best_path(self, passage: str) -> tuple[str, float]:
+        """What ``decode`` gives, and its cost."""
         cost = self.cost
         best: dict[tuple[int, int], tuple[float, tuple | None]] = {(END, END): (0.0, None)}
         before = ""
@@ -112,17 +118,23 @@ class LanguageModel:
                     if old is None or now < old[0]:
                         following[state] = (now, trail)
             best, before = following, c
-        _, path = min(((t + float(cost[a, b, END]), p) for (a, b), (t, p) in best.items()), key=lambda x: x[0])
+        total, path = min(((t + float(cost[a, b, END]), p) for (a, b), (t, p) in best.items()), key=lambda x: x[0])
         out = []
         while path is not None:
             out.append(path[0])
             path = path[1]
-        return "".join(reversed(out))
+        return "".join(reversed(out)), total
 
     def restore_word(self, word: str) -> str:
-        """A word in lower case as it was before the channel, if it looks disguised."""
+        """The likeliest word (or words) behind a word in lower case.
+
+        One of signs alone is a number or ornament at the price of keeping its signs, unless letters cost less.
+        """
         core = core_of(word)
-        return self.decode(core) if SUSPICIOUS.search(core) else word
+        if not TRACE.search(core):
+            return word
+        read, cost = self.best_path(core)
+        return read if cost < _KEEP * len(core) or any(c in SYMBOL_OF for c in core) else word
 
 
 def language_model(docs: DataFrame, text: str = "text") -> LanguageModel:

@@ -2,15 +2,15 @@
 
 1. A character language model is made from all documents (``deobfuscation``).
 2. From labelled documents, one of each group of near copies, the beginnings of words (four
-   to six letters, after restoring) are counted in toxic and in other documents. Beginnings
+   to six letters, as written and after restoring) are counted in toxic and in other documents. Beginnings
    that toxic documents have far more often than others (log-odds and a likelihood-ratio test)
    get their log-odds as weight.
 3. A document's evidence (distinct words with strong and with weak weights, all of them, and
    their share) goes through a logistic regression fitted on the same documents.
 
 Labels are read of learnable rows only; language, source and ids are never inputs. The model
-is small: word beginnings must be in a hundredth of the sampled toxic documents at least, so
-their number is bounded by a hundred times a document's mean number of them.
+is small: word beginnings must be in ``LEAST_DOCS`` of the sampled toxic documents at least, so
+their number is bounded by what the bounded sample holds, whatever the number of documents.
 
 Null texts score like empty ones, near zero. Repeated rows are scored alike, row by row; other
 columns stay, and one with the name of an output is replaced. Without labels of both kinds
@@ -31,10 +31,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, LongType
 
 from .common import known_to_workers, with_batch_columns
-from .deobfuscation import SPACED, TRIPLED, LanguageModel, language_model
+from .deobfuscation import SPACED, TRACE, LanguageModel, language_model
 from .labelled import SAMPLE_ROWS, fit_logistic, fold, labelled_sample
 
-LEAST_SHARE = 0.01
 LEAST_DOCS = 4
 LEAST_LOG_ODDS = 1.2
 #: Log-odds from which on a beginning is strong evidence; words with less count apart.
@@ -68,7 +67,7 @@ class Restorer:
         text = text.lower()
         listed = text.split()
         for m in SPACED.finditer(text):
-            listed += self.model.decode(m[0]).split()
+            listed += self.model.decode(" ".join(m[0].split())).split()
         return listed
 
     def restored(self, word: str) -> str:
@@ -79,6 +78,11 @@ class Restorer:
             found = self.of_word[word] = self.model.restore_word(word)
         return found
 
+    def beginnings(self, word: str) -> list[str]:
+        """Those of the word as it is written and as it was restored."""
+        restored = self.restored(word)
+        return beginnings(word) if restored == word else beginnings(word) + beginnings(restored)
+
 
 def _signature(text: str) -> int:
     """Least hash of the text's shingles of five words: equal for most near copies."""
@@ -98,16 +102,15 @@ def _counts(sample: DataFrame, model: LanguageModel, label: int, only: frozenset
         for batch in batches:
             for text in batch.column(0).to_pylist():
                 docs += 1
-                found = {b for w in set(restorer.words(text)) for b in beginnings(restorer.restored(w))}
+                found = {b for w in set(restorer.words(text)) for b in restorer.beginnings(w)}
                 total.update(found if only is None else found & only)
         yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.string()), pa.array(list(total.values()), pa.int64())], names=["gram", "n"])
 
     rows = sample.where(F.col("label") == label)
-    least = max(LEAST_DOCS, math.ceil(LEAST_SHARE * rows.count()))
     counted = rows.select("text").mapInArrow(run, "gram string, n long").groupBy("gram").agg(F.sum("n").alias("n"))
     if only is None:
-        counted = counted.where(F.col("n") >= least)
-    return Counter({r["gram"]: r["n"] for r in counted.collect()})  # bounded: see the module
+        counted = counted.where(F.col("n") >= LEAST_DOCS)
+    return Counter({r["gram"]: r["n"] for r in counted.collect()})  # of a bounded sample: see the module
 
 
 class ToxicityModel:
@@ -116,13 +119,11 @@ class ToxicityModel:
         self.stems = {b[:3] for b in weights}
 
     def weight(self, word: str, restorer: Restorer) -> float:
-        """Largest weight of the beginnings of the word after restoring; 0 for most words."""
+        """Largest weight of the beginnings of the word, as written or restored; 0 for most words."""
         core = word.strip(_EDGE)
-        if not (core.isalpha() and not TRIPLED.search(core)):
-            core = restorer.restored(word)
-        elif core[:3] not in self.stems:
+        if core[:3] not in self.stems and core.isalpha() and not TRACE.search(word):
             return 0.0
-        return max((self.weights.get(b, 0.0) for b in beginnings(core)), default=0.0)
+        return max((self.weights.get(b, 0.0) for b in restorer.beginnings(word)), default=0.0)
 
     def evidence(self, texts: list[str]) -> np.ndarray:
         """A row per text: for strong and for weak words distinct ones, all, and their share."""

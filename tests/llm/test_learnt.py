@@ -1,5 +1,6 @@
 """Quality rules, toxicity, quality scores and page texts."""
 
+import itertools
 import random
 import re
 import zlib
@@ -10,14 +11,14 @@ import pytest
 
 from lintlake.llm import host_rules, html_extraction, quality_model, toxicity
 from lintlake.llm.boosted_trees import BoostedTrees
-from lintlake.llm.deobfuscation import LanguageModel, core_of, trigram_counts
+from lintlake.llm.deobfuscation import END, LOOKALIKES, OTHER, SEPARATORS, SYMBOL_OF, LanguageModel, core_of, trigram_counts
 from lintlake.llm.html_tree import Forest, Page, main_text
 from lintlake.llm.labelled import fit_logistic, fold, labelled_sample
 from lintlake.llm.page_samples import sample_pages
 from lintlake.llm.text_rules import count_text
 
 PLAIN = "the river runs over many stones and the boats wait near an old town where people talk about small things".split()
-INSULTS = ["idiot", "moron", "loser", "stupid"]
+INSULTS = ["idiot", "moron", "loser", "stupid", "ass"]
 
 
 # Quality rules.
@@ -76,13 +77,57 @@ def language():
 
 @pytest.mark.parametrize("shown, meant", [
     ("1d10t", "idiot"), ("m0r0n!!", "moron"), ("$tup1d", "stupid"), ("l.o.s.e.r", "loser"), ("stuuupid", "stupid"),
-    ("l o s e r", "loser"), ("iddiiiot,", "idiot"), ("st*pid", "stupid"),
+    ("l o s e r", "loser"), ("iddiiiot,", "idiot"), ("st*pid", "stupid"), ("iddiot", "idiot"), ("stuupid", "stupid"),
+    ("mo.ron", "moron"), ("id-iot", "idiot"), ("idi_ot", "idiot"), ("455", "ass"), ("|o$3r", "loser"),
 ])
 def test_restored(language, shown, meant):
     got = language.decode(shown) if " " in shown else language.restore_word(shown)
     assert got == meant
 
 
+@pytest.mark.parametrize("between", [" ", "\t", "   ", " \n", "\u00a0"])
+def test_letters_apart(language, between):
+    words = toxicity.Restorer(language).words("You are " + between.join("MORON") + " there")
+    assert "moron" in words
+
+
+def plain_decode(model, passage):
+    """The least cost of all ways to read the passage, each tried."""
+    ways = []
+    for before, c in zip(" " + passage, passage):
+        own = [(c, 0.0)] if c in SYMBOL_OF else []
+        own += [(x, 1.0) for x in LOOKALIKES.get(c, "")] + ([(c, 4.0)] if c in LOOKALIKES else [])
+        own += [(x, 1.0) for x in "aeiou"] if c == "*" else []
+        own += [("", 0.7), (" ", 0.7)] if c in SEPARATORS else [("", 0.3)] if c == before else []
+        ways.append(own or [(c, 0.0)])
+    found = {}
+    for path in itertools.product(*ways):
+        total, a, b = 0.0, END, END
+        for x, price in path:
+            total += price
+            if x == " ":
+                total += float(model.cost[a, b, END]) if b != END else 0.0
+                a = b = END
+            elif x:
+                symbol = SYMBOL_OF.get(x, OTHER)
+                total += float(model.cost[a, b, symbol])
+                a, b = b, symbol
+        total += float(model.cost[a, b, END])
+        read = "".join(x for x, _ in path)
+        found[read] = min(total, found.get(read, total))
+    return found
+
+
+def test_decoding_tries_all_paths(language):
+    rng = random.Random(5)
+    shown = ["1d10t", "$tup1d", "455", "m0.r0n", "a-*b", "11", "!!", "i i", "x.y.z", "ssss", "*", "é1"]
+    shown += ["".join(rng.choice("aaosti10$5. -*!|") for _ in range(rng.randint(1, 6))) for _ in range(300)]
+    for passage in shown:
+        costs = plain_decode(language, passage)
+        got = language.decode(passage)
+        assert costs[got] <= min(costs.values()) + 1e-4, (passage, got)
+
+
 def test_plain_words_stay(language):
     for word in (*PLAIN, "stones.", "(town)", "1234", "***", "", "tion$$$"):
         assert language.restore_word(word) in (word, core_of(word))
@@ -118,6 +163,20 @@ def test_scores(make_docs, labels_of):
     assert again == {i: r.score for i, r in found.items()}
 
 
+def test_rare_insults_are_learnt(make_docs, labels_of):
+    """A word of under a hundredth of the toxic documents, and doubled, split and signed forms of others."""
+    rng = random.Random(6)
+    rows = list(documents(rng, 4000))
+    rare = [i for i, _, toxic in rows if not toxic][:8]
+    hidden = {4001: "stuupid", 4002: "mo.ron", 4003: "l\to\ts\te\tr", 4004: "id-iot", 4005: "zonker"}
+    rows = [(i, t + " zonker" * 2, True) if i in rare else (i, t, x) for i, t, x in rows]
+    rows += [(i, " ".join(rng.choice(PLAIN) for _ in range(30)) + f" {w} {w}", True) for i, w in hidden.items()]
+    labels = labels_of([(i, 1, int(x)) for i, _, x in rows if i not in hidden])
+    found = {r.doc_id: r.predicted for r in toxicity.score_documents(make_docs([r[:2] for r in rows]), labels).collect()}
+    assert all(found[i] for i in hidden), {w: found[i] for i, w in hidden.items()}
+    assert sum(found[i] for i, _, x in rows if not x) == 0
+
+
 def test_toxicity_of_odd_rows(odd_docs, make_docs, labels_of):
     labels = labels_of([(1, 1, 0), (3, None, None), (4, 0, 1), (None, 1, 1), (4, 1, 0)])
     for given in (labels, labels_of([])):
