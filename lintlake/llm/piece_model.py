@@ -61,8 +61,25 @@ class PairTable:
         return out
 
 
+#: Texts that any normaliser would change: blanks at the ends and in a row, wide and joined letters, marks, tabs.
+PROBES = ("  a  b ", " \tﬁ\n ", "Ａé \u0301①", "▁x ", "\u00a0x\u200b")
+
+
+def refuse_other_rules(model) -> None:
+    """ValueError for a model whose rules differ from those that this package follows.
+
+    These are: no normalising, one blank put before a text that is not empty, blanks kept as they are,
+    and merges in the order of whole-number scores.
+    """
+    for probe in ("", "a", *PROBES):
+        if model.normalize(probe) != (SPACE + probe.replace(" ", SPACE) if probe else ""):
+            raise ValueError(f"the model changes {probe!r} before it is encoded, which is not supported")
+    if any(model.get_score(i) % 1 for i in range(model.vocab_size())):
+        raise ValueError("the scores are not an order of merges: not a BPE model")
+
+
 class PieceModel:
-    """Vocabulary of one model file.
+    """Vocabulary of one model file; others than ``refuse_other_rules`` describes are refused.
 
     ``symbol_of``  code point to the id of its one-character piece, else -1
     ``rank_of``    piece id to its place in the merge order; equal scores share a place
@@ -75,6 +92,7 @@ class PieceModel:
         import sentencepiece
 
         model = sentencepiece.SentencePieceProcessor(model_file=path)
+        refuse_other_rules(model)
         size = model.vocab_size()
         self.size = size
         self.begin, self.end = model.bos_id(), model.eos_id()

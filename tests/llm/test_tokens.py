@@ -93,3 +93,27 @@ def test_clashing_and_extra_columns(make_docs):
 def test_empty_table(make_docs):
     assert digests(encode_and_decode(make_docs([]), piece_model_path())).count() == 0
     assert token_report(make_docs([]), piece_model_path()).count() == 0
+
+
+def _without_prefix(proto):
+    proto.normalizer_spec.add_dummy_prefix = False
+
+
+def _fewer_blanks(proto):
+    proto.normalizer_spec.remove_extra_whitespaces = True
+
+
+def _no_merge_order(proto):
+    for piece in proto.pieces[300:]:
+        piece.score -= 0.5
+
+
+@pytest.mark.parametrize("change", [_without_prefix, _fewer_blanks, _no_merge_order])
+def test_models_with_other_rules_are_refused(library, tmp_path, change):
+    pb = pytest.importorskip("sentencepiece.sentencepiece_model_pb2")
+    proto = pb.ModelProto.FromString(library.serialized_model_proto())
+    change(proto)
+    path = tmp_path / "other.model"
+    path.write_bytes(proto.SerializeToString())
+    with pytest.raises(ValueError):
+        piece_model(str(path))
