@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.types import DataType, StructField, StructType
 
+#: Bytes of input that become Python values at a time, where a batch is taken in pieces.
+PIECE_BYTES = 1 << 20
 #: A word: what stands between blanks (code points 0x20 and 0x09 to 0x0D).
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -56,19 +58,30 @@ def known_to_workers(spark: SparkSession) -> None:
         env["PYTHONPATH"] = os.pathsep.join([*paths, root])
 
 
+def _pieces(batch: pa.RecordBatch, used: Sequence[int], piece_bytes: int | None) -> Iterator[pa.RecordBatch]:
+    """The batch cut into equal numbers of rows, one at least, with about ``piece_bytes`` in the columns used."""
+    size = sum(batch.column(n).nbytes for n in used)
+    rows = batch.num_rows if piece_bytes is None else max(1, batch.num_rows * piece_bytes // max(1, size))
+    for at in range(0, batch.num_rows, max(1, rows)):
+        yield batch.slice(at, rows)
+
+
 def with_batch_columns(
     df: DataFrame,
     inputs: Sequence[str],
     outputs: dict[str, DataType],
     compute: Callable[..., dict[str, pa.Array]],
+    piece_bytes: int | None = None,
+    drop: Sequence[str] = (),
 ) -> DataFrame:
     """df with columns computed from Arrow batches of the inputs.
 
     ``compute`` gets a list of Python values for each input. Columns of df with the name of
-    an output, whatever their case, are replaced.
+    an output, whatever their case, are replaced. With ``piece_bytes`` it gets rows of about so many bytes at
+    a time, so a worker never holds a whole batch as Python values. Columns in ``drop`` do not come back.
     """
     known_to_workers(df.sparkSession)
-    new = {name.lower() for name in outputs}
+    new = {name.lower() for name in (*outputs, *drop)}
     kept = [f.name for f in df.schema.fields if f.name.lower() not in new]
     fields = [*(df.schema[name] for name in kept), *(StructField(k, t) for k, t in outputs.items())]
     types = {name: to_arrow_type(kind) for name, kind in outputs.items()}
@@ -77,7 +90,7 @@ def with_batch_columns(
     used = [places.get(c, lower.get(c.lower())) for c in inputs]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (piece for batch in batches for piece in _pieces(batch, used, piece_bytes)):
             found = compute(*(batch.column(n).to_pylist() for n in used))
             arrays = [batch.column(places[c]) for c in kept]
             arrays += [pa.array(found[c], type=types[c]) if not isinstance(found[c], pa.Array) else found[c].cast(types[c]) for c in outputs]

@@ -36,7 +36,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, ByteType, LongType
 
-from .common import join_hot, row_key, with_batch_columns, written
+from .common import PIECE_BYTES, join_hot, row_key, with_batch_columns, written
 
 SHINGLE = 5
 LIKENESS = 0.8
@@ -201,8 +201,8 @@ def near_links(docs: DataFrame, sets: DataFrame, text: str = "text") -> tuple[Da
     def compute(listed):
         return {"shingles": pa.array([shingle_set(t).view(np.int64) for t in listed], pa.list_(pa.int64()))}
 
-    shingled = with_batch_columns(texts.select("set_key", "text"), ["text"], {"shingles": ArrayType(LongType())}, compute)
-    found = written(shingled.select("set_key", "shingles"), "near-sets")
+    shingled = with_batch_columns(texts.select("set_key", "text"), ["text"], {"shingles": ArrayType(LongType())}, compute, PIECE_BYTES, ("text",))
+    found = written(shingled, "near-sets")
     compared, linked = [], []
 
     def go_on(rows, many, lone):

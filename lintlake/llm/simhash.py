@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 
-from .common import join_hot, row_key, with_batch_columns, written
+from .common import PIECE_BYTES, join_hot, row_key, with_batch_columns, written
 from .near_copies import SET_COLUMNS, near_copies, set_columns
 
 SEED = 42
@@ -63,14 +63,14 @@ def fingerprint(text: str | None) -> int:
 
 
 def with_fingerprints(docs: DataFrame, text: str = "text", name: str = "fingerprint", sets: bool = False) -> DataFrame:
-    """docs with the fingerprint of each text as a (signed) long, and with ``sets`` its shingle set's columns."""
+    """docs without the text, with its fingerprint as a (signed) long, and with ``sets`` its shingle set's columns."""
 
     def compute(texts):
         values = np.fromiter(map(fingerprint, texts), np.uint64, len(texts))
         return {name: pa.array(values.view(np.int64)), **(set_columns(texts) if sets else {})}
 
     # One pass for both: a second one would hold a second Python worker for each task.
-    return with_batch_columns(docs, [text], {name: LongType(), **(SET_COLUMNS if sets else {})}, compute)
+    return with_batch_columns(docs, [text], {name: LongType(), **(SET_COLUMNS if sets else {})}, compute, PIECE_BYTES, (text,))
 
 
 def _masks(parts: int, within: int = (1 << 64) - 1) -> list[int]:
