@@ -5,22 +5,27 @@ MinHash bands instead, and each link is verified by the exact similarity of the
 node, so copies, however many, never form pairs. A pair of similarity 0.8 has an equal one of the 24 bands
 (of six values each) with a probability of 0.9993, a closer one with more.
 
-Sets that share a band are a group. Groups are never paired off: in rounds, each set of a group is
+Sets that share a band are a group. Groups are never paired off: in each of two rounds the sets of a group are
 compared with the group's head only, which then leaves it. The head is the set with the most company in its
 bands, for a text that others were made from has more in common with them than they have with each
-other. Sets linked so far carry a label in common; a group with one label is done, since further links
-in it would connect nothing. A comparison is first made by sketches, a byte of each of the 144 values; the exact
-one follows where they agree as those of a pair of 0.8 do, but for 1 in 4,000.
+other; in the second round one that is linked to nothing yet. Sets linked so far carry a label in common; a group with one label
+is done, since further links in it would connect nothing. A comparison is first made by sketches, a byte of each of the
+144 values; the exact one follows where they agree as those of a pair of 0.8 do, but for 1 in 4,000.
 
-After ``ROUNDS`` rounds most groups hold one label and a few sets linked to nothing; these lead now, and rounds go
-on until each group is done. Groups of which over half is still linked to nothing are crowds of texts that have
-much in common without being alike, as forms do. Their sets are keyed anew by their rarest shingles: of two sets that are alike to
-0.8, the first fifth (and one more) in any common order has a shingle in common, and with the order from rare to
-frequent what all share is not a key at all. This loses no link. The rounds go on in these groups likewise.
+What is left goes on in clusters: groups whose heads have one label are one cluster. A cluster has a centre, the
+shingles that over half of its sets have, and a set is known by its delta, what it has more or less than the
+centre. Two sets differ in what their deltas differ in, so they are alike exactly if their deltas differ in a ninth of
+the two sizes at most. Hence, with ``excess`` for nine times a delta's size less the set's, two facts:
 
-A round has four times the heads of the one before, up to 32. So the work is linear in a group's size times its sets that are
-linked to nothing, all of which must be led past the others, by sketch; no way round that is known that loses
-no link. What comes out connects all that is alike; links that add nothing to it are not all listed.
+* Sets whose excesses add up to nothing or less are alike whatever they hold. All such pairs of a cluster are connected by links to
+  the set of the least excess.
+* Other alike sets have at least an eighteenth of the sum of their excesses in common in their deltas. So it is enough to compare sets that
+  meet in the first, rarest parts of their deltas, with enough of both left from there on.
+
+This loses no link, and neither what most of a cluster has nor what one set alone has is ever a key: texts of a form, which
+have much in common without being alike, and copies with changes of their own do not meet. The sets that do are those that depart
+from their centre in the same way; the work grows with the number of their pairs of unequal label. What comes out connects
+all that is alike; links that add nothing to it are not all listed.
 
 Texts of fewer words have one shingle. Null and empty texts have none, are equal, and are linked to nothing
 else. Repeated rows are one set. Only the text, ``doc_id`` and the sets' own columns are read, so other columns
@@ -44,8 +49,10 @@ BANDS, ROWS = 24, 6
 VALUES = BANDS * ROWS
 #: Rounds of comparisons with the heads of band groups.
 ROUNDS = 2
-#: Heads of a group in a round at most: what a row carries of them is bounded, and rounds go on.
-MOST_HEADS = 32
+#: Two sets are alike if what only one of them has is at most their sizes together divided by this.
+APART = round((1 + LIKENESS) / (1 - LIKENESS))
+#: Bits of a key in a delta that are left to the shingle's hash, below its number of sets.
+_HASH_BITS = 43
 #: Bytes of the sketches that agree at least: 3.5 deviations below what is expected of a pair of 0.8.
 AGREEING = int(VALUES * (LIKENESS + (1 - LIKENESS) / 256) - 3.5 * (VALUES * LIKENESS * (1 - LIKENESS)) ** 0.5)
 _PART = 2_000
@@ -125,21 +132,72 @@ def _band_groups(sets: DataFrame) -> DataFrame:
     return _grouped(banded.select(F.xxhash64("k", "key").alias("group"), "set_key"))
 
 
-def _rare_groups(crowd: DataFrame, found: DataFrame) -> DataFrame:
-    """Groups of the crowd's sets by the shingles that alike ones have one of in common.
-
-    The order is by the number of the crowd's sets that have a shingle, and then by the shingle. Shingles
-    of one set only are in the order too, but make no group.
-    """
-    members = written(crowd.join(found, "set_key").select("set_key", F.explode("shingles").alias("shingle")), "near-crowd")
-    counts = members.groupBy("shingle").agg(F.count(F.lit(1)).alias("n"))
-    ranked = join_hot(members, counts.withColumn("sets", F.col("n")), ["shingle"], members.count())
-    least = F.array_sort(F.collect_list(F.struct("sets", "shingle"))).alias("ordered")
-    ordered = ranked.groupBy("set_key").agg(least)
-    # Alike sets have at least 0.8 of the larger's size in common.
-    many = F.size("ordered") - F.ceil(F.size("ordered") * LIKENESS - 1e-9) + 1
-    keys = F.explode(F.filter(F.slice("ordered", F.lit(1), many.cast("int")), lambda s: s["sets"] > 1))
-    return _grouped(ordered.select("set_key", keys.alias("key")).select(F.xxhash64("key.shingle").alias("group"), "set_key"))
+def _clusters(active: DataFrame) -> DataFrame:
+    """(cluster, set_key, set_size, label) of the groups that hold two labels or more."""
+    first = F.max(F.struct("weight", "set_key", "label"))["label"].alias("cluster")
+    groups = active.groupBy("group").agg(first, F.min("label").alias("low"), F.max("label").alias("high"), F.count(F.lit(1)).alias("n"))
+    members = join_hot(active, groups.where("low < high").select("group", "n", "cluster"), ["group"], active.count())
+    return members.select("cluster", "set_key", "set_size", "label").dropDuplicates(["cluster", "set_key"])
+
+
+def _deltas(members: DataFrame, found: DataFrame) -> DataFrame:
+    """members with ``delta``, the keys of what a set has more or less than its cluster's centre, rarest first,
+    ``lone``, the number of shingles that no other set of the cluster has (they come before, and need no keys), and ``excess``."""
+    members = written(members, "near-members")
+    held = members.select("cluster", "set_key").join(found, "set_key").select("cluster", "set_key", F.explode("shingles").alias("shingle"))
+    held = written(held, "near-held")
+    sizes = members.groupBy("cluster").agg(F.count(F.lit(1)).alias("sets"))
+    counts = held.groupBy("cluster", "shingle").agg(F.count(F.lit(1)).alias("n")).where("n > 1").join(sizes, "cluster")
+    central = 2 * F.col("n") > F.col("sets")
+    departing = F.least(F.when(central, F.col("sets") - F.col("n")).otherwise(F.col("n")), F.lit(1 << 19))
+    hashed = F.xxhash64("shingle").bitwiseAND(F.lit((1 << _HASH_BITS) - 1))
+    key = F.shiftleft(departing, _HASH_BITS).bitwiseOR(hashed)
+    counts = written(counts.select("cluster", "shingle", "n", central.alias("central"), key.alias("key")), "near-counts")
+    shared = join_hot(held, counts, ["cluster", "shingle"], held.count())
+    parts = [F.collect_list(F.when(which, F.col("key"))).alias(name) for name, which in (("has", F.col("central")), ("more", ~F.col("central")))]
+    shared = shared.groupBy("cluster", "set_key").agg(*parts, F.count(F.lit(1)).alias("shared"))
+    centres = counts.where("central").groupBy("cluster").agg(F.collect_list("key").alias("centre"))
+    centres = sizes.withColumnRenamed("sets", "n").join(centres, "cluster", "left")
+    each = join_hot(members.join(shared, ["cluster", "set_key"], "left"), centres, ["cluster"], members.count())
+    none = F.array().cast("array<bigint>")
+    less = F.array_except(F.coalesce("centre", none), F.coalesce("has", none))
+    each = each.withColumn("delta", F.array_sort(F.concat(F.coalesce("more", none), less)))
+    each = each.withColumn("lone", F.col("set_size") - F.coalesce("shared", F.lit(0)))
+    excess = APART * (F.col("lone") + F.size("delta")) - F.col("set_size")
+    return each.select(*members.columns, "delta", "lone", excess.alias("excess"))
+
+
+def _pairs_by_delta(deltas: DataFrame) -> DataFrame:
+    """Pairs (a, b) of which all that are alike in a cluster are connected by those that are, with their labels."""
+    deltas = written(deltas, "near-deltas")
+    best = F.min(F.struct("excess", "set_key", "label")).alias("best")
+    bests = deltas.groupBy("cluster").agg(best, F.count(F.lit(1)).alias("n"))
+    near = F.col("excess") + F.col("best.excess") <= 0
+    each = join_hot(deltas, bests, ["cluster"], deltas.count()).withColumn("near", near)
+    star = each.where("near AND label <> best.label")
+    star = star.select(F.col("best.set_key").alias("a"), F.col("set_key").alias("b"), F.col("best.label").alias("a_label"), F.col("label").alias("b_label"))
+    far = deltas.join(bests, "cluster").where(~near).groupBy("cluster").agg(F.min("excess").alias("far_excess"))
+    each = each.join(far, "cluster")
+    # Near sets are connected with the best one and need only meet those that are not.
+    other = F.when(F.col("near"), F.col("far_excess")).otherwise(F.col("best.excess"))
+    common = F.greatest(F.lit(1), F.ceil((F.col("excess") + other) / (2 * APART)))
+    many = F.size("delta") - common + 1
+    joined = F.when(F.col("near"), F.col("best.label")).otherwise(F.col("label")).alias("joined")
+    own = ["cluster", "set_key", "label", "excess", "near"]
+    keyed = each.where(many > 0).select(*own, joined, F.size("delta").alias("size"), F.posexplode(F.slice("delta", F.lit(1), many.cast("int"))).alias("at", "key"))
+    keyed = written(keyed.select(*own, "joined", "key", (F.col("size") - F.col("at")).alias("left")), "near-parts")
+    many = keyed.groupBy("cluster", "key").agg(F.count(F.lit(1)).alias("rows"), F.count_if(~F.col("near")).alias("far"))
+    keyed = keyed.join(many.where("rows > 1 AND far > 0").select("cluster", "key"), ["cluster", "key"])
+    one, two = (keyed.select(*(F.col(c).alias(f"{side}_{c}") for c in keyed.columns)) for side in "ab")
+    same = (F.col("a_cluster") == F.col("b_cluster")) & (F.col("a_key") == F.col("b_key"))
+    once = (F.col("b_near") | (F.col("a_set_key") < F.col("b_set_key"))) & (F.col("a_joined") != F.col("b_joined"))
+    enough = 2 * APART * F.least("a_left", "b_left") >= F.col("a_excess") + F.col("b_excess")
+    met = one.where("NOT a_near").join(two, same & once & enough)
+    met = met.select(F.col("a_cluster").alias("cluster"), *(F.col(f"{side}_{c}") for side in "ab" for c in ("set_key", "label", "excess"))).distinct()
+    for side in "ab":
+        met = met.join(deltas.select("cluster", F.col("set_key").alias(f"{side}_set_key"), F.col("delta").alias(f"{side}_delta")), ["cluster", f"{side}_set_key"])
+    met = met.where(2 * APART * F.size(F.array_intersect("a_delta", "b_delta")) >= F.col("a_excess") + F.col("b_excess"))
+    return star.union(met.select(F.col("a_set_key").alias("a"), F.col("b_set_key").alias("b"), "a_label", "b_label"))
 
 
 def _verified(pairs: DataFrame, found: DataFrame) -> DataFrame:
@@ -153,25 +211,20 @@ def _verified(pairs: DataFrame, found: DataFrame) -> DataFrame:
 HEAD = ("set_key", "set_size", "set_sketch", "label")
 
 
-def _round(active: DataFrame, found: DataFrame, many: int, lone: bool) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(pairs compared, links found, what goes on) of one round with so many heads a group; all are written."""
-    part = F.pmod(F.xxhash64("set_key"), F.lit(many)).alias("part")
+def _round(active: DataFrame, found: DataFrame, lone: bool) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(pairs compared, links found, what goes on) of one round; all are written."""
     # Once the first heads are through, those that are linked to nothing yet lead.
     alone = (F.col("label") == F.col("set_key")) if lone else F.lit(False)
     head = F.max(F.struct(alone.alias("alone"), "weight", *HEAD)).alias("head")
-    parts = active.groupBy("group", part).agg(head, F.count(F.lit(1)).alias("n"), F.min("label").alias("low"), F.max("label").alias("high"))
-    heads = parts.groupBy("group").agg(F.collect_list("head").alias("heads"), F.sum("n").alias("n"), F.min("low").alias("low"), F.max("high").alias("high"))
-    heads = heads.where("low < high").select("group", "heads", "n", F.col("heads.set_key").alias("head_keys"))
-    met = written(join_hot(active, heads, ["group"], active.count()), "near-met")
-    is_head = F.array_contains("head_keys", F.col("set_key"))
-    each = met.withColumn("is_head", is_head).withColumn("head", F.explode("heads")).where("label <> head.label")
-    each = each.where("CASE WHEN is_head THEN set_key < head.set_key ELSE true END")
+    heads = active.groupBy("group").agg(head, F.count(F.lit(1)).alias("n"), F.min("label").alias("low"), F.max("label").alias("high"))
+    met = written(join_hot(active, heads.where("low < high").select("group", "head", "n"), ["group"], active.count()), "near-met")
+    each = met.where("label <> head.label")
     near = _alike(F.least("set_size", "head.set_size"), F.col("set_size"), F.col("head.set_size"))
     pairs = each.where(near).where(_agreeing(F.col("set_sketch"), F.col("head.set_sketch")))
     pairs = pairs.select(F.col("head.set_key").alias("a"), F.col("set_key").alias("b"), F.col("head.label").alias("a_label"), F.col("label").alias("b_label"))
     pairs = written(pairs.dropDuplicates(["a", "b"]), "near-pairs")
     links = written(_verified(pairs, found), "near-links")
-    return pairs, links, written(_relabelled(met.where(~is_head).select(active.columns), links), "near-rest")
+    return pairs, links, written(_relabelled(met.where("set_key <> head.set_key").select(active.columns), links), "near-rest")
 
 
 def _relabelled(rows: DataFrame, links: DataFrame) -> DataFrame:
@@ -204,35 +257,20 @@ def near_links(docs: DataFrame, sets: DataFrame, text: str = "text") -> tuple[Da
     shingled = with_batch_columns(texts.select("set_key", "text"), ["text"], {"shingles": ArrayType(LongType())}, compute, PIECE_BYTES, ("text",))
     found = written(shingled, "near-sets")
     compared, linked = [], []
-
-    def go_on(rows, many, lone):
-        pairs, links, rest = _round(rows, found, many, lone)
-        compared.append(pairs.select("a", "b"))
-        linked.append(links.select("a", "b"))
-        return rest
-
-    def finished(rows):
-        many = 4
-        while not rows.isEmpty():
-            rows, many = go_on(rows, many, True), min(4 * many, MOST_HEADS)
-
     for turn in range(ROUNDS):
         if active.isEmpty():
             break
-        active = go_on(active, 1, turn > 0)
-    alone = F.count_if(F.col("label") == F.col("set_key")).alias("alone")
-    groups = active.groupBy("group").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count(F.lit(1)).alias("n"), alone)
-    groups = groups.where("low < high").select("group", "n", (2 * F.col("alone") > F.col("n")).alias("crowd"))
-    still = written(join_hot(active, groups, ["group"], active.count()), "near-open")
-    labels = written(still.where("crowd").groupBy("set_key").agg(F.min("label").alias("label")), "near-crowd-labels")
-    finished(still.where("NOT crowd").select(columns))
-    if not labels.isEmpty():
-        rare = _rare_groups(labels.select("set_key"), found).join(labels, "set_key").join(own.drop("label"), "set_key")
-        finished(written(rare.select(columns), "near-active"))
+        pairs, links, active = _round(active, found, turn > 0)
+        compared.append(pairs)
+        linked.append(links)
+    if not active.isEmpty():
+        pairs = _pairs_by_delta(_deltas(_clusters(active), found))
+        compared.append(written(pairs.dropDuplicates(["a", "b"]), "near-pairs"))
+        linked.append(written(_verified(compared[-1], found), "near-links"))
     none = sets.where("false").select(F.col("set_key").alias("a"), F.col("set_key").alias("b"))
     links, pairs = none, none
     for one, other in zip(linked, compared):
-        links, pairs = links.union(one), pairs.union(other)
+        links, pairs = links.union(one.select("a", "b")), pairs.union(other.select("a", "b"))
     return links, pairs
 
 
